@@ -107,3 +107,31 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> Da
 def semi(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in ids: by broadcast if the list is counted short, else by shuffle."""
     return rows.join(F.broadcast(ids) if ids.count() <= FEW_ROWS else ids, key, "left_semi")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """(doc_id, text, y): at most per_class whole documents of each label, for fitting only.
+
+    Only rows outside fold 1 of 3 qualify; those with the least hash of doc_id are
+    taken, so the sample does not depend on order or size. Null labels are left out.
+    """
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where((fold(F.col("doc_id"), 3) != 1) & F.col("y").isin(0, 1))
+    own = own.groupBy("doc_id").agg(F.max("y").alias("y")).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    order = F.xxhash64("doc_id")
+    chosen = own.where("y = 0").orderBy(order, "doc_id").limit(per_class).unionByName(own.where("y = 1").orderBy(order, "doc_id").limit(per_class))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+
+
+def scored(docs: DataFrame, setup: Callable[[], Callable[[list[str]], list[float]]], threshold: float) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row, from a scorer of text batches."""
+
+    def start():
+        score = setup()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([float(s) for s in score(texts_of(batch))], pa.float64())], ["doc_id", "held_out", "score"])
+
+        return step
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id").cast("long"), 3) == 1).alias("held_out"), "text")
+    return per_batch(own, start, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
