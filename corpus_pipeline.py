@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from redactory.llm import common
 from redactory.llm.dedup import exact_groups
-from redactory.llm.langid import identify_language
+from redactory.llm.langid import reject_unknown
 from redactory.llm.neardup import near_duplicates
 from redactory.llm.packing import pack_documents
 from redactory.llm.queries import vocabulary
-from redactory.llm.toxicity import score_toxicity
+from redactory.llm.toxicity import reject_toxic
 
 #: A text whose language is less certain than this goes; ordinary texts, mixed ones too, score well above.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -35,13 +35,13 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     common.ship(spark)
-    return _keep(docs, score_toxicity(docs, common.table(spark, sf_dir, "labels")).where("predicted = 0"))
+    return reject_toxic(docs, common.table(spark, sf_dir, "labels"))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those of no certain language, go."""
     common.ship(spark)
-    return _keep(docs, identify_language(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
+    return reject_unknown(docs, LEAST_LANGUAGE_SCORE)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

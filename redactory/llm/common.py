@@ -12,6 +12,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
 
@@ -69,7 +70,7 @@ def fold(key: Column, parts: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % parts
 
 
-def per_batch(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
+def per_batch(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType) -> DataFrame:
     """mapInArrow with a per-task set-up: fn() is called once in a task, its result for each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,3 +136,13 @@ def scored(docs: DataFrame, setup: Callable[[], Callable[[list[str]], list[float
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id").cast("long"), 3) == 1).alias("held_out"), "text")
     return per_batch(own, start, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_where(docs: DataFrame, setup: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+    """Rows of docs, all columns, whose text passes; one pass, no join."""
+
+    def start():
+        test = setup()
+        return lambda batch: batch.filter(pa.array(test(batch.column("text").to_pylist()), pa.bool_()))
+
+    return per_batch(docs, start, docs.schema)

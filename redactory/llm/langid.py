@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.llm.common import fold, per_batch
+from redactory.llm.common import fold, keep_where, per_batch
 
 #: Bounds of what is learned from: documents of a language, letters of a document and of a language.
 DOCS, DOC_CHARS, LANGUAGE_CHARS = 96, 20_000, 80_000
@@ -99,37 +99,61 @@ def learn(docs: DataFrame) -> dict[str, str]:
     return out
 
 
+def _guesser(names: tuple[str, ...], samples: tuple[str, ...]):
+    """Texts to (language, score)."""
+    chunks = parser(samples)
+
+    def guess(texts: list[str | None]) -> list[tuple[str, float]]:
+        out = []
+        for text in texts:
+            if len(chunks) > _CACHE:
+                chunks.clear()
+            rows = np.frombuffer(b"".join(map(chunks.__getitem__, (text or "").lower().split())), np.float32).reshape(-1, len(names) + 1).sum(axis=0, dtype=np.float64)
+            if not names or rows[0] == 0:
+                out.append(("und", 0.0))
+                continue
+            rate = rows[1:] / rows[0]
+            best = int(rate.argmin())
+            out.append((names[best], float(1 / np.exp(-SHARPNESS * (rate - rate[best])).sum())))
+        return out
+
+    return guess
+
+
+def _model(docs: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    samples = learn(docs)
+    return tuple(sorted(samples)), tuple(samples[n] for n in sorted(samples))
+
+
 def identify_language(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row, from its whole text.
 
     Null texts, and texts without a letter, are und with score 0; so is everything
     where nothing could be learned. Ties go to the language first in order. Score
     is the winner's share when each language weighs exp(-SHARPNESS * phrases per letter).
-    An empty table gives no rows.
+    Repeated rows get equal answers. An empty table gives no rows.
     """
-    samples = learn(docs)
-    names, texts = tuple(sorted(samples)), tuple(samples[n] for n in sorted(samples))
+    model = _model(docs)
 
     def setup():
-        chunks = parser(texts)
+        guess = _guesser(*model)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lang, score = [], []
-            for text in batch.column("text").to_pylist():
-                if len(chunks) > _CACHE:
-                    chunks.clear()
-                rows = np.frombuffer(b"".join(map(chunks.__getitem__, (text or "").lower().split())), np.float32).reshape(-1, len(names) + 1).sum(axis=0, dtype=np.float64)
-                if not names or rows[0] == 0:
-                    lang.append("und")
-                    score.append(0.0)
-                    continue
-                rate = rows[1:] / rows[0]
-                best = int(rate.argmin())
-                lang.append(names[best])
-                score.append(float(1 / np.exp(-SHARPNESS * (rate - rate[best])).sum()))
+            lang, score = zip(*guess(batch.column("text").to_pylist()), strict=True)
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
         return step
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id").cast("long"), 4) == 2).alias("held_out"), "text")
     return per_batch(own, setup, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def reject_unknown(docs: DataFrame, least: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language of at least this score."""
+    model = _model(docs)
+
+    def setup():
+        guess = _guesser(*model)
+        return lambda texts: [lang != "und" and score >= least for lang, score in guess(texts)]
+
+    return keep_where(docs, setup)

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import labelled_sample, materialise, per_batch, scored, texts_of
+from redactory.llm.common import keep_where, labelled_sample, materialise, per_batch, scored, texts_of
 
 #: Documents of each label in the fitting sample, features kept, least association, and the penalty's weight.
 PER_CLASS, FEATURES, LEAST_Z, LEAST_DOCS, COUNTERFACTUAL = 3000, 1200, 6.0, 4, 4.0
@@ -154,3 +154,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     names, weights, intercept = train(docs, labels)
     return scored(docs, lambda: _scorer(names, weights, intercept), THRESHOLD)
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted toxic; null texts stay."""
+    names, weights, intercept = train(docs, labels)
+
+    def setup():
+        score = _scorer(names, weights, intercept)
+        return lambda texts: [s < THRESHOLD for s in score([t or "" for t in texts])]
+
+    return keep_where(docs, setup)
