@@ -128,7 +128,11 @@ def keyword_spans(df: DataFrame, keywords: DataFrame) -> DataFrame:
 
 def custom_regex_spans(df: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
     """Tenant patterns, case-insensitive, each compiled once as a literal."""
-    every = F.concat(*(F.transform(spans(F.col("text"), p, True), lambda s, i=i: F.struct(F.lit(i).alias("pattern_id"), s["start"].alias("start"), s["stop"].alias("stop"))) for i, p in patterns))
+
+    def tagged(i: str, p: str) -> Column:
+        return F.transform(spans(F.col("text"), p, True), lambda s: F.struct(F.lit(i).alias("pattern_id"), s["start"].alias("start"), s["stop"].alias("stop")))
+
+    every = F.concat(*(tagged(i, p) for i, p in patterns))
     return df.select("doc_id", F.explode(every).alias("s")).select("doc_id", "s.pattern_id", F.col("s.start").alias("span_start"), F.col("s.stop").alias("span_end"), F.lit("custom").alias("type"), F.lit(0.85).alias("confidence"))
 
 

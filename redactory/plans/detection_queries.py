@@ -12,7 +12,7 @@ from redactory.functions.values import SQL_LUHN, SQL_VALIDATORS, VALIDATORS, val
 from redactory.operators import detect as d
 from redactory.sources.corpus import TEXTS_SQL, documents, texts
 
-KEYWORDS = [("kw1", "Patient"), ("kw2", "salary"), ("kw3", "the the"), ("kw4", "aa"), ("kw5", "onon")]
+KEYWORDS = [("kw1", "Patient"), ("kw2", "salary"), ("kw3", "production server"), ("kw4", "disgusting"), ("kw5", "The And")]
 REGEXES = [("rx1", r"\bproj(?:ect)?-\d+"), ("rx2", r"[a-z]+shire\b"), ("rx3", r"(?:oak|elm) street"), ("rx4", "("), ("rx5", "x*")]
 QUERIES, SQL = {}, {}
 
@@ -105,9 +105,9 @@ SQL["valid_aws_key"] = f"SELECT doc_id, span_start, {SQL_VALIDATORS['aws']} AS v
 QUERIES["detect_custom_keyword"] = lambda s, sf: d.keyword_spans(texts(s, sf), s.createDataFrame(KEYWORDS, "pattern_id string, keyword string"))
 SQL["detect_custom_keyword"] = f"""
     WITH k(pattern_id, keyword) AS (VALUES {', '.join(f"({quoted(a)}, {quoted(b)})" for a, b in KEYWORDS)}), t AS ({TEXTS_SQL})
-    SELECT doc_id, pattern_id, CAST(p - 1 AS INTEGER) AS span_start, CAST(p - 1 + n AS INTEGER) AS span_end, 'custom' AS type, CAST(0.9 AS DOUBLE) AS confidence
-    FROM (SELECT doc_id, pattern_id, len(k) AS n, unnest(list_filter(range(1, len(c) - len(k) + 2), lambda i: c[i] = k[1] AND c[i:i + len(k) - 1] = k)) AS p
-          FROM (SELECT doc_id, pattern_id, string_split(lower(text), '') AS c, string_split(lower(keyword), '') AS k FROM t JOIN k ON contains(lower(text), lower(keyword))))"""
+    SELECT doc_id, pattern_id, CAST(p AS INTEGER) AS span_start, CAST(p + n AS INTEGER) AS span_end, 'custom' AS type, CAST(0.9 AS DOUBLE) AS confidence
+    FROM (SELECT doc_id, pattern_id, n, unnest(list_transform(g[1:len(g) - 1], lambda x, i: list_sum(list_transform(g[1:i], lambda y: length(y))) + (i - 1) * n)) AS p
+          FROM (SELECT doc_id, pattern_id, length(keyword) AS n, string_split(lower(text), lower(keyword)) AS g FROM t JOIN k ON contains(lower(text), lower(keyword))))"""
 
 
 def _custom(s, sf) -> DataFrame:

@@ -62,3 +62,33 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def relation(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
+    """A relation derived from given tables by SQL that both engines read alike."""
+    for t in tables:
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(sql)
+
+
+_TYPES = "CASE {k} WHEN 0 THEN 'ssn' WHEN 1 THEN 'credit_card' WHEN 2 THEN 'email' WHEN 3 THEN 'phone' WHEN 4 THEN 'ip_address' WHEN 5 THEN 'api_key' ELSE 'date' END"
+_ACTIONS = "CASE {k} WHEN 0 THEN 'allow' WHEN 1 THEN 'warn' WHEN 2 THEN 'redact' ELSE 'block' END"
+#: Tenants are nations; every fifth has no policy row.
+POLICIES_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS tenant_id, CASE n_nationkey % 4 WHEN 0 THEN 'personal_protection' WHEN 1 THEN 'business_standard' WHEN 2 THEN 'strict_compliance' ELSE 'monitor_only' END AS profile FROM nation WHERE n_nationkey % 5 <> 4"
+#: Rules are suppliers: several of one type for a tenant, some disabled or in monitor mode.
+RULES_SQL = f"SELECT CAST(s_nationkey AS BIGINT) AS tenant_id, s_suppkey AS rule_seq, s_name AS rule_id, {_TYPES.format(k='s_suppkey % 7')} AS pattern_type, {_ACTIONS.format(k='CAST(floor(s_acctbal) AS BIGINT) % 4')} AS action, s_suppkey % 6 <> 5 AS enabled, CASE WHEN s_suppkey % 3 = 2 THEN 'monitor' ELSE 'enforce' END AS mode FROM supplier"
+#: Destination rules: one wide, some by suffix, some exact.
+DESTINATIONS_SQL = f"""SELECT CAST(n_nationkey AS BIGINT) AS tenant_id, CASE n_nationkey % 4 WHEN 0 THEN 'external' WHEN 1 THEN '*.example.com' WHEN 2 THEN 'example.net' ELSE '*.example.org' END AS destination,
+    {_ACTIONS.format(k='n_nationkey % 4')} AS action FROM nation"""
+
+
+def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relation(spark, sf_dir, POLICIES_SQL, "nation")
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relation(spark, sf_dir, RULES_SQL, "supplier")
+
+
+def destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relation(spark, sf_dir, DESTINATIONS_SQL, "nation")
