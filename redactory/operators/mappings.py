@@ -1,0 +1,64 @@
+"""Joins between spans, replacement mappings, reviewed files and masked texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from redactory.sources.storage import cut
+
+
+def mapping_for_detection(spans: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Each span with the first mapping of equal type and place, if any."""
+    keys = ["doc_id", "type", "span_start", "span_end"]
+    first = mappings.groupBy(*keys).agg(F.min_by("replacement", "idx").alias("replacement"))
+    return spans.join(first, keys, "left")
+
+
+def final_files(files: DataFrame, items: DataFrame) -> DataFrame:
+    """Files to send: protected ones replaced, skipped ones removed, the rest as they are."""
+    joined = files.join(items.select("name", "size", "mtime", "status", "protected_name"), ["name", "size", "mtime"], "left")
+    return joined.where(F.coalesce("status", F.lit("clean")) != "skipped").withColumn("sent", F.when(F.col("status") == "protected", F.col("protected_name")).otherwise(F.col("name")))
+
+
+def bracket_tokens(masked: DataFrame) -> DataFrame:
+    """doc_id, pos, token, nth: tokens in order, and each one's number among its equals."""
+    rows = masked.select("doc_id", F.posexplode(F.regexp_extract_all("protected", F.lit(r"\[[A-Z][A-Z0-9_ ]*\]"), F.lit(0))).alias("pos", "token"))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "token").orderBy("pos")))
+
+
+def token_map(tokens: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Pair mappings (doc_id, idx, span_start, and the names it may go by) with tokens, pass by pass.
+
+    In each pass the n-th open mapping of a name takes the n-th open token of that
+    name; what is left is paired by position.
+    """
+    open_t, open_m, done = cut(tokens.select("doc_id", "pos", "token"), "tokens"), cut(mappings, "mappings"), None
+    for name in ("placeholder", "replacement", "by_display"):
+        t = open_t.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "token").orderBy("pos")))
+        m = open_m.withColumn("token", F.col(name)).withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "token").orderBy("idx")))
+        hit = m.join(t, ["doc_id", "token", "n"]).select("doc_id", "idx", "pos", "token")
+        done = hit if done is None else done.unionByName(hit)
+        open_t, open_m = open_t.join(hit.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti"), open_m.join(hit.select("doc_id", "idx"), ["doc_id", "idx"], "left_anti")
+    t = open_t.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
+    m = open_m.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("span_start").asc_nulls_last(), "idx")))
+    return done.unionByName(m.join(t, ["doc_id", "n"]).select("doc_id", "idx", "pos", "token"))
+
+
+def apply_choices(masked: DataFrame, choices: DataFrame) -> DataFrame:
+    """Replace, for each enabled choice in order, the first occurrence of its token by its text."""
+    one = F.struct("idx", "token", "replacement")
+    folded = choices.where("enabled").groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("choices"))
+
+    def step(text, c):
+        at = F.instr(text, c["token"])
+        return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), c["replacement"], F.substr(text, at + F.length(c["token"]), F.length(text)))).otherwise(text)
+
+    return masked.join(folded, "doc_id", "left").select("doc_id", F.when(F.col("choices").isNull(), F.col("protected")).otherwise(F.aggregate("choices", F.col("protected"), step)).alias("protected"))
+
+
+def literal_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Substitute each (original, replacement) of a document everywhere; blank pairs are left out."""
+    good = pairs.where((F.trim("original") != "") & (F.trim("replacement") != ""))
+    folded = good.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct((-F.length("original")).alias("k"), "original", "replacement"))).alias("pairs"))
+    return texts.join(folded, "doc_id", "left").select("doc_id", F.when(F.col("pairs").isNull(), F.col("text")).otherwise(F.aggregate("pairs", F.col("text"), lambda t, p: F.replace(t, p["original"], p["replacement"]))).alias("protected"))

@@ -12,6 +12,7 @@ from redactory.operators import merge as m
 from redactory.operators import policy as p
 from redactory.plans import policy_queries as pq
 from redactory.sources import corpus as c
+from redactory.sources.storage import cut
 
 QUERIES, SQL = {}, {}
 
@@ -134,7 +135,7 @@ def _candidates(s, sf):
     for i, x in enumerate(e.CONTEXTS):
         one = e.context_candidates(c.texts(s, sf), x).withColumn("ord", F.lit(i))
         out = one if out is None else out.unionByName(one)
-    own = pq.spans(s, sf).select(F.col("doc_id").alias("o"), F.col("span_start").alias("a"), F.col("span_end").alias("b"))
+    own = cut(pq.spans(s, sf), "spans").select(F.col("doc_id").alias("o"), F.col("span_start").alias("a"), F.col("span_end").alias("b"))
     return out.join(own, (F.col("doc_id") == F.col("o")) & (F.col("a") <= F.col("span_start")) & (F.col("b") >= F.col("span_end")), "left_anti")
 
 
@@ -144,8 +145,8 @@ SQL["context_scan"] = f"SELECT doc_id, span_start, span_end, type, score, confid
 
 
 def _merged(s, sf):
-    own = _scores(s, sf).select("doc_id", "span_start", "span_end", "type", e.adjusted(F.col("confidence"), e.proximity(F.col("near"), WINDOW), e.proximity(F.col("against"), WINDOW)).alias("confidence"))
-    extra = m.disjoint(_candidates(s, sf), own).withColumn("source", F.lit("context"))
+    own = cut(_scores(s, sf).select("doc_id", "span_start", "span_end", "type", e.adjusted(F.col("confidence"), e.proximity(F.col("near"), WINDOW), e.proximity(F.col("against"), WINDOW)).alias("confidence")), "own")
+    extra = m.disjoint(cut(_candidates(s, sf), "candidates"), own).withColumn("source", F.lit("context"))
     fresh = m.unfold(m.as_spans(extra.withColumn("ord", F.col("ord") * 1000000 + F.col("span_start")), "doc_id").withColumn("spans", m.first_writer_wins(F.col("spans"))))
     return own.withColumn("source", F.lit("regex")).unionByName(fresh, allowMissingColumns=True).where("confidence >= 0.3")
 
