@@ -102,8 +102,7 @@ SQL["phone_format"] = f"""SELECT doc_id, span_start, starts_with(rest, '(') AS p
     FROM (SELECT *, regexp_replace(value, '^\\+\\d{{1,3}}\\s*', '') AS rest FROM ({SPANS_SQL}) WHERE type = 'phone')"""
 
 # spans: order, merge, redaction
-_IDX = Window.partitionBy("doc_id").orderBy(F.desc("span_start"), F.desc("span_end"), "type")
-QUERIES["span_index"] = lambda s, sf: spans(s, sf).select("doc_id", "span_start", "span_end", "type", (F.row_number().over(_IDX) - 1).alias("idx"))
+QUERIES["span_index"] = lambda s, sf: spans(s, sf).select("doc_id", "span_start", "span_end", "type", (F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("span_start"), F.desc("span_end"), "type")) - 1).alias("idx"))
 SQL["span_index"] = f"SELECT doc_id, span_start, span_end, type, row_number() OVER (PARTITION BY doc_id ORDER BY span_start DESC, span_end DESC, type) - 1 AS idx FROM ({SPANS_SQL})"
 for _name, _cols, _order in (
     ("sort_start", ("span_start", "type"), "span_start, type"),
@@ -180,13 +179,19 @@ QUERIES["exposure_rollup"] = lambda s, sf: spans(s, sf).rollup("source", "type",
 SQL["exposure_rollup"] = f"SELECT source, type, severity, count(*) AS n FROM ({SPANS_SQL}) GROUP BY ROLLUP (source, type, severity)"
 QUERIES["highest_severity"] = lambda s, sf: spans(s, sf).groupBy("doc_id").agg(p.severity_of(F.max(p.ranked(F.col("severity"), SEVERITY_RANK))).alias("severity"), F.array_sort(F.collect_set("type")).alias("categories"))
 SQL["highest_severity"] = f"SELECT doc_id, {case(f'max({SEV})', SEV_BACK)} AS severity, list_sort(list(DISTINCT type)) AS categories FROM ({SPANS_SQL}) GROUP BY 1"
-_ORDERED = F.transform(F.array_sort(F.collect_list(F.struct("span_start", "span_end", "display_name"))), lambda x: x["display_name"])
-QUERIES["distinct_types"] = lambda s, sf: spans(s, sf).groupBy("doc_id").agg(F.array_distinct(_ORDERED).alias("names"))
+
+
+def _ordered():
+    """Display names in the order of their spans."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("span_start", "span_end", "display_name"))), lambda x: x["display_name"])
+
+
+QUERIES["distinct_types"] = lambda s, sf: spans(s, sf).groupBy("doc_id").agg(F.array_distinct(_ordered()).alias("names"))
 SQL["distinct_types"] = f"SELECT doc_id, list(display_name ORDER BY a, b, display_name) AS names FROM (SELECT doc_id, display_name, (min(struct_pack(a := span_start, b := span_end))).a AS a, (min(struct_pack(a := span_start, b := span_end))).b AS b FROM ({SPANS_SQL}) GROUP BY 1, 2) GROUP BY 1"
 
 
 def _summary(s, sf):
-    named = spans(s, sf).groupBy("doc_id").agg(F.array_distinct(_ORDERED).alias("names"), F.count(F.lit(1)).alias("n"))
+    named = spans(s, sf).groupBy("doc_id").agg(F.array_distinct(_ordered()).alias("names"), F.count(F.lit(1)).alias("n"))
     text = F.when(F.size("names") == 1, F.concat(F.element_at("names", 1), F.lit(" detected"))).otherwise(F.concat(F.size("names").cast("string"), F.lit(" types of sensitive data detected: "), F.array_join("names", ", ")))
     return c.documents(s, sf).select("doc_id").join(named, "doc_id", "left").select("doc_id", F.when(F.col("names").isNull(), "No sensitive data detected").otherwise(text).alias("summary"))
 
