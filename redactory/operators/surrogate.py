@@ -108,7 +108,57 @@ def routing_number(t: Column, v: Column) -> Column:
     return F.concat(body, ((10 - total % 10) % 10).cast("string"))
 
 
-FAMILIES = {"ssn": ssn, "credit_card": card, "phone": phone, "email": email, "person": name, "person_name": name, "ip_address": ip, "ipv4": ip, "api_key": secret, "aws_secret": secret, "aws_key": aws_key, "date": date, "dob": date, "routing_number": routing_number}
+def drawn_digits(t: Column, v: Column) -> Column:
+    """32 digits, the first not zero."""
+    return F.concat((draw(t, v, 10, 9) + 1).cast("string"), F.lpad(draw(t, v, 11, 10**7).cast("string"), 7, "0"), *(F.lpad(draw(t, v, k, 10**8).cast("string"), 8, "0") for k in (12, 13, 14)))
+
+
+def same_layout(t: Column, v: Column) -> Column:
+    """Amounts and record numbers: every digit redrawn, all else (sign, commas, magnitude, prefix) kept."""
+    return like_digits(v, drawn_digits(t, v))
+
+
+def driver_license(t: Column, v: Column) -> Column:
+    return like_digits(F.regexp_replace(v, "[A-Za-z]", "D"), drawn_digits(t, v))
+
+
+def bank_account(t: Column, v: Column) -> Column:
+    """Eight to twelve digits, as many as the value has within that."""
+    return F.substr(drawn_digits(t, v), F.lit(1), F.greatest(F.lit(8), F.least(F.lit(12), F.length(F.regexp_replace(v, "[^0-9]", "")))))
+
+
+def passport(t: Column, v: Column) -> Column:
+    return F.concat(F.chr(draw(t, v, 0, 26) + 65), F.substring(drawn_digits(t, v), 1, 8))
+
+
+def private_key(t: Column, v: Column) -> Column:
+    """The value's own frame around drawn text."""
+    head = F.regexp_extract(v, "-----BEGIN [A-Z ]+-----", 0)
+    return F.concat(head, F.lit("\n"), F.sha2(F.concat(t, F.lit(":k:"), v).cast("binary"), 256), F.lit("\n"), F.regexp_replace(head, "BEGIN", "END"))
+
+
+def jwt(t: Column, v: Column) -> Column:
+    h = F.sha2(F.concat(t, F.lit(":j:"), v).cast("binary"), 256)
+    return F.concat(F.lit("eyJ"), F.substring(h, 1, 20), F.lit(".eyJ"), F.substring(h, 21, 22), F.lit("."), F.substring(h, 43, 22))
+
+
+def connection_string(t: Column, v: Column) -> Column:
+    """The scheme and its usual port; user, host and database are made up."""
+    scheme = F.lower(F.regexp_extract(v, "^([A-Za-z+]+)://", 1))
+    port = F.when(F.startswith(scheme, F.lit("postgres")), "5432").when(scheme == "mysql", "3306").when(F.startswith(scheme, F.lit("mongodb")), "27017").when(scheme == "redis", "6379").otherwise("1433")
+    return F.concat(scheme, F.lit("://user:password@db"), draw(t, v, 0, 100).cast("string"), F.lit(".example.com:"), port, F.lit("/app"))
+
+
+def address(t: Column, v: Column) -> Column:
+    return F.concat((draw(t, v, 0, 899) + 100).cast("string"), F.lit(" "), _pick(LAST, draw(t, v, 1, 8)), F.lit(" Street, "), _pick(["Springfield, IL", "Riverton, WY", "Fairview, TX", "Georgetown, KY"], draw(t, v, 2, 4)), F.lit(" "), F.lpad((draw(t, v, 3, 89999) + 10000).cast("string"), 5, "0"))
+
+
+FAMILIES = {
+    "ssn": ssn, "credit_card": card, "visa": card, "mastercard": card, "amex": card, "discover": card, "phone": phone, "email": email, "person": name, "person_name": name, "name": name, "ip_address": ip, "ipv4": ip,
+    "api_key": secret, "aws_secret": secret, "github_token": secret, "slack_token": secret, "aws_key": aws_key, "private_key": private_key, "jwt": jwt, "connection_string": connection_string, "address": address,
+    "date": date, "dob": date, "date_of_birth": date, "bank_account": bank_account, "routing_number": routing_number, "passport": passport, "driver_license": driver_license, "medical_record": same_layout, "mrn": same_layout,
+    "money": same_layout, "monetary": same_layout, "amount": same_layout, "salary": same_layout, "currency": same_layout,
+}
 
 
 def surrogate(type_: Column, value: Column) -> Column:

@@ -103,3 +103,10 @@ def json_strings(df: DataFrame, body: str = "body", depth: int = 5) -> DataFrame
             level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY")).createOrReplaceTempView(view)
             level = df.sparkSession.sql(f"SELECT id, concat(path, '/', lpad(cast(pos AS STRING), 4, '0')) AS path, value AS v FROM {view}, LATERAL variant_explode(v)")
     return out
+
+
+def append_audit(events: DataFrame, path: str) -> None:
+    """Append audit rows, one folder a day; raw values must be gone by now, so a column of them is refused."""
+    if {"value", "text", "original"} & set(events.columns):
+        raise ValueError("audit rows must not carry raw values")
+    events.write.mode("append").partitionBy("event_date").parquet(path)

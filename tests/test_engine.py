@@ -6,6 +6,7 @@ import decimal
 import hashlib
 import hmac
 import os
+import re
 
 import duckdb
 import pytest
@@ -15,7 +16,7 @@ from redactory.functions import spans as sp
 from redactory.functions import values as v
 from redactory.functions.bank import BANK
 from redactory.operators import detect as d
-from redactory.operators import entities, mappings, merge, policy, predictions, redact, surrogate
+from redactory.operators import entities, mappings, merge, plugins, policy, predictions, redact, surrogate
 from redactory.plans import registry
 from redactory.sources import storage
 
@@ -101,7 +102,7 @@ def test_redaction_hides_values(spark):
 
 
 def test_surrogates(spark):
-    values = [("ssn", "219-09-9999"), ("credit_card", "4111-1111-1111-1111"), ("credit_card", "378282246310005"), ("phone", "+1 (555) 123-4567"), ("email", "jo+x@corp.com"), ("date", "03/05/1984"), ("routing_number", "123"), ("odd_kind", "v")]
+    values = [("ssn", "219-09-9999"), ("credit_card", "4111-1111-1111-1111"), ("credit_card", "378282246310005"), ("phone", "+1 (555) 123-4567"), ("email", "jo+x@corp.com"), ("date", "03/05/1984"), ("routing_number", "123"), ("odd_kind", "v"), ("money", "$1,234.50K"), ("driver_license", "A12-345"), ("passport", "X1"), ("jwt", "eyJa.eyJb.c"), ("connection_string", "mysql://u:p@h/db"), ("private_key", "-----BEGIN RSA PRIVATE KEY-----"), ("address", "1 Main St"), ("bank_account", "12345")]
     df = spark.createDataFrame(values, "type string, value string")
     out = {(r["type"], r["value"]): r["surrogate"] for r in surrogate.surrogate_map(df.unionAll(df)).collect()}
     assert len(out) == len(values) and out["odd_kind", "v"] == "[EXAMPLE_ODD_KIND]" and "+x@" in out["email", "jo+x@corp.com"]
@@ -110,6 +111,20 @@ def test_surrogates(spark):
     aba = out["routing_number", "123"]
     assert sum(int(c) * w for c, w in zip(aba, [3, 7, 1] * 3, strict=True)) % 10 == 0
     assert all(k[1] != x for k, x in out.items())
+    like = {"money": r"\$\d,\d{3}\.\d{2}K", "driver_license": r"D\d{2}-\d{3}", "passport": r"[A-Z]\d{8}", "jwt": r"eyJ\w{10,}\.eyJ\w{10,}\.\w{10,}", "connection_string": r"mysql://user:password@db\d+\.example\.com:3306/app", "private_key": r"-----BEGIN RSA PRIVATE KEY-----\n[0-9a-f]+\n-----END RSA PRIVATE KEY-----", "address": r"\d{3} \w+ Street, .*\d{5}", "bank_account": r"[1-9]\d{7}"}
+    for (kind, _), x in out.items():
+        assert kind not in like or re.fullmatch(like[kind], x), (kind, x)
+
+
+def test_plugins_and_audit_sink(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert plugins.run_detectors(df, "missing").count() == 0
+    rows = df.select("doc_id", F.lit("2024-01-01").alias("event_date"))
+    storage.append_audit(rows, f"{tmp_path}/audit")
+    storage.append_audit(rows, f"{tmp_path}/audit")
+    assert spark.read.parquet(f"{tmp_path}/audit").count() == 2
+    with pytest.raises(ValueError):
+        storage.append_audit(df, f"{tmp_path}/audit")
 
 
 def test_destinations(spark):
