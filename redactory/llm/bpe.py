@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import per_batch, texts_of
+from redactory.llm.common import in_worker, per_batch, texts_of
 
 #: Chunks kept in a worker before it starts anew; a miss is only encoded again.
 CACHE_CHUNKS = 300_000
@@ -260,9 +259,8 @@ class TextBpe:
         return " ".join(self.bpe.token[i] for i in ids if i in self.bpe.token)
 
 
-@lru_cache(maxsize=2)
 def text_bpe(path: str) -> TextBpe:
-    return TextBpe(path)
+    return in_worker(("bpe", path), lambda: TextBpe(path))
 
 
 def encode_documents(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:

@@ -146,3 +146,18 @@ def keep_where(docs: DataFrame, setup: Callable[[], Callable[[list[str | None]],
         return lambda batch: batch.filter(pa.array(test(batch.column("text").to_pylist()), pa.bool_()))
 
     return per_batch(docs, start, docs.schema)
+
+
+_in_worker: dict = {}
+
+
+def in_worker(key: tuple, build: Callable[[], object]):
+    """What build() gives, kept in a Python worker between tasks.
+
+    Only the last key's object is kept: a worker that turns to another operator
+    lets go of the memory that the one before needed.
+    """
+    if key not in _in_worker:
+        _in_worker.clear()
+        _in_worker[key] = build()
+    return _in_worker[key]

@@ -8,15 +8,13 @@ letters wins.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.llm.common import fold, keep_where, per_batch
+from redactory.llm.common import fold, in_worker, keep_where, per_batch
 
 #: Bounds of what is learned from: documents of a language, letters of a document and of a language.
 DOCS, DOC_CHARS, LANGUAGE_CHARS = 96, 20_000, 80_000
@@ -67,9 +65,12 @@ class SuffixAutomaton:
         return n
 
 
-@lru_cache(maxsize=2)
 def parser(samples: tuple[str, ...]):
-    """chunk -> letters and phrases per language, as float32 bytes; kept between tasks of a worker."""
+    """chunk -> letters and phrases per language, as float32 bytes."""
+    return in_worker(("language", samples), lambda: _new_parser(samples))
+
+
+def _new_parser(samples: tuple[str, ...]):
     automata = [SuffixAutomaton(s) for s in samples]
 
     class Chunks(dict):

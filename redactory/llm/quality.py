@@ -10,7 +10,6 @@ fitted on a part it has not seen calibrates the probability.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import labelled_sample, materialise, per_batch, scored, texts_of
+from redactory.llm.common import in_worker, labelled_sample, materialise, per_batch, scored, texts_of
 
 BUCKETS, DIMS, NONZERO = 4096, 64, 4
 #: Documents of each label in the fitting sample; hidden units; share kept back for the temperature.
@@ -54,9 +53,8 @@ class Buckets:
         return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.split())), np.uint16)
 
 
-@lru_cache(maxsize=1)
 def buckets() -> Buckets:
-    return Buckets()
+    return in_worker(("quality",), Buckets)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:

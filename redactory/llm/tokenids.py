@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import numpy as np
 import regex
 
 from redactory.llm.bpe import byte_alphabet
+from redactory.llm.common import in_worker
 
 #: Chunks kept in a worker before it starts anew.
 CACHE_CHUNKS = 500_000
@@ -75,6 +75,5 @@ class IdCoder:
         return self.whole(text)
 
 
-@lru_cache(maxsize=2)
 def id_coder(path: str) -> IdCoder:
-    return IdCoder(path)
+    return in_worker(("ids", path), lambda: IdCoder(path))

@@ -8,15 +8,13 @@ change of score between the two versions, so that a neutral mention carries no w
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import keep_where, labelled_sample, materialise, per_batch, scored, texts_of
+from redactory.llm.common import in_worker, keep_where, labelled_sample, materialise, per_batch, scored, texts_of
 
 #: Documents of each label in the fitting sample, features kept, least association, and the penalty's weight.
 PER_CLASS, FEATURES, LEAST_Z, LEAST_DOCS, COUNTERFACTUAL = 3000, 1200, 6.0, 4, 4.0
@@ -95,8 +93,12 @@ def fit(x: np.ndarray, twin: np.ndarray, has_twin: np.ndarray, y: np.ndarray, st
     return w, float(b)
 
 
-@lru_cache(maxsize=2)
 def _scorer(names: tuple[str, ...], weights: bytes, intercept: float):
+    """Texts to scores, with what is known of their words."""
+    return in_worker(("toxicity", names, weights, intercept), lambda: _new_scorer(names, weights, intercept))
+
+
+def _new_scorer(names: tuple[str, ...], weights: bytes, intercept: float):
     index, w = {n: i for i, n in enumerate(names)}, np.frombuffer(weights)
 
     class Chunks(dict):
