@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from redactory.llm.common import in_worker, per_batch, texts_of
 
 #: Chunks kept in a worker before it starts anew; a miss is only encoded again.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 500_000
 #: White space to Python, but not to the tokenizer's patterns.
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Signs that part from the word before them.
+_STOPS = frozenset(".,;:!?")
 NEVER = 1 << 60
 
 
@@ -159,6 +161,11 @@ class PrefixBpe:
         step, ends, known = self.automaton.step, self.automaton.ends, self.known
         if len(known) > 1_000_000:
             known.clear()
+
+        def tested(before: int, token: int) -> bool:
+            known[before << 20 | token] = fit = self.fits(before, token)
+            return fit
+
         last = [-1] * (len(units) + 1)
         state = long = at = 0
         for unit in units:
@@ -176,12 +183,9 @@ class PrefixBpe:
                 if n == at:
                     last[at] = token
                     break
-                if (before := last[at - n]) >= 0:
-                    if (fit := known.get(key := before << 20 | token)) is None:
-                        fit = known[key] = self.fits(before, token)
-                    if fit:
-                        last[at] = token
-                        break
+                if (before := last[at - n]) >= 0 and (known[before << 20 | token] if before << 20 | token in known else tested(before, token)):
+                    last[at] = token
+                    break
         out = []
         while at:
             out.append(last[at])
@@ -207,15 +211,29 @@ class TextBpe:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.bpe.special, key=len, reverse=True))) + ")") if self.bpe.special else None
         encoder = self
 
-        class Chunks(dict):
-            def __missing__(self, chunk: str) -> tuple[str, str]:
-                ids = encoder.chunk(chunk)
-                self[chunk] = out = (" ".join(map(str, ids)), " ".join(encoder.bpe.token[i] for i in ids))
-                return out
+        names = {i: str(i) for i in self.bpe.token}
+
+        def said(ids: list[int]) -> tuple[str, str]:
+            return " ".join([names[i] for i in ids]), " ".join([encoder.bpe.token[i] for i in ids])
 
         class Words(dict):
-            def __missing__(self, word: str) -> list[int]:
-                self[word] = out = encoder.bpe.word(word)
+            def __missing__(self, word: str) -> tuple[str, str]:
+                self[word] = out = said(encoder.bpe.word(word))
+                return out
+
+        class Chunks(dict):
+            def __missing__(self, chunk: str) -> tuple[str, str]:
+                if not encoder.plain or max(chunk) >= "\u0130" or "<|" in chunk:
+                    out = said(encoder.chunk(chunk))
+                else:  # in normal form but for its case; a run of letters, and one with a sign after it, need no pattern
+                    low, words = chunk.lower(), encoder.words
+                    if low.isalpha():
+                        out = words[low]
+                    else:
+                        pieces = [low[:-1], low[-1]] if low[-1] in _STOPS and low[:-1].isalpha() else encoder.plain.findall(low)
+                        both = [words[p] for p in pieces]
+                        out = " ".join([x[0] for x in both]), " ".join([x[1] for x in both])
+                self[chunk] = out
                 return out
 
         self.chunks, self.words = Chunks(), Words()
@@ -235,12 +253,9 @@ class TextBpe:
         for part in self.specials.split(chunk) if self.specials and "<|" in chunk else [chunk]:
             if part in self.bpe.special:
                 ids.append(self.bpe.special[part])
-            elif part and self.plain and max(part) < "\u0130":  # such letters are in normal form, and lower case is all that is left to do
-                for piece in self.plain.findall(part.lower()):
-                    ids += self.words[piece]
             elif part:
                 for piece, _ in self.split.pre_tokenize_str(self.normalise.normalize_str(part) if self.normalise else part):
-                    ids += self.words[bytes(map(self.back.__getitem__, piece)).decode("utf-8")]
+                    ids += self.bpe.word(bytes(map(self.back.__getitem__, piece)).decode("utf-8"))
         return ids
 
     def encode(self, text: str) -> tuple[str, str]:
@@ -248,7 +263,7 @@ class TextBpe:
         for known in (self.chunks, self.words):
             if len(known) > CACHE_CHUNKS:
                 known.clear()
-        if _SEPARATORS.search(text):
+        if any(c in text for c in _SEPARATORS):
             ids = self.chunk(text)
             return " ".join(map(str, ids)), self.decode(ids)
         got = [c for c in map(self.chunks.__getitem__, text.split()) if c[0]]
