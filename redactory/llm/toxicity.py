@@ -19,6 +19,8 @@ from redactory.llm.common import in_worker, keep_where, labelled_sample, materia
 #: Documents of each label in the fitting sample, features kept, least association, and the penalty's weight.
 PER_CLASS, FEATURES, LEAST_Z, LEAST_DOCS, COUNTERFACTUAL = 3000, 1200, 6.0, 4, 4.0
 THRESHOLD = 0.7
+#: The intercept goes no lower, so that one clear feature is enough.
+LEAST_INTERCEPT = -2.2
 _CACHE = 500_000
 _WORD = regex.compile(r"\p{L}+")
 _SENTENCE = regex.compile(r"(?<=[.!?\n])")
@@ -71,10 +73,17 @@ def choose_features(sample: DataFrame) -> list[str]:
     counts = found.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     odds = F.log((F.col("p") + 0.5) / (pos + 1) / ((F.col("n") + 0.5) / (neg + 1)))
     best = counts.withColumn("z", odds * F.sqrt(F.col("p") + F.col("n"))).where((F.col("p") >= LEAST_DOCS) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "f").limit(FEATURES)
-    return [*dict.fromkeys([r["f"] for r in best.select("f").collect()] + list(_NEXT))]
+    found_in = {r["f"]: r["p"] for r in best.select("f", "p").collect()}
+    return [*dict.fromkeys([f for f in found_in if not _implied(f, found_in)] + list(_NEXT))]
 
 
-def fit(x: np.ndarray, twin: np.ndarray, has_twin: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
+def _implied(name: str, found_in: dict[str, int]) -> bool:
+    """Whether a word beginning says no more than one longer feature that has nearly all of its documents."""
+    stem = name.removesuffix("-")
+    return name != stem and any(g.startswith(stem) and len(g.removesuffix("-")) > len(stem) and n >= 0.95 * found_in[name] for g, n in found_in.items())
+
+
+def fit(x: np.ndarray, twin: np.ndarray, has_twin: np.ndarray, y: np.ndarray, steps: int = 600) -> tuple[np.ndarray, float]:
     """Logistic weights, none below zero but the intercept, with a penalty on score changes between twins."""
     w, b = np.zeros(x.shape[1]), 0.0
     moments = np.zeros((2, x.shape[1] + 1))
@@ -82,14 +91,14 @@ def fit(x: np.ndarray, twin: np.ndarray, has_twin: np.ndarray, y: np.ndarray, st
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for t in range(1, steps + 1):
         error = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) * weight
-        grad = x.T @ error + 1e-4 * w
+        grad = x.T @ error + 1e-5 * w
         if len(change):
             grad += COUNTERFACTUAL * change.T @ (change @ w) / len(change)
         both = np.append(grad, error.sum())
         moments[0] = 0.9 * moments[0] + 0.1 * both
         moments[1] = 0.999 * moments[1] + 0.001 * both**2
         move = 0.1 * (moments[0] / (1 - 0.9**t)) / (np.sqrt(moments[1] / (1 - 0.999**t)) + 1e-8)
-        w, b = np.maximum(w - move[:-1], 0), b - move[-1]
+        w, b = np.maximum(w - move[:-1], 0), max(b - move[-1], LEAST_INTERCEPT)
     return w, float(b)
 
 
@@ -122,7 +131,7 @@ def _new_scorer(names: tuple[str, ...], weights: bytes, intercept: float):
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[tuple[str, ...], bytes, float]:
     """Feature names, weights and intercept, from a bounded sample of labelled documents."""
-    sample = materialise(labelled_sample(docs, labels, "toxic", PER_CLASS), "toxic-sample").repartition(16)
+    sample = materialise(labelled_sample(docs, labels, "toxic", PER_CLASS).dropDuplicates(["text"]), "toxic-sample").repartition(16)
     names = choose_features(sample)
     index = {n: i for i, n in enumerate(names)}
 
