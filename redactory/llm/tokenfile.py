@@ -116,7 +116,7 @@ def place_blocks(files: DataFrame) -> DataFrame:
     before = shards.withColumn("shard_base", F.sum("shard_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).select("shard", F.coalesce("shard_base", F.lit(0)).alias("shard_base"))
     inside = sizes.withColumn("in_shard", F.coalesce(F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     bases = inside.join(before, "shard").select("shard", "block", (F.col("shard_base") + F.col("in_shard")).alias("base"))
-    return files.join(F.broadcast(bases) if bases.sparkSession.sparkContext.defaultParallelism and _few(bases) else bases, ["shard", "block"])
+    return files.join(F.broadcast(bases) if _few(bases) else bases, ["shard", "block"])
 
 
 def _few(bases: DataFrame, most: int = 100_000) -> bool:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 import regex
@@ -11,12 +12,14 @@ from redactory.llm.bpe import byte_alphabet
 from redactory.llm.common import in_worker
 
 #: Chunks kept in a worker before it starts anew.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 900_000
 #: The pattern of the library's byte-level splitter (a fixed value).
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A space beside other white space: there the splitter looks beyond one chunk.
-_RUN = regex.compile(r"\s(?= )| (?=\s)")
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
+#: Signs that part from the word before them.
+_STOPS = frozenset(".,;:!?")
+#: White space to Python, but not to the tokenizers' patterns.
+_CUT = "\x1f"
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class IdCoder:
@@ -44,17 +47,31 @@ class IdCoder:
         self.specials = [t["content"] for t in spec["added_tokens"]]
         table, coder, model = dict(enumerate(byte_alphabet())), self, self.tokenizer.model
 
+        def merged(piece: str) -> bytes:
+            plain = piece.replace(" ", table[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(table)
+            return array("I", [t.id for t in model.tokenize(plain)]).tobytes()
+
         class Pieces(dict):
             def __missing__(self, piece: str) -> bytes:
-                self[piece] = out = np.array([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(table))], "<u4").tobytes()
+                self[piece] = out = merged(piece)
                 return out
 
         class Chunks(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                if max(chunk) >= "İ" or ("<|" in chunk and any(s in chunk for s in coder.specials)):
+            def __missing__(self, chunk: str) -> bytes | None:
+                text = chunk.lower() if coder.drops_space else chunk
+                word = text[1:] if text[0] == " " else text
+                if not word or word[0].isspace() or word[-1].isspace():
+                    out = None  # a run of white space, where the splitter looks beyond the chunk
+                elif max(chunk) >= "\u0130":
+                    out = coder.whole(chunk)
+                elif word.isalpha():  # one run of letters is one piece
+                    out = merged(text) if text == chunk else self[text]
+                elif word[-1:] in _STOPS and word[:-1].isalpha():  # and a sign after it another
+                    out = self[text[:-1]] + coder.pieces[text[-1]]
+                elif "<|" in chunk and any(s in chunk for s in coder.specials):
                     out = coder.whole(chunk)
                 else:
-                    out = b"".join(map(coder.pieces.__getitem__, coder.pattern.findall(chunk.lower() if coder.drops_space else chunk)))
+                    out = b"".join(map(coder.pieces.__getitem__, coder.pattern.findall(text)))
                 self[chunk] = out
                 return out
 
@@ -64,14 +81,17 @@ class IdCoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        for known in (self.chunks, self.pieces):
-            if len(known) > CACHE_CHUNKS:
-                known.clear()
-        if self.drops_space and not _SEPARATORS.search(text):
+        if len(self.chunks) + len(self.pieces) > CACHE_CHUNKS:
+            self.chunks.clear()
+            self.pieces.clear()
+        if self.drops_space and not any(c in text for c in _SEPARATORS):
             return b"".join(map(self.chunks.__getitem__, text.split()))
-        if self.keeps_space and text and not _RUN.search(text):
-            first, *rest = text.split(" ")
-            return b"".join(map(self.chunks.__getitem__, ([first] if first else []) + [f" {c}" for c in rest]))
+        if self.keeps_space and text and _CUT not in text:
+            chunks = text.replace(" ", _CUT + " ").split(_CUT)
+            try:
+                return b"".join(map(self.chunks.__getitem__, chunks if chunks[0] else chunks[1:]))
+            except TypeError:  # a chunk without an answer of its own
+                pass
         return self.whole(text)
 
 
