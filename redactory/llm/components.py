@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from redactory.llm.common import materialise
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of edges (a, b); component is the smallest node reachable.
 
     Large-star and small-star steps: each node hands its larger neighbours, then
     its smaller ones, to the least node it knows, until the edges are stars.
-    The edge list never grows, and each round's is written to shared storage.
+    The edge list never grows, each round's is written to shared storage, and
+    rounds end when one changes nothing.
     """
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
