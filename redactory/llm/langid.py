@@ -19,7 +19,7 @@ from redactory.llm.common import fold, in_worker, keep_where, per_batch
 #: Bounds of what is learned from: documents of a language, letters of a document and of a language.
 DOCS, DOC_CHARS, LANGUAGE_CHARS = 96, 20_000, 80_000
 SHARPNESS = 25.0
-_CACHE = 400_000
+_CACHE = 250_000
 _LETTERS = regex.compile(r"\p{L}+")
 
 

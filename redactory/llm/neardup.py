@@ -30,7 +30,7 @@ BANDS, ROWS, SAMPLES, SKETCH_BITS = 20, 4, 128, 512
 SMALL_BUCKET = 32
 #: Candidates are dropped below an estimate this far under the threshold (4.7 deviations of 128 samples).
 MARGIN = 0.15
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 150_000
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _MUL = (_rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _XOR = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + _rng.integers(0, 2, SAMPLES, dtype=np.uint64)

@@ -21,7 +21,7 @@ PER_CLASS, FEATURES, LEAST_Z, LEAST_DOCS, COUNTERFACTUAL = 3000, 1200, 6.0, 4, 4
 THRESHOLD = 0.7
 #: The intercept goes no lower, so that one clear feature is enough.
 LEAST_INTERCEPT = -2.2
-_CACHE = 500_000
+_CACHE = 200_000
 _WORD = regex.compile(r"\p{L}+")
 _SENTENCE = regex.compile(r"(?<=[.!?\n])")
 #: Kinds of identity terms; a term is swapped for the next of its kind.
