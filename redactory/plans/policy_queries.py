@@ -12,17 +12,25 @@ from redactory.plans.detection_queries import detector_sql
 from redactory.sources import corpus as c
 
 QUERIES, SQL = {}, {}
-#: Kinds that the given documents hold, and enough planted ones for all severities.
+#: The kinds that SPANS_SQL has; queries with a twin built on it are held to these.
 LITE = [x for x in BANK if x.op in ("detect_ssn", "detect_credit_card", "detect_email", "detect_phone", "detect_ipv4", "detect_kv_secret", "detect_date")]
 SPANS_SQL = "SELECT *, doc_id % 25 AS tenant_id FROM (" + " UNION ALL ".join(detector_sql(x, "doc_id, source, text", f"doc_id, source, span_start, span_end, value, '{x.display_name}' AS display_name") for x in LITE) + ")"
 
 
-def spans(s, sf):
-    """Long form of the common kinds over all documents, with their tenant."""
-    every = F.concat(*(d.pattern_spans(F.col("text"), x, i) for i, x in enumerate(LITE)))
+def _with_tenant(s, sf, every):
     return d.long_form(c.texts(s, sf).select("doc_id", "source", every.alias("spans"))).withColumn("tenant_id", F.col("doc_id") % 25)
 
 
+def spans(s, sf):
+    """Long form of the kinds of SPANS_SQL over all documents, with their tenant."""
+    return _with_tenant(s, sf, F.concat(*(d.pattern_spans(F.col("text"), x, i) for i, x in enumerate(LITE))))
+
+
+def all_spans(s, sf):
+    """Long form of all built-in kinds over all documents, with their tenant."""
+    return _with_tenant(s, sf, d.builtin_spans(F.col("text")))
+
+
 def case(column: str, mapping: dict, default: str = "NULL") -> str:
     quote = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
     return f"CASE {column} " + " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in mapping.items()) + f" ELSE {default} END"
@@ -46,8 +54,8 @@ def acted_sql(modes: str = "'enforce'") -> str:
         FROM ({SPANS_SQL}) s LEFT JOIN ({c.POLICIES_SQL}) p ON s.tenant_id = p.tenant_id LEFT JOIN ({rules_sql(modes)}) r ON s.tenant_id = r.tenant_id AND s.type = r.type"""
 
 
-def acted(s, sf, modes=("enforce",)):
-    return p.span_actions(spans(s, sf), c.policies(s, sf), c.rules(s, sf), modes)
+def acted(s, sf, modes=("enforce",), found=spans):
+    return p.span_actions(found(s, sf), c.policies(s, sf), c.rules(s, sf), modes)
 
 
 QUERIES["policy_rule_lookup"] = lambda s, sf: p.effective_rules(c.rules(s, sf))

@@ -8,7 +8,7 @@ from redactory.functions import values as v
 from redactory.operators import mappings as mp
 from redactory.operators import predictions as pr
 from redactory.operators import redact as r
-from redactory.plans.policy_queries import SPANS_SQL, spans
+from redactory.plans.policy_queries import SPANS_SQL, all_spans, spans
 from redactory.sources import corpus as c
 from redactory.sources import storage as st
 
@@ -164,11 +164,11 @@ SQL["final_file_list"] = f"SELECT f.path AS name, CASE WHEN status = 'protected'
 
 
 def _masked(s, sf):
-    return r.redacted(c.texts(s, sf), spans(s, sf), v.mask_placeholder(F.col("display_name")))
+    return r.redacted(c.texts(s, sf), all_spans(s, sf), v.mask_placeholder(F.col("display_name")))
 
 
 def _pairs(s, sf):
-    own = st.cut(spans(s, sf), "spans").where("type <> 'api_key'")  # a mask with an ampersand is no token
+    own = st.cut(all_spans(s, sf), "spans").where("display_name NOT LIKE '%&%'")  # a mask with an ampersand is no token
     place = v.mask_placeholder(F.col("display_name"))
     return mp.token_map(mp.bracket_tokens(_masked(s, sf)), own.select("doc_id", F.row_number().over(mp.Window.partitionBy("doc_id").orderBy("span_start", "span_end", "type")).alias("idx"), "span_start", F.when(F.col("span_start") % 2 == 0, place).alias("placeholder"), F.lit("[NONE]").alias("replacement"), place.alias("by_display")))
 
@@ -176,7 +176,7 @@ def _pairs(s, sf):
 QUERIES["token_occurrence"] = lambda s, sf: mp.bracket_tokens(_masked(s, sf)).select("doc_id", "token", "nth")
 QUERIES["token_map"] = _pairs
 QUERIES["apply_choices"] = lambda s, sf: mp.apply_choices(_masked(s, sf), _pairs(s, sf).select("doc_id", "idx", "token", F.concat(F.lit("<"), F.col("idx").cast("string"), F.lit(">")).alias("replacement"), (F.col("idx") % 3 != 0).alias("enabled")))
-QUERIES["protect_choices"] = lambda s, sf: mp.literal_pairs(c.texts(s, sf), spans(s, sf).select("doc_id", F.col("value").alias("original"), F.when(F.col("doc_id") % 7 == 0, F.lit(" ")).otherwise(v.mask_digits(F.col("value"))).alias("replacement")))
+QUERIES["protect_choices"] = lambda s, sf: mp.literal_pairs(c.texts(s, sf), all_spans(s, sf).select("doc_id", F.col("value").alias("original"), F.when(F.col("doc_id") % 7 == 0, F.lit(" ")).otherwise(v.mask_digits(F.col("value"))).alias("replacement")))
 
 
 def _popup(s, sf):

@@ -190,6 +190,13 @@ def test_query_equals_sql(spark, name):
     assert mine == theirs and mine
 
 
+def test_credentials_are_redacted_and_decided(spark):
+    planted = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 24 = 6").select("doc_id").collect()}
+    left = QUERIES["redact_text"](spark, SF).where((F.col("doc_id") % 24 == 6) & F.contains("protected", F.lit("PRIVATE KEY-----"))).count()
+    decided = {r["doc_id"] for r in QUERIES["doc_analyze"](spark, SF).where("doc_id % 24 = 6 AND action <> 'allow' AND array_contains(types, 'private_key')").collect()}
+    assert planted and left == 0 and decided == planted
+
+
 def test_no_raw_values_in_audit(spark):
     rows = QUERIES["structured_evidence"](spark, SF).collect()
     assert rows and all("@" not in (r["fingerprint"] or "") for r in rows) and "value" not in rows[0].asDict()
