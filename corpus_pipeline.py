@@ -45,9 +45,16 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays; of rows that also share its doc_id, one."""
+    """One document of each group of equal texts stays; of rows that also share its doc_id, one.
+
+    Rows are chosen by doc_id and text together, so texts that share a doc_id, or
+    have none, are each kept or dropped on their own.
+    """
     common.ship(spark)
-    return _keep(docs, exact_groups(docs).where("kept")).dropDuplicates(["doc_id"])
+    ids = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    rows = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    kept = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_sha") == F.col("kept_sha")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -330,3 +330,12 @@ def test_pipeline(spark, tmp_path):
     assert left == set(range(1, 60)) | {60}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == left
+
+
+def test_exact_copies_go_by_id_and_text(spark, tmp_path):
+    import corpus_pipeline
+
+    given = [(1, "a"), (1, "b"), (1, "b"), (2, "c"), (3, "c"), (3, "d"), (2, "e"), (None, "f"), (None, "g"), (None, "g"), (None, "a"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_copies(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert left == sorted([(1, "a"), (1, "b"), (3, "c"), (3, "d"), (2, "e"), (None, "f"), (None, "g"), (5, "")], key=repr)
