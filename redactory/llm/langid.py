@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactory.llm.common import fold, in_worker, keep_where, per_batch
@@ -85,14 +85,26 @@ def _new_parser(samples: tuple[str, ...]):
     return Chunks()
 
 
+def _slice(text: Column, doc_id: Column) -> Column:
+    """A short text as it is; of a longer one DOC_CHARS letters and spaces of its words, from a place that doc_id's hash gives."""
+    words = F.trim(F.regexp_replace(text, r"[^\p{L}]+", " "))
+    at = F.pmod(F.xxhash64(doc_id, F.lit("slice")), F.greatest(F.length(words) - DOC_CHARS + 1, F.lit(1)))
+    return F.when(F.length(text) <= DOC_CHARS, text).otherwise(F.substr(words, (at + 1).cast("int"), F.lit(DOC_CHARS)))
+
+
 def learn(docs: DataFrame) -> dict[str, str]:
-    """A bounded sample of each language's letters: words in lower case, joined by spaces."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where((fold(F.col("doc_id").cast("long"), 4) != 2) & F.col("lang").isNotNull())
+    """A bounded sample of each language's letters: words in lower case, joined by spaces.
+
+    Every language that has a labelled text with a letter is learned; a text above
+    DOC_CHARS gives a slice of its words.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where((fold(F.col("doc_id").cast("long"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
     order = Window.partitionBy("lang").orderBy("share", "doc_id")
     few = own.join(F.broadcast(counts), "lang").withColumn("share", share).where(F.col("share") * F.col("n") < 4 * DOCS)  # about 4 * DOCS rows a language are ranked
-    rows = few.where(F.length("text") <= DOC_CHARS).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DOCS).select("lang", "rank", "text").collect()
+    ranked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DOCS)
+    rows = ranked.select("lang", "rank", _slice(F.col("text"), F.col("doc_id")).alias("text")).collect()
     out: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
         if len(out.get(r["lang"], "")) < LANGUAGE_CHARS and (words := _LETTERS.findall(r["text"].lower())):

@@ -339,3 +339,16 @@ def test_exact_copies_go_by_id_and_text(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
     left = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_copies(spark, docs, str(tmp_path)).collect()), key=repr)
     assert left == sorted([(1, "a"), (1, "b"), (3, "c"), (3, "d"), (2, "e"), (None, "f"), (None, "g"), (5, "")], key=repr)
+
+
+def test_language_of_long_documents_is_learned(spark):
+    rng = np.random.default_rng(5)
+
+    def book(letters, n):
+        return " ".join("".join(rng.choice(list(letters), 6)) for _ in range(n))
+
+    given = [(i, book("abcdefgh", 50), "short") for i in range(40)] + [(i, "1 2 " * 9000 + book("бвгджзкл", 4000), "books") for i in range(40, 60)] + [(i, "12 34", "digits") for i in range(60, 70)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    samples = langid.learn(docs)
+    assert set(samples) == {"short", "books"} and all(len(x) <= langid.LANGUAGE_CHARS + 2 * langid.DOC_CHARS for x in samples.values())
+    assert {r["doc_id"] for r in langid.identify_language(docs).where("lang_pred = 'books'").collect()} == set(range(40, 60))
