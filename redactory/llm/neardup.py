@@ -1,15 +1,20 @@
 """Near-duplicates: MinHash bands, odd-sketch estimates, links confirmed on whole shingle sets.
 
-1. Each document's shingle set gives MinHash samples; bands of four make bucket
-   keys, and all samples are folded into one odd sketch.
-2. Equal sets collapse to their smallest id.
+1. Each document's shingle set gives MinHash samples; bands of four make
+   bucket keys, and all samples are folded into one odd sketch.
+2. Equal sets collapse to one node.
 3. Sets that share a bucket are candidates. In a small bucket all pairs are; in a
-   large one each set is paired with the bucket's hub (the set that is in most
+   large one each set is compared with the bucket's hub (the set that is in most
    company over all its buckets). Sketches drop candidates that are far apart.
-4. A first round confirms each set's best candidates. Later only candidates that
-   are not yet connected matter. In large buckets with several components these
-   come from an exact prefix join: shingles are ranked by rarity, and two sets
-   meet only at a shingle early enough in both to leave room for the overlap asked.
+4. A first round confirms each set's best candidate and hub; confirmed links are
+   contracted to components, and from then on only sets of different components meet.
+5. Sets of large buckets that still hold several components meet at shingles instead,
+   ranked by rarity: two near sets share one early enough in both to leave room for
+   the overlap asked. The sets of a shingle are gone through hub by hub, four times as
+   many in each round, until every pair has met or its components have joined.
+
+No step makes more rows than its members times the hubs of a round; every join by a
+bucket, shingle or hub is split by its size; nothing is dropped.
 """
 
 from __future__ import annotations
@@ -22,14 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.llm.common import attach, materialise, per_batch, semi, texts_of
+from redactory.llm.common import FEW_ROWS, attach, materialise, per_batch, texts_of
 from redactory.llm.components import components
 
 BANDS, ROWS, SAMPLES, SKETCH_BITS = 20, 4, 128, 512
 #: Buckets up to this many sets are compared pair by pair.
 SMALL_BUCKET = 32
-#: Candidates are dropped below an estimate this far under the threshold (4.7 deviations of 128 samples).
-MARGIN = 0.15
+#: Rows of one bucket or hub that one task's share of a join should hold.
+SHARE_ROWS = 256
+#: Candidates are dropped below an estimate this far under the threshold.
+MARGIN = 0.2
 _CACHE_WORDS = 150_000
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _MUL = (_rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -68,6 +75,10 @@ class ShingleSets:
         return np.unique(out)
 
 
+def digest_of(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     """MinHash samples of a non-empty set, over slices so that long sets stay small in memory."""
     out = np.full(SAMPLES, 2**64 - 1, np.uint64)
@@ -76,11 +87,34 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def bands_of(m: np.ndarray) -> np.ndarray:
+    """One key for each band of ROWS samples; a band's number is part of its key."""
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        keys = _mix(keys + m[r : BANDS * ROWS : ROWS])
+    return keys
+
+
+def odd_sketch(m: np.ndarray) -> np.ndarray:
+    """Parities of the samples' places in SKETCH_BITS bits."""
+    places = (_mix(m + _mix(np.arange(SAMPLES, dtype=np.uint64))) >> np.uint64(55)).astype(np.int64)
+    return (np.bincount(places, minlength=SKETCH_BITS) & 1).astype(np.uint8)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, text: rows of one doc_id and text have one key."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("text_key"), "text")
+
+
+def text_key(column: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(column, F.lit("")).cast("binary")))
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, digest, bands (array of long), sketch (array of 8 longs); no bands where the set is empty."""
+    """doc_id, text_key, n, digest, bands (array of long), sketch (array of 8 longs); no digest where the set is empty."""
 
     def setup():
-        sets, lanes = ShingleSets(width), np.arange(SAMPLES, dtype=np.uint64)
+        sets = ShingleSets(width)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
@@ -90,48 +124,66 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     rows.append((0, None, None, None))
                     continue
                 m = signature(s)
-                keys = np.arange(BANDS, dtype=np.uint64)
-                for r in range(ROWS):
-                    keys = _mix(keys + m[r : BANDS * ROWS : ROWS])
-                odd = np.bincount((_mix(m + _mix(lanes)) >> np.uint64(55)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)))
+                rows.append((len(s), digest_of(s), bands_of(m).view(np.int64), np.packbits(odd_sketch(m)).view(np.int64)))
             n, digest, bands, sketch = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "bands", "sketch"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "text_key", "n", "digest", "bands", "sketch"])
 
         return step
 
-    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), setup, "doc_id long, n long, digest binary, bands array<long>, sketch array<long>")
+    return per_batch(_keyed(docs), setup, "doc_id long, text_key binary, n long, digest binary, bands array<long>, sketch array<long>")
 
 
 def whole_sets(docs: DataFrame, width: int) -> DataFrame:
-    """id, items: the sorted shingle set of each document."""
+    """digest, items: the sorted shingle set of each row of doc_id, text_key, text."""
 
     def setup():
         sets = ShingleSets(width)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [sets(t).view(np.int64) for t in texts_of(batch)]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "n", "items"])
+            found = [sets(t) for t in texts_of(batch)]
+            return pa.RecordBatch.from_arrays([pa.array([digest_of(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["digest", "items"])
 
         return step
 
-    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), setup, "id long, n long, items array<long>")
+    return per_batch(docs.select("text"), setup, "digest binary, items array<long>")
+
+
+def _differ(a: str, b: str) -> Column:
+    """Bits in which two odd sketches differ."""
+    return sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+
+
+def most_bits(percent: int) -> float:
+    """Bits in which the sketches of sets at the threshold, less the margin, differ on average."""
+    return float(SKETCH_BITS / 2 * (1 - np.exp((percent / 100 - MARGIN - 1) * 4 * SAMPLES / SKETCH_BITS)))
 
 
 def _near(a: str, b: str, percent: int) -> Column:
     """Whether two sketched sets may reach the threshold: by their sizes and by the odd sketch's estimate."""
-    differ = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    least = percent / 100 - MARGIN
-    most = SKETCH_BITS / 2 * (1 - np.exp((least - 1) * 4 * SAMPLES / SKETCH_BITS))
     sizes = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
-    return sizes & (differ <= float(most))
+    return sizes & (_differ(a, b) <= most_bits(percent))
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], salt: str) -> DataFrame:
+    """Inner join of rows to groups, each key split over its shares.
+
+    Both sides have sets, the number of rows that a key has; rows has salt, a whole
+    number that differs among them; groups has few rows for a key.
+    """
+    shares = (F.col("sets") / SHARE_ROWS).cast("long") + 1
+    left = rows.withColumn("_share", F.pmod(F.xxhash64(salt), shares))
+    right = groups.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("sets")
+    return left.join(right, [*keys, "_share"]).drop("_share")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose whole sets reach 100 * intersection >= percent * union."""
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
+    """Of the pairs (a, b), those whose whole sets (id, items) reach 100 * intersection >= percent * union.
+
+    A set that is the second of many pairs (a hub) is sent to as many shares as these fill.
+    """
+    many = materialise(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("sets")), "hub-sizes")
+    first = attach(pairs, many, ["b"], "sets").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+    second = sets.select(F.col("id").alias("b"), F.col("items").alias("y")).join(many, "b")
 
     def setup():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -140,29 +192,175 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+            return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return step
 
-    return per_batch(joined, setup, "a long, b long")
+    return per_batch(spread_join(first, second, ["b"], "a").select("a", "b", "x", "y"), setup, "a long, b long")
+
+
+class Links:
+    """Components of the links confirmed so far; each round's new links are contracted to components first."""
+
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        self.label: DataFrame | None = None
+
+    def component(self, rows: DataFrame, column: str = "id", out: str = "component") -> DataFrame:
+        """Adds the component of a column of nodes; a node without a link is its own."""
+        if self.label is None:
+            return rows.withColumn(out, F.col(column))
+        known = self.label.select(F.col("node").alias(column), F.col("component").alias("_c"))
+        return rows.join(known, column, "left").withColumn(out, F.coalesce("_c", column)).drop("_c")
+
+    def add(self, links: DataFrame) -> bool:
+        """Take links (a, b) as confirmed; whether they join anything."""
+        between = self.component(self.component(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b")
+        between = materialise(between.distinct(), "links")
+        if between.isEmpty():
+            return False
+        joined = materialise(components(between), "joined")
+        if self.label is None:
+            self.label = joined
+            return True
+        moved = joined.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+        old = self.label.join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+        fresh = joined.join(self.label.select("node"), "node", "left_anti")
+        self.label = materialise(old.unionByName(fresh), "label")
+        return True
+
+    def confirm(self, pairs: DataFrame) -> bool:
+        """Confirm candidates (a, b) on whole sets and take the links; whether they join anything."""
+        pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
+        return not pairs.isEmpty() and self.add(confirm(pairs, self.sets, self.percent))
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b), those between components."""
+        return self.component(self.component(pairs, "a", "_ca"), "b", "_cb").where("_ca <> _cb").drop("_ca", "_cb")
+
+    def divided(self, members: DataFrame) -> DataFrame:
+        """Members (key, id) of the keys that hold several components, with component."""
+        own = self.component(members)
+        several = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("sets")).where("lo < hi").select("key", "sets")
+        return attach(own.drop("sets"), materialise(several, "divided"), ["key"], "sets")
+
+
+def _members(keys: DataFrame, nodes: DataFrame, tag: str) -> DataFrame:
+    """Rows (key, id) of the keys that several sets have, with sets, n and sketch."""
+    buckets = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), f"{tag}-buckets")
+    return materialise(attach(keys, buckets, ["key"], "sets").join(nodes.select("id", "n", "sketch"), "id"), tag)
+
+
+def _all_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, differ) of near sets that share a small bucket."""
+    small = members.where(F.col("sets") <= SMALL_BUCKET)
+    x, y = small.alias("x"), small.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _near("x", "y", percent))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), _differ("x", "y").alias("differ")).distinct()
+
+
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, company) of a near set and the hub of a large bucket that they share."""
+    company = members.groupBy("id").agg(F.sum("sets").alias("company"))
+    large = members.where(F.col("sets") > SMALL_BUCKET).join(company, "id")
+    hubs = large.groupBy("key", "sets").agg(F.max(F.struct("company", "id", "n", "sketch")).alias("h")).select("key", "sets", F.col("h.id").alias("hub"), F.struct("h.n", "h.sketch").alias("y"), F.col("h.company").alias("hub_company"))
+    met = spread_join(large.select("key", "sets", "id", F.struct("n", "sketch").alias("x")), hubs, ["key"], "id")
+    return met.where((F.col("id") != F.col("hub")) & _near("x", "y", percent)).select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("hub_company").alias("company"))
 
 
-def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Exact candidates (a, b) of different components among sets (id, n, items, component).
+def _prefix_items(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, id, n, at): the shingles of sets (id, items) at which a near set may first be met.
 
-    Shingles are ranked from rare to common within each set. If two sets reach
-    the threshold, their first common shingle leaves, in both, enough shingles
-    behind it for the overlap that the threshold asks of their sizes.
+    Shingles are ranked from rare to common within each set. If two sets reach the
+    threshold, their first common shingle leaves, in both, enough shingles behind it
+    for the overlap that the threshold asks of their sizes.
     """
-    items = sets.select("id", "n", "component", F.explode("items").alias("item"))
-    common = items.groupBy("item").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    ranked = items.join(common, "item", "left").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("sets", F.lit(1)), "item")))
-    early = ranked.where(F.col("sets").isNotNull() & (F.col("at") * 100 <= F.col("n") * (100 - percent) + 100)).select("id", "n", "component", "item", "at")
-    x, y = early.alias("x"), early.alias("y")
-    order = F.struct("x.n", "x.id") < F.struct("y.n", "y.id")
+    items = sets.select("id", F.size("items").cast("long").alias("n"), F.explode("items").alias("key"))
+    common = items.groupBy("key").agg(F.count(F.lit(1)).alias("in_sets")).where("in_sets > 1")
+    ranked = items.join(common, "key", "left").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("in_sets", F.lit(1)), "key")))
+    return ranked.where(F.col("in_sets").isNotNull() & (F.col("at") * 100 <= F.col("n") * (100 - percent) + 100)).select("key", "id", "n", "at")
+
+
+def _roomy(percent: int) -> Column:
+    """Whether two sets x and y that meet at one shingle have room for the overlap behind it."""
     room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) + 1
-    fits = (room * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent) & (F.col("x.n") * 100 >= F.col("y.n") * percent)
-    return x.join(y, (F.col("x.item") == F.col("y.item")) & order & fits & (F.col("x.component") != F.col("y.component"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return room * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+
+
+def hub_rounds(members: DataFrame, links: Links) -> None:
+    """Compare the sets of each shingle (key, id, n, at, sketch) with hub after hub while it holds several components.
+
+    The first hub is the set that has fewest shingles before it. Then each set has a
+    fixed random place below the number of the shingle's sets, and a round takes the
+    places from where the last one ended, four times as many, as hubs of all sets
+    beyond them. So every pair meets, unless its components have joined before.
+    """
+    first, last, open_, beyond = -1, 1, _open(members, links), F.lit(True)
+    hubs = open_.groupBy("key", "sets").agg(F.min(F.struct("y.at", "id", "y")).alias("h")).select("key", "sets", "h.y")
+    while not open_.isEmpty():
+        met = spread_join(open_.select("key", "sets", "id", F.col("y").alias("x")), hubs, ["key"], "id")
+        near = met.where(beyond & (F.col("x.component") != F.col("y.component")) & _near("x", "y", links.percent) & _roomy(links.percent))
+        if links.confirm(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))):
+            open_ = _open(members, links)
+        open_ = open_.where(F.col("y.place") >= first)
+        hubs = open_.where(F.col("y.place") < last).select("key", "sets", "y")
+        first, last, beyond = last, 4 * last + 1, F.col("x.place") > F.col("y.place")
+
+
+def _open(members: DataFrame, links: Links) -> DataFrame:
+    """Members (key, id, sets, y) of the shingles that hold several components, y with all that a comparison reads.
+
+    A place is below 0 where the shingle has few sets: these all are hubs of the second round.
+    """
+    place = F.pmod(F.xxhash64("key", "id"), F.lit(1 << 40)) / float(1 << 40)
+    place = F.when(F.col("sets") <= SMALL_BUCKET, place - 1).otherwise(place * F.col("sets"))
+    return materialise(links.divided(members).withColumn("place", place).select("key", "id", "sets", F.struct("id", "n", "at", "sketch", "place", "component").alias("y")), "open")
+
+
+def _shared_ids(marked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of rows that share a doc_id."""
+    own = marked.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "digest")
+    twice = materialise(own.groupBy("doc_id").agg(F.min("digest").alias("b"), F.max("digest").alias("last")).where("b <> last").select("doc_id", "b"), "shared-ids")
+    sized = materialise(own.join(twice, "doc_id", "left_semi").distinct(), "shared-sets")
+    many = twice.join(sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets")), "doc_id")
+    linked = attach(sized, many, ["doc_id"], "sets").where("digest <> b")
+    ids = nodes.select("digest", "id")
+    return linked.join(ids.select("digest", F.col("id").alias("x")), "digest").select("x", F.col("b").alias("digest")).join(ids, "digest").select(F.col("x").alias("a"), F.col("id").alias("b"))
+
+
+def near_sets(docs: DataFrame, width: int, percent: int, one_node_per_id: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, n, digest, ...), and of their distinct sets (digest, size, component, least).
+
+    least is the smallest doc_id of the set's rows; component is any number that the
+    sets of one component share. With one_node_per_id the sets of rows that share a
+    doc_id are linked, whatever their texts.
+    """
+    marked = materialise(sketches(docs, width), "sketches")
+    nodes = marked.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key", "n", "bands", "sketch")).alias("s"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
+    nodes = materialise(nodes.select("digest", "size", "least", "s.*").withColumn("id", F.monotonically_increasing_id()), "nodes")
+    members = _members(nodes.select("id", F.explode("bands").alias("key")), nodes, "members")
+    close, stars = materialise(_all_pairs(members, percent), "close"), materialise(_stars(members, percent), "stars")
+    large = members.where(F.col("sets") > SMALL_BUCKET).select("key", "id")
+    wanted = close.select(F.col("a").alias("id")).union(close.select("b")).union(large.select("id")).distinct()
+    links = Links(_sets_of(docs, nodes.join(wanted, "id", "left_semi"), width), percent)
+    if one_node_per_id:
+        links.add(_shared_ids(marked, nodes))
+    best = close.select("a", "b", "differ").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "differ")).groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
+    links.confirm(best.unionByName(stars.groupBy("a").agg(F.max_by("b", F.struct("company", "b")).alias("b"))))
+    links.confirm(links.apart(close.select("a", "b")))
+    doubtful = materialise(links.divided(large).select("id").distinct(), "doubtful")
+    if not doubtful.isEmpty():
+        early = _prefix_items(links.sets.join(doubtful, "id", "left_semi"), percent)
+        hub_rounds(materialise(early.join(nodes.select("id", "sketch"), "id"), "early"), links)
+    return marked, links.component(nodes.select("id", "digest", "size", "least")).drop("id")
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """Whole sets (id, items) of nodes, each from one row that has it."""
+    chosen = materialise(nodes.select("id", "digest", F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")), "wanted")
+    pick = chosen.select("_d", "_t")
+    rows = _keyed(docs).join(F.broadcast(pick) if pick.count() <= FEW_ROWS else pick, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")), "left_semi")
+    return materialise(whole_sets(rows, width).dropDuplicates(["digest"]).join(chosen.select("id", "digest"), "digest").select("id", "items"), "sets")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -171,47 +369,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Words are runs of bytes other than ASCII white space, with A-Z lower-cased. A
     text of fewer words than width has one shingle, its whole sequence; null and
     wordless texts have none and stand alone. Links need 100 * intersection >=
-    percent * union. Equal sets are linked. Rows that share a doc_id are one node.
-    A null doc_id gives a null component. An empty table gives no rows.
+    percent * union. Equal sets are linked. Rows that share a doc_id are one node:
+    the sets of all their texts are linked. A row without a doc_id links others like
+    any row; its component_id is null only if no row of the component has one.
+    An empty table gives no rows.
     """
-    marked = materialise(sketches(docs, width), "sketches")
-    nodes = marked.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("s"), F.count(F.lit(1)).alias("size"))
-    nodes = materialise(nodes.select("digest", "size", "s.*"), "nodes").withColumnRenamed("doc_id", "id")
-    keys = nodes.where(F.col("id").isNotNull()).select("id", "n", "sketch", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    members = materialise(keys.join(buckets, "key"), "members")
-    small = members.where(F.col("sets") <= SMALL_BUCKET)
-    x, y = small.alias("x"), small.alias("y")
-    differ = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    paired = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _near("x", "y", percent))
-    close = materialise(paired.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), differ.alias("differ")).distinct(), "close")
-    best = close.select("a", "b", "differ").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "differ")).groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
-    large = members.where(F.col("sets") > SMALL_BUCKET)
-    company = members.groupBy("id").agg(F.sum("sets").alias("company"))
-    hubs = large.join(company, "id").groupBy("key").agg(F.max(F.struct("company", -F.col("id"), "id", "n", "sketch")).alias("h")).select("key", "h.*").alias("y")
-    starred = large.alias("x").join(hubs, "key").where((F.col("x.id") != F.col("y.id")) & _near("x", "y", percent))
-    stars = starred.groupBy(F.col("x.id").alias("a")).agg(F.max_by("y.id", F.struct("y.company", "y.id")).alias("b"))
-    first = materialise(best.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
-    ids = materialise(first.select(F.col("a").alias("doc_id")).union(first.select("b")).union(close.select("a")).union(close.select("b")).union(large.select("id")).distinct(), "ids")
-    sets = materialise(semi(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id").select("doc_id", "text").transform(lambda d: whole_sets(d, width)).dropDuplicates(["id"]), "sets")
-    links = materialise(confirm(first, sets, percent), "links")
-    joined = materialise(components(links), "joined")
-    label = joined.select(F.col("node").alias("id"), "component")
-    known = F.coalesce("component", "id").alias("component")
-    open_pairs = (
-        close.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    )
-    spread = large.select("key", "id").join(label, "id", "left").select("key", "id", known)
-    unsettled = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    doubtful = spread.join(unsettled, "key", "left_semi").select("id", "component").distinct()
-    crossed = prefix_pairs(sets.join(doubtful, "id"), percent)
-    pairs = nodes.select("id", "n", "sketch")
-    crossed = crossed.join(pairs.alias("x"), F.col("a") == F.col("x.id")).join(pairs.alias("y"), F.col("b") == F.col("y.id")).where(_near("x", "y", percent)).select("a", "b")
-    second = materialise(open_pairs.unionByName(crossed).distinct(), "second")
-    more = confirm(second, sets, percent)
-    final = components(links.unionByName(more)).select(F.col("node").alias("id"), "component")
-    labelled = nodes.select("digest", "size", "id").join(final, "id", "left").select("digest", "size", F.coalesce("component", "id").alias("component_id"))
+    marked, sets = near_sets(docs, width, percent, True)
+    sets = materialise(sets, "components")
+    least = sets.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("sets"))
+    labelled = attach(sets.select("component", "digest", "size"), materialise(least, "least"), ["component"], "sets").select("digest", "size", "component_id")
     full = attach(marked.where("n > 0").select("doc_id", "n", "digest"), materialise(labelled, "labelled"), ["digest"], "size").select("doc_id", "n", "component_id")
     alone = marked.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return full.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of the texts of a component one stays.
+
+    It is the one with the smallest doc_id (null last, then by the text's hash). Rows are told
+    apart by doc_id and text together, so texts that share a doc_id, or have none, are kept or
+    dropped on their own; rows equal in both count once. Texts without a word all stay.
+    """
+    marked, sets = near_sets(docs, width, percent, False)
+    own = attach(marked.where("n > 0").select("doc_id", "text_key", "digest"), materialise(sets.select("digest", "size", "component"), "components"), ["digest"], "size")
+    own = materialise(own.select("component", F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"), "near-rows")
+    stay = own.groupBy("component").agg(F.min(F.struct("none", "doc_id", "text_key")).alias("s")).select("s.*").withColumn("_stays", F.lit(True))
+    gone = own.distinct().join(stay, (own["doc_id"].eqNullSafe(stay["doc_id"])) & (own["text_key"] == stay["text_key"]), "left_anti").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"))
+    gone = materialise(gone.distinct(), "near-gone")
+    keyed = docs.withColumn("_own", text_key("text"))
+    left = keyed.join(F.broadcast(gone) if gone.count() <= FEW_ROWS else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_t")), "left_anti")
+    twice = marked.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return (left if twice.isEmpty() else left.dropDuplicates(["doc_id", "_own"])).drop("_own")

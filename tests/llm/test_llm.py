@@ -89,19 +89,25 @@ def test_exact_dedup(spark):
 
 
 def brute_components(texts, width, percent):
-    sets = []
+    """Sizes of the shingle sets, and the least place that each text's component has."""
+    sets, number = [], {}
     for t in texts:
         w = (t or "").encode().lower().split()
-        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
-    label = list(range(len(texts)))
+        s = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+        sets.append([number.setdefault(x, len(number)) for x in s])
+    has = np.zeros((len(texts), max(len(number), 1)), np.float32)
+    for row, s in zip(has, sets, strict=True):
+        row[s] = 1
+    n, label = has.sum(1), list(range(len(texts)))
 
     def find(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    for a, b in combinations(range(len(texts)), 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+    for a in np.flatnonzero(n):
+        both = has @ has[a]
+        for b in np.flatnonzero((n > 0) & (100 * both >= percent * (n + n[a] - both))):
             x, y = sorted((find(a), find(b)))
             label[y] = x
     return [len(s) for s in sets], [find(i) for i in range(len(texts))]
@@ -128,18 +134,68 @@ def test_near_duplicates(spark, width, percent):
     assert all(out[i]["kept"] == (labels[i] == i) for i in range(len(texts)))
 
 
-def test_prefix_pairs_are_complete(spark):
+def test_near_duplicates_of_a_divided_family(spark):
+    """2000 near copies that no one set reaches: many edits, chains away from the base, and texts with one passage."""
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{x}" for x in rng.integers(0, 5000, 120)], []
+    for _ in range(900):
+        w = base[:]
+        for at in rng.integers(0, len(w), rng.integers(1, 8)):
+            w[at] = f"n{rng.integers(0, 500)}"
+        texts.append(" ".join(w))
+    for _ in range(10):
+        w = base[:]
+        for _ in range(60):
+            w[int(rng.integers(0, 120))] = f"m{rng.integers(0, 10**6)}"
+            texts.append(" ".join(w))
+    texts += [" ".join([f"p{i}" for i in range(60)] + [f"q{x}" for x in rng.integers(0, 10**6, 60)]) for _ in range(500)]
+    out = rows(neardup.near_duplicates(frame(spark, texts), 3, 85))
+    assert [out[i]["component_id"] for i in range(len(texts))] == brute_components(texts, 3, 85)[1]
+
+
+def test_hub_rounds_join_all_that_share_an_early_shingle(spark):
     rng = np.random.default_rng(9)
     base = rng.choice(10**6, 60, replace=False)
     sets = []
-    for i in range(80):
+    for _ in range(150):
         s = base.copy()
         s[rng.choice(60, rng.integers(0, 12), replace=False)] = rng.integers(2 * 10**6, 2 * 10**6 + 40, 1)
-        sets.append(sorted(set(s.tolist())))
-    df = spark.createDataFrame([(i, len(s), s, i) for i, s in enumerate(sets)], "id long, n long, items array<long>, component long")
-    got = {(r["a"], r["b"]) for r in neardup.prefix_pairs(df, 85).collect()}
-    want = {(a, b) for a, b in combinations(range(80), 2) if 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
-    assert want and want <= got
+        sets.append(np.array(sorted(set(s.tolist())), np.uint64))
+    data = [(i, s.astype(np.int64).tolist(), np.packbits(neardup.odd_sketch(neardup.signature(s))).view(np.int64).tolist()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(data, "id long, items array<long>, sketch array<long>")
+    links = neardup.Links(df.select("id", "items"), 85)
+    neardup.hub_rounds(neardup._prefix_items(df.select("id", "items"), 85).join(df.select("id", "sketch"), "id"), links)
+    got = {r["id"]: r["component"] for r in links.component(df.select("id")).collect()}
+    label = list(range(150))
+    for _ in range(20):
+        for a, b in combinations(range(150), 2):
+            x, y = set(sets[a].tolist()), set(sets[b].tolist())
+            if 100 * len(x & y) >= 85 * len(x | y):
+                label[a] = label[b] = min(label[a], label[b])
+    assert got == dict(enumerate(label)) and len(set(label)) > 1
+
+
+def test_near_duplicates_with_repeated_and_missing_ids(spark):
+    a, b = "a b c d e f g", "x y z q w r t"
+    given = [(1, a), (1, b), (2, b), (None, a.upper()), (None, "k l m n"), (None, "k l m n"), (None, "o p"), (3, None), (4, " "), (5, "u v s i j"), (5, "u v s i j")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in given], "doc_id long, text string, digest string, n int")
+    got = sorted((repr(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, 3, 85).collect() if r["doc_id"] is not None or r["component_id"])
+    assert got == sorted([("1", 5, 1, True), ("1", 5, 1, True), ("2", 5, 1, False), ("None", 5, 1, False), ("3", 0, 3, True), ("4", 0, 4, True), ("5", 3, 5, True), ("5", 3, 5, True)])
+    left = neardup.drop_near_duplicates(docs, 3, 85)
+    assert left.columns == docs.columns
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(repr, [(1, a), (1, b), (None, "k l m n"), (None, "o p"), (3, None), (4, " "), (5, "u v s i j")]))
+    assert neardup.drop_near_duplicates(docs.limit(0), 3, 85).count() == 0
+
+
+def test_odd_sketch_keeps_pairs_at_the_threshold():
+    """Of 20000 pairs at 0.85 and 0.86 none differs in more bits than a candidate may."""
+    rng, worst = np.random.default_rng(2), 0
+    for alike in (0.85, 0.86):
+        for _ in range(10000):
+            m = rng.integers(0, 2**63, neardup.SAMPLES, dtype=np.uint64)
+            other = np.where(rng.random(neardup.SAMPLES) < alike, m, rng.integers(0, 2**63, neardup.SAMPLES, dtype=np.uint64))
+            worst = max(worst, int((neardup.odd_sketch(m) ^ neardup.odd_sketch(other)).sum()))
+    assert worst <= neardup.most_bits(85)
 
 
 def test_near_duplicates_empty_table(spark):
