@@ -10,7 +10,7 @@
    contracted to components, and from then on only sets of different components meet.
 5. Sets of large buckets that still hold several components meet at shingles instead,
    ranked by rarity: two near sets share one early enough in both to leave room for
-   the overlap asked. The sets of a shingle are gone through hub by hub, four times as
+   the overlap asked. The sets of a shingle are gone through hub by hub, many times as
    many in each round, until every pair has met or its components have joined.
 
 No step makes more rows than its members times the hubs of a round; every join by a
@@ -24,7 +24,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactory.llm.common import FEW_ROWS, attach, materialise, per_batch, texts_of
@@ -35,6 +35,8 @@ BANDS, ROWS, SAMPLES, SKETCH_BITS = 20, 4, 128, 512
 SMALL_BUCKET = 32
 #: Rows of one bucket or hub that one task's share of a join should hold.
 SHARE_ROWS = 256
+#: Counters of how common shingles are (a power of two), and by how much the hubs of a round outnumber those before.
+COUNTERS, GROWTH = 1 << 18, 16
 #: Candidates are dropped below an estimate this far under the threshold.
 MARGIN = 0.2
 _CACHE_WORDS = 150_000
@@ -268,17 +270,44 @@ def _stars(members: DataFrame, percent: int) -> DataFrame:
     return met.where((F.col("id") != F.col("hub")) & _near("x", "y", percent)).select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("hub_company").alias("company"))
 
 
-def _prefix_items(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, id, n, at): the shingles of sets (id, items) at which a near set may first be met.
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How often shingles of sets (items) fall into each of COUNTERS counters: a table of fixed size."""
 
-    Shingles are ranked from rare to common within each set. If two sets reach the
-    threshold, their first common shingle leaves, in both, enough shingles behind it
-    for the overlap that the threshold asks of their sizes.
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            flat = batch.column("items").flatten().to_numpy(zero_copy_only=False)
+            total += np.bincount(flat & (COUNTERS - 1), minlength=COUNTERS)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["place", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    for r in sets.select("items").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # at most COUNTERS rows
+        out[r["place"]] = r["n"]
+    return out
+
+
+def early_items(sets: DataFrame, percent: int, counts: np.ndarray) -> DataFrame:
+    """Rows (id, n, early): the shingles of sets (id, items) at which a near set may first be met, in order.
+
+    Shingles are ranked from rare to common, by their counter and then by value, alike
+    in all sets. If two sets reach the threshold, their first common shingle leaves,
+    in both, enough shingles behind it for the overlap that the threshold asks of
+    their sizes; what comes later in a set is left out.
     """
-    items = sets.select("id", F.size("items").cast("long").alias("n"), F.explode("items").alias("key"))
-    common = items.groupBy("key").agg(F.count(F.lit(1)).alias("in_sets")).where("in_sets > 1")
-    ranked = items.join(common, "key", "left").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("in_sets", F.lit(1)), "key")))
-    return ranked.where(F.col("in_sets").isNotNull() & (F.col("at") * 100 <= F.col("n") * (100 - percent) + 100)).select("key", "id", "n", "at")
+
+    def setup():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sizes, early = [], []
+            for items in batch.column("items"):
+                x = items.values.to_numpy()
+                sizes.append(len(x))
+                early.append(x[np.lexsort((x, counts[x & (COUNTERS - 1)]))][: (len(x) * (100 - percent) + 100) // 100])
+            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(early, pa.list_(pa.int64()))], ["id", "n", "early"])
+
+        return step
+
+    return per_batch(sets.select("id", "items"), setup, "id long, n long, early array<long>")
 
 
 def _roomy(percent: int) -> Column:
@@ -287,34 +316,36 @@ def _roomy(percent: int) -> Column:
     return room * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
 
 
-def hub_rounds(members: DataFrame, links: Links) -> None:
-    """Compare the sets of each shingle (key, id, n, at, sketch) with hub after hub while it holds several components.
+def hub_rounds(sets: DataFrame, links: Links) -> None:
+    """Compare the sets (id, n, early, sketch) of each early shingle with hub after hub while it holds several components.
 
     The first hub is the set that has fewest shingles before it. Then each set has a
     fixed random place below the number of the shingle's sets, and a round takes the
-    places from where the last one ended, four times as many, as hubs of all sets
+    places from where the last one ended, GROWTH times as many, as hubs of all sets
     beyond them. So every pair meets, unless its components have joined before.
     """
-    first, last, open_, beyond = -1, 1, _open(members, links), F.lit(True)
-    hubs = open_.groupBy("key", "sets").agg(F.min(F.struct("y.at", "id", "y")).alias("h")).select("key", "sets", "h.y")
+    first, last, open_, beyond = -1, 1, _open(sets, links), F.lit(True)
+    hubs = open_.groupBy("key", "sets").agg(F.min(F.struct("y.at", "y")).alias("h")).select("key", "sets", "h.y")
     while not open_.isEmpty():
-        met = spread_join(open_.select("key", "sets", "id", F.col("y").alias("x")), hubs, ["key"], "id")
+        met = spread_join(open_.select("key", "sets", "y.id", F.col("y").alias("x")), hubs, ["key"], "id")
         near = met.where(beyond & (F.col("x.component") != F.col("y.component")) & _near("x", "y", links.percent) & _roomy(links.percent))
         if links.confirm(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))):
-            open_ = _open(members, links)
+            open_ = _open(sets, links)
         open_ = open_.where(F.col("y.place") >= first)
         hubs = open_.where(F.col("y.place") < last).select("key", "sets", "y")
-        first, last, beyond = last, 4 * last + 1, F.col("x.place") > F.col("y.place")
+        first, last, beyond = last, GROWTH * last + 1, F.col("x.place") > F.col("y.place")
 
 
-def _open(members: DataFrame, links: Links) -> DataFrame:
-    """Members (key, id, sets, y) of the shingles that hold several components, y with all that a comparison reads.
+def _open(sets: DataFrame, links: Links) -> DataFrame:
+    """Rows (key, sets, y) of the shingles that hold several components: y is one of the key's sets, with all that a comparison reads.
 
     A place is below 0 where the shingle has few sets: these all are hubs of the second round.
     """
+    own = links.component(sets).select("id", "n", "sketch", "component", F.posexplode("early").alias("at", "key"))
+    several = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("sets")).where("lo < hi").select("key", "sets")
     place = F.pmod(F.xxhash64("key", "id"), F.lit(1 << 40)) / float(1 << 40)
     place = F.when(F.col("sets") <= SMALL_BUCKET, place - 1).otherwise(place * F.col("sets"))
-    return materialise(links.divided(members).withColumn("place", place).select("key", "id", "sets", F.struct("id", "n", "at", "sketch", "place", "component").alias("y")), "open")
+    return materialise(own.join(several, "key").select("key", "sets", F.struct("id", "n", (F.col("at") + 1).alias("at"), "sketch", place.alias("place"), "component").alias("y")), "open")
 
 
 def _shared_ids(marked: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -350,8 +381,9 @@ def near_sets(docs: DataFrame, width: int, percent: int, one_node_per_id: bool)
     links.confirm(links.apart(close.select("a", "b")))
     doubtful = materialise(links.divided(large).select("id").distinct(), "doubtful")
     if not doubtful.isEmpty():
-        early = _prefix_items(links.sets.join(doubtful, "id", "left_semi"), percent)
-        hub_rounds(materialise(early.join(nodes.select("id", "sketch"), "id"), "early"), links)
+        own = links.sets.join(doubtful, "id", "left_semi")
+        early = early_items(own, percent, rarity(own)).join(nodes.select("id", "sketch"), "id")
+        hub_rounds(materialise(early, "early"), links)
     return marked, links.component(nodes.select("id", "digest", "size", "least")).drop("id")
 
 

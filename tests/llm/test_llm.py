@@ -164,7 +164,7 @@ def test_hub_rounds_join_all_that_share_an_early_shingle(spark):
     data = [(i, s.astype(np.int64).tolist(), np.packbits(neardup.odd_sketch(neardup.signature(s))).view(np.int64).tolist()) for i, s in enumerate(sets)]
     df = spark.createDataFrame(data, "id long, items array<long>, sketch array<long>")
     links = neardup.Links(df.select("id", "items"), 85)
-    neardup.hub_rounds(neardup._prefix_items(df.select("id", "items"), 85).join(df.select("id", "sketch"), "id"), links)
+    neardup.hub_rounds(neardup.early_items(df, 85, neardup.rarity(df)).join(df.select("id", "sketch"), "id"), links)
     got = {r["id"]: r["component"] for r in links.component(df.select("id")).collect()}
     label = list(range(150))
     for _ in range(20):
