@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from redactory.llm.common import materialise
 
+#: Edge lists up to this length are contracted inside one task (16 bytes an edge); longer ones by shuffles.
+FEW_EDGES = 50_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of edges (a, b); component is the smallest node reachable.
@@ -17,8 +20,9 @@ def components(edges: DataFrame) -> DataFrame:
     rounds end when one changes nothing.
     """
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    before = None
+    short, before = edges.count() <= FEW_EDGES, None
     while True:
+        edges = edges.coalesce(1) if short else edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()

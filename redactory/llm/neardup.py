@@ -33,6 +33,8 @@ from redactory.llm.components import components
 BANDS, ROWS, SAMPLES, SKETCH_BITS = 20, 4, 128, 512
 #: Buckets up to this many sets are compared pair by pair.
 SMALL_BUCKET = 32
+#: Most pairs that are sent to all tasks when they are confirmed.
+FEW_PAIRS = 20_000
 #: Rows of one bucket or hub that one task's share of a join should hold.
 SHARE_ROWS = 256
 #: Counters of how common shingles are (a power of two), and by how much the hubs of a round outnumber those before.
@@ -181,11 +183,15 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], salt: str)
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose whole sets (id, items) reach 100 * intersection >= percent * union.
 
-    A set that is the second of many pairs (a hub) is sent to as many shares as these fill.
+    A set that is the second of many pairs (a hub) is sent to as many shares as these
+    fill. pairs must be stored; up to FEW_PAIRS of them (16 bytes each) go to the sets instead.
     """
-    many = materialise(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("sets")), "hub-sizes")
-    first = attach(pairs, many, ["b"], "sets").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    second = sets.select(F.col("id").alias("b"), F.col("items").alias("y")).join(many, "b")
+    x, y = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    if pairs.count() <= FEW_PAIRS:
+        joined = x.join(F.broadcast(pairs), "a").join(y.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi"), "b")
+    else:
+        many = materialise(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("sets")), "hub-sizes")
+        joined = spread_join(attach(pairs, many, ["b"], "sets").join(x, "a"), y.join(many, "b"), ["b"], "a")
 
     def setup():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -198,7 +204,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         return step
 
-    return per_batch(spread_join(first, second, ["b"], "a").select("a", "b", "x", "y"), setup, "a long, b long")
+    return per_batch(joined.select("a", "b", "x", "y"), setup, "a long, b long")
 
 
 class Links:
