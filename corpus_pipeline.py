@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from redactory.llm import common
 from redactory.llm.dedup import exact_groups
 from redactory.llm.langid import reject_unknown
-from redactory.llm.neardup import near_duplicates
+from redactory.llm.neardup import drop_near_duplicates
 from redactory.llm.packing import pack_documents
 from redactory.llm.queries import vocabulary
 from redactory.llm.toxicity import reject_toxic
@@ -27,11 +27,6 @@ LEAST_LANGUAGE_SCORE = 0.3
 ORACLE_SQL = None
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids; a null doc_id is kept only if ids has one."""
-    return docs.join(ids.select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     common.ship(spark)
@@ -58,9 +53,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (three-word shingles, 0.85)."""
+    """One document of each group of near-duplicates stays (three-word shingles, 0.85).
+
+    Rows are told apart by doc_id and text, as in the stage before.
+    """
     common.ship(spark)
-    return _keep(docs, near_duplicates(docs, width=3, percent=85).where("kept"))
+    return drop_near_duplicates(docs, width=3, percent=85)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
