@@ -1,8 +1,10 @@
 """One pattern, two regular-expression dialects.
 
 Patterns are written with \\b for a border between an ASCII word character and
-anything else, and \\s for ASCII white space. Java's \\b sees accented letters as
-word characters, so it is spelled out there; RE2's does not.
+anything else, \\m for such a border before a word character, \\M for one after
+it, and \\s for ASCII white space. Java's \\b sees accented letters as word
+characters, so it is spelled out there; RE2's does not. \\m and \\M cost one
+look at a neighbour; use them where what follows, or precedes, is a word character.
 """
 
 from __future__ import annotations
@@ -13,12 +15,12 @@ _BORDER = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
 
 def java(pattern: str, ignore_case: bool = False) -> str:
     """For Spark."""
-    return ("(?i)" if ignore_case else "") + pattern.replace(r"\b", _BORDER)
+    return ("(?i)" if ignore_case else "") + pattern.replace(r"\b", _BORDER).replace(r"\m", f"(?={_W})(?<!{_W})").replace(r"\M", f"(?!{_W})")
 
 
 def re2(pattern: str, ignore_case: bool = False) -> str:
     """For SQL engines with RE2."""
-    return ("(?i)" if ignore_case else "") + pattern
+    return ("(?i)" if ignore_case else "") + pattern.replace(r"\m", r"\b").replace(r"\M", r"\b")
 
 
 def quoted(text: str) -> str:

@@ -30,7 +30,7 @@ def spans(text: Column, pattern: str, ignore_case: bool = False, needs: str | No
     every = F.aggregate(paired, begun, step, lambda acc: acc["out"])
     hit = text.rlike(java(pattern, ignore_case))
     if needs:
-        hit = F.contains(text, F.lit(needs)) & hit
+        hit = (text.rlike(needs) if set(needs) & set("[(\\") else F.contains(text, F.lit(needs))) & hit
     return F.when(hit, every).otherwise(F.expr(EMPTY))
 
 

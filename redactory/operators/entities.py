@@ -160,9 +160,19 @@ def adjusted(confidence: Column, boost: Column, suppress: Column) -> Column:
     return rounded(F.greatest(F.lit(0.0), up - up * suppress * 0.5))
 
 
+def context_spans(text: Column, context: Context, ord_: int = 0) -> Column:
+    """Pattern hits with their score, in the row: those of at least 0.3 whose confidence times score reaches 0.5."""
+    placed = F.transform(spans(text, context.regex), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), near_distance(text, s["start"], s["stop"], context.keywords, context.window).alias("distance")))
+    near = F.filter(placed, lambda s: (proximity(s["distance"], context.window) >= 0.3) & (rounded(proximity(s["distance"], context.window) * context.confidence) >= 0.5))
+
+    def scored(s: Column) -> Column:
+        score = proximity(s["distance"], context.window)
+        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(context.type).alias("type"), s["distance"].alias("distance"), rounded(score).alias("score"), rounded(score * context.confidence).alias("confidence"), F.lit(ord_).alias("ord"))
+
+    return F.transform(near, scored)
+
+
 def context_candidates(texts: DataFrame, context: Context) -> DataFrame:
-    """Pattern hits with their score: those of at least 0.3 whose confidence times score reaches 0.5."""
-    s = texts.select("doc_id", "text", F.explode(spans(F.col("text"), context.regex)).alias("s")).select("doc_id", "text", F.col("s.start").alias("span_start"), F.col("s.stop").alias("span_end"))
-    d = near_distance(F.col("text"), F.col("span_start"), F.col("span_end"), context.keywords, context.window)
-    scored = s.select("doc_id", "span_start", "span_end", d.alias("distance")).withColumn("score", proximity(F.col("distance"), context.window))
-    return scored.where(F.col("score") >= 0.3).select("doc_id", "span_start", "span_end", F.lit(context.type).alias("type"), "distance", rounded(F.col("score")).alias("score"), rounded(F.col("score") * context.confidence).alias("confidence")).where("confidence >= 0.5")
+    """Long form of context_spans over doc_id, text."""
+    found = texts.select("doc_id", F.explode(context_spans(F.col("text"), context)).alias("s"))
+    return found.select("doc_id", F.col("s.start").alias("span_start"), F.col("s.stop").alias("span_end"), "s.type", "s.distance", "s.score", "s.confidence")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactory.sources.storage import cut
@@ -57,8 +57,8 @@ def apply_choices(masked: DataFrame, choices: DataFrame) -> DataFrame:
     return masked.join(folded, "doc_id", "left").select("doc_id", F.when(F.col("choices").isNull(), F.col("protected")).otherwise(F.aggregate("choices", F.col("protected"), step)).alias("protected"))
 
 
-def literal_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Substitute each (original, replacement) of a document everywhere; blank pairs are left out."""
-    good = pairs.where((F.trim("original") != "") & (F.trim("replacement") != ""))
-    folded = good.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct((-F.length("original")).alias("k"), "original", "replacement"))).alias("pairs"))
-    return texts.join(folded, "doc_id", "left").select("doc_id", F.when(F.col("pairs").isNull(), F.col("text")).otherwise(F.aggregate("pairs", F.col("text"), lambda t, p: F.replace(t, p["original"], p["replacement"]))).alias("protected"))
+def literal_pairs(text: Column, pairs: Column) -> Column:
+    """Substitute each (original, replacement) of the array everywhere, the longest first; blank pairs are left out."""
+    good = F.filter(pairs, lambda p: (F.trim(p["original"]) != "") & (F.trim(p["replacement"]) != ""))
+    ordered = F.array_sort(F.array_distinct(F.transform(good, lambda p: F.struct((-F.length(p["original"])).alias("k"), p["original"].alias("original"), p["replacement"].alias("replacement")))))
+    return F.aggregate(ordered, text, lambda t, p: F.replace(t, p["original"], p["replacement"]))

@@ -74,7 +74,7 @@ def escalate(actions: DataFrame, hosts: DataFrame, destinations: DataFrame) -> D
 
     actions: doc_id, tenant_id, action, n_spans; hosts: doc_id, host. Without spans the answer is allow.
     """
-    there = actions.join(hosts, "doc_id").join(F.broadcast(destinations.select("tenant_id", "destination", F.col("action").alias("d_action"))), "tenant_id", "left")
+    there = actions.join(hosts, "doc_id").join(destinations.select("tenant_id", "destination", F.col("action").alias("d_action")), "tenant_id", "left")
     fit = F.when(matches_destination(F.col("host"), F.col("destination")), ranked(F.col("d_action"), ACTION_RANK))
     top = there.groupBy("doc_id", "host", "action", "n_spans").agg(F.max(fit).alias("d_rank"))
     raised = action_of(F.greatest(ranked(F.col("action"), ACTION_RANK), F.coalesce("d_rank", F.lit(0))))

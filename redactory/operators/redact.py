@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -17,18 +19,19 @@ def rebuild(text: Column, parts: Column) -> Column:
     return F.aggregate(parts, begun, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
 
 
-def redacted(texts: DataFrame, spans: DataFrame, replacement: Column) -> DataFrame:
-    """doc_id, protected: every text with its spans replaced. Of overlapping spans the first in order stays.
+def redacted(text: Column, spans: Column, replacement: Callable[[Column], Column]) -> Column:
+    """The text with its spans replaced, all inside the row. Of overlapping spans the first, then the longer, stays.
 
-    spans: doc_id, span_start, span_end and what replacement reads. Only the short
-    spans are grouped; the texts are joined once.
+    spans: array of structs with start and stop and what replacement reads; an empty
+    or null array leaves the text as it is.
     """
-    parts = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("span_start").alias("start"), (-F.col("span_end")).alias("n"), F.col("span_end").alias("stop"), replacement.alias("replacement")))).alias("parts"))
-    kept = F.aggregate(
-        "parts", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,n:int,stop:int,replacement:string>>)").alias("out")),
-        lambda acc, p: F.when(p["start"] >= acc["at"], F.struct(p["stop"].alias("at"), F.concat(acc["out"], F.array(p)).alias("out"))).otherwise(acc), lambda acc: acc["out"],
-    )
-    return texts.select("doc_id", "text").join(parts.select("doc_id", kept.alias("parts")), "doc_id", "left").select("doc_id", F.when(F.col("parts").isNull(), F.col("text")).otherwise(rebuild(F.col("text"), F.col("parts"))).alias("protected"))
+    parts = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("n"), s["stop"].alias("stop"), replacement(s).alias("replacement"))))
+    begun = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,n:int,stop:int,replacement:string>>)").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        return F.when(p["start"] >= acc["at"], F.struct(p["stop"].alias("at"), F.concat(acc["out"], F.array(p)).alias("out"))).otherwise(acc)
+
+    return rebuild(text, F.coalesce(F.aggregate(parts, begun, step, lambda acc: acc["out"]), begun["out"]))
 
 
 def resolve_value(text: Column, start: Column, stop: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from redactory.functions.bank import SEVERITY_RANK
 from redactory.functions.dialect import java
 from redactory.functions.spans import explode_spans, spans, sql_spans
+from redactory.operators import detect as d
 from redactory.operators import entities as e
 from redactory.operators import merge as m
 from redactory.operators import policy as p
@@ -111,8 +112,8 @@ SUPPRESS = ("example", "sample", "demo", "fictional", "test")
 WINDOW = 150
 
 
-def _scores(s, sf, found=pq.spans):
-    own = found(s, sf).join(c.texts(s, sf).select("doc_id", "text"), "doc_id")
+def _scores(s, sf):
+    own = pq.spans_in_text(s, sf)
     at = (F.col("text"), F.col("span_start"), F.col("span_end"))
     return own.select("doc_id", "span_start", "span_end", "type", "confidence", e.near_distance(*at, BOOST, WINDOW).alias("near"), e.near_distance(*at, SUPPRESS, WINDOW).alias("against"))
 
@@ -130,13 +131,11 @@ QUERIES["context_suppress"] = lambda s, sf: _scores(s, sf).select("doc_id", "spa
 SQL["context_suppress"] = f"SELECT doc_id, span_start, type, floor(greatest(0.0::DOUBLE, {_UP} - {_UP} * {_PROX.format(d='against')} * 0.5::DOUBLE) * 1000 + 0.5) / 1000 AS confidence FROM ({_SCORES})"
 
 
-def _candidates(s, sf, found=pq.spans):
-    out = None
-    for i, x in enumerate(e.CONTEXTS):
-        one = e.context_candidates(c.texts(s, sf), x).withColumn("ord", F.lit(i))
-        out = one if out is None else out.unionByName(one)
-    own = cut(found(s, sf), "spans").select(F.col("doc_id").alias("o"), F.col("span_start").alias("a"), F.col("span_end").alias("b"))
-    return out.join(own, (F.col("doc_id") == F.col("o")) & (F.col("a") <= F.col("span_start")) & (F.col("b") >= F.col("span_end")), "left_anti")
+def _candidates(s, sf):
+    """Context spans that no built-in span covers, in the patterns' order: all inside the row, over one scan."""
+    found = c.texts(s, sf).select("doc_id", F.concat(*(e.context_spans(F.col("text"), x, i) for i, x in enumerate(e.CONTEXTS))).alias("spans"), d.builtin_spans(F.col("text")).alias("own"))
+    free = F.filter("spans", lambda x: ~F.exists("own", lambda o: (o["start"] <= x["start"]) & (o["stop"] >= x["stop"])))
+    return found.select("doc_id", F.explode(free).alias("s")).select("doc_id", F.col("s.start").alias("span_start"), F.col("s.stop").alias("span_end"), "s.type", "s.distance", "s.score", "s.confidence", "s.ord")
 
 
 QUERIES["context_scan"] = lambda s, sf: _candidates(s, sf).drop("ord", "distance")
@@ -145,8 +144,8 @@ SQL["context_scan"] = f"SELECT doc_id, span_start, span_end, type, score, confid
 
 
 def _merged(s, sf):
-    own = cut(_scores(s, sf, pq.all_spans).select("doc_id", "span_start", "span_end", "type", e.adjusted(F.col("confidence"), e.proximity(F.col("near"), WINDOW), e.proximity(F.col("against"), WINDOW)).alias("confidence")), "own")
-    extra = m.disjoint(cut(_candidates(s, sf, pq.all_spans), "candidates"), own).withColumn("source", F.lit("context"))
+    own = cut(_scores(s, sf).select("doc_id", "span_start", "span_end", "type", e.adjusted(F.col("confidence"), e.proximity(F.col("near"), WINDOW), e.proximity(F.col("against"), WINDOW)).alias("confidence")), "own")
+    extra = m.disjoint(cut(_candidates(s, sf), "candidates"), own).withColumn("source", F.lit("context"))
     fresh = m.unfold(m.as_spans(extra.withColumn("ord", F.col("ord") * 1000000 + F.col("span_start")), "doc_id").withColumn("spans", m.first_writer_wins(F.col("spans"))))
     return own.withColumn("source", F.lit("regex")).unionByName(fresh, allowMissingColumns=True).where("confidence >= 0.3")
 
@@ -157,7 +156,7 @@ QUERIES["pipeline_detect"] = lambda s, sf: _merged(s, sf).groupBy("type", "sourc
 
 def _analyze(s, sf):
     n = _merged(s, sf).groupBy("doc_id").agg(F.count_if(F.col("source") == "regex").alias("regex_count"), F.count_if(F.col("source") == "context").alias("context_count"), F.array_sort(F.collect_set("type")).alias("types"))
-    top = pq.all_spans(s, sf).groupBy("doc_id").agg(p.file_action(F.max(p.ranked(F.col("severity"), SEVERITY_RANK))).alias("action"))
+    top = pq.spans(s, sf).groupBy("doc_id").agg(p.file_action(F.max(p.ranked(F.col("severity"), SEVERITY_RANK))).alias("action"))
     zero = F.lit(0)
     return c.documents(s, sf).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash")).join(n, "doc_id", "left").join(top, "doc_id", "left").select("doc_id", "content_hash", F.coalesce("regex_count", zero).alias("regex_count"), F.coalesce("context_count", zero).alias("context_count"), "types", F.coalesce("action", F.lit("allow")).alias("action"), F.lit("1").alias("version"))
 

@@ -12,23 +12,19 @@ from redactory.plans.detection_queries import detector_sql
 from redactory.sources import corpus as c
 
 QUERIES, SQL = {}, {}
-#: The kinds that SPANS_SQL has; queries with a twin built on it are held to these.
-LITE = [x for x in BANK if x.op in ("detect_ssn", "detect_credit_card", "detect_email", "detect_phone", "detect_ipv4", "detect_kv_secret", "detect_date")]
-SPANS_SQL = "SELECT *, doc_id % 25 AS tenant_id FROM (" + " UNION ALL ".join(detector_sql(x, "doc_id, source, text", f"doc_id, source, span_start, span_end, value, '{x.display_name}' AS display_name") for x in LITE) + ")"
-
-
-def _with_tenant(s, sf, every):
-    return d.long_form(c.texts(s, sf).select("doc_id", "source", every.alias("spans"))).withColumn("tenant_id", F.col("doc_id") % 25)
+#: Spans of all built-in kinds, with value and tenant.
+SPANS_SQL = "SELECT *, doc_id % 25 AS tenant_id FROM (" + " UNION ALL ".join(detector_sql(x, "doc_id, source, text", f"doc_id, source, span_start, span_end, value, '{x.display_name}' AS display_name") for x in BANK) + ")"
 
 
 def spans(s, sf):
-    """Long form of the kinds of SPANS_SQL over all documents, with their tenant."""
-    return _with_tenant(s, sf, F.concat(*(d.pattern_spans(F.col("text"), x, i) for i, x in enumerate(LITE))))
+    """Long form of all built-in kinds over all documents, with their tenant."""
+    return spans_in_text(s, sf).drop("text")
 
 
-def all_spans(s, sf):
-    """Long form of all built-in kinds over all documents, with their tenant."""
-    return _with_tenant(s, sf, d.builtin_spans(F.col("text")))
+def spans_in_text(s, sf):
+    """The same rows with their document's text, for what reads around a span; nothing is joined."""
+    found = c.texts(s, sf).select("doc_id", "source", "text", d.builtin_spans(F.col("text")).alias("spans"))
+    return d.long_form(found).withColumn("tenant_id", F.col("doc_id") % 25)
 
 
 def case(column: str, mapping: dict, default: str = "NULL") -> str:
@@ -54,8 +50,8 @@ def acted_sql(modes: str = "'enforce'") -> str:
         FROM ({SPANS_SQL}) s LEFT JOIN ({c.POLICIES_SQL}) p ON s.tenant_id = p.tenant_id LEFT JOIN ({rules_sql(modes)}) r ON s.tenant_id = r.tenant_id AND s.type = r.type"""
 
 
-def acted(s, sf, modes=("enforce",), found=spans):
-    return p.span_actions(found(s, sf), c.policies(s, sf), c.rules(s, sf), modes)
+def acted(s, sf, modes=("enforce",)):
+    return p.span_actions(spans(s, sf), c.policies(s, sf), c.rules(s, sf), modes)
 
 
 QUERIES["policy_rule_lookup"] = lambda s, sf: p.effective_rules(c.rules(s, sf))
@@ -76,8 +72,8 @@ QUERIES["policy_merge_actions"] = lambda s, sf: acted(s, sf).select("doc_id", "s
 _BOTH = f"greatest({RANK}, {case('other', ACTION_RANK)})"
 _OTHER = case("severity", PROFILES["business_standard"], "'warn'")
 SQL["policy_merge_actions"] = f"SELECT doc_id, span_start, type, {case(_BOTH, BACK)} AS merged FROM (SELECT *, {_OTHER} AS other FROM ({acted_sql()}))"
-QUERIES["detector_scan_action"] = lambda s, sf: spans(s, sf).where(F.col("type").isin("credit_card", "email", "phone", "ip_address")).withColumn("action", p.default_action(F.lit("business_standard"), F.col("severity"))).groupBy("source", "doc_id").agg(F.max(p.ranked(F.col("action"), ACTION_RANK)).alias("r")).groupBy("source", p.action_of(F.col("r")).alias("action")).agg(F.count(F.lit(1)).alias("documents"))
-SQL["detector_scan_action"] = f"SELECT source, {case('r', BACK)} AS action, count(*) AS documents FROM (SELECT source, doc_id, max({case('severity', {k: ACTION_RANK[v] for k, v in PROFILES['business_standard'].items()})}) AS r FROM ({SPANS_SQL}) WHERE type IN ('credit_card', 'email', 'phone', 'ip_address') GROUP BY 1, 2) GROUP BY 1, 2"
+QUERIES["detector_scan_action"] = lambda s, sf: spans(s, sf).withColumn("action", p.default_action(F.lit("business_standard"), F.col("severity"))).groupBy("source", "doc_id").agg(F.max(p.ranked(F.col("action"), ACTION_RANK)).alias("r")).groupBy("source", p.action_of(F.col("r")).alias("action")).agg(F.count(F.lit(1)).alias("documents"))
+SQL["detector_scan_action"] = f"SELECT source, {case('r', BACK)} AS action, count(*) AS documents FROM (SELECT source, doc_id, max({case('severity', {k: ACTION_RANK[v] for k, v in PROFILES['business_standard'].items()})}) AS r FROM ({SPANS_SQL}) GROUP BY 1, 2) GROUP BY 1, 2"
 
 HOST_SQL = "SELECT page_id, lower(split_part(url, '/', 3)) AS host, page_id % 25 AS tenant_id FROM pages"
 
@@ -87,7 +83,7 @@ def hosts(s, sf):
 
 
 MATCH = "(destination = 'external' OR (starts_with(destination, '*.') AND (host = substr(destination, 3) OR ends_with(host, substr(destination, 2)))) OR host = destination)"
-QUERIES["destination_match"] = lambda s, sf: hosts(s, sf).join(F.broadcast(c.destinations(s, sf)), "tenant_id").where(p.matches_destination(F.col("host"), F.col("destination"))).select("page_id", "host", "destination", "action")
+QUERIES["destination_match"] = lambda s, sf: hosts(s, sf).join(c.destinations(s, sf), "tenant_id").where(p.matches_destination(F.col("host"), F.col("destination"))).select("page_id", "host", "destination", "action")
 SQL["destination_match"] = f"SELECT page_id, host, destination, action FROM ({HOST_SQL}) JOIN ({c.DESTINATIONS_SQL}) USING (tenant_id) WHERE {MATCH}"
 
 

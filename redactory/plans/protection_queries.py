@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from redactory.functions import values as v
 from redactory.functions.bank import SEVERITY_RANK
+from redactory.operators import detect as d
 from redactory.operators import merge as m
 from redactory.operators import policy as p
 from redactory.operators import redact as r
 from redactory.operators import surrogate as g
-from redactory.plans.policy_queries import SEV, SEV_BACK, SPANS_SQL, acted, acted_sql, all_spans, case, spans
+from redactory.plans.policy_queries import SQL as POLICY_SQL
+from redactory.plans.policy_queries import SEV, SEV_BACK, SPANS_SQL, acted, acted_sql, case, spans, spans_in_text
 from redactory.sources import corpus as c
 
 QUERIES, SQL = {}, {}
@@ -114,9 +116,9 @@ for _name, _cols, _order in (
     SQL[_name] = f"SELECT doc_id, list(type || ':' || span_end ORDER BY {_order}, span_end) AS ordered FROM ({SPANS_SQL}) GROUP BY 1"
 
 
-def _with_source(s, sf, found=spans):
+def _with_source(s, sf):
     """Bank spans, and a second producer that sees card and phone values one character short."""
-    own = found(s, sf).select("doc_id", "span_start", "span_end", "type", F.lit("regex").alias("source"), "confidence")
+    own = spans(s, sf).select("doc_id", "span_start", "span_end", "type", F.lit("regex").alias("source"), "confidence")
     other = own.where(F.col("type").isin("credit_card", "phone", "email")).select("doc_id", (F.col("span_start") + 1).alias("span_start"), "span_end", "type", F.lit("ner").alias("source"), (F.col("confidence") + F.when(F.col("doc_id") % 2 == 0, -0.1).otherwise(0.005)).alias("confidence"))
     return own.unionByName(other).withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("source"), "span_start", "span_end", "type")))
 
@@ -126,31 +128,37 @@ TWO_SQL = f"""SELECT doc_id, span_start, span_end, type, 'regex' AS source, conf
 QUERIES["union_sources"] = lambda s, sf: _with_source(s, sf).groupBy("source", "type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("total"))
 SQL["union_sources"] = f"SELECT source, type, count(*) AS n, round(sum(confidence), 6) AS total FROM ({TWO_SQL}) GROUP BY ALL"
 for _name, _fold in (("merge_same_type", m.merge_same_type), ("first_writer_wins", m.first_writer_wins), ("sweep_dedup", m.sweep)):
-    QUERIES[_name] = lambda s, sf, f=_fold: m.unfold(m.as_spans(_with_source(s, sf, all_spans), "doc_id").withColumn("spans", f(F.col("spans"))))
+    QUERIES[_name] = lambda s, sf, f=_fold: m.unfold(m.as_spans(_with_source(s, sf), "doc_id").withColumn("spans", f(F.col("spans"))))
 QUERIES["llm_merge"] = lambda s, sf: m.disjoint(_with_source(s, sf).where("source = 'ner'"), spans(s, sf).where("type <> 'phone'")).select("doc_id", "span_start", "span_end", "type")
 SQL["llm_merge"] = f"SELECT doc_id, span_start, span_end, type FROM ({TWO_SQL}) a WHERE source = 'ner' AND NOT EXISTS (SELECT 1 FROM ({SPANS_SQL}) b WHERE b.type <> 'phone' AND b.doc_id = a.doc_id AND a.span_start < b.span_end AND a.span_end > b.span_start)"
 QUERIES["conf_filter"] = lambda s, sf: _with_source(s, sf).where("confidence >= 0.85").select("doc_id", "span_start", "type", "source")
 SQL["conf_filter"] = f"SELECT doc_id, span_start, type, source FROM ({TWO_SQL}) WHERE confidence >= 0.85"
 QUERIES["ambiguous_band"] = lambda s, sf: _with_source(s, sf).where(F.col("confidence").between(0.4, 0.8)).select("doc_id", "span_start", "type", "source")
 SQL["ambiguous_band"] = f"SELECT doc_id, span_start, type, source FROM ({TWO_SQL}) WHERE confidence BETWEEN 0.4 AND 0.8"
-QUERIES["resolve_value"] = lambda s, sf: spans(s, sf).join(c.texts(s, sf).select("doc_id", "text"), "doc_id").select("doc_id", "span_start", "span_end", (r.resolve_value(F.col("text"), F.col("span_start"), F.col("span_end")) == F.col("value")).alias("same"), r.resolve_value(F.col("text"), F.col("span_start"), F.length("text") + 1).alias("outside"))
+QUERIES["resolve_value"] = lambda s, sf: spans_in_text(s, sf).select("doc_id", "span_start", "span_end", (r.resolve_value(F.col("text"), F.col("span_start"), F.col("span_end")) == F.col("value")).alias("same"), r.resolve_value(F.col("text"), F.col("span_start"), F.length("text") + 1).alias("outside"))
 SQL["resolve_value"] = f"SELECT doc_id, span_start, span_end, true AS same, CAST(NULL AS VARCHAR) AS outside FROM ({SPANS_SQL})"
-QUERIES["classifier_window"] = lambda s, sf: spans(s, sf).join(c.texts(s, sf).select("doc_id", "text"), "doc_id").select("doc_id", "span_start", "type", F.substr("text", F.greatest(F.lit(0), F.col("span_start") - 128) + 1, F.col("span_end") + 128 - F.greatest(F.lit(0), F.col("span_start") - 128)).alias("around"))
+QUERIES["classifier_window"] = lambda s, sf: spans_in_text(s, sf).select("doc_id", "span_start", "type", F.substr("text", F.greatest(F.lit(0), F.col("span_start") - 128) + 1, F.col("span_end") + 128 - F.greatest(F.lit(0), F.col("span_start") - 128)).alias("around"))
 SQL["classifier_window"] = f"SELECT doc_id, span_start, type, substr(t.text, greatest(0, span_start - 128) + 1, span_end + 128 - greatest(0, span_start - 128)) AS around FROM ({SPANS_SQL}) JOIN ({c.TEXTS_SQL}) t USING (doc_id)"
 
 
-def _mask(s, sf):
-    return r.redacted(c.texts(s, sf), all_spans(s, sf), v.mask_placeholder(F.col("display_name")))
+def protected(s, sf, replacement):
+    """doc_id, protected: every text with its spans replaced, in one projection over one scan."""
+    found = c.texts(s, sf).select("doc_id", "text", d.builtin_spans(F.col("text")).alias("spans"))
+    return found.select("doc_id", r.redacted(F.col("text"), F.col("spans"), replacement).alias("protected"))
 
 
-QUERIES["redact_text"] = _mask
-QUERIES["sink_protected"] = lambda s, sf: _mask(s, sf).select("doc_id", F.length("protected").alias("chars"), F.sha2(F.col("protected").cast("binary"), 256).alias("content_hash"))
-QUERIES["protect_text"] = lambda s, sf: r.redacted(c.texts(s, sf), all_spans(s, sf), F.when(F.col("doc_id") % 4 == 0, F.col("value")).when(F.col("doc_id") % 4 == 1, F.lit("<custom>")).when(F.col("doc_id") % 4 == 2, v.mask_placeholder(F.col("display_name"))).otherwise(g.surrogate(F.col("type"), F.col("value"))))
+def masked(s, sf):
+    return protected(s, sf, lambda x: v.mask_placeholder(x["display_name"]))
+
+
+QUERIES["redact_text"] = masked
+QUERIES["sink_protected"] = lambda s, sf: masked(s, sf).select("doc_id", F.length("protected").alias("chars"), F.sha2(F.col("protected").cast("binary"), 256).alias("content_hash"))
+QUERIES["protect_text"] = lambda s, sf: protected(s, sf, lambda x: F.when(F.col("doc_id") % 4 == 0, x["value"]).when(F.col("doc_id") % 4 == 1, F.lit("<custom>")).when(F.col("doc_id") % 4 == 2, v.mask_placeholder(x["display_name"])).otherwise(g.surrogate(x["type"], x["value"])))
 QUERIES["replacement_chosen"] = lambda s, sf: spans(s, sf).select("doc_id", "span_start", "type", r.chosen(F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).when(F.col("doc_id") % 3 == 1, v.mask_placeholder(F.col("display_name"))).otherwise(F.col("value"))).alias("choice"))
 SQL["replacement_chosen"] = f"SELECT doc_id, span_start, type, CASE doc_id % 3 WHEN 0 THEN 'original' WHEN 1 THEN 'masked' ELSE 'dummy' END AS choice FROM ({SPANS_SQL})"
 
 # surrogates
-QUERIES["surrogate_map"] = lambda s, sf: g.surrogate_map(all_spans(s, sf)).select("type", v.fingerprint(F.col("value")).alias("fingerprint"), "surrogate")
+QUERIES["surrogate_map"] = lambda s, sf: g.surrogate_map(spans(s, sf)).select("type", v.fingerprint(F.col("value")).alias("fingerprint"), "surrogate")
 QUERIES["surrogate_ip"] = lambda s, sf: g.surrogate_map(spans(s, sf).where("type = 'ip_address'")).select("type", "value", "surrogate")
 SQL["surrogate_ip"] = f"SELECT DISTINCT type, value, '192.0.2.' || {g.sql_draw(0, 256)} AS surrogate FROM ({SPANS_SQL}) WHERE type = 'ip_address'"
 QUERIES["surrogate_name"] = lambda s, sf: c.table(s, sf, "customer").select(F.lit("person_name").alias("type"), F.col("c_name").alias("value")).transform(g.surrogate_map)
@@ -218,8 +226,8 @@ SQL["detector_eval"] = f"""WITH w AS (SELECT * FROM (SELECT doc_id, CASE doc_id
 _FILES = "SELECT doc_id, sum(detections) AS file_detections, count(*) AS files FROM (SELECT page_id AS doc_id, page_id % 5 AS detections FROM pages) GROUP BY 1"
 
 
-def _event(s, sf, found=spans):
-    one = found(s, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("spans"))
+def _event(s, sf):
+    one = spans(s, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("spans"))
     files = c.relation(s, sf, _FILES.replace("GROUP BY 1", "GROUP BY doc_id"), "pages")
     both = one.join(files, "doc_id", "full")
     kind = F.when(F.col("spans").isNotNull() & F.col("files").isNotNull(), "text_and_file").when(F.col("files").isNotNull(), "file").otherwise("text")
@@ -242,18 +250,20 @@ SQL["structured_evidence"] = f"SELECT doc_id, tenant_id, span_start, type, sever
 
 
 def _warn(s, sf):
-    top = p.strictest(acted(s, sf, found=all_spans), "doc_id").where("action = 'warn'").select("doc_id")
-    n = all_spans(s, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("detections"))
+    top = p.strictest(acted(s, sf), "doc_id").where("action = 'warn'").select("doc_id")
+    n = spans(s, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("detections"))
     return top.join(n, "doc_id").join(c.texts(s, sf).select("doc_id", v.content_sha256(F.col("text")).alias("content_hash")), "doc_id")
 
 
+SQL["warn_event"] = f"""SELECT a.doc_id, detections, 'sha256:' || sha256(text) AS content_hash FROM ({POLICY_SQL['policy_action']}) a
+    JOIN (SELECT doc_id, count(*) AS detections FROM ({SPANS_SQL}) GROUP BY 1) n ON a.doc_id = n.doc_id JOIN ({c.TEXTS_SQL}) t ON a.doc_id = t.doc_id WHERE action = 'warn'"""
 QUERIES["warn_event"] = _warn
 QUERIES["sink_warn"] = lambda s, sf: _warn(s, sf).withColumn("event_date", F.lit("2024-01-01").cast("date"))
 
 
 def _bypass(s, sf):
-    by_type = all_spans(s, sf).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_type"), F.sum("n").alias("total"))
-    return _event(s, sf, all_spans).select("doc_id", "content_type").join(by_type, "doc_id", "left")
+    by_type = spans(s, sf).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_type"), F.sum("n").alias("total"))
+    return _event(s, sf).select("doc_id", "content_type").join(by_type, "doc_id", "left")
 
 
 QUERIES["bypass_event"] = lambda s, sf: _bypass(s, sf).select("doc_id", "content_type", F.to_json("by_type").alias("by_type"), F.coalesce("total", F.lit(0)).alias("total"))

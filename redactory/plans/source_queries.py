@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from redactory.functions import values as v
 from redactory.operators import mappings as mp
 from redactory.operators import predictions as pr
-from redactory.operators import redact as r
-from redactory.plans.policy_queries import SPANS_SQL, all_spans, spans
+from redactory.operators import detect as d
+from redactory.plans.policy_queries import SPANS_SQL, spans, spans_in_text
+from redactory.plans.protection_queries import masked
 from redactory.sources import corpus as c
 from redactory.sources import storage as st
 
@@ -129,7 +130,7 @@ SQL["classifier_adjust"] = f"""SELECT doc_id, span_start, CASE WHEN r THEN {_TYP
 
 
 def _answers(s, sf):
-    one = spans(s, sf).where("type IN ('email', 'phone')").join(c.texts(s, sf).select("doc_id", "text"), "doc_id")
+    one = spans_in_text(s, sf).where("type IN ('email', 'phone')")
     item = F.to_json(F.struct("type", "value"))
     shaped = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n["), item, F.lit("]\n```"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("["), item, F.lit(',{"type":"name","value":"nobody by that name"}] ok'))).otherwise(F.concat(F.lit('{"detections":['), item, F.lit(',{"type":"em')))
     return pr.answer_spans(one.select("doc_id", "text", shaped.alias("response")))
@@ -163,20 +164,23 @@ QUERIES["final_file_list"] = lambda s, sf: mp.final_files(files(s, sf).select(F.
 SQL["final_file_list"] = f"SELECT f.path AS name, CASE WHEN status = 'protected' THEN protected_name ELSE f.path END AS sent FROM ({FILES_SQL}) f LEFT JOIN ({_REVIEW}) i ON f.path = i.name AND f.length = i.size AND f.mtime = i.mtime WHERE coalesce(status, 'clean') <> 'skipped'"
 
 
-def _masked(s, sf):
-    return r.redacted(c.texts(s, sf), all_spans(s, sf), v.mask_placeholder(F.col("display_name")))
-
-
 def _pairs(s, sf):
-    own = st.cut(all_spans(s, sf), "spans").where("display_name NOT LIKE '%&%'")  # a mask with an ampersand is no token
+    own = st.cut(spans(s, sf), "spans").where("display_name NOT LIKE '%&%'")  # a mask with an ampersand is no token
     place = v.mask_placeholder(F.col("display_name"))
-    return mp.token_map(mp.bracket_tokens(_masked(s, sf)), own.select("doc_id", F.row_number().over(mp.Window.partitionBy("doc_id").orderBy("span_start", "span_end", "type")).alias("idx"), "span_start", F.when(F.col("span_start") % 2 == 0, place).alias("placeholder"), F.lit("[NONE]").alias("replacement"), place.alias("by_display")))
+    return mp.token_map(mp.bracket_tokens(masked(s, sf)), own.select("doc_id", F.row_number().over(mp.Window.partitionBy("doc_id").orderBy("span_start", "span_end", "type")).alias("idx"), "span_start", F.when(F.col("span_start") % 2 == 0, place).alias("placeholder"), F.lit("[NONE]").alias("replacement"), place.alias("by_display")))
 
 
-QUERIES["token_occurrence"] = lambda s, sf: mp.bracket_tokens(_masked(s, sf)).select("doc_id", "token", "nth")
+QUERIES["token_occurrence"] = lambda s, sf: mp.bracket_tokens(masked(s, sf)).select("doc_id", "token", "nth")
 QUERIES["token_map"] = _pairs
-QUERIES["apply_choices"] = lambda s, sf: mp.apply_choices(_masked(s, sf), _pairs(s, sf).select("doc_id", "idx", "token", F.concat(F.lit("<"), F.col("idx").cast("string"), F.lit(">")).alias("replacement"), (F.col("idx") % 3 != 0).alias("enabled")))
-QUERIES["protect_choices"] = lambda s, sf: mp.literal_pairs(c.texts(s, sf), all_spans(s, sf).select("doc_id", F.col("value").alias("original"), F.when(F.col("doc_id") % 7 == 0, F.lit(" ")).otherwise(v.mask_digits(F.col("value"))).alias("replacement")))
+QUERIES["apply_choices"] = lambda s, sf: mp.apply_choices(masked(s, sf), _pairs(s, sf).select("doc_id", "idx", "token", F.concat(F.lit("<"), F.col("idx").cast("string"), F.lit(">")).alias("replacement"), (F.col("idx") % 3 != 0).alias("enabled")))
+QUERIES["protect_choices"] = lambda s, sf: _protect_choices(s, sf)
+
+
+def _protect_choices(s, sf):
+    """Each found value with its digits masked; documents whose number divides by 7 chose blanks."""
+    pair = lambda x: F.struct(x["value"].alias("original"), F.when(F.col("doc_id") % 7 == 0, F.lit(" ")).otherwise(v.mask_digits(x["value"])).alias("replacement"))
+    found = c.texts(s, sf).select("doc_id", "text", F.transform(d.builtin_spans(F.col("text")), pair).alias("pairs"))
+    return found.select("doc_id", mp.literal_pairs(F.col("text"), F.col("pairs")).alias("protected"))
 
 
 def _popup(s, sf):
@@ -199,4 +203,4 @@ def _fallback(s, sf):
 
 
 QUERIES["fallback_dummy"] = _fallback
-SQL["fallback_dummy"] = "SELECT doc_id, span_start, type, CASE type " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in STAND_IN.items()) + f" ELSE regexp_replace(value, '[0-9]', 'X', 'g') END AS stand_in FROM ({SPANS_SQL})"
+SQL["fallback_dummy"] = "SELECT doc_id, span_start, type, CASE type " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in STAND_IN.items()) + f" ELSE CASE WHEN regexp_matches(value, '[0-9]') THEN regexp_replace(value, '[0-9]', 'X', 'g') ELSE '[EXAMPLE]' END END AS stand_in FROM ({SPANS_SQL})"
