@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,11 @@ class Entity(NamedTuple):
     confidence: float
     regex: str
     ignore_case: bool = False
+    #: What must follow a match, as a pattern without groups; it is not part of the span.
+    until: str = ""
+
+    def java(self) -> str:
+        return self.regex + (f"(?={self.until})" if self.until else "")
 
 
 _DAY = "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday"
@@ -23,52 +29,54 @@ _MONTH = "January|February|March|April|May|June|July|August|September|October|No
 _STREET = "Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Boulevard|Blvd|Court|Ct|Place|Pl|Way|Circle|Cir|Loop|Trail|Terrace|Ter|Parkway|Pkwy"
 _TLD = "com|org|net|edu|gov|io|co|us|uk|ca|au|de|fr|info|biz|me"
 _NUMBER = "zero|one|two|three|four|five|six|seven|eight|nine|oh|nought|aught"
-_TITLE = "Dr|Mr|Mrs|Ms|Prof|Rev|Sr|Jr|Lt|Col|Capt|Sgt|Gen|Hon|Judge|Sen|Rep|Gov"
+_TITLE = "Dr|Mr|Mrs|Ms|Miss|Prof|Professor|Rev|Reverend|Capt|Captain|Sgt|Sergeant|Lt|Col|Gen|Maj|Adm|Cmdr|Cpl|Pvt|Insp|Det|Atty|Hon|Sheikh|Imam|Rabbi|Fr|Br|Sr|Deacon|Chancellor|Ambassador"
 _ORG = r"Inc\.|Corp\.|LLC|Ltd\.|L\.L\.C\.|L\.P\.|Foundation|University|Hospital|Bank|Group|Partners|Associates|Institute|Center|Centre|Agency|Authority|Commission|Laboratory|Laboratories|Labs|Technologies|Systems|Solutions|Services|Consulting|Capital|Ventures|Management|Holdings|Academy|School|College|Clinic|Medical|Church|Ministry|Department|Bureau|Division|Press|Publishing|Media|Network|Alliance|Federation|Union|Council|Society|Association"
 _COUNT = "one|two|three|four|five|six|seven|eight|nine|ten"
 
 # Entity patterns and confidences, in the order in which an earlier one wins.
 # Group repeats have upper bounds, so that no text can exhaust the matcher's stack.
-PERSON = [Entity("ner_person_title", "person", 0.93, rf"\b(?:(?:{_TITLE})\.?\s+){{1,4}}[A-Z][a-zA-Z'-]+(?:\s+[A-Z][a-zA-Z'-]+){{0,4}}(?:\s+(?:Jr|Sr|II|III|IV|V|Esq|PhD|MD|DO|JD|MBA|CPA|RN|NP|PA)\.?)?")]
-ORGANIZATION = [Entity("ner_org_suffix", "organization", 0.87, rf"\b[A-Z][a-zA-Z&'-]+(?:\s+(?:&\s+)?[A-Z][a-zA-Z&'-]+){{0,7}}\s+(?:{_ORG})\b")]
+PERSON = [Entity("ner_person_title", "person", 0.93, rf"\m(?:(?:{_TITLE})\.?\s+){{1,4}}[A-Z][a-zA-Z'-]+(?:\s+[A-Z][a-zA-Z'-]+){{0,4}}(?:\s+(?:Jr|Sr|II|III|IV|V|Esq|PhD|MD|DO|JD|MBA|CPA|RN|NP|PA)\.?)?")]
+ORGANIZATION = [Entity("ner_org_suffix", "organization", 0.87, rf"\m[A-Z][a-zA-Z&'-]+(?:\s+(?:&\s+)?[A-Z][a-zA-Z&'-]+){{0,7}}\s+(?:{_ORG})\b")]
 DATES = [
-    Entity("ner_date", "date", 0.82, rf"\b(?:next|last|this|coming|upcoming|following|previous|past)\s+(?:{_DAY}|week|month|year|quarter|weekend|season)\b", True),
-    Entity("ner_date", "date", 0.78, rf"\b(?:in|by|before|after|around|during|throughout|since|until|from|through)\s+(?:{_MONTH})\b", True),
-    Entity("ner_date", "date", 0.88, rf"\b(?:{_MONTH})\s+(?:\d{{1,2}}(?:st|nd|rd|th)?,?\s+)?\d{{4}}\b", True),
-    Entity("ner_date", "date", 0.88, rf"\bthe\s+\d{{1,2}}(?:st|nd|rd|th)\s+of\s+(?:{_MONTH})\b", True),
-    Entity("ner_date", "date", 0.90, r"\bQ[1-4]\s+(?:FY\s*)?\d{4}\b", True),
-    Entity("ner_date", "date", 0.82, rf"\b(?:\d+|{_COUNT}|several|a few|a couple of)\s+(?:days?|weeks?|months?|years?|quarters?)\s+(?:ago|from now|later|hence|prior|earlier)\b", True),
-    Entity("ner_date", "date", 0.78, rf"\b(?:in|within|over the next|over the past)\s+(?:\d+|{_COUNT})\s+(?:days?|weeks?|months?|years?|quarters?)\b", True),
-    Entity("ner_date", "date", 0.80, rf"\b(?:early|mid|late|mid-|early-|late-)\s*(?:{_MONTH})\b", True),
-    Entity("ner_date", "date", 0.85, r"\b(?:first|second|third|fourth)\s+(?:quarter|half)\s+of\s+\d{4}\b", True),
-    Entity("ner_date", "date", 0.85, r"\b(?:fiscal\s+year\s+|FY\s*)\d{4}\b", True),
+    Entity("ner_date", "date", 0.82, rf"\m(?:next|last|this|coming|upcoming|following|previous|past)\s+(?:{_DAY}|week|month|year|quarter|weekend|season)\b", True),
+    Entity("ner_date", "date", 0.78, rf"\m(?:in|by|before|after|around|during|throughout|since|until|from|through)\s+(?:{_MONTH})\b", True),
+    Entity("ner_date", "date", 0.88, rf"\m(?:{_MONTH})\s+(?:\d{{1,2}}(?:st|nd|rd|th)?,?\s+)?\d{{4}}\b", True),
+    Entity("ner_date", "date", 0.88, rf"\mthe\s+\d{{1,2}}(?:st|nd|rd|th)\s+of\s+(?:{_MONTH})\b", True),
+    Entity("ner_date", "date", 0.90, r"\mQ[1-4]\s+(?:FY\s*)?\d{4}\b", True),
+    Entity("ner_date", "date", 0.82, rf"\m(?:\d+|{_COUNT}|several|a few|a couple of)\s+(?:days?|weeks?|months?|years?|quarters?)\s+(?:ago|from now|later|hence|prior|earlier)\b", True),
+    Entity("ner_date", "date", 0.78, rf"\m(?:in|within|over the next|over the past)\s+(?:\d+|{_COUNT})\s+(?:days?|weeks?|months?|years?|quarters?)\b", True),
+    Entity("ner_date", "date", 0.80, rf"\m(?:early|mid|late|mid-|early-|late-)\s*(?:{_MONTH})\b", True),
+    Entity("ner_date", "date", 0.85, r"\m(?:first|second|third|fourth)\s+(?:quarter|half)\s+of\s+\d{4}\b", True),
+    Entity("ner_date", "date", 0.85, r"\m(?:fiscal\s+year\s+|FY\s*)\d{4}\b", True),
 ]
-_PHRASE = r"[a-zA-Z][a-zA-Z ]{2,40}"
+# Phrases end, at the earliest, before a sign, two spaces or the text's end.
+_ENDS = r"[,.\n!?]|\z|\s\s"
+_PHRASE = r"[a-zA-Z][a-zA-Z\s]{2,40}?"
 MEDICAL = [
-    Entity("ner_medical_phrase", "medical", 0.92, rf"\b(?:diagnosed\s+with|diagnosis\s+of)\s+{_PHRASE}", True),
-    Entity("ner_medical_phrase", "medical", 0.90, rf"\b(?:prescribed|taking|takes|was\s+given)\s+{_PHRASE}", True),
-    Entity("ner_medical_phrase", "medical", 0.88, rf"\b(?:suffering\s+from|history\s+of|presenting\s+with|symptoms?\s+of|complaints?\s+of)\s+{_PHRASE}", True),
-    Entity("ner_medical_phrase", "medical", 0.88, rf"\b(?:treatment\s+for|treated\s+for|therapy\s+for|medication\s+for|drugs?\s+for)\s+{_PHRASE}", True),
-    Entity("ner_medical_phrase", "medical", 0.88, rf"\bpatient\s+(?:has|had|with|presents?\s+with|is\s+a\s+\d+-year)\s+{_PHRASE}", True),
-    Entity("ner_medical_phrase", "medical", 0.85, rf"\b(?:recovering\s+from|underwent|received)\s+{_PHRASE}", True),
-    Entity("ner_medical_phrase", "medical", 0.90, r"\bstage\s+(?:[0-9]+|[IVXivx]+)\s+[a-zA-Z]{3,30}\b", True),
+    Entity("ner_medical_phrase", "medical", 0.92, rf"\m(?:diagnosed\s+with|diagnosis\s+of)\s+{_PHRASE}", True, _ENDS),
+    Entity("ner_medical_phrase", "medical", 0.90, r"\m(?:prescribed|taking|takes|was\s+given)\s+[a-zA-Z][a-zA-Z\s]{2,30}?", True, r"[,.\n!?;]|\z|\s\s"),
+    Entity("ner_medical_phrase", "medical", 0.88, rf"\m(?:suffering\s+from|history\s+of|presenting\s+with|symptoms?\s+of|complaints?\s+of)\s+{_PHRASE}", True, _ENDS),
+    Entity("ner_medical_phrase", "medical", 0.88, rf"\m(?:treatment\s+for|treated\s+for|therapy\s+for|medication\s+for|drugs?\s+for)\s+{_PHRASE}", True, _ENDS),
+    Entity("ner_medical_phrase", "medical", 0.88, rf"\mpatient\s+(?:has|had|with|presents?\s+with|is\s+a\s+\d+-year)\s+{_PHRASE}", True, _ENDS),
+    Entity("ner_medical_phrase", "medical", 0.85, rf"\m(?:recovering\s+from|underwent|underwent\s+a|received)\s+{_PHRASE}", True, _ENDS),
+    Entity("ner_medical_phrase", "medical", 0.90, r"\mstage\s+(?:[0-9]+|[IVXivx]+)\s+[a-zA-Z][a-zA-Z\s]{2,30}?\b", True),
 ]
 ADDRESSES = [
-    Entity("ner_address", "address", 0.85, rf"\b(?:lives?\s+(?:at|on|near)|office\s+at|located\s+at|based\s+at|resides?\s+(?:at|on)|headquartered\s+at|situated\s+at|found\s+at)\s+(?:\d+\s+)?[A-Z][a-zA-Z ]{{0,60}}(?:{_STREET})\b", True),
-    Entity("ner_address", "address", 0.72, r"\b(?:Suite|Ste|Floor|Fl|Building|Bldg|Unit|Apt|Room|Rm)\s+[A-Z0-9]+\b", True),
-    Entity("ner_address", "address", 0.75, rf"\b\d{{1,5}}\s+[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)?\s+(?:{_STREET})\b"),
-    Entity("ner_address", "address", 0.88, r"\bP\.?\s*O\.?\s*Box\s+\d+\b", True),
-    Entity("ner_address", "address", 0.82, r"\b[A-Z][a-zA-Z]+(?: [A-Z][a-zA-Z]+){0,4},\s+[A-Z]{2}\s+\d{5}(?:-\d{4})?\b"),
+    Entity("ner_address", "address", 0.85, rf"\m(?:lives?\s+(?:at|on|near)|office\s+at|located\s+at|based\s+at|address\s+(?:is\s+)?(?:at\s+)?|mailing\s+address\s+(?:is\s+)?|resides?\s+(?:at|on)|headquartered\s+at|situated\s+at|found\s+at|meet\s+(?:me\s+)?at)\s+(?:\d+\s+)?[A-Z][a-zA-Z\s]{{1,60}}(?:{_STREET})\M", True),
+    Entity("ner_address", "address", 0.72, r"\m(?:Suite|Ste|Floor|Fl|Building|Bldg|Unit|Apt|Room|Rm)\s+[A-Z0-9]+\b", True),
+    Entity("ner_address", "address", 0.75, rf"\m\d{{1,5}}\s+[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)?\s+(?:{_STREET})\b"),
+    Entity("ner_address", "address", 0.88, r"\mP\.?\s*O\.?\s*Box\s+\d+\b", True),
+    Entity("ner_address", "address", 0.82, r"\m[A-Z][a-zA-Z]+(?: [A-Z][a-zA-Z]+){0,4},\s+[A-Z]{2}\s+\d{5}(?:-\d{4})?\b"),
 ]
 PHONES = [
-    Entity("ner_phone_spoken", "phone_conversational", 0.85, rf"\b(?:call|reach|contact)\s+(?:me\s+)?(?:at|on)\s+(?:(?:{_NUMBER})[\s,]+){{6,12}}(?:{_NUMBER})", True),
-    Entity("ner_phone_spoken", "phone_conversational", 0.80, r"\b(?:call|reach)\s+(?:me\s+)?(?:at|on)\s+\d[\d\s\-().]{6,18}\d", True),
-    Entity("ner_phone_spoken", "phone_conversational", 0.70, rf"\b(?:(?:{_NUMBER})[,\s]+){{6,10}}(?:{_NUMBER})\b", True),
+    Entity("ner_phone_spoken", "phone_conversational", 0.85, rf"\m(?:call\s+(?:me\s+)?(?:at|on)|reach\s+(?:me\s+)?(?:at|on)|my\s+(?:phone|cell|mobile|number)\s+(?:number\s+)?(?:is|was)|phone\s+(?:number\s+)?(?:is|was)|contact\s+(?:me\s+)?(?:at|on)\s+)\s*(?:(?:{_NUMBER})[\s,]+){{6,12}}(?:{_NUMBER})", True),
+    Entity("ner_phone_spoken", "phone_conversational", 0.80, r"\m(?:call\s+(?:me\s+)?(?:at|on)|reach\s+(?:me\s+)?(?:at|on)|my\s+(?:phone|cell|mobile|number)\s+(?:number\s+)?(?:is|was))\s+\d[\d\s\-().]{6,18}\d", True),
+    Entity("ner_phone_spoken", "phone_conversational", 0.70, rf"\m(?:(?:{_NUMBER})[,\s]+){{6,10}}(?:{_NUMBER})\b", True),
 ]
 EMAILS = [
-    Entity("ner_email_obfuscated", "email_obfuscated", 0.87, rf"\b[a-zA-Z0-9][a-zA-Z0-9._+'-]*(?:\s+dot\s+[a-zA-Z0-9._+'-]+)?\s+(?:at|@)\s+[a-zA-Z0-9][a-zA-Z0-9.-]*\s+dot\s+(?:{_TLD})\b", True),
-    Entity("ner_email_obfuscated", "email_obfuscated", 0.80, r"\b(?:[a-zA-Z]\s+){3,64}(?:@|at)\s+(?:[a-zA-Z]\s*){2,64}(?:\.|dot)\s*(?:com|org|net|io|edu|gov)\b", True),
-    Entity("ner_email_obfuscated", "email_obfuscated", 0.88, rf"\b(?:email|e-mail|contact|reach|message|write)\s+(?:(?:me|us)\s+)?(?:at|@)\s+[a-zA-Z0-9][a-zA-Z0-9._+'-]*\s+(?:at|@)\s+[a-zA-Z0-9][a-zA-Z0-9.-]*\s+dot\s+(?:{_TLD})\b", True),
+    Entity("ner_email_obfuscated", "email_obfuscated", 0.87, rf"\m[a-zA-Z0-9][a-zA-Z0-9._+'-]*(?:\s+dot\s+[a-zA-Z0-9._+'-]+)?\s+(?:at|@)\s+[a-zA-Z0-9][a-zA-Z0-9.-]*\s+dot\s+(?:{_TLD})\b", True),
+    Entity("ner_email_obfuscated", "email_obfuscated", 0.80, r"\m(?:[a-zA-Z]\s+){3,64}(?:@|at)\s+(?:[a-zA-Z]\s*){2,64}(?:\.|dot)\s*(?:com|org|net|io|edu|gov)\b", True),
+    Entity("ner_email_obfuscated", "email_obfuscated", 0.88, rf"\m(?:email|e-mail|contact|reach|message|write)\s+(?:(?:me|us)\s+)?(?:at|@)\s+[a-zA-Z0-9][a-zA-Z0-9._+'-]*\s+(?:at|@)\s+[a-zA-Z0-9][a-zA-Z0-9.-]*\s+dot\s+(?:{_TLD})\b", True),
 ]
 FAMILIES = {"ner_person_title": PERSON, "ner_org_suffix": ORGANIZATION, "ner_date": DATES, "ner_medical_phrase": MEDICAL, "ner_address": ADDRESSES, "ner_phone_spoken": PHONES, "ner_email_obfuscated": EMAILS}
 
@@ -97,7 +105,7 @@ def entity_spans(text: Column, family: list[Entity]) -> Column:
     """Spans of a family, with the pattern's place as ord; overlaps are left to first_writer_wins."""
 
     def tagged(i: int, e: Entity) -> Column:
-        return F.transform(spans(text, e.regex, e.ignore_case), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(e.type).alias("type"), F.lit("ner").alias("source"), F.lit(e.confidence).alias("confidence"), F.lit(i).alias("ord")))
+        return F.transform(spans(text, e.java(), e.ignore_case), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(e.type).alias("type"), F.lit("ner").alias("source"), F.lit(e.confidence).alias("confidence"), F.lit(i).alias("ord")))
 
     return F.concat(*(tagged(i, e) for i, e in enumerate(family)))
 
@@ -109,16 +117,20 @@ class Context(NamedTuple):
     window: int
     regex: str
     keywords: tuple[str, ...]
+    #: What must follow a match, as for entities.
+    until: str = ""
 
 
 # Context patterns with their keywords, window and confidence.
 CONTEXTS = [
     Context("ctx_salary", "financial", 0.85, 120, r"\$?\d{2,3}[,.]?\d{0,3}\s*[kK]\b|\$\d{1,3}(?:,\d{3})+|\$\d{4,}", ("salary", "compensation", "comp", "make", "earn", "offer", "package", "tc", "total comp", "base", "pay", "income", "annually", "per year", "a year", "raise", "promoted")),
-    Context("ctx_medical_phrase", "medical_record", 0.90, 200, r"(?i:diagnosed with|suffers from|treated for|presenting with|history of|positive for|tested positive for|confirmed case of)\s+[\w ]{3,50}", ("patient", "medical", "clinical", "hospital", "doctor", "physician", "nurse", "chart", "record", "treatment")),
+    Context("ctx_medical_phrase", "medical_record", 0.90, 200, r"(?i:diagnosed with|suffers from|treated for|presenting with|history of|positive for|tested positive for|confirmed case of)\s+[\w\s]{3,50}", ("patient", "medical", "clinical", "hospital", "doctor", "physician", "nurse", "chart", "record", "treatment"), r"[.,;\n]|\z"),
     Context("ctx_legal_amount", "financial", 0.88, 150, r"\$\d[\d,.]*\s*(?:million|billion|[mMbB]\b)", ("settlement", "awarded", "damages", "judgment", "verdict", "plaintiff", "defendant", "lawsuit", "litigation", "court", "confidential", "sealed", "nda")),
-    Context("ctx_ip", "ip_address", 0.82, 100, r"\b(?:\d{1,3}\.){3}\d{1,3}\b", ("server", "internal", "vpn", "firewall", "ssh", "database", "production", "staging", "private", "intranet", "network", "connect to", "host", "endpoint", "api server")),
-    Context("ctx_titled_name", "person_name", 0.90, 200, r"\b(?:Dr|Mr|Mrs|Ms|Prof|Rev|Sr|Jr)\.?\s+[A-Z][a-z]{1,20}(?:\s+[A-Z][a-z]{1,20}){1,2}\b", ("patient", "client", "employee", "applicant", "meeting", "schedule", "appointment", "referred", "contact", "resident", "diagnosed", "prescribed", "treatment", "record", "address", "phone")),
-    Context("ctx_name", "person_name", 0.85, 150, r"\b[A-Z][a-z]{1,20}\s+[A-Z][a-z]{1,20}\b", ("patient", "client", "employee", "applicant", "meeting with", "schedule", "appointment", "referred by", "emergency contact", "guardian", "diagnosed", "director", "manager", "president", "engineer", "wife", "husband", "friend")),
+    Context("ctx_ip", "ip_address", 0.82, 100, r"\m(?:\d{1,3}\.){3}\d{1,3}\b", ("server", "internal", "vpn", "firewall", "ssh", "database", "production", "staging", "private", "intranet", "network", "connect to", "host", "endpoint", "api server")),
+    Context("ctx_titled_name", "person_name", 0.90, 200, r"\m(?:Dr|Mr|Mrs|Ms|Prof|Rev|Sr|Jr)\.?\s+[A-Z][a-z]{1,20}(?:\s+[A-Z][a-z]{1,20}){1,2}\b", ("patient", "client", "employee", "applicant", "meeting", "schedule", "appointment", "referred", "contact", "resident", "beneficiary", "spouse", "guardian", "account holder", "policyholder", "subscriber", "cardholder", "dependent", "diagnosed", "prescribed", "treatment", "record", "dob", "ssn", "passport", "license", "address", "phone")),
+    Context("ctx_name", "person_name", 0.85, 150, r"\m[A-Z][a-z]{1,20}\s+[A-Z][a-z]{1,20}\b", ("patient", "client", "employee", "applicant", "meeting with", "schedule", "appointment", "referred by", "emergency contact", "next of kin", "guardian", "beneficiary", "diagnosed", "prescribed", "treatment", "dob", "date of birth", "ssn", "social security", "passport", "mrn", "medical record",
+        "account holder", "policyholder", "her patient", "his patient", "ceo", "cto", "cfo", "coo", "cio", "ciso", "vp", "svp", "evp", "director", "manager", "president", "chairman", "founder", "co-founder", "partner", "principal", "attorney", "counsel", "officer", "executive", "supervisor", "coordinator",
+        "analyst", "engineer", "developer", "architect", "consultant", "specialist", "husband", "wife", "son", "daughter", "father", "mother", "brother", "sister", "friend", "colleague", "neighbor", "signed by", "approved by", "submitted by", "reviewed by", "authored by", "assigned to", "reported by", "cc:", "attn:")),
 ]
 
 
@@ -129,20 +141,18 @@ def near_distance(text: Column, start: Column, stop: Column, keywords: tuple[str
     """
     low = F.lower(text)
     before_at = F.greatest(F.lit(0), start - window)
-    before = F.substr(low, before_at + 1, start - before_at)
+    before = F.reverse(F.substr(low, before_at + 1, start - before_at))
     after = F.substr(low, stop + 1, F.lit(window))
-    around = F.substr(low, before_at + 1, F.least(F.length(text), stop + window) - before_at)
-    gaps = []
-    for k in keywords:
-        # keywords that cross the span's borders touch it
-        left, right, any_ = F.instr(F.reverse(before), k[::-1]), F.instr(after, k), F.size(F.split(around, _quoted(k), -1)) - 1
-        inside = any_ > (F.size(F.split(before, _quoted(k), -1)) - 1) + (F.size(F.split(after, _quoted(k), -1)) - 1)
-        gaps += [F.when(inside, 0), F.when(left > 0, left - 1), F.when(right > 0, right - 1)]
-    return F.least(*gaps)
+    left, right = F.regexp_instr(before, F.lit(_any(k[::-1] for k in keywords))), F.regexp_instr(after, F.lit(_any(keywords)))
+    inside = F.lit(False)
+    for n in sorted({len(k) for k in keywords}):  # an occurrence of n characters within n - 1 of the span overlaps it
+        at = F.greatest(F.lit(0), start - (n - 1))
+        inside = inside | F.substr(low, at + 1, stop + (n - 1) - at).rlike(_any(k for k in keywords if len(k) == n))
+    return F.least(F.when(inside, 0), F.when(left > 0, left - 1), F.when(right > 0, right - 1))
 
 
-def _quoted(k: str) -> str:
-    return r"\Q" + k + r"\E"
+def _any(words: Iterable[str]) -> str:
+    return "|".join(r"\Q" + w + r"\E" for w in words)
 
 
 def proximity(distance: Column, window: int) -> Column:
@@ -162,7 +172,7 @@ def adjusted(confidence: Column, boost: Column, suppress: Column) -> Column:
 
 def context_spans(text: Column, context: Context, ord_: int = 0) -> Column:
     """Pattern hits with their score, in the row: those of at least 0.3 whose confidence times score reaches 0.5."""
-    placed = F.transform(spans(text, context.regex), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), near_distance(text, s["start"], s["stop"], context.keywords, context.window).alias("distance")))
+    placed = F.transform(spans(text, context.regex + (f"(?={context.until})" if context.until else "")), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), near_distance(text, s["start"], s["stop"], context.keywords, context.window).alias("distance")))
     near = F.filter(placed, lambda s: (proximity(s["distance"], context.window) >= 0.3) & (rounded(proximity(s["distance"], context.window) * context.confidence) >= 0.5))
 
     def scored(s: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redactory.functions.bank import SEVERITY_RANK
-from redactory.functions.dialect import java
+from redactory.functions.dialect import java, quoted, re2
 from redactory.functions.spans import explode_spans, spans, sql_spans
 from redactory.operators import detect as d
 from redactory.operators import entities as e
@@ -27,14 +27,39 @@ def _family(name):
     return run
 
 
+def entity_sql(x, ord_=0):
+    """doc_id, span_start, span_end, type, confidence, ord of one pattern. What must follow is matched too, then taken off again."""
+    until = x.until
+    whole = f"{x.regex}(?:{until})" if until else x.regex
+    after = f"length(regexp_extract(value, {quoted(re2(f'^(?:{x.regex})({until})$', getattr(x, 'ignore_case', False)))}, 1))" if until else "0"
+    return f"""SELECT doc_id, span_start, CAST(span_end - {after} AS INTEGER) AS span_end, '{x.type}' AS type, CAST({x.confidence} AS DOUBLE) AS confidence, {ord_} AS ord
+        FROM ({sql_spans(c.TEXTS_SQL, whole, getattr(x, 'ignore_case', False))})"""
+
+
+def folded_sql(found, order, step):
+    """Spans of each document in order, folded: acc is the list kept so far, x a list of the next one."""
+    return f"""SELECT doc_id, s.a AS span_start, s.b AS span_end, s.t AS type, s.c AS confidence FROM (
+        SELECT doc_id, unnest(list_reduce(l, lambda acc, x: {step})) AS s FROM (
+          SELECT doc_id, list([{{'a': span_start, 'b': span_end, 't': type, 'c': confidence, 'o': ord}}] ORDER BY {order}) AS l FROM ({found}) GROUP BY doc_id))"""
+
+
+FIRST_WINS = "CASE WHEN len(list_filter(acc, lambda o: x[1].a < o.b AND x[1].b > o.a)) > 0 THEN acc ELSE acc || x END"
+SWEEP = """CASE WHEN x[1].a >= acc[-1].b THEN acc || x WHEN x[1].b > acc[-1].b AND x[1].c > acc[-1].c THEN acc[1:len(acc) - 1] || x ELSE acc END"""
+ENTITIES_SQL = " UNION ALL ".join(entity_sql(x, i) for f in e.FAMILIES.values() for i, x in enumerate(f))
 for _name, _members in e.FAMILIES.items():
     QUERIES[_name] = _family(_name)
-    if len(_members) == 1:
-        _e = _members[0]
-        SQL[_name] = f"SELECT doc_id, span_start, span_end, '{_e.type}' AS type, CAST({_e.confidence} AS DOUBLE) AS confidence FROM ({sql_spans(c.TEXTS_SQL, _e.regex, _e.ignore_case)})"
+    SQL[_name] = folded_sql(" UNION ALL ".join(entity_sql(x, i) for i, x in enumerate(_members)), "ord, span_start", FIRST_WINS if len(_members) > 1 else "acc || x")
+
+
+def _every(text):
+    """Spans of all pattern families, each with its earlier patterns winning."""
+    return F.concat(*(m.first_writer_wins(e.entity_spans(text, f)) for f in e.FAMILIES.values()))
+
+
 QUERIES["ner_all_patterns"] = lambda s, sf: c.texts(s, sf).select("doc_id", F.explode(F.concat(*(e.entity_spans(F.col("text"), f) for f in e.FAMILIES.values()))).alias("x")).groupBy("x.type", "x.confidence").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
-SQL["ner_all_patterns"] = "SELECT type, confidence, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{x.type}' AS type, CAST({x.confidence} AS DOUBLE) AS confidence FROM ({sql_spans(c.TEXTS_SQL, x.regex, x.ignore_case)})" for f in e.FAMILIES.values() for x in f) + ") GROUP BY 1, 2"
-QUERIES["ner_all"] = lambda s, sf: m.unfold(c.texts(s, sf).select("doc_id", m.sweep(F.concat(*(e.entity_spans(F.col("text"), f) for f in e.FAMILIES.values()))).alias("spans"))).select("doc_id", "span_start", "span_end", "type", "confidence")
+SQL["ner_all_patterns"] = f"SELECT type, confidence, count(*) AS n, count(DISTINCT doc_id) AS documents FROM ({ENTITIES_SQL}) GROUP BY 1, 2"
+QUERIES["ner_all"] = lambda s, sf: m.unfold(c.texts(s, sf).select("doc_id", m.sweep(_every(F.col("text"))).alias("spans"))).select("doc_id", "span_start", "span_end", "type", "confidence")
+SQL["ner_all"] = folded_sql(" UNION ALL ".join(f"SELECT *, ord FROM (SELECT doc_id, span_start, span_end, type, confidence, {i} AS ord FROM ({SQL[n]}))" for i, n in enumerate(e.FAMILIES)).replace("SELECT *, ord", "SELECT *"), "span_start, -confidence, ord", SWEEP)
 
 for _name, (_type, _conf, _terms) in e.DICTIONARIES.items():
     if _name == "ner_condition":
@@ -97,9 +122,13 @@ def sql_distance(keywords, window):
     return f"least({', '.join(gaps)})"
 
 
+def _context_hits(x):
+    return f"SELECT h.doc_id, span_start, span_end, text FROM ({entity_sql(x)}) h JOIN ({c.TEXTS_SQL}) t ON h.doc_id = t.doc_id" if x.until else sql_spans(c.TEXTS_SQL, x.regex)
+
+
 def context_sql(x):
     return f"""SELECT doc_id, span_start, span_end, '{x.type}' AS type, CAST(d AS INTEGER) AS distance, floor(sc * 1000 + 0.5) / 1000 AS score, floor(sc * {x.confidence} * 1000 + 0.5) / 1000 AS confidence
-        FROM (SELECT *, CASE WHEN d IS NULL OR d > {x.window} THEN 0.0::DOUBLE ELSE 1 - d::DOUBLE / {x.window} END AS sc FROM (SELECT *, {sql_distance(x.keywords, x.window)} AS d FROM ({sql_spans(c.TEXTS_SQL, x.regex)})))
+        FROM (SELECT *, CASE WHEN d IS NULL OR d > {x.window} THEN 0.0::DOUBLE ELSE 1 - d::DOUBLE / {x.window} END AS sc FROM (SELECT *, {sql_distance(x.keywords, x.window)} AS d FROM ({_context_hits(x)})))
         WHERE sc >= 0.3 AND floor(sc * {x.confidence} * 1000 + 0.5) / 1000 >= 0.5"""
 
 
