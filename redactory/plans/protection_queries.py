@@ -152,6 +152,16 @@ def masked(s, sf):
 
 
 QUERIES["redact_text"] = masked
+MASK = "'[' || regexp_replace(upper(display_name), '\\s+', '_', 'g') || ']'"
+_GAP = "CASE WHEN i = 1 THEN 0 ELSE k[i - 1].b END"
+#: The same fold in SQL: spans in order, each that starts after the last one kept, and the text around their masks.
+MASKED_SQL = f"""SELECT t.doc_id, CASE WHEN k IS NULL THEN text ELSE
+    list_aggregate(list_transform(k, lambda s, i: substr(text, {_GAP} + 1, s.a - {_GAP}) || s.m), 'string_agg', '') || substr(text, k[len(k)].b + 1) END AS protected
+    FROM ({c.TEXTS_SQL}) t LEFT JOIN (
+      SELECT doc_id, list_reduce(l, lambda acc, x: CASE WHEN x[1].a >= acc[-1].b THEN acc || x ELSE acc END) AS k FROM (
+        SELECT doc_id, list([{{'a': span_start, 'b': span_end, 'm': {MASK}}}] ORDER BY span_start, -span_end, {MASK}) AS l FROM ({SPANS_SQL}) GROUP BY doc_id)) f ON t.doc_id = f.doc_id"""
+SQL["redact_text"] = MASKED_SQL
+SQL["sink_protected"] = f"SELECT doc_id, length(protected) AS chars, sha256(protected) AS content_hash FROM ({MASKED_SQL})"
 QUERIES["sink_protected"] = lambda s, sf: masked(s, sf).select("doc_id", F.length("protected").alias("chars"), F.sha2(F.col("protected").cast("binary"), 256).alias("content_hash"))
 QUERIES["protect_text"] = lambda s, sf: protected(s, sf, lambda x: F.when(F.col("doc_id") % 4 == 0, x["value"]).when(F.col("doc_id") % 4 == 1, F.lit("<custom>")).when(F.col("doc_id") % 4 == 2, v.mask_placeholder(x["display_name"])).otherwise(g.surrogate(x["type"], x["value"])))
 QUERIES["replacement_chosen"] = lambda s, sf: spans(s, sf).select("doc_id", "span_start", "type", r.chosen(F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).when(F.col("doc_id") % 3 == 1, v.mask_placeholder(F.col("display_name"))).otherwise(F.col("value"))).alias("choice"))
@@ -268,5 +278,8 @@ def _bypass(s, sf):
 
 QUERIES["bypass_event"] = lambda s, sf: _bypass(s, sf).select("doc_id", "content_type", F.to_json("by_type").alias("by_type"), F.coalesce("total", F.lit(0)).alias("total"))
 QUERIES["sink_bypass"] = lambda s, sf: _bypass(s, sf).select("doc_id", "content_type", F.coalesce("total", F.lit(0)).alias("total"))
+_BY_TYPE = f"""SELECT doc_id, '{{' || string_agg('"' || type || '":' || n, ',' ORDER BY type) || '}}' AS by_type, sum(n) AS n FROM (SELECT doc_id, type, count(*) AS n FROM ({SPANS_SQL}) GROUP BY 1, 2) GROUP BY 1"""
+SQL["bypass_event"] = f"SELECT e.doc_id, content_type, by_type, coalesce(b.n, 0) AS total FROM ({_EVENT}) e LEFT JOIN ({_BY_TYPE}) b ON e.doc_id = b.doc_id"
+SQL["sink_bypass"] = f"SELECT doc_id, content_type, total FROM ({SQL['bypass_event']})"
 QUERIES["zk_event"] = lambda s, sf: spans(s, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.to_json(F.array_sort(F.collect_list(F.struct("span_start", "type")))).alias("details")).select("doc_id", "total", F.octet_length(F.aes_encrypt(F.col("details").cast("binary"), F.unhex(F.md5(F.col("doc_id").cast("string").cast("binary"))), F.lit("GCM"))).alias("sealed_bytes"))
 SQL["zk_event"] = f"SELECT doc_id, count(*) AS total, 28 + strlen('[' || string_agg('{{\"span_start\":' || span_start || ',\"type\":\"' || type || '\"}}', ',') || ']') AS sealed_bytes FROM ({SPANS_SQL}) GROUP BY 1"

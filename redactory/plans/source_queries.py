@@ -9,7 +9,7 @@ from redactory.operators import mappings as mp
 from redactory.operators import predictions as pr
 from redactory.operators import detect as d
 from redactory.plans.policy_queries import SPANS_SQL, spans, spans_in_text
-from redactory.plans.protection_queries import masked
+from redactory.plans.protection_queries import MASKED_SQL, masked
 from redactory.sources import corpus as c
 from redactory.sources import storage as st
 
@@ -176,6 +176,13 @@ QUERIES["apply_choices"] = lambda s, sf: mp.apply_choices(masked(s, sf), _pairs(
 QUERIES["protect_choices"] = lambda s, sf: _protect_choices(s, sf)
 
 
+_TOKENS_SQL = f"SELECT doc_id, unnest(list_transform(regexp_extract_all(protected, '\\[[A-Z][A-Z0-9_ ]*\\]'), lambda x, i: {{'token': x, 'pos': i}})) AS t FROM ({MASKED_SQL})"
+SQL["token_occurrence"] = f"SELECT doc_id, t.token AS token, row_number() OVER (PARTITION BY doc_id, t.token ORDER BY t.pos) AS nth FROM ({_TOKENS_SQL})"
+_REPLACED = "regexp_replace(value, '[0-9]', 'X', 'g')"
+SQL["protect_choices"] = f"""SELECT t.doc_id, CASE WHEN p IS NULL THEN text ELSE (list_reduce(list_prepend({{'k': 0, 'o': '', 'r': text}}, list_sort(list_distinct(p))), lambda acc, x: {{'k': 0, 'o': '', 'r': replace(acc.r, x.o, x.r)}})).r END AS protected
+    FROM ({c.TEXTS_SQL}) t LEFT JOIN (SELECT doc_id, list({{'k': CAST(-length(value) AS INTEGER), 'o': value, 'r': {_REPLACED}}}) AS p FROM ({SPANS_SQL}) WHERE doc_id % 7 <> 0 AND trim(value) <> '' GROUP BY 1) q ON t.doc_id = q.doc_id"""
+
+
 def _protect_choices(s, sf):
     """Each found value with its digits masked; documents whose number divides by 7 chose blanks."""
     pair = lambda x: F.struct(x["value"].alias("original"), F.when(F.col("doc_id") % 7 == 0, F.lit(" ")).otherwise(v.mask_digits(x["value"])).alias("replacement"))
