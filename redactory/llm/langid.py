@@ -3,7 +3,7 @@
 Each language has a suffix automaton of a bounded amount of labelled text. A word
 is parsed against it: each phrase is the longest match from where the last one
 ended. The language whose automaton needs the fewest phrases for the text's
-letters wins.
+letters, each weighed by the logarithm of the sample's length, wins.
 """
 
 from __future__ import annotations
@@ -115,6 +115,8 @@ def learn(docs: DataFrame) -> dict[str, str]:
 def _guesser(names: tuple[str, ...], samples: tuple[str, ...]):
     """Texts to (language, score)."""
     chunks = parser(samples)
+    #: A phrase of a longer sample is worth more bits; 1 for a sample of full length.
+    size = np.log2([len(s) + 2 for s in samples]) / np.log2(LANGUAGE_CHARS)
 
     def guess(texts: list[str | None]) -> list[tuple[str, float]]:
         out = []
@@ -125,7 +127,7 @@ def _guesser(names: tuple[str, ...], samples: tuple[str, ...]):
             if not names or rows[0] == 0:
                 out.append(("und", 0.0))
                 continue
-            rate = rows[1:] / rows[0]
+            rate = rows[1:] / rows[0] * size
             best = int(rate.argmin())
             out.append((names[best], float(1 / np.exp(-SHARPNESS * (rate - rate[best])).sum())))
         return out

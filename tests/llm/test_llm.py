@@ -356,6 +356,30 @@ def test_language(spark):
     assert langid.identify_language(docs.limit(0)).count() == 0
 
 
+def test_language_decision_equals_brute_force(spark):
+    """Phrases counted by substring search, weighed by sample length, decide as the operator does; samples differ in size."""
+    rng = np.random.default_rng(12)
+    made = []
+    for lang, letters, n in (("one", "abcdefgh", 60), ("two", "efghijkl", 6), ("three", "ghijklmn", 20)):
+        made += [(lang, " ".join("".join(rng.choice(list(letters), 5)) for _ in range(25))) for _ in range(n)]
+    docs = spark.createDataFrame([(i, t, lang, 0.5) for i, (lang, t) in enumerate(made)], "doc_id long, text string, lang string, score double")
+    samples = langid.learn(docs)
+
+    def phrases(word, text):
+        n = at = 0
+        while at < len(word):
+            at, n = at + max((k for k in range(1, len(word) - at + 1) if word[at : at + k] in text), default=1), n + 1
+        return n
+
+    out = rows(langid.identify_language(docs))
+    for i, (_, text) in enumerate(made[::7]):
+        letters = sum(map(len, text.split()))
+        cost = {lang: sum(phrases(f" {w} ", s) for w in text.split()) / letters * np.log2(len(s) + 2) for lang, s in samples.items()}
+        best = sorted(cost, key=lambda k: (cost[k], k))
+        if len(best) < 2 or cost[best[1]] - cost[best[0]] > 0.6 * np.log2(max(map(len, samples.values()))) * len(text.split()) / letters:
+            assert out[7 * i]["lang_pred"] == best[0]
+
+
 def test_suffix_automaton_phrases():
     text = "abracadabra banana"
     a = langid.SuffixAutomaton(text)
