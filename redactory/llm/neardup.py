@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import FEW_ROWS, attach, materialise, per_batch, texts_of
+from redactory.llm.common import FEW_ROWS, HOT_SHARE, attach, materialise, per_batch, texts_of
 from redactory.llm.components import components
 
 BANDS, ROWS, SAMPLES, SKETCH_BITS = 20, 4, 128, 512
@@ -256,7 +256,11 @@ class Links:
 def _members(keys: DataFrame, nodes: DataFrame, tag: str) -> DataFrame:
     """Rows (key, id) of the keys that several sets have, with sets, n and sketch."""
     buckets = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), f"{tag}-buckets")
-    return materialise(attach(keys, buckets, ["key"], "sets").join(nodes.select("id", "n", "sketch"), "id"), tag)
+    total = buckets.agg(F.sum("sets")).first()[0] or 0
+    hot = [r["key"] for r in buckets.where(F.col("sets") >= max(2, int(total * HOT_SHARE))).select("key").collect()]  # at most 1 / HOT_SHARE
+    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    sized = keys.where(is_hot).join(F.broadcast(buckets.where(is_hot)), "key").unionByName(keys.where(~is_hot).join(buckets.where(~is_hot), "key"))
+    return materialise(sized.join(nodes.select("id", "n", "sketch"), "id"), tag)
 
 
 def _all_pairs(members: DataFrame, percent: int) -> DataFrame:
