@@ -329,6 +329,44 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0}
 
 
+def test_neutral_mentions_of_every_kind(spark):
+    """Toxic documents mention groups four times as often as clean ones; a neutral mention is still not toxic."""
+    rng = np.random.default_rng(5)
+    words = [f"term{i}" for i in range(300)]
+    terms = [t for kind in toxicity.IDENTITY for t in kind]
+    good = [" ".join(rng.choice(words, 30)) + (f". The {terms[i % len(terms)]} met." if i % 4 == 0 else ".") for i in range(400)]
+    bad = [" ".join(rng.choice(words, 30)) + rng.choice([" moron", " idiot"]) + f" the {terms[i % len(terms)]}" for i in range(400)]
+    docs, labels, _ = labelled(spark, good, bad, "toxic")
+    score = toxicity._new_scorer(*toxicity.train(docs, labels))
+    empty, insult = score(["", "a moron spoke"])
+    for kind in toxicity.IDENTITY:
+        own = score([f"The {t} spoke about the weather." for t in kind])
+        assert max(own) - min(own) < 0.05 and max(own) < 0.5 and max(own) - empty < 0.2, kind
+    assert insult >= 0.7
+
+
+def test_toxicity_fit_and_floor():
+    """The fit reaches the least cost of a plain projected descent; the floor errs least across the halves."""
+    rng = np.random.default_rng(6)
+    x = (rng.random((200, 6)) < 0.3).astype(np.float32)
+    y = (x[:, 0] + (rng.random(200) < 0.1) > 0).astype(np.float32)
+    change = np.zeros((40, 6), np.float32)
+    change[:, 5] = 1
+    w, b = toxicity.fit(x, change, y, -2.0)
+
+    def cost(w, b):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        return -sum(0.5 * np.mean(np.log(p[y == 1] if k else 1 - p[y == 0])) for k in (0, 1)) + toxicity.COUNTERFACTUAL / 2 * np.mean((change @ w) ** 2)
+
+    v, c, weight = np.zeros(6), 0.0, np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    for _ in range(20000):
+        error = (1 / (1 + np.exp(-(x @ v + c))) - y) * weight
+        v, c = np.maximum(v - 0.2 * (x.T @ error + toxicity.COUNTERFACTUAL * change.T @ (change @ v) / len(change)), 0), max(c - 0.2 * error.sum(), -2.0)
+    assert b >= -2.0 and (w >= 0).all() and cost(w, b) < cost(v, c) + 0.01
+    assert toxicity.choose_floor(x, [change, change], y, np.zeros(200, int)) == toxicity.FLOORS[0]
+    assert toxicity.choose_floor(x, [change, change], y, np.arange(200) % 2) in toxicity.FLOORS
+
+
 def test_quality(spark):
     rng = np.random.default_rng(4)
     words = [f"term{i}" for i in range(300)]
