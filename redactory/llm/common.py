@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -159,5 +160,6 @@ def in_worker(key: tuple, build: Callable[[], object]):
     """
     if key not in _in_worker:
         _in_worker.clear()
+        gc.collect()  # what was kept may hold itself
         _in_worker[key] = build()
     return _in_worker[key]

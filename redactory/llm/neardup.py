@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm.common import FEW_ROWS, HOT_SHARE, attach, materialise, per_batch, texts_of
+from redactory.llm.common import FEW_ROWS, HOT_SHARE, attach, in_worker, materialise, per_batch, texts_of
 from redactory.llm.components import components
 
 BANDS, ROWS, SAMPLES, SKETCH_BITS = 20, 4, 128, 512
@@ -118,7 +118,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, text_key, n, digest, bands (array of long), sketch (array of 8 longs); no digest where the set is empty."""
 
     def setup():
-        sets = ShingleSets(width)
+        sets = in_worker(("shingles", width), lambda: ShingleSets(width))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
@@ -141,7 +141,7 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
     """digest, items: the sorted shingle set of each row of doc_id, text_key, text."""
 
     def setup():
-        sets = ShingleSets(width)
+        sets = in_worker(("shingles", width), lambda: ShingleSets(width))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [sets(t) for t in texts_of(batch)]
