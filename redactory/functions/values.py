@@ -95,9 +95,16 @@ def content_hmac(text: Column, key: Column) -> Column:
     return F.concat(F.lit("hmac-sha256:"), F.sha2(F.concat(F.unhex(outer), F.unhex(first)), 256))
 
 
+def _utf16(point: Column) -> Column:
+    """The one or two UTF-16 units of a code point."""
+    above = point - 0x10000
+    return F.when(point < 0x10000, F.array(point)).otherwise(F.array(F.shiftright(above, 10) + 0xD800, above.bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+
+
 def hash32(text: Column) -> Column:
-    """The 31-multiplier rolling hash in 32 bits."""
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c))
+    """The 31-multiplier rolling hash of the UTF-16 units in 32 bits."""
+    points = F.transform(F.split(text, ""), lambda c: F.ascii(c))
+    codes = F.flatten(F.transform(points, _utf16))
     # exact in long: every step is cut to 32 bits
     rolled = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
     return F.when(rolled >= 1 << 31, rolled - (1 << 32)).otherwise(rolled)

@@ -81,6 +81,18 @@ def test_hmac_and_hashes(spark):
         assert r["s"] == "sha256:" + hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_hash32_of_utf16_units(spark):
+    def want(text):
+        h, raw = 0, text.encode("utf-16-le")
+        for i in range(0, len(raw), 2):
+            h = (h * 31 + int.from_bytes(raw[i : i + 2], "little")) & 0xFFFFFFFF
+        return h - (1 << 32) if h >= 1 << 31 else h
+
+    texts = ["", "a", "héllo wörld", "😀 x 𝒳", "日本語" * 50]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", v.hash32(F.col("text")).alias("h")).collect()
+    assert {r["text"]: r["h"] for r in got} == {t: want(t) for t in texts}
+
+
 def fold(spark, f, rows):
     df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "doc_id long, ord int, span_start int, span_end int, type string, source string, confidence double")
     out = merge.unfold(merge.as_spans(df, "doc_id").withColumn("spans", f(F.col("spans"))))
