@@ -71,14 +71,30 @@ def fold(key: Column, parts: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % parts
 
 
+#: A step works on parts of about this many bytes of a batch, so that what it builds beside them stays small.
+PART_BYTES = 4 << 20
+
+
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in order, in parts of up to PART_BYTES or one row."""
+    at = 0
+    while at < batch.num_rows:
+        rows = batch.num_rows - at
+        while rows > 1 and batch.slice(at, rows).nbytes > PART_BYTES:
+            rows = (rows + 1) // 2
+        yield batch.slice(at, rows)
+        at += rows
+
+
 def per_batch(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with a per-task set-up: fn() is called once in a task, its result for each batch."""
+    """mapInArrow with a per-task set-up: fn() is called once in a task, its result for each part of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = fn()
         for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
-                yield out
+            for part in parts_of(batch):
+                if (out := step(part)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -9,11 +9,12 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from redactory.llm import bpe, components, dedup, langid, media, neardup, packing, quality, sharding, tokenfile, tokenids, toxicity
+from redactory.llm import bpe, common, components, dedup, langid, media, neardup, packing, quality, sharding, tokenfile, tokenids, toxicity
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 LONG = " ".join(f"word{i % 977} and" for i in range(20000))
@@ -40,6 +41,14 @@ def rows(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
+def test_parts_of_a_batch_hold_all_rows_in_order():
+    texts = ["a" * 1000] * 9000 + [None, "b" * (common.PART_BYTES + 1), ""] + ["c"] * 5
+    parts = list(common.parts_of(pa.RecordBatch.from_pydict({"text": texts})))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert all(p.num_rows == 1 or p.nbytes <= common.PART_BYTES for p in parts)
+    assert not list(common.parts_of(pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())})))
+
+
 def test_bpe_equals_library(spark):
     out = rows(bpe.encode_documents(frame(spark, ODD), WORD, keep=True))
     for i, text in enumerate(ODD):
