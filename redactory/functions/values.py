@@ -118,3 +118,21 @@ def card_network(d: Column) -> Column:
         .when(d.rlike("^6(?:011|5)"), "discover")
         .otherwise("generic")
     )
+
+
+# Value kinds in the order in which they are tried.
+_MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+KINDS = [
+    ("ssn", r"^\d{3}[-.\s]\d{2}[-.\s]\d{4}"), ("ssn", r"^\d{9}"), ("email", r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"), ("ipv4", r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"),
+    ("date", r"^\d{4}-\d{2}-\d{2}"), ("date", r"^\d{2}/\d{2}/\d{4}"), ("date", r"^\d{2}-\d{2}-\d{4}"), ("date", r"^\d{2}\.\d{2}\.\d{4}"), ("date", r"^\d{4}/\d{2}/\d{2}"), ("date", r"^\d{2}/\d{2}/\d{2}"), ("date", r"^\d{1,2}/\d{2}/\d{4}"),
+    ("date", rf"^(?i:{_MONTH})\s+\d{{1,2}},?\s+\d{{4}}"), ("date", rf"^\d{{1,2}}\s+(?i:{_MONTH})\s+\d{{4}}"), ("credit_card", r"^\d{4}[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?\d{1,7}"),
+    ("money", r"^[€£¥₹₩₪₺₽฿₴₦$]\s?[\d,.\s]*\d[\d,.\s]*[KMBTkmbt]?"), ("phone", r"^[(+]?\d[\d\s\-().]{6,17}"), ("number", r"^[\d,]+(?:\.\d+)?"),
+]
+
+
+def value_kind(value: Column) -> Column:
+    """What a value looks like: the first kind whose pattern it matches whole, else none."""
+    out = F.lit("none")
+    for kind, regex in reversed(KINDS):
+        out = F.when(F.trim(value).rlike(regex + r"\z"), F.lit(kind)).otherwise(out)
+    return out

@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redactory.functions.values import value_kind
+
 FIRST = ["Alex", "Blair", "Casey", "Dana", "Ellis", "Finley", "Gray", "Harper"]
 LAST = ["Archer", "Baker", "Cooper", "Dyer", "Fisher", "Hunter", "Mason", "Porter"]
 DOMAINS = ["example.com", "example.org", "example.net"]
 
 
-def draw(type_: Column, value: Column, k: int, n: int) -> Column:
+def draw(type_: Column, value: Column, k: int | Column, n: int) -> Column:
     """The k-th whole number below n that the pair determines."""
-    word = F.substring(F.sha2(F.concat(type_, F.lit(f":{k}:"), value).cast("binary"), 256), 1, 8)
+    place = F.concat(F.lit(":"), k.cast("string"), F.lit(":")) if isinstance(k, Column) else F.lit(f":{k}:")
+    word = F.substring(F.sha2(F.concat(type_, place, value).cast("binary"), 256), 1, 8)
     return F.conv(word, 16, 10).cast("long") % n
 
 
+def letters(type_: Column, value: Column, n: int | Column) -> Column:
+    """n lower-case letters and digits that the pair determines."""
+    drawn = F.concat(*(F.sha2(F.concat(type_, F.lit(f":{k}:"), value).cast("binary"), 256) for k in ("s", "t")))
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.substr(F.when(n <= 128, drawn).otherwise(F.repeat(drawn, (n / 128 + 1).cast("int"))), F.lit(1), n)
+
+
 def sql_draw(k: int, n: int) -> str:
     return f"(('0x' || substr(sha256(type || ':{k}:' || value), 1, 8))::BIGINT % {n})"
 
@@ -74,30 +86,99 @@ def email(t: Column, v: Column) -> Column:
     return F.concat(F.lower(_pick(FIRST, draw(t, v, 0, 8))), F.lit("."), F.lower(_pick(LAST, draw(t, v, 1, 8))), draw(t, v, 2, 100).cast("string"), plus, F.lit("@"), _pick(DOMAINS, draw(t, v, 3, 3)))
 
 
+# Titles and suffixes of names, without their full stop.
+TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Rev", "Sir", "Lady", "Lord"]
+SUFFIXES = ["Jr", "Sr", "I", "II", "III", "IV", "V", "PhD", "MD", "JD", "DDS", "RN", "CPA", "Esq"]
+
+
 def name(t: Column, v: Column) -> Column:
-    return F.concat(_pick(FIRST, draw(t, v, 0, 8)), F.lit(" "), _pick(LAST, draw(t, v, 1, 8)))
+    """As many words as the value has; its title and suffix stay. One word gives a last name, a middle one a first name or an initial."""
+    words = F.filter(F.split(F.trim(v), r"\s+"), lambda w: w != "")
+    bare = F.transform(words, lambda w: F.regexp_replace(w, r"\.", ""))
+    title = F.coalesce(F.get(bare, F.lit(0)).isin(TITLES), F.lit(False))
+    begin = title.cast("int")
+    suffix = (F.size(words) > begin) & F.coalesce(F.element_at(bare, -1).isin(SUFFIXES), F.lit(False))
+    count = F.size(words) - begin - suffix.cast("int")
+
+    def middle(i: Column) -> Column:
+        initial = F.concat(F.chr(draw(t, v, i * 3 + 11, 26) + 65), F.lit("."))
+        return F.when(draw(t, v, i * 3 + 10, 3) == 0, initial).otherwise(_pick(FIRST, draw(t, v, i * 3 + 12, 8)))
+
+    none = F.expr("cast(array() as array<string>)")
+    middles = F.when(count > 2, F.transform(F.sequence(F.lit(0), F.greatest(count - 3, F.lit(0))), middle)).otherwise(none)
+    first = F.when(count > 1, F.array(_pick(FIRST, draw(t, v, 0, 8)))).otherwise(none)
+    made = F.concat(F.when(title, F.slice(words, 1, 1)).otherwise(none), first, middles, F.array(_pick(LAST, draw(t, v, 1, 8))), F.when(suffix, F.slice(words, -1, 1)).otherwise(none))
+    return F.when(F.size(words) == 0, "Jane Doe").otherwise(F.array_join(made, " "))
+
+
+def ipv4(t: Column, v: Column) -> Column:
+    """The first address of a block kept for documentation."""
+    return F.lit("192.0.2.1")
+
+
+def ipv6(t: Column, v: Column) -> Column:
+    return F.lit("2001:db8::1")
 
 
 def ip(t: Column, v: Column) -> Column:
-    return F.concat(F.lit("192.0.2."), draw(t, v, 0, 256).cast("string"))
+    return F.when(F.contains(v, F.lit(":")), ipv6(t, v)).otherwise(ipv4(t, v))
+
+
+def aws_secret(t: Column, v: Column) -> Column:
+    """40 characters; a key and sign before the value stay."""
+    return F.concat(F.regexp_extract(v, r"""^([A-Za-z_]+\s*[=:"']\s*["']*)""", 1), letters(t, v, 40))
+
+
+def github_token(t: Column, v: Column) -> Column:
+    return F.concat(F.lit("ghp_"), letters(t, v, 36))
+
+
+def slack_token(t: Column, v: Column) -> Column:
+    """The kind of token, two numbers of ten digits, 24 characters."""
+    kind = F.regexp_extract(F.trim(v), "^(xox[ps])", 1)
+    digits = drawn_digits(t, v)
+    return F.concat_ws("-", F.when(kind == "", "xoxb").otherwise(kind), F.substring(digits, 1, 10), F.substring(digits, 11, 10), letters(t, v, 24))
 
 
 def secret(t: Column, v: Column) -> Column:
-    """Keeps what stands before the value (key, sign, prefix); the rest is drawn."""
-    head = F.regexp_extract(v, r"^((?:[A-Za-z_]+\s*[=:]\s*[\"']?)?(?:sk-|sk_live_|sk_test_|ghp_|xox[a-z]-)?)", 1)
-    return F.concat(F.regexp_replace(head, "sk_live_", "sk_test_"), F.substring(F.sha2(F.concat(t, F.lit(":s:"), v).cast("binary"), 256), 1, 32))
+    """Known prefixes, and a key with its sign, stay; the rest is drawn, as long as before and no shorter than its kind allows."""
+    x = F.trim(v)
+    key = F.regexp_extract(x, r"""^([A-Za-z_-]+\s*[=:"']\s*["']?|[Bb]earer\s+)""", 1)
+    n = F.length(x)
+    return (
+        F.when(F.startswith(x, F.lit("sk_live_")), F.concat(F.lit("sk_test_"), letters(t, v, F.greatest(n - 8, F.lit(24)))))
+        .when(F.startswith(x, F.lit("sk-")), F.concat(F.lit("sk-"), letters(t, v, F.greatest(n - 3, F.lit(48)))))
+        .when(x.rlike("^(?:ghp|github_pat)_"), github_token(t, v))
+        .when(x.rlike("^xox[a-z]-"), slack_token(t, v))
+        .when(key != "", F.concat(key, letters(t, v, F.greatest(n - F.length(key), F.lit(32)))))
+        .otherwise(F.concat(F.lit("sk_test_"), letters(t, v, F.greatest(n - 8, F.lit(24)))))
+    )
 
 
 def aws_key(t: Column, v: Column) -> Column:
     return F.concat(F.substring(v, 1, 4), F.substring(F.upper(F.sha2(F.concat(t, F.lit(":s:"), v).cast("binary"), 256)), 1, 16))
 
 
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+
+
 def date(t: Column, v: Column) -> Column:
-    """A day between 1940 and 2004 in the value's numeric layout, or written out."""
-    m, d, y = F.lpad((draw(t, v, 0, 12) + 1).cast("string"), 2, "0"), F.lpad((draw(t, v, 1, 28) + 1).cast("string"), 2, "0"), (draw(t, v, 2, 65) + 1940).cast("string")
-    sep = F.regexp_extract(v, "^[0-9]+([/-])", 1)
-    written = F.concat(_pick(["January", "April", "July", "October"], draw(t, v, 3, 4)), F.lit(" "), d.cast("int").cast("string"), F.lit(", "), y)
-    return F.when(sep == "", written).otherwise(F.concat(m, sep, d, sep, y))
+    """A day between 1940 and 2004 in the value's layout; month, day, year with slashes where it has none that is known."""
+    x, month, day, year = F.trim(v), draw(t, v, 0, 12) + 1, draw(t, v, 1, 28) + 1, (draw(t, v, 2, 65) + 1940).cast("string")
+    m, d, written = F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"), _pick(MONTHS, month - 1)
+    layouts = [
+        (r"^\d{4}-\d{1,2}-\d{1,2}\z", F.concat_ws("-", year, m, d)), (r"^\d{4}/\d{1,2}/\d{1,2}\z", F.concat_ws("/", year, m, d)), (r"^\d{1,2}\.\d{1,2}\.\d{4}\z", F.concat_ws(".", d, m, year)),
+        (r"^(?:1[3-9]|2\d|3[01])/\d{1,2}/\d{4}\z", F.concat_ws("/", d, m, year)), (r"^\d{1,2}-\d{1,2}-\d{4}\z", F.concat_ws("-", m, d, year)), (r"^\d{1,2}/\d{1,2}/\d{2}\z", F.concat_ws("/", m, d, F.substring(year, 3, 2))),
+        (r"^[A-Za-z]+\s+\d", F.concat(written, F.lit(" "), day.cast("string"), F.lit(", "), year)), (r"^\d{1,2}\s+[A-Za-z]", F.concat_ws(" ", day.cast("string"), written, year)),
+    ]
+    out = F.concat_ws("/", m, d, year)
+    for regex, made in reversed(layouts):
+        out = F.when(x.rlike(regex), made).otherwise(out)
+    return out
+
+
+def drawn_number(t: Column, v: Column) -> Column:
+    return (draw(t, v, 0, 98999) + 1000).cast("string")
 
 
 def routing_number(t: Column, v: Column) -> Column:
@@ -153,18 +234,36 @@ def address(t: Column, v: Column) -> Column:
     return F.concat((draw(t, v, 0, 899) + 100).cast("string"), F.lit(" "), _pick(LAST, draw(t, v, 1, 8)), F.lit(" Street, "), _pick(["Springfield, IL", "Riverton, WY", "Fairview, TX", "Georgetown, KY"], draw(t, v, 2, 4)), F.lit(" "), F.lpad((draw(t, v, 3, 89999) + 10000).cast("string"), 5, "0"))
 
 
-FAMILIES = {
-    "ssn": ssn, "credit_card": card, "visa": card, "mastercard": card, "amex": card, "discover": card, "phone": phone, "email": email, "person": name, "person_name": name, "name": name, "ip_address": ip, "ipv4": ip,
-    "api_key": secret, "aws_secret": secret, "github_token": secret, "slack_token": secret, "aws_key": aws_key, "private_key": private_key, "jwt": jwt, "connection_string": connection_string, "address": address,
+def by_kind(t: Column, v: Column) -> Column:
+    """By what the value looks like, not by its type; a placeholder where it looks like nothing known."""
+    kinds = {"ssn": ssn, "email": email, "ipv4": ipv4, "date": date, "credit_card": card, "money": same_layout, "phone": phone, "number": drawn_number}
+    kind, out = value_kind(v), placeholder(t)
+    for name_, family in kinds.items():
+        out = F.when(kind == name_, family(t, v)).otherwise(out)
+    return out
+
+
+def placeholder(type_: Column) -> Column:
+    return F.concat(F.lit("[EXAMPLE_"), F.upper(F.regexp_replace(type_, r"\s+", "_")), F.lit("]"))
+
+
+FAMILIES: dict[str, Callable[[Column, Column], Column]] = {
+    "ssn": ssn, "credit_card": card, "credit_card_visa": card, "credit_card_mc": card, "credit_card_amex": card, "credit_card_discover": card, "visa": card, "mastercard": card, "amex": card, "discover": card,
+    "phone": phone, "email": email, "person": name, "person_name": name, "name": name, "full_name": name, "patient_name": name, "employee_name": name, "ip_address": ip, "ipv4": ipv4, "ipv6": ipv6,
+    "api_key": secret, "aws_secret": aws_secret, "github_token": github_token, "slack_token": slack_token, "aws_key": aws_key, "private_key": private_key, "jwt": jwt, "connection_string": connection_string, "address": address,
     "date": date, "dob": date, "date_of_birth": date, "bank_account": bank_account, "routing_number": routing_number, "passport": passport, "driver_license": driver_license, "medical_record": same_layout, "mrn": same_layout,
-    "money": same_layout, "monetary": same_layout, "amount": same_layout, "salary": same_layout, "currency": same_layout,
+    "money": same_layout, "monetary": same_layout, "amount": same_layout, "salary": same_layout, "currency": same_layout, "custom": by_kind,
 }
 
 
-def surrogate(type_: Column, value: Column) -> Column:
-    """The replacement of a value by its type; a type without a family gets a placeholder."""
-    out = F.concat(F.lit("[EXAMPLE_"), F.upper(type_), F.lit("]"))
-    for name_, family in FAMILIES.items():
+def surrogate(type_: Column, value: Column, families: dict[str, Callable[[Column, Column], Column]] = FAMILIES) -> Column:
+    """The replacement of a value by its type, whatever the type's case; a type without a family gets a placeholder.
+
+    families may be another table of generators, or this one with some replaced.
+    """
+    type_ = F.lower(F.trim(type_))
+    out = placeholder(type_)
+    for name_, family in families.items():
         out = F.when(type_ == name_, family(type_, value)).otherwise(out)
     return out
 

@@ -42,24 +42,7 @@ SQL["content_dedup"] = "SELECT sha256(text) AS content_hash, count(*) AS copies,
 QUERIES["card_network"] = lambda s, sf: spans(s, sf).where("type = 'credit_card'").select("doc_id", "span_start", v.card_network(v.digits(F.col("value"))).alias("network"))
 SQL["card_network"] = f"SELECT doc_id, span_start, CASE WHEN d LIKE '4%' THEN 'visa' WHEN regexp_matches(d, '^5[1-5]') THEN 'mastercard' WHEN regexp_matches(d, '^3[47]') THEN 'amex' WHEN d LIKE '6011%' OR d LIKE '65%' THEN 'discover' ELSE 'generic' END AS network FROM (SELECT doc_id, span_start, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM ({SPANS_SQL}) WHERE type = 'credit_card')"
 
-# Value kinds in the order in which they are tried.
-_MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
-KINDS = [
-    ("ssn", r"^\d{3}[-.\s]\d{2}[-.\s]\d{4}"), ("ssn", r"^\d{9}"), ("email", r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"), ("ipv4", r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"),
-    ("date", r"^\d{4}-\d{2}-\d{2}"), ("date", r"^\d{2}/\d{2}/\d{4}"), ("date", r"^\d{2}-\d{2}-\d{4}"), ("date", r"^\d{2}\.\d{2}\.\d{4}"), ("date", r"^\d{4}/\d{2}/\d{2}"), ("date", r"^\d{2}/\d{2}/\d{2}"), ("date", r"^\d{1,2}/\d{2}/\d{4}"),
-    ("date", rf"^(?i:{_MONTH})\s+\d{{1,2}},?\s+\d{{4}}"), ("date", rf"^\d{{1,2}}\s+(?i:{_MONTH})\s+\d{{4}}"), ("credit_card", r"^\d{4}[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?\d{1,7}"),
-    ("money", r"^[€£¥₹₩₪₺₽฿₴₦$]\s?[\d,.\s]*\d[\d,.\s]*[KMBTkmbt]?"), ("phone", r"^[(+]?\d[\d\s\-().]{6,17}"), ("number", r"^[\d,]+(?:\.\d+)?"),
-]
-
-
-def value_kind(value):
-    out = F.lit("none")
-    for kind, regex in reversed(KINDS):
-        out = F.when(F.trim(value).rlike(regex + r"\z"), F.lit(kind)).otherwise(out)
-    return out
-
-
-_KIND = "CASE " + " ".join(f"WHEN regexp_full_match(trim(value), '{x[1:]}') THEN '{k}'" for k, x in KINDS) + " ELSE 'none' END"
+_KIND = "CASE " + " ".join(f"WHEN regexp_full_match(trim(value), '{x[1:]}') THEN '{k}'" for k, x in v.KINDS) + " ELSE 'none' END"
 #: Structured values of many shapes: order dates and totals, customer balances and names, and detected spans.
 VALUES_SQL = """SELECT CAST(o_orderdate AS STRING) AS value FROM orders UNION ALL SELECT '$' || CAST(CAST(o_totalprice AS BIGINT) AS STRING) AS value FROM orders
     UNION ALL SELECT CAST(c_custkey AS STRING) || '.' || CAST(c_nationkey AS STRING) AS value FROM customer UNION ALL SELECT c_name AS value FROM customer"""
@@ -70,7 +53,7 @@ def values_of(s, sf):
 
 
 ALL_VALUES = f"({VALUES_SQL} UNION ALL SELECT value FROM ({SPANS_SQL}))"
-QUERIES["format_profile"] = lambda s, sf: values_of(s, sf).groupBy(value_kind(F.col("value")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+QUERIES["format_profile"] = lambda s, sf: values_of(s, sf).groupBy(v.value_kind(F.col("value")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 SQL["format_profile"] = f"SELECT {_KIND} AS kind, count(*) AS n FROM {ALL_VALUES} GROUP BY 1"
 
 
@@ -170,9 +153,14 @@ SQL["replacement_chosen"] = f"SELECT doc_id, span_start, type, CASE doc_id % 3 W
 # surrogates
 QUERIES["surrogate_map"] = lambda s, sf: g.surrogate_map(spans(s, sf)).select("type", v.fingerprint(F.col("value")).alias("fingerprint"), "surrogate")
 QUERIES["surrogate_ip"] = lambda s, sf: g.surrogate_map(spans(s, sf).where("type = 'ip_address'")).select("type", "value", "surrogate")
-SQL["surrogate_ip"] = f"SELECT DISTINCT type, value, '192.0.2.' || {g.sql_draw(0, 256)} AS surrogate FROM ({SPANS_SQL}) WHERE type = 'ip_address'"
-QUERIES["surrogate_name"] = lambda s, sf: c.table(s, sf, "customer").select(F.lit("person_name").alias("type"), F.col("c_name").alias("value")).transform(g.surrogate_map)
-SQL["surrogate_name"] = f"SELECT type, value, {g.FIRST!r}[{g.sql_draw(0, 8)} + 1] || ' ' || {g.LAST!r}[{g.sql_draw(1, 8)} + 1] AS surrogate FROM (SELECT DISTINCT 'person_name' AS type, c_name AS value FROM customer)"
+SQL["surrogate_ip"] = f"SELECT DISTINCT type, value, '192.0.2.1' AS surrogate FROM ({SPANS_SQL}) WHERE type = 'ip_address'"
+#: Names of one, two and three words, some with a title or suffix.
+NAMES_SQL = """SELECT CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'Dr. ' || c_name || ' ' || c_mktsegment WHEN 2 THEN c_name || ' ' || c_mktsegment || ' Ann Jr.' ELSE 'Miss ' || c_name END AS value, c_custkey % 4 AS k FROM customer"""
+QUERIES["surrogate_name"] = lambda s, sf: c.relation(s, sf, NAMES_SQL, "customer").select(F.lit("person_name").alias("type"), "value").transform(g.surrogate_map)
+_FIRST, _LAST = (f"{names!r}[{g.sql_draw(k, 8)} + 1]" for k, names in enumerate((g.FIRST, g.LAST)))
+_MIDDLE = f"CASE WHEN {g.sql_draw(10, 3)} = 0 THEN chr(CAST(65 + {g.sql_draw(11, 26)} AS INTEGER)) || '.' ELSE {g.FIRST!r}[{g.sql_draw(12, 8)} + 1] END"
+SQL["surrogate_name"] = f"""SELECT type, value, CASE k WHEN 0 THEN {_LAST} WHEN 1 THEN 'Dr. ' || {_FIRST} || ' ' || {_LAST} WHEN 2 THEN {_FIRST} || ' ' || {_MIDDLE} || ' ' || {_LAST} || ' Jr.' ELSE 'Miss ' || {_LAST} END AS surrogate
+    FROM (SELECT DISTINCT 'person_name' AS type, value, k FROM ({NAMES_SQL}))"""
 QUERIES["surrogate_email"] = lambda s, sf: g.surrogate_map(spans(s, sf).where("type = 'email'")).select("type", "value", "surrogate")
 SQL["surrogate_email"] = f"""SELECT DISTINCT type, value, lower({g.FIRST!r}[{g.sql_draw(0, 8)} + 1]) || '.' || lower({g.LAST!r}[{g.sql_draw(1, 8)} + 1]) || {g.sql_draw(2, 100)}
     || regexp_extract(value, '^[^@+]*(\\+[^@]*)@', 1) || '@' || {g.DOMAINS!r}[{g.sql_draw(3, 3)} + 1] AS surrogate FROM ({SPANS_SQL}) WHERE type = 'email'"""

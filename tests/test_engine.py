@@ -149,6 +149,22 @@ def test_surrogates(spark):
         assert kind not in like or re.fullmatch(like[kind], x), (kind, x)
 
 
+def test_surrogates_keep_their_shape(spark):
+    values = {
+        ("aws_secret", "abc"): r"[A-Za-z0-9+/=]{40}", ("github_token", "ghp_x"): r"ghp_[A-Za-z0-9]{36}", ("slack_token", "xoxp-1-2-a"): r"xoxp-\d{10}-\d{10}-[A-Za-z0-9]{24}", ("api_key", "xoxb-1-2-a"): r"xoxb-\d{10}-\d{10}-[A-Za-z0-9]{24}",
+        ("api_key", "sk-" + "a" * 300): "sk-[a-z0-9]{300}", ("api_key", "sk_live_abc"): "sk_test_[a-z0-9]{24}", ("api_key", "api_key=abc"): "api_key=[a-z0-9]{32}", ("api_key", "password: hunter22"): "password: [a-z0-9]{32}",
+        ("dob", "1990-01-31"): r"(19[4-9]|200)\d-\d{2}-\d{2}", ("dob", "31.01.1990"): r"\d{2}\.\d{2}\.\d{4}", ("dob", "1/2/90"): r"\d{2}/\d{2}/\d{2}", ("dob", "May 3, 1990"): r"[A-Z][a-z]+ \d{1,2}, \d{4}", ("dob", "3 May 1990"): r"\d{1,2} [A-Z][a-z]+ \d{4}", ("dob", "soon"): r"\d{2}/\d{2}/\d{4}",
+        ("ipv6", "fe80::1"): "2001:db8::1", ("ip_address", "fe80::1"): "2001:db8::1", ("ipv4", "10.0.0.1"): r"192\.0\.2\.1",
+        ("full_name", "Dr. Ann Marie Lee Jr."): r"Dr\. [A-Z][a-z]+ ([A-Z][a-z]+|[A-Z]\.) [A-Z][a-z]+ Jr\.", ("Person_Name", "Ann"): "[A-Z][a-z]+", ("name", "Dr."): r"Dr\. [A-Z][a-z]+", ("patient_name", "Ann Lee"): "[A-Z][a-z]+ [A-Z][a-z]+", ("employee_name", " "): "Jane Doe", ("name", "A B C D E"): r"\S+( \S+){4}",
+        ("custom", "$1,200"): r"\$\d,\d{3}", ("custom", "a@b.com"): r"\S+@example\.\w+", ("custom", "123-45-6789"): r"\d{3}-\d{2}-\d{4}", ("custom", "12"): r"\d{4,5}", ("custom", "Project X"): r"\[EXAMPLE_CUSTOM\]", ("odd kind", "v"): r"\[EXAMPLE_ODD_KIND\]",
+    }
+    df = spark.createDataFrame(list(values), "type string, value string")
+    for r in df.withColumn("out", surrogate.surrogate(F.col("type"), F.col("value"))).collect():
+        assert re.fullmatch(values[r["type"], r["value"]], r["out"]), r
+    own = df.limit(1).select(surrogate.surrogate(F.col("type"), F.col("value"), {"aws_secret": lambda t, v: F.lit("mine")}).alias("out"))
+    assert own.first()["out"] == "mine"
+
+
 def test_plugins_and_audit_sink(spark, tmp_path):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert plugins.run_detectors(df, "missing").count() == 0
