@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from redactory.functions.bank import SEVERITY_RANK
 from redactory.functions.dialect import java, quoted, re2
 from redactory.functions.spans import explode_spans, spans, sql_spans
+from redactory.operators import analysis as an
 from redactory.operators import detect as d
 from redactory.operators import entities as e
 from redactory.operators import merge as m
 from redactory.operators import policy as p
 from redactory.plans import policy_queries as pq
+from redactory.plans.detection_queries import KEYWORDS, REGEXES
 from redactory.sources import corpus as c
 from redactory.sources.storage import cut
 
@@ -51,16 +52,8 @@ for _name, _members in e.FAMILIES.items():
     SQL[_name] = folded_sql(" UNION ALL ".join(entity_sql(x, i) for i, x in enumerate(_members)), "ord, span_start", FIRST_WINS if len(_members) > 1 else "acc || x")
 
 
-def _every(text):
-    """Spans of all pattern families, each with its earlier patterns winning."""
-    return F.concat(*(m.first_writer_wins(e.entity_spans(text, f)) for f in e.FAMILIES.values()))
-
-
 QUERIES["ner_all_patterns"] = lambda s, sf: c.texts(s, sf).select("doc_id", F.explode(F.concat(*(e.entity_spans(F.col("text"), f) for f in e.FAMILIES.values()))).alias("x")).groupBy("x.type", "x.confidence").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
 SQL["ner_all_patterns"] = f"SELECT type, confidence, count(*) AS n, count(DISTINCT doc_id) AS documents FROM ({ENTITIES_SQL}) GROUP BY 1, 2"
-QUERIES["ner_all"] = lambda s, sf: m.unfold(c.texts(s, sf).select("doc_id", m.sweep(_every(F.col("text"))).alias("spans"))).select("doc_id", "span_start", "span_end", "type", "confidence")
-SQL["ner_all"] = folded_sql(" UNION ALL ".join(f"SELECT *, ord FROM (SELECT doc_id, span_start, span_end, type, confidence, {i} AS ord FROM ({SQL[n]}))" for i, n in enumerate(e.FAMILIES)).replace("SELECT *, ord", "SELECT *"), "span_start, -confidence, ord", SWEEP)
-
 for _name, (_type, _conf, _terms) in e.DICTIONARIES.items():
     if _name == "ner_condition":
         continue
@@ -111,6 +104,13 @@ QUERIES["ner_person_caps"] = _caps
 SQL["ner_person_caps"] = f"SELECT doc_id, span_start, span_end, CAST(0.63 AS DOUBLE) AS confidence FROM (SELECT *, regexp_replace(substr(text, 1, span_start), '\\s+$', '') AS b FROM ({sql_spans(c.TEXTS_SQL, e.CAPS)})) WHERE b <> '' AND NOT regexp_matches(b, '[.!?]$') AND NOT list_has_any({_SPLIT}, {e.STOP_WORDS!r})"
 
 
+QUERIES["ner_all"] = lambda s, sf: m.unfold(c.texts(s, sf).select("doc_id", an.entities(F.col("text")).alias("spans"))).select("doc_id", "span_start", "span_end", "type", "confidence")
+#: All entity detectors with the type of each, in the order in which ties are settled.
+_KINDS = [(n, "type") for n in e.FAMILIES] + [("ner_person_bigram", "'person'"), ("ner_person_caps", "'person'")] + [(n, f"'{t}'") for n, (t, _, _) in e.DICTIONARIES.items()]
+_EVERY = " UNION ALL ".join(f"SELECT doc_id, span_start, span_end, {t} AS type, confidence, {i} AS ord FROM ({SQL[n]})" for i, (n, t) in enumerate(_KINDS))
+SQL["ner_all"] = folded_sql(_EVERY, "span_start, -confidence, ord", SWEEP)
+
+
 def sql_distance(keywords, window):
     low, at = "lower(text)", f"greatest(0, span_start - {window})"
     before, after = f"substr({low}, {at} + 1, span_start - {at})", f"substr({low}, span_end + 1, {window})"
@@ -180,14 +180,25 @@ def _merged(s, sf):
 
 
 QUERIES["context_merge"] = _merged
-QUERIES["pipeline_detect"] = lambda s, sf: _merged(s, sf).groupBy("type", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 3).alias("confidence"))
+
+
+def _found(s):
+    """The first stage over a text: built-in and custom spans and those of a model (entities here), scored and merged with contexts."""
+    patterns = [x for _, x in d.valid_patterns(s, REGEXES)[0]]
+    return an.detected(F.col("text"), patterns, [k for _, k in KEYWORDS], an.entities, BOOST, SUPPRESS, WINDOW)
+
+
+QUERIES["pipeline_detect"] = lambda s, sf: an.classified(c.texts(s, sf).select("doc_id", "text", _found(s).alias("spans")), "spans", an.cue_probabilities)
 
 
 def _analyze(s, sf):
-    n = _merged(s, sf).groupBy("doc_id").agg(F.count_if(F.col("source") == "regex").alias("regex_count"), F.count_if(F.col("source") == "context").alias("context_count"), F.array_sort(F.collect_set("type")).alias("types"))
-    top = pq.spans(s, sf).groupBy("doc_id").agg(p.file_action(F.max(p.ranked(F.col("severity"), SEVERITY_RANK))).alias("action"))
-    zero = F.lit(0)
-    return c.documents(s, sf).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash")).join(n, "doc_id", "left").join(top, "doc_id", "left").select("doc_id", "content_hash", F.coalesce("regex_count", zero).alias("regex_count"), F.coalesce("context_count", zero).alias("context_count"), "types", F.coalesce("action", F.lit("allow")).alias("action"), F.lit("1").alias("version"))
+    """One row per document: hash, counts by stage, types, action of the tenant's policy and how many surrogates differ from each other."""
+    done = cut(an.analyzed(c.texts(s, sf).select("doc_id", (F.col("doc_id") % 25).alias("tenant_id"), "text"), _found(s)), "analyzed")
+    long = m.unfold(done.select("doc_id", "tenant_id", "spans")).withColumn("severity", an.severity_of(F.col("type")))
+    top = p.strictest(p.span_actions(long, c.policies(s, sf), c.rules(s, sf)), "doc_id").select("doc_id", "action", "trigger_type")
+    types = F.array_sort(F.array_distinct(F.transform("spans", lambda x: x["type"])))
+    own = done.select("doc_id", "content_hash", "regex_count", "ner_count", "semantic_count", F.size("spans").alias("merged_count"), types.alias("types"), F.size(F.array_distinct("surrogates")).alias("surrogates"))
+    return own.join(top, "doc_id", "left").withColumn("action", F.coalesce("action", F.lit("allow"))).withColumn("version", F.lit("1"))
 
 
 QUERIES["doc_analyze"] = _analyze
