@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +45,17 @@ def severity_of(type_: Column) -> Column:
 
 
 def name_pairs(text: Column, ord_: int = 0) -> Column:
-    """A known first name before a known last name."""
-    words = lambda s: F.split(s["value"], r"\s+")
-    known = F.filter(spans(text, e.BIGRAM), lambda s: F.get(words(s), F.lit(0)).isin(e.FIRST_NAMES) & F.get(words(s), F.lit(1)).isin(e.LAST_NAMES))
-    return F.transform(known, lambda s: _span(s, "person", "ner", 0.84, ord_))
+    """A known first name before a known last name; a part such as Al- before either may be missing or added."""
+
+    def known(s: Column) -> Column:
+        words = F.split(s["value"], r"\s+")
+        first, last = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+        bare = lambda w: F.regexp_replace(w, "^[A-Z][a-z]+-", "")
+        al = lambda w: F.concat(F.lit("Al-"), w)
+        lasts = [x.isin(e.LAST_NAMES) for x in (last, bare(last), al(bare(last)), al(last))]
+        return (first.isin(e.FIRST_NAMES) | bare(first).isin(e.FIRST_NAMES)) & reduce(lambda x, y: x | y, lasts)
+
+    return F.transform(F.filter(spans(text, e.BIGRAM), known), lambda s: _span(s, "person", "ner", 0.84, ord_))
 
 
 def capitalised_runs(text: Column, ord_: int = 0) -> Column:
@@ -77,11 +85,18 @@ def dictionary_spans(text: Column, name: str, ord_: int = 0) -> Column:
     return F.transform(spans(text, e.dictionary_regex(terms), True), lambda s: _span(s, type_, "ner", sure(s), ord_))
 
 
+#: Detectors of one kind of entity, in the order in which they take places: a pattern family, then others.
+GROUPS = [
+    ("ner_person_title", ("ner_person_bigram", "ner_person_caps")), ("ner_org_suffix", ("ner_org_dict",)), ("ner_date", ()), ("ner_medical_phrase", ("ner_drug", "ner_condition", "ner_procedure")),
+    ("ner_address", ()), ("ner_phone_spoken", ()), ("ner_email_obfuscated", ()),
+]
+OTHERS = {"ner_person_bigram": name_pairs, "ner_person_caps": capitalised_runs} | {n: partial(dictionary_spans, name=n) for n in e.DICTIONARIES}
+
+
 def every_entity(text: Column) -> Column:
-    """Spans of all entity detectors: pattern families (earlier patterns win), name pairs, capitalised runs, dictionaries."""
-    found = [F.transform(m.first_writer_wins(e.entity_spans(text, f)), lambda s, i=i: _span(s, s["type"], "ner", s["confidence"], i)) for i, f in enumerate(e.FAMILIES.values())]
-    found += [name_pairs(text, len(found)), capitalised_runs(text, len(found) + 1)]
-    return F.concat(*found, *(dictionary_spans(text, n, len(found) + i) for i, n in enumerate(e.DICTIONARIES)))
+    """Spans of all entity detectors; within a kind earlier detectors win."""
+    found = [m.first_writer_wins(F.concat(e.entity_spans(text, e.FAMILIES[f]), *(OTHERS[o](text) for o in others))) for f, others in GROUPS]
+    return F.concat(*(F.transform(x, lambda s, i=i: _span(s, s["type"], "ner", s["confidence"], i)) for i, x in enumerate(found)))
 
 
 def entities(text: Column) -> Column:

@@ -91,7 +91,7 @@ FIRST_NAMES = ["Sarah", "Carlos", "Priya", "James", "Mary"]
 LAST_NAMES = ["Chen", "Rodriguez", "Patel", "Smith", "Jones"]
 STOP_WORDS = ["The", "Call", "Card", "Box", "Oak", "New", "York", "Then", "Street", "Bank", "Group"]
 BIGRAM = r"\b[A-Z][a-zA-Z'-]+\s+[A-Z][a-zA-Z'-]+\b"
-CAPS = r"\b[A-Z][a-z]{1,19}(?:\s+[A-Z][a-z]{1,19}){1,3}\b"
+CAPS = r"\b[A-Z][a-z]{1,19}(?:[-'][A-Za-z]+)?(?:\s+[A-Z][a-z]{1,19}(?:[-'][A-Za-z]+)?){1,3}\b"
 #: Words that make a condition near them certain.
 MEDICAL_WORDS = "patient|diagnosed|prescribed|doctor|physician|hospital|clinic|treatment|symptoms?|chronic|acute|severe|mild|stage|medical|health|disease|disorder|condition|medication|drug|therapy|surgery|nurse|record"
 

@@ -74,40 +74,32 @@ QUERIES["ner_condition"] = _condition
 SQL["ner_condition"] = f"SELECT doc_id, span_start, span_end, CASE WHEN regexp_matches(substr(text, greatest(0, span_start - 60) + 1, span_end + 60 - greatest(0, span_start - 60)), '(?i)\\b(?:{e.MEDICAL_WORDS})\\b') THEN CAST(0.88 AS DOUBLE) ELSE CAST(0.72 AS DOUBLE) END AS confidence FROM ({sql_spans(c.TEXTS_SQL, _COND, True)})"
 
 
-def _bigrams(s, sf, regex):
-    return explode_spans(c.texts(s, sf).select("doc_id", "text", spans(F.col("text"), regex).alias("spans")))
+def _others(name):
+    return lambda s, sf: m.unfold(c.texts(s, sf).select("doc_id", an.OTHERS[name](F.col("text")).alias("spans"))).select("doc_id", "span_start", "span_end", "confidence")
 
 
-def _names(s, names):
-    return s.createDataFrame([(n,) for n in names], "name string")
-
-
-def _bigram(s, sf):
-    words = _bigrams(s, sf, e.BIGRAM).withColumn("w", F.split("value", r"\s+"))
-    first, last = F.broadcast(_names(s, e.FIRST_NAMES)), F.broadcast(_names(s, e.LAST_NAMES))
-    return words.join(first, F.col("w")[0] == first["name"], "left_semi").join(last, F.col("w")[1] == last["name"], "left_semi").select("doc_id", "span_start", "span_end", F.lit(0.84).alias("confidence"))
-
-
-QUERIES["ner_person_bigram"] = _bigram
+QUERIES["ner_person_bigram"] = _others("ner_person_bigram")
 _SPLIT = "regexp_split_to_array(value, '\\s+')"
-SQL["ner_person_bigram"] = f"SELECT doc_id, span_start, span_end, CAST(0.84 AS DOUBLE) AS confidence FROM ({sql_spans(c.TEXTS_SQL, e.BIGRAM)}) WHERE {_SPLIT}[1] IN {tuple(e.FIRST_NAMES)} AND {_SPLIT}[2] IN {tuple(e.LAST_NAMES)}"
-
+_BARE = "regexp_replace({}, '^[A-Z][a-z]+-', '')"
+_FIRSTS, _LASTS = tuple(e.FIRST_NAMES), tuple(e.LAST_NAMES)
+_KNOWN_LAST = " OR ".join(f"{x} IN {_LASTS}" for x in ("l", _BARE.format("l"), f"'Al-' || {_BARE.format('l')}", "'Al-' || l"))
+SQL["ner_person_bigram"] = f"""SELECT doc_id, span_start, span_end, CAST(0.84 AS DOUBLE) AS confidence FROM (SELECT *, {_SPLIT}[1] AS f, {_SPLIT}[2] AS l FROM ({sql_spans(c.TEXTS_SQL, e.BIGRAM)}))
+    WHERE (f IN {_FIRSTS} OR {_BARE.format('f')} IN {_FIRSTS}) AND ({_KNOWN_LAST})"""
+QUERIES["ner_person_caps"] = _others("ner_person_caps")
+SQL["ner_person_caps"] = f"SELECT doc_id, span_start, span_end, CAST(0.63 AS DOUBLE) AS confidence FROM (SELECT *, regexp_replace(substr(text, 1, span_start), '\\s+$', '') AS b FROM ({sql_spans(c.TEXTS_SQL, e.CAPS)})) WHERE b <> '' AND NOT regexp_matches(b, '[.!?]$') AND NOT list_has_any({_SPLIT}, {e.STOP_WORDS!r})"
 
-def _caps(s, sf):
-    before = F.rtrim(F.regexp_replace(F.substr("text", F.lit(1), F.col("span_start")), r"\s+\z", ""))
-    runs = _bigrams(s, sf, e.CAPS).where((before != "") & ~before.rlike(r"[.!?]\z")).select("doc_id", "span_start", "span_end", F.split("value", r"\s+").alias("w"))
-    stopped = runs.select("doc_id", "span_start", F.explode("w").alias("name")).join(F.broadcast(_names(s, e.STOP_WORDS)), "name", "left_semi").select("doc_id", "span_start").distinct()
-    return runs.join(stopped, ["doc_id", "span_start"], "left_anti").select("doc_id", "span_start", "span_end", F.lit(0.63).alias("confidence"))
+QUERIES["ner_all"] = lambda s, sf: m.unfold(c.texts(s, sf).select("doc_id", an.entities(F.col("text")).alias("spans"))).select("doc_id", "span_start", "span_end", "type", "confidence")
 
 
-QUERIES["ner_person_caps"] = _caps
-SQL["ner_person_caps"] = f"SELECT doc_id, span_start, span_end, CAST(0.63 AS DOUBLE) AS confidence FROM (SELECT *, regexp_replace(substr(text, 1, span_start), '\\s+$', '') AS b FROM ({sql_spans(c.TEXTS_SQL, e.CAPS)})) WHERE b <> '' AND NOT regexp_matches(b, '[.!?]$') AND NOT list_has_any({_SPLIT}, {e.STOP_WORDS!r})"
+def _group_sql(family, others):
+    """Spans of one kind of entity: each detector's in turn, where none before it has a place."""
+    type_ = {"ner_person_bigram": "person", "ner_person_caps": "person"} | {n: t for n, (t, _, _) in e.DICTIONARIES.items()}
+    found = [entity_sql(x, i) for i, x in enumerate(e.FAMILIES[family])]
+    found += [f"SELECT doc_id, span_start, span_end, '{type_[o]}' AS type, confidence, {len(found) + i} AS ord FROM ({SQL[o]})" for i, o in enumerate(others)]
+    return folded_sql(" UNION ALL ".join(found), "ord, span_start", FIRST_WINS)
 
 
-QUERIES["ner_all"] = lambda s, sf: m.unfold(c.texts(s, sf).select("doc_id", an.entities(F.col("text")).alias("spans"))).select("doc_id", "span_start", "span_end", "type", "confidence")
-#: All entity detectors with the type of each, in the order in which ties are settled.
-_KINDS = [(n, "type") for n in e.FAMILIES] + [("ner_person_bigram", "'person'"), ("ner_person_caps", "'person'")] + [(n, f"'{t}'") for n, (t, _, _) in e.DICTIONARIES.items()]
-_EVERY = " UNION ALL ".join(f"SELECT doc_id, span_start, span_end, {t} AS type, confidence, {i} AS ord FROM ({SQL[n]})" for i, (n, t) in enumerate(_KINDS))
+_EVERY = " UNION ALL ".join(f"SELECT doc_id, span_start, span_end, type, confidence, {i} AS ord FROM ({_group_sql(*x)})" for i, x in enumerate(an.GROUPS))
 SQL["ner_all"] = folded_sql(_EVERY, "span_start, -confidence, ord", SWEEP)
 
 

@@ -15,6 +15,7 @@ from redactory.operators import surrogate as g
 from redactory.plans.policy_queries import SQL as POLICY_SQL
 from redactory.plans.policy_queries import SEV, SEV_BACK, SPANS_SQL, acted, acted_sql, case, spans, spans_in_text
 from redactory.sources import corpus as c
+from redactory.sources import storage as st
 
 QUERIES, SQL = {}, {}
 VALUE = "type, value FROM (" + SPANS_SQL + ")"
@@ -145,7 +146,7 @@ MASKED_SQL = f"""SELECT t.doc_id, CASE WHEN k IS NULL THEN text ELSE
         SELECT doc_id, list([{{'a': span_start, 'b': span_end, 'm': {MASK}}}] ORDER BY span_start, -span_end, {MASK}) AS l FROM ({SPANS_SQL}) GROUP BY doc_id)) f ON t.doc_id = f.doc_id"""
 SQL["redact_text"] = MASKED_SQL
 SQL["sink_protected"] = f"SELECT doc_id, length(protected) AS chars, sha256(protected) AS content_hash FROM ({MASKED_SQL})"
-QUERIES["sink_protected"] = lambda s, sf: masked(s, sf).select("doc_id", F.length("protected").alias("chars"), F.sha2(F.col("protected").cast("binary"), 256).alias("content_hash"))
+QUERIES["sink_protected"] = lambda s, sf: st.cut(masked(s, sf), "protected").select("doc_id", F.length("protected").alias("chars"), F.sha2(F.col("protected").cast("binary"), 256).alias("content_hash"))
 QUERIES["protect_text"] = lambda s, sf: protected(s, sf, lambda x: F.when(F.col("doc_id") % 4 == 0, x["value"]).when(F.col("doc_id") % 4 == 1, F.lit("<custom>")).when(F.col("doc_id") % 4 == 2, v.mask_placeholder(x["display_name"])).otherwise(g.surrogate(x["type"], x["value"])))
 QUERIES["replacement_chosen"] = lambda s, sf: spans(s, sf).select("doc_id", "span_start", "type", r.chosen(F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).when(F.col("doc_id") % 3 == 1, v.mask_placeholder(F.col("display_name"))).otherwise(F.col("value"))).alias("choice"))
 SQL["replacement_chosen"] = f"SELECT doc_id, span_start, type, CASE doc_id % 3 WHEN 0 THEN 'original' WHEN 1 THEN 'masked' ELSE 'dummy' END AS choice FROM ({SPANS_SQL})"
@@ -256,7 +257,8 @@ def _warn(s, sf):
 SQL["warn_event"] = f"""SELECT a.doc_id, detections, 'sha256:' || sha256(text) AS content_hash FROM ({POLICY_SQL['policy_action']}) a
     JOIN (SELECT doc_id, count(*) AS detections FROM ({SPANS_SQL}) GROUP BY 1) n ON a.doc_id = n.doc_id JOIN ({c.TEXTS_SQL}) t ON a.doc_id = t.doc_id WHERE action = 'warn'"""
 QUERIES["warn_event"] = _warn
-QUERIES["sink_warn"] = lambda s, sf: _warn(s, sf).withColumn("event_date", F.lit("2024-01-01").cast("date"))
+QUERIES["sink_warn"] = lambda s, sf: st.audited(_warn(s, sf))
+SQL["sink_warn"] = SQL["warn_event"]
 
 
 def _bypass(s, sf):
@@ -265,9 +267,9 @@ def _bypass(s, sf):
 
 
 QUERIES["bypass_event"] = lambda s, sf: _bypass(s, sf).select("doc_id", "content_type", F.to_json("by_type").alias("by_type"), F.coalesce("total", F.lit(0)).alias("total"))
-QUERIES["sink_bypass"] = lambda s, sf: _bypass(s, sf).select("doc_id", "content_type", F.coalesce("total", F.lit(0)).alias("total"))
+QUERIES["sink_bypass"] = lambda s, sf: st.audited(_bypass(s, sf).select("doc_id", "content_type", F.coalesce("total", F.lit(0)).alias("total")))
 _BY_TYPE = f"""SELECT doc_id, '{{' || string_agg('"' || type || '":' || n, ',' ORDER BY type) || '}}' AS by_type, sum(n) AS n FROM (SELECT doc_id, type, count(*) AS n FROM ({SPANS_SQL}) GROUP BY 1, 2) GROUP BY 1"""
 SQL["bypass_event"] = f"SELECT e.doc_id, content_type, by_type, coalesce(b.n, 0) AS total FROM ({_EVENT}) e LEFT JOIN ({_BY_TYPE}) b ON e.doc_id = b.doc_id"
 SQL["sink_bypass"] = f"SELECT doc_id, content_type, total FROM ({SQL['bypass_event']})"
-QUERIES["zk_event"] = lambda s, sf: spans(s, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.to_json(F.array_sort(F.collect_list(F.struct("span_start", "type")))).alias("details")).select("doc_id", "total", F.octet_length(F.aes_encrypt(F.col("details").cast("binary"), F.unhex(F.md5(F.col("doc_id").cast("string").cast("binary"))), F.lit("GCM"))).alias("sealed_bytes"))
+QUERIES["zk_event"] = lambda s, sf: spans(s, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.to_json(F.array_sort(F.collect_list(F.struct("span_start", "type")))).alias("details")).select("doc_id", "total", F.octet_length(st.sealed(F.col("details"), st.seal_key(s))).alias("sealed_bytes"))
 SQL["zk_event"] = f"SELECT doc_id, count(*) AS total, 28 + strlen('[' || string_agg('{{\"span_start\":' || span_start || ',\"type\":\"' || type || '\"}}', ',') || ']') AS sealed_bytes FROM ({SPANS_SQL}) GROUP BY 1"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -110,3 +111,26 @@ def append_audit(events: DataFrame, path: str) -> None:
     if {"value", "text", "original"} & set(events.columns):
         raise ValueError("audit rows must not carry raw values")
     events.write.mode("append").partitionBy("event_date").parquet(path)
+
+
+def audited(events: DataFrame) -> DataFrame:
+    """Append events of today to a new audit folder and read back what the folder then holds, without the day."""
+    rows = events.withColumn("event_date", F.current_date())
+    path = scratch(events.sparkSession, "audit")
+    append_audit(rows, path)
+    return events.sparkSession.read.schema(rows.schema).parquet(path).drop("event_date")
+
+
+#: Setting with the key, 32 hexadecimal digits, that seals the details of audit events.
+SEAL_SETTING = "redactory.audit.sealKey"
+
+
+def seal_key(spark: SparkSession) -> bytes:
+    """The key of the setting; where it is unset a fresh one, with which nobody can open what is sealed."""
+    given = spark.conf.get(SEAL_SETTING, None)
+    return bytes.fromhex(given) if given else os.urandom(16)
+
+
+def sealed(details: Column, key: bytes) -> Column:
+    """Details as nonce, cipher text and tag (AES-GCM); aes_decrypt opens them with the same key."""
+    return F.aes_encrypt(details.cast("binary"), F.lit(key), F.lit("GCM"))

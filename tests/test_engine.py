@@ -16,7 +16,7 @@ from redactory.functions import spans as sp
 from redactory.functions import values as v
 from redactory.functions.bank import BANK
 from redactory.operators import detect as d
-from redactory.operators import entities, mappings, merge, plugins, policy, predictions, redact, surrogate
+from redactory.operators import analysis, entities, mappings, merge, plugins, policy, predictions, redact, surrogate
 from redactory.plans import registry
 from redactory.sources import storage
 
@@ -165,6 +165,36 @@ def test_surrogates_keep_their_shape(spark):
     assert own.first()["out"] == "mine"
 
 
+def test_analysis_runs_every_stage(spark):
+    text = "We met Dr. Ann Chen there. Later, Sarah Chen, old Carlos Al-Patel and a patient with asthma wrote to jo@corp.com about proj-77. His salary is $120,000."
+    df = spark.createDataFrame([(1, text), (1, "nothing here"), (2, None), (3, "")], "doc_id long, text string")
+    own = analysis.detected(F.col("text"), [r"\bproj-\d+"], ["patient with"], analysis.entities, ("wrote",), ("nowhere",))
+    rows = analysis.classified(df.select("doc_id", "text", own.alias("spans")), "spans", analysis.cue_probabilities).collect()
+    got = {(text[r["span_start"] : r["span_end"]], r["source"]) for r in rows}
+    assert {r["doc_id"] for r in rows} == {1} and all(r["confidence"] >= 0.3 and r["severity"] for r in rows)
+    assert {("jo@corp.com", "regex"), ("proj-77", "custom"), ("patient with", "custom"), ("Dr. Ann Chen", "ner"), ("Sarah Chen", "ner"), ("Carlos Al-Patel", "ner"), ("asthma", "ner"), ("$120,000", "context")} <= got, got
+    plain = analysis.detected(F.col("text"))
+    semantic = lambda t: F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("stop"), F.lit("custom").alias("type"), F.lit("semantic").alias("source"), F.lit(0.9).alias("confidence"), F.lit(0).alias("ord")))
+    for detector, n in ((None, 0), (semantic, 1)):
+        out = analysis.analyzed(df.where("doc_id = 1"), plain, detector).collect()
+        full = next(r for r in out if r["spans"] and len(r["spans"]) > 1)
+        assert len(out) == 2 and full["semantic_count"] == n and full["ner_count"] >= 3 and full["regex_count"] >= 2
+        assert len(full["surrogates"]) == len(full["spans"]) and "text" not in full.asDict()
+        assert [s["start"] for s in full["spans"]] == sorted(s["start"] for s in full["spans"])
+        assert all(a != text[s["start"] : s["stop"]] for s, a in zip(full["spans"], full["surrogates"], strict=True))
+
+
+def test_sealed_details_open_with_their_key_only(spark):
+    df = spark.createDataFrame([("[1, 2]",)], "details string").select(storage.sealed(F.col("details"), b"k" * 16).alias("x"))
+    assert df.select(F.aes_decrypt("x", F.lit(b"k" * 16), F.lit("GCM")).cast("string").alias("y")).first()["y"] == "[1, 2]"
+    with pytest.raises(Exception, match="AES|decrypt|CRYPTO"):
+        df.select(F.aes_decrypt("x", F.lit(b"q" * 16), F.lit("GCM"))).collect()
+    assert storage.seal_key(spark) != storage.seal_key(spark)
+    spark.conf.set(storage.SEAL_SETTING, "00" * 16)
+    assert storage.seal_key(spark) == bytes(16)
+    spark.conf.unset(storage.SEAL_SETTING)
+
+
 def test_plugins_and_audit_sink(spark, tmp_path):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert plugins.run_detectors(df, "missing").count() == 0
