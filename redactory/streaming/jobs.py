@@ -53,13 +53,17 @@ def resend_suppressed(events: DataFrame, within: str = "10 seconds") -> DataFram
     return hashed.withWatermark("ts", within).dropDuplicatesWithinWatermark(["user_id", "content_hash"]).select("event_id", "user_id", "content_hash")
 
 
-def one_shot(events: DataFrame, key: str, grants: str, uses: str, seconds: int = 5) -> DataFrame:
+def one_shot(events: DataFrame, key: str, grants: str, uses: str, seconds: int = 5, late: str = "1 hour") -> DataFrame:
     """A grant lets exactly one later use of its key through, if it comes in time.
 
-    State per key is one time stamp, so keys scale out over the state stores.
+    State per key is one time stamp, so keys scale out over the state stores; it goes
+    when the grant is used or when event time, less what rows may be late, has passed its end.
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         granted = state.get[0] if state.exists else None
         out = []
@@ -72,15 +76,16 @@ def one_shot(events: DataFrame, key: str, grants: str, uses: str, seconds: int =
                 out.append((event_id, int(k[0]), passed))
                 if passed:
                     granted = None
-        if granted is None:
-            if state.exists:
-                state.remove()
-        else:
+        ends = None if granted is None else int((granted + seconds) * 1000) + 1
+        if ends is not None and ends > state.getCurrentWatermarkMs():
             state.update((granted,))
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["event_id", "k", "passed"])
 
-    own = events.select(F.col(key).cast("long").alias("k"), "ts", "event_id", "event_type").where(F.col("event_type").isin(grants, uses))
-    return own.groupBy("k").applyInPandasWithState(step, "event_id long, k long, passed boolean", "granted double", "append", GroupStateTimeout.NoTimeout)
+    own = events.withWatermark("ts", late).select(F.col(key).cast("long").alias("k"), "ts", "event_id", "event_type").where(F.col("event_type").isin(grants, uses))
+    return own.groupBy("k").applyInPandasWithState(step, "event_id long, k long, passed boolean", "granted double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def with_refresh(stream: DataFrame, load: Callable[[], DataFrame], handle: Callable[[DataFrame, DataFrame, int], None]) -> None:
