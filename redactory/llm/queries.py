@@ -76,6 +76,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(common.table(spark, sf_dir, "documents"), shards=24)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.resample import resample
+
+    return resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), width=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.hmm import lm_scores
+
+    return lm_scores(common.table(spark, sf_dir, "documents"), folds=7, held=2)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.align import align_documents
+
+    return align_documents(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         common.ship(spark)
@@ -85,10 +103,28 @@ def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe_codec, op2_exact_dedup, op3_quality, op4_packing, op5_toxicity, op6_media, op7_language, op8_near_dedup, op9_token_files, op10_sharding)
+    own = (op1_bpe_codec, op2_exact_dedup, op3_quality, op4_packing, op5_toxicity, op6_media, op7_language, op8_near_dedup, op9_token_files, op10_sharding, op11_resampling, op12_lm_scoring, op13_token_alignment)
     return {f.__name__: _shipped(f) for f in own}
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The same rows by DuckDB, which has no CRC: it is worked out byte by byte, once for each distinct word.
+RESAMPLING_SQL = f"""
+    WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents), b AS (SELECT {_WORDS} AS words FROM benchmark),
+         tab AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+         own AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM d) GROUP BY 1), goal AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM b) GROUP BY 1),
+         v AS (SELECT word, (xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS INTEGER), 2))::BIGINT)),
+                 lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1])), 4294967295)) % 10000 AS bucket FROM (SELECT word FROM own UNION SELECT word FROM goal), tab),
+         s AS (SELECT bucket, sum(n)::BIGINT AS s FROM own JOIN v USING (word) GROUP BY 1), t AS (SELECT bucket, sum(n)::BIGINT AS t FROM goal JOIN v USING (word) GROUP BY 1),
+         g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM own) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM goal) + 10000)::DOUBLE))) AS BIGINT) AS gain
+               FROM (SELECT DISTINCT bucket FROM v) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+         w AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word FROM d) GROUP BY 1, 2) JOIN v USING (word) JOIN g USING (bucket) GROUP BY 1),
+         x AS (SELECT d.doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN w ON d.doc_id = w.doc_id),
+         r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM x WHERE n_features >= 20)
+    SELECT x.doc_id, n_features, weight, score, CASE WHEN place <= (10 * (SELECT count(*) FROM r)) // 100 THEN place END AS rank FROM x LEFT JOIN r ON x.doc_id = r.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": """
@@ -97,4 +133,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.text) AS text_sha256
             FROM d JOIN g ON d.text = g.text
         """,
+        "op11_resampling": RESAMPLING_SQL,
     }
