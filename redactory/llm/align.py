@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from array import array
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -22,31 +22,35 @@ from pyspark.sql import functions as F
 
 from redactory.llm.bpe import byte_alphabet
 from redactory.llm.common import in_worker, materialise, parts_of, per_batch
-from redactory.llm.lexicon import frequent, summed, tallied
+from redactory.llm.lexicon import frequent
+from redactory.llm.tokenids import IdCoder
 
 #: Numbers of B ids in a pair's key: key = a * SIDE + b, below 2^31 for vocabularies of up to 65,000 and 32,000.
 SIDE = 32_768
 #: Most pairs of the hash that is sent to all tasks (about 14 bytes each); rarer pairs beyond it are joined.
 MOST_PAIRS = 4_000_000
 #: Keys of a slice of the hash, counters of a segment of the vectors, and words that a worker keeps.
-SLICE_KEYS, SEGMENT, KEPT_WORDS = 16_384, 32_768, 250_000
+SLICE_KEYS, SEGMENT, KEPT_WORDS = 16_384, 32_768, 500_000
+#: Characters that are aligned at once, and pairs that a task holds before it sums them up, or hands them on.
+PORTION, HELD_PAIRS = 1 << 20, 2_000_000
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
-class Word(NamedTuple):
-    """What a chunk of text between single spaces, with the space before it, gives; both tokenizers break there."""
+class Aligned(NamedTuple):
+    """Several texts, one after the other: their tokens, links and groups."""
 
-    n_a: int
-    n_b: int
+    a: np.ndarray  # ids
+    b: np.ndarray
+    links: np.ndarray  # keys of all overlapping pairs of tokens, in order
+    a_group: np.ndarray  # each token's group
+    b_group: np.ndarray
     n_groups: int
-    links: tuple[int, ...]  # keys of all overlapping pairs of tokens
-    groups: str
-    equal: bool  # both sides' bytes are the chunk's
+    sizes: np.ndarray  # a row for each text: tokens of A and of B, groups, links
 
 
 class Aligner:
-    """Words of a text and their alignment, kept by word in each worker.
+    """Tokens of texts on both sides and their alignment; ids are kept by word in each worker.
 
     Neither tokenizer lets a token go on across a single space between two other
     signs: a space only begins pieces in both vocabularies (checked for B, true
@@ -55,20 +59,25 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        self.coder = IdCoder(a_path)
+        self.coder.tokenizer.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=b_path)
         alphabet = {c: bytes([i]) for i, c in enumerate(byte_alphabet())}
-        self.a_bytes = {i: b"".join(map(alphabet.__getitem__, t)) if all(c in alphabet for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        tokens = self.coder.tokenizer.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(tokens.values()) + 1)
+        for t, i in tokens.items():
+            self.a_bytes[i] = b"".join(map(alphabet.__getitem__, t)) if all(c in alphabet for c in t) else t.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes.fromhex(m[1]) if (m := _BYTE.match(p)) else p.replace("▁", " ").encode() for p in pieces]
+        if not {bytes([i]) for i in range(256)} <= set(self.a_bytes):
+            raise ValueError("the first vocabulary lacks a byte")
         if len(pieces) > SIDE or any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("the second vocabulary has too many pieces, or pieces that go on across a space")
-        self.words: dict[str, Word] = {}
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_words: dict[str, bytes] = {}
+        self.b_words: dict[str, bytes] = {}
+        self.unequal: set[str] = set()  # words that B does not give back; A, with a token for each byte, always does
 
     def split(self, text: str) -> list[str]:
         """The text's words; where other white space or runs of spaces come, they stay inside one."""
@@ -76,39 +85,68 @@ class Aligner:
         return words if " ".join(words) == text else _INNER.split(text)
 
     def learn(self, words: set[str]) -> None:
-        """Align the words that are not kept yet, in one call of each tokenizer."""
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        new = [w for w in words if w not in self.words]
-        if not new:
-            return
-        for w, a, b in zip(new, self.a.encode_batch([" " + w for w in new], add_special_tokens=False), self.b.encode(new, num_threads=1), strict=True):
-            self.words[w] = self.aligned((" " + w).encode(), a.ids, b)
-
-    def aligned(self, text: bytes, a: list[int], b: list[int]) -> Word:
-        """Groups between common ends; a link for each pair of tokens whose bytes overlap."""
-        sides = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if any(b"".join(s) != text for s in sides):
-            return Word(0, 0, 0, (), "", False)
-        a_end, b_end = (list(np.cumsum([len(x) for x in s]).tolist()) for s in sides)
-        i = j = a_from = b_from = 0
-        links, groups = [], []
-        while i < len(a):  # each step is one stretch between neighbouring ends, which one pair shares
-            links.append(a[i] * SIDE + b[j])
-            x, y = a_end[i], b_end[j]
-            i += x <= y
-            j += y <= x
-            if x == y:
-                groups.append(",".join(map(str, a[a_from:i])) + "|" + ",".join(map(str, b[b_from:j])))
-                a_from, b_from = i, j
-        return Word(len(a), len(b), len(groups), tuple(links), ";".join(groups), True)
-
-    def pairs(self, text: str) -> set[int]:
-        """Distinct linked pairs of a text."""
-        words = set(self.split(text))
-        self.learn(words)
-        found = [self.words[w] for w in words]
-        return set().union(*(f.links for f in found)) if all(f.equal for f in found) else set()
+        """Tokens of the words that are not kept yet, each with the space before it."""
+        if len(self.a_words) > KEPT_WORDS:
+            self.a_words.clear()
+            self.b_words.clear()
+            self.unequal.clear()
+            self.coder.pieces.clear()
+        new = list(words - self.a_words.keys())
+        for w, b in zip(new, self.b.encode(new, num_threads=1) if new else ()):
+            ids = self.coder.chunks[" " + w]
+            ids = self.coder.whole(" " + w) if ids is None else ids
+            if b"".join(map(self.b_bytes.__getitem__, b)) != (" " + w).encode():
+                self.unequal.add(w)
+            self.a_words[w], self.b_words[w] = ids, array("I", b).tobytes()
+        self.coder.chunks.clear()
+
+    def align(self, texts: list[str | None]) -> Aligned:
+        """All texts at once: each stretch between neighbouring ends of either side is one link."""
+        split = [self.split(t) if t else [] for t in texts]
+        self.learn(set().union(*split))
+        if self.unequal:
+            split = [w if self.unequal.isdisjoint(w) else [] for w in split]
+        sides = []
+        for known, size in ((self.a_words, self.a_size), (self.b_words, self.b_size)):
+            found = [b"".join(map(known.__getitem__, w)) for w in split]
+            ids = np.frombuffer(b"".join(found), np.uint32).astype(np.int64)
+            sides.append((ids, np.cumsum(size[ids]), np.array([len(x) // 4 for x in found], np.int64)))
+        (a, a_end, n_a), (b, b_end, n_b) = sides
+        size = int(a_end[-1]) + 1 if len(a_end) else 1
+        a_here, b_here = np.zeros(size, bool), np.zeros(size, bool)  # whether a token ends at a byte
+        a_here[a_end], b_here[b_end] = True, True
+        both = a_here & b_here
+        ends = np.flatnonzero(a_here | b_here)
+        links = a[np.cumsum(a_here, dtype=np.int32)[ends - 1]] * SIDE + b[np.cumsum(b_here, dtype=np.int32)[ends - 1]]
+        groups_upto = np.cumsum(both, dtype=np.int32)
+        text_end = np.concatenate([[0], a_end])[np.cumsum(n_a)]
+        counts = [np.diff(x[text_end], prepend=0) for x in (groups_upto, np.cumsum(a_here | b_here, dtype=np.int32))]
+        return Aligned(a, b, links, groups_upto[a_end - 1], groups_upto[b_end - 1], int(groups_upto[-1]), np.stack([n_a, n_b, *counts], 1).astype(np.int64))
+
+    def groups(self, x: Aligned) -> list[str]:
+        """Of each text: ids of A, a bar, ids of B in every group; empty without tokens."""
+        if not hasattr(self, "signs"):
+            self.signs = [np.array([f"{i}{sign}" for sign in signs for i in range(n)], object) for n, signs in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;"))]
+        out = np.empty(len(x.a) + len(x.b), object)
+        a_last, b_last = (np.append(g[1:] != g[:-1], [True] * (len(g) > 0)) for g in (x.a_group, x.b_group))
+        a_upto, b_upto = (np.cumsum(np.bincount(g, minlength=x.n_groups)) for g in (x.a_group, x.b_group))
+        out[np.arange(len(x.a)) + np.append(0, b_upto)[x.a_group]] = self.signs[0][x.a + len(self.a_bytes) * a_last]
+        out[np.arange(len(x.b)) + a_upto[x.b_group]] = self.signs[1][x.b + len(self.b_bytes) * b_last]
+        every, stops = out.tolist(), np.cumsum(x.sizes[:, 0] + x.sizes[:, 1]).tolist()
+        return ["".join(every[i:j])[:-1] for i, j in zip([0, *stops], stops)]
+
+
+def portions(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of about PORTION characters or one text."""
+    own, size = [], 0
+    for t in texts:
+        if own and size + len(t or "") > PORTION:
+            yield own
+            own, size = [], 0
+        own.append(t)
+        size += len(t or "")
+    if own:
+        yield own
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
@@ -220,6 +258,40 @@ def dense_counts(tallies: DataFrame, pairs: PairHash, fan: int = 16) -> np.ndarr
     return found
 
 
+def task_pairs(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """(pair, n): in how many texts of its task each pair is linked, one row a pair unless a task holds very many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, size = aligner(a_path, b_path), [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["pair", "n"])
+
+        for batch in batches:
+            for part in parts_of(batch):
+                for some in portions(part.column("text").to_pylist()):
+                    x = own.align(some)
+                    by_text = np.unique(np.repeat(np.arange(len(some)), x.sizes[:, 3]) << 31 | x.links)
+                    held.append(np.unique(by_text & (1 << 31) - 1, return_counts=True))
+                    size += len(held[-1][0])
+                    if size > HELD_PAIRS:
+                        held, size = [added(held)], 0
+                        if len(held[0][0]) > HELD_PAIRS:
+                            yield from out()
+                            held = []
+        held = [added(held)] if held else []
+        yield from out()
+
+    return texts.select("text").mapInArrow(run, "pair long, n long")
+
+
+def added(tallies: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Several lists of distinct keys and their counts as one."""
+    keys, at = np.unique(np.concatenate([k for k, _ in tallies]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in tallies]), len(keys)).astype(np.int64)
+
+
 def align_documents(docs: DataFrame, a_path: str, b_path: str, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row.
 
@@ -234,17 +306,14 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, most_pairs: int =
     be more, the links of the others, which are rare, are joined to their counts.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(True).alias("learn"))
-
-    def of_task() -> Callable[[str], set[int]]:
-        return lambda text: aligner(a_path, b_path).pairs(text)
-
-    tallies = materialise(tallied(texts, of_task, "pair long").select("pair", "n", "learned"), "align-pairs")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tallies = materialise(task_pairs(texts, a_path, b_path), "align-pairs")
     keys = materialise(tallies.select("pair").distinct(), "align-keys")
     n = keys.count()
     rare = None
-    if n > most_pairs:
-        every = materialise(summed(tallies).select("pair", "n"), "align-counts")
+    whole = n <= most_pairs
+    if not whole:
+        every = materialise(tallies.groupBy("pair").agg(F.sum("n").alias("n")), "align-counts")
         keys = materialise(frequent(every, most_pairs).select("pair"), "align-head")
         n = keys.count()
         rare = every.join(keys, "pair", "left_anti")
@@ -252,7 +321,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, most_pairs: int =
     counts = dense_counts(tallies, pairs)
     best = np.zeros(1 << 17, np.int64)  # by A id
     np.maximum.at(best, pairs.keys // SIDE, counts)
-    if rare is not None:
+    if not whole:
         for r in rare.groupBy(F.expr(f"pair div {SIDE}").cast("int").alias("a")).agg(F.max("n").alias("n")).collect():  # a row an A id
             best[r.a] = max(best[r.a], r.n)
     sent = spark.sparkContext.broadcast((pairs, counts, best))
@@ -260,52 +329,30 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, most_pairs: int =
     def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         own = aligner(a_path, b_path)
         pairs, counts, best = sent.value
-        sums: dict[str, tuple[int, int, tuple[int, ...]]] = {}
-
-        def look_up(words: set[str]) -> None:
-            """Each new word's sum of counts, number of best links, and links without a count here."""
-            if len(sums) > KEPT_WORDS:
-                sums.clear()
-            new = [w for w in words if w not in sums]
-            links = np.array([k for w in new for k in own.words[w].links], np.int64)
-            at = pairs(links)
-            found = np.where(at >= 0, counts[at], 0) if len(counts) else np.zeros(len(links), np.int64)
-            top, missing, i = (found == best[links // SIDE]) & (at >= 0), at < 0, 0
-            for w in new:
-                j = i + len(own.words[w].links)
-                sums[w] = int(found[i:j].sum()), int(top[i:j].sum()), tuple(links[i:j][missing[i:j]].tolist()) if missing[i:j].any() else ()
-                i = j
-
-        def one(text: str | None) -> tuple:
-            words = own.split(text) if text else []
-            times = Counter(words)
-            own.learn(times.keys())
-            if not words or not all(own.words[w].equal for w in times):
-                return 0, 0, 0, 0, 0, 0, "", []
-            look_up(times.keys())
-            n_a = n_b = n_groups = n_links = n_best = total = 0
-            rest: Counter = Counter()
-            for w, m in times.items():
-                x, (count, top, missing) = own.words[w], sums[w]
-                n_a, n_b, n_groups, n_links = n_a + m * x.n_a, n_b + m * x.n_b, n_groups + m * x.n_groups, n_links + m * len(x.links)
-                n_best, total = n_best + m * top, total + m * count
-                for k in missing:
-                    rest[k] += m
-            groups = ";".join([own.words[w].groups for w in words])
-            return n_a, n_b, n_groups, n_links, n_best, total, hashlib.sha256(groups.encode()).hexdigest(), [{"pair": k, "times": m} for k, m in rest.items()]
-
         names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "rest"]
         kinds = [*[pa.int64()] * 6, pa.string(), pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())]))]
 
+        def looked_up(texts: list[str | None]) -> Iterator[tuple]:
+            x = own.align(texts)
+            at = pairs(x.links)
+            found = np.where(at >= 0, counts[at], 0) if len(counts) else np.zeros(len(at), np.int64)
+            top = (found == best[x.links // SIDE]) & (at >= 0)
+            stops = np.cumsum(x.sizes[:, 3])
+            sums = [np.diff(np.append(0, np.cumsum(v))[stops], prepend=0).tolist() for v in (top, found)]
+            rests = [[{"pair": k, "times": n} for k, n in zip(*map(np.ndarray.tolist, np.unique(x.links[i:j][at[i:j] < 0], return_counts=True)))] for i, j in zip([0, *stops[:-1]], stops)] if not whole else [[]] * len(texts)
+            hashes = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in own.groups(x)]
+            return zip(*x.sizes.T.tolist(), *sums, hashes, rests, strict=True)
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            made = list(zip(*map(one, batch.column("text").to_pylist()), strict=True)) or [()] * len(names)
+            rows = [r for some in portions(batch.column("text").to_pylist()) for r in looked_up(some)]
+            made = list(zip(*rows, strict=True)) or [()] * len(names)
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], ["doc_id", *names])
 
         return step
 
     kind = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, rest array<struct<pair:long,times:long>>"
     done = per_batch(texts.select("doc_id", "text"), start, kind)
-    if rare is None:
+    if whole:
         return done.drop("rest")
     done = materialise(done.withColumn("row", F.monotonically_increasing_id()), "align-rows")
     tops = spark.createDataFrame([(i, int(n)) for i, n in enumerate(best) if n], "a int, top long")  # a row an A id

@@ -11,6 +11,7 @@ Spark; nothing but the parameters, whose size is fixed, passes the driver.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 from zlib import crc32
@@ -25,12 +26,12 @@ from redactory.llm.lexicon import frequent, summed, tallied
 
 #: Words that are symbols, words whose counts are sent to all tasks (both at most), and classes of the other words.
 SYMBOL_WORDS, HEAD_WORDS, ENDINGS = 8192, 200_000, 64
-STATES, ROUNDS = 16, 3
-#: First parameters are made from at most so many training texts of at most so many words, in so many rounds; the
+STATES, ROUNDS = 12, 3
+#: First parameters are made from about so many training texts, drawn by hash, of at most so many words, in so many rounds; the
 #: rounds over all training texts start there.
 SEED_TEXTS, SEED_WORDS, SEED_ROUNDS = 1500, 3000, 15
 #: Texts worked on side by side, steps kept between them, and cells of one such table at most.
-LANES, SPAN, CELLS = 1024, 256, 8_000_000
+LANES, SPAN, CELLS = 1024, 1024, 4_000_000
 #: Weight of the symbols' plain shares in each state, in tokens.
 PRIOR = 10.0
 
@@ -74,12 +75,12 @@ def tables(texts: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.
 
 def forward(m: Model, grid: np.ndarray, active: np.ndarray, lo: int, hi: int, alpha: np.ndarray, keep: np.ndarray | None = None, scales: np.ndarray | None = None) -> np.ndarray:
     """Steps lo to hi of the scaled recursion, in place in alpha; the logarithms of the scales, summed by lane."""
-    total = np.zeros(len(alpha))
+    total, ones = np.zeros(len(alpha)), np.ones(len(m.first), m.first.dtype)
     for t in range(lo, hi):
         n = active[t]
         seen = m.show[grid[t, :n]]
         seen *= alpha[:n] @ m.move if t else m.first
-        scale = seen.sum(1)
+        scale = seen @ ones  # their sums; faster than sum() over short rows
         np.divide(seen, scale[:, None], out=alpha[:n])
         total[:n] += np.log(scale)
         if keep is not None:
@@ -99,27 +100,29 @@ def gather(m: Model, texts: list[np.ndarray], into: Gathered) -> None:
     """Add the expected counts of these sequences (forward-backward).
 
     Only each span's first messages are kept on the way forward; a span's own are
-    made again on the way back, so memory does not follow a text's length.
+    made again on the way back, so memory does not follow a text's length. Messages
+    are in single precision, their sums in double.
     """
     states = len(m.first)
+    exact, m = m, Model(*(x.astype(np.float32) for x in m))
     for lanes, grid, active in tables([t for t in texts if len(t)]):
         steps, starts = len(grid), []
-        alpha = np.zeros((len(lanes), states))
+        alpha = np.zeros((len(lanes), states), np.float32)
         for lo in range(0, steps, SPAN):
             starts.append(alpha.copy())
             if lo + SPAN < steps:
                 forward(m, grid, active, lo, lo + SPAN, alpha)
         moved = np.zeros((states, states))
-        ahead = np.zeros((0, states))  # what the next step says of this one
+        ahead = np.zeros((0, states), np.float32)  # what the next step says of this one
         for lo in range(0, steps, SPAN)[::-1]:
             hi = min(lo + SPAN, steps)
             wide = active[lo]
-            keep, scales = np.zeros((hi - lo, wide, states)), np.ones((hi - lo, wide))
+            keep, scales = np.zeros((hi - lo, wide, states), np.float32), np.ones((hi - lo, wide), np.float32)
             forward(m, grid, active, lo, hi, starts.pop()[:wide], keep, scales)
             for t in range(hi - 1, lo - 1, -1):
                 n, more = active[t], len(ahead)
                 own = keep[t - lo]
-                beta = np.ones((n, states))
+                beta = np.ones((n, states), np.float32)
                 if more:
                     moved += own[:more].T @ ahead
                     beta[:more] = ahead @ m.move.T
@@ -128,11 +131,11 @@ def gather(m: Model, texts: list[np.ndarray], into: Gathered) -> None:
                 ahead /= scales[t - lo, :n, None]
                 own[:n] *= beta
             if lo == 0:
-                into.first[:] += keep[0].sum(0)
+                into.first[:] += keep[0].sum(0, dtype=np.float64)
             cells = grid[lo:hi, :wide].ravel()
             for s in range(states):
                 into.show[:, s] += np.bincount(cells, keep[:, :, s].ravel(), len(into.show))
-        into.move[:] += moved * m.move
+        into.move[:] += moved * exact.move
 
 
 def empty(states: int, symbols: int) -> Gathered:
@@ -224,35 +227,33 @@ def coded(rows: DataFrame, counts: Counts) -> DataFrame:
     classes = len(counts.symbols)
     last = counts.size - 1
 
-    class Known(dict):
-        """word -> symbol, log10 base, log10 share in its class, known; None without a count here."""
+    class Head(dict):
+        """word -> its place in the columns below; -1 for a word without a count here."""
 
-        def __missing__(self, word: bytes):
-            c = counts.head.get(word)
-            if c is None:
-                return None
-            symbol = counts.symbols.get(word)
-            self[word] = out = (classes + ending(word), counts.base(c), counts.share(word, c), c > 0) if symbol is None else (symbol, counts.base(c), 0.0, True)
-            return out
+        def __init__(self):
+            super().__init__(zip(counts.head, range(len(counts.head))))
+            own = [counts.symbols.get(w, classes + ending(w)) for w in counts.head]
+            self.symbol = np.array(own, np.uint16)
+            self.base = np.array([counts.base(c) for c in counts.head.values()])
+            self.share = np.array([counts.share(w, c) if k >= classes else 0.0 for (w, c), k in zip(counts.head.items(), own)])
+            self.known = np.array([c > 0 for c in counts.head.values()], bool)
+
+        def __missing__(self, word: bytes) -> int:
+            return -1
 
     def start() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        known = in_worker(("hmm", counts.tokens, len(counts.head)), Known)
+        head = in_worker(("hmm", counts.tokens, len(counts.head)), Head)
         end = counts.base(counts.ends)
 
         def one(text: bytes | None) -> tuple:
             words = words_of(text) if text else []
-            found = [known[w] for w in words]
-            symbols, base, share, n_known, tail = [], end, 0.0, int(counts.ends > 0), {}
-            for w, f in zip(words, found, strict=True):
-                if f is None:
-                    symbols.append(classes + ending(w))
-                    tail[w] = tail.get(w, 0) + 1
-                else:
-                    symbols.append(f[0])
-                    base += f[1]
-                    share += f[2]
-                    n_known += f[3]
-            return len(words) + 1, n_known, base, share, np.array([*symbols, last], np.uint16).tobytes(), [{"word": w, "times": n} for w, n in tail.items()]
+            at = np.fromiter(map(head.__getitem__, words), np.int32, len(words))
+            known, tail = at[at >= 0], [words[i] for i in np.flatnonzero(at < 0).tolist()]
+            symbols = np.empty(len(words) + 1, np.uint16)
+            symbols[-1] = last
+            symbols[:-1][at >= 0] = head.symbol[known]
+            symbols[:-1][at < 0] = [classes + ending(w) for w in tail]
+            return len(words) + 1, int(head.known[known].sum()) + (counts.ends > 0), head.base[known].sum() + end, head.share[known].sum(), symbols.tobytes(), [{"word": w, "times": n} for w, n in Counter(tail).items()]
 
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())])))
 
@@ -274,7 +275,9 @@ def trained(texts: DataFrame, counts: Counts, states: int, rounds: int) -> Model
     plain[len(counts.symbols) : -1] += [tokens for tokens, _ in counts.in_class]
     plain[-1] += counts.ends
     plain /= plain.sum()
-    few = own.where(F.col("n_tokens").between(20, SEED_WORDS)).orderBy(F.xxhash64("doc_id"), "doc_id", "row").limit(SEED_TEXTS).select("symbols").collect()
+    able = own.where(F.col("n_tokens").between(20, SEED_WORDS))
+    place = F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 30))  # about SEED_TEXTS rows lie below the limit, so no task sends more than its share
+    few = able.where(place < int((1 << 30) * min(1.0, SEED_TEXTS / max(1, able.count())))).select("symbols").collect()
     m = seeded([np.frombuffer(r.symbols, np.uint16) for r in few], plain, states)
     for _ in range(rounds):
         m = improved(expected(own, m), plain)
