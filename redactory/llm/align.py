@@ -11,7 +11,8 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -23,17 +24,20 @@ from pyspark.sql import functions as F
 from redactory.llm.bpe import byte_alphabet
 from redactory.llm.common import in_worker, materialise, parts_of, per_batch
 from redactory.llm.lexicon import frequent
-from redactory.llm.tokenids import IdCoder
 
 #: Numbers of B ids in a pair's key: key = a * SIDE + b, below 2^31 for vocabularies of up to 65,000 and 32,000.
 SIDE = 32_768
 #: Most pairs of the hash that is sent to all tasks (about 14 bytes each); rarer pairs beyond it are joined.
 MOST_PAIRS = 4_000_000
 #: Keys of a slice of the hash, counters of a segment of the vectors, and words that a worker keeps.
-SLICE_KEYS, SEGMENT, KEPT_WORDS = 16_384, 32_768, 500_000
+SLICE_KEYS, SEGMENT, KEPT_WORDS = 16_384, 32_768, 800_000
 #: Characters that are aligned at once, and pairs that a task holds before it sums them up, or hands them on.
 PORTION, HELD_PAIRS = 1 << 20, 2_000_000
-_INNER = re.compile(r"(?<=\S) (?=\S)")
+#: New words whose tokens are made at once.
+AT_ONCE = 4096
+_INNER = re.compile(r"(?<=\S)(?=(?: |\n+)\S)")
+#: Words that may follow one another in a text without a change of their tokens.
+_PLAIN = re.compile(r"(?: |\n+)[^\s▁](?:[^▁]*[^\s▁])?")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
@@ -49,22 +53,40 @@ class Aligned(NamedTuple):
     sizes: np.ndarray  # a row for each text: tokens of A and of B, groups, links
 
 
+class Words(dict):
+    """word -> its number; words not met yet get the next one and are noted."""
+
+    def __init__(self, *own):
+        super().__init__(*own)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Aligner:
     """Tokens of texts on both sides and their alignment; ids are kept by word in each worker.
 
-    Neither tokenizer lets a token go on across a single space between two other
-    signs: a space only begins pieces in both vocabularies (checked for B, true
-    of A's splitter), so a text's tokens are those of its words in a row.
+    Neither tokenizer lets a token go on from a sign into a single space or a run
+    of line ends before another sign: a space only begins pieces in both
+    vocabularies (checked for B, true of A's splitter), and no piece of B holds a
+    line end. So a text's tokens are those of its words in a row, each with what
+    parts it from the word before.
     """
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
+        from tokenizers import Tokenizer
 
-        self.coder = IdCoder(a_path)
-        self.coder.tokenizer.encode_special_tokens = True
+        self.a = Tokenizer.from_file(a_path)
+        self.a.encode_special_tokens = True
+        self.a.no_truncation()
+        self.a.no_padding()
         self.b = SentencePieceProcessor(model_file=b_path)
         alphabet = {c: bytes([i]) for i, c in enumerate(byte_alphabet())}
-        tokens = self.coder.tokenizer.get_vocab(with_added_tokens=True)
+        tokens = self.a.get_vocab(with_added_tokens=True)
         self.a_bytes = [b""] * (max(tokens.values()) + 1)
         for t, i in tokens.items():
             self.a_bytes[i] = b"".join(map(alphabet.__getitem__, t)) if all(c in alphabet for c in t) else t.encode()
@@ -72,45 +94,92 @@ class Aligner:
         self.b_bytes = [bytes.fromhex(m[1]) if (m := _BYTE.match(p)) else p.replace("▁", " ").encode() for p in pieces]
         if not {bytes([i]) for i in range(256)} <= set(self.a_bytes):
             raise ValueError("the first vocabulary lacks a byte")
-        if len(pieces) > SIDE or any("▁" in p.lstrip("▁") for p in pieces):
+        if len(pieces) > SIDE or any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
             raise ValueError("the second vocabulary has too many pieces, or pieces that go on across a space")
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.a_words: dict[str, bytes] = {}
-        self.b_words: dict[str, bytes] = {}
-        self.unequal: set[str] = set()  # words that B does not give back; A, with a token for each byte, always does
+        self.space = self.b.piece_to_id("▁")
+        self.forget(0)
+
+    def forget(self, keep: int) -> None:
+        """Keep only the words that were learned first."""
+        if keep:
+            self.words = Words(dict(islice(self.words.items(), keep)))
+            self.ids = [x[: sum(n[:keep])] for x, n in zip(self.ids, self.sizes)]
+            self.sizes, self.unequal = [n[:keep] for n in self.sizes], self.unequal[:keep]
+        else:
+            self.words, self.ids, self.sizes, self.unequal = Words(), [array("I"), array("I")], [array("I"), array("I")], array("B")
 
     def split(self, text: str) -> list[str]:
-        """The text's words; where other white space or runs of spaces come, they stay inside one."""
-        words = text.split()
-        return words if " ".join(words) == text else _INNER.split(text)
-
-    def learn(self, words: set[str]) -> None:
-        """Tokens of the words that are not kept yet, each with the space before it."""
-        if len(self.a_words) > KEPT_WORDS:
-            self.a_words.clear()
-            self.b_words.clear()
-            self.unequal.clear()
-            self.coder.pieces.clear()
-        new = list(words - self.a_words.keys())
-        for w, b in zip(new, self.b.encode(new, num_threads=1) if new else ()):
-            ids = self.coder.chunks[" " + w]
-            ids = self.coder.whole(" " + w) if ids is None else ids
-            if b"".join(map(self.b_bytes.__getitem__, b)) != (" " + w).encode():
-                self.unequal.add(w)
-            self.a_words[w], self.b_words[w] = ids, array("I", b).tobytes()
-        self.coder.chunks.clear()
+        """The words of a space and the text; where other white space or runs of spaces come, they stay inside one."""
+        text = " " + text
+        if " ".join(text.split()) == text[1:].replace("\n", " "):
+            return text.replace(" ", "\x1f ").replace("\n", "\x1f\n").split("\x1f")[1:]
+        return _INNER.split(text)
+
+    def learn(self) -> None:
+        """Tokens of the new words: many in a row as one text, whose tokens are parted at the words' ends."""
+        new, self.words.new = self.words.new, []
+        for i in range(0, len(new), AT_ONCE):
+            some = new[i : i + AT_ONCE]
+            if not (all(map(_PLAIN.fullmatch, some)) and self.learn_row(some)):
+                for w in some:
+                    if not (_PLAIN.fullmatch(w) and self.learn_row([w])):
+                        self.learn_one(w)
+
+    def keep(self, a: Iterable[int], b: Iterable[int], n_a: Iterable[int], n_b: Iterable[int], unequal: Iterable[bool]) -> None:
+        for ids, sizes, own, n in zip(self.ids, self.sizes, (a, b), (n_a, n_b)):
+            ids.extend(own)
+            sizes.extend(n)
+        self.unequal.extend(unequal)
+
+    def learn_row(self, words: list[str]) -> bool:
+        """Tokens of words that both sides give back, from one text; False if some word is not given back."""
+        text = "".join(words)
+        raw = text.encode()
+        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:] if text[0] == " " else text)
+        if text[0] != " ":
+            b = b[1:] if b[:1] == [self.space] else []
+        if b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return False
+        ends = np.cumsum([len(w.encode()) for w in words])
+        sizes = []
+        for ids, width in ((a, self.a_size), (b, self.b_size)):
+            upto = np.cumsum(width[ids])
+            at = np.searchsorted(upto, ends)
+            if at[-1] >= len(upto) or (upto[at] != ends).any():
+                return False
+            sizes.append(np.diff(at + 1, prepend=0).tolist())
+        self.keep(a, b, *sizes, bytes(len(words)))
+        return True
+
+    def learn_one(self, w: str) -> None:
+        b = self.b.encode(w[1:] if w[0] == " " else w)
+        if w[0] != " ":
+            if b[:1] != [self.space]:
+                raise ValueError("a piece of the second vocabulary goes on across a line end")
+            del b[0]
+        a = self.a.encode(w, add_special_tokens=False).ids
+        self.keep(a, b, [len(a)], [len(b)], [b"".join(map(self.b_bytes.__getitem__, b)) != w.encode()])
 
     def align(self, texts: list[str | None]) -> Aligned:
         """All texts at once: each stretch between neighbouring ends of either side is one link."""
+        if len(self.words) > KEPT_WORDS:
+            self.forget(KEPT_WORDS // 4)
         split = [self.split(t) if t else [] for t in texts]
-        self.learn(set().union(*split))
-        if self.unequal:
-            split = [w if self.unequal.isdisjoint(w) else [] for w in split]
-        sides = []
-        for known, size in ((self.a_words, self.a_size), (self.b_words, self.b_size)):
-            found = [b"".join(map(known.__getitem__, w)) for w in split]
-            ids = np.frombuffer(b"".join(found), np.uint32).astype(np.int64)
-            sides.append((ids, np.cumsum(size[ids]), np.array([len(x) // 4 for x in found], np.int64)))
+        counts = np.array(list(map(len, split)), np.int64)
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        self.learn()
+        texts_of = np.repeat(np.arange(len(texts)), counts)
+        bad = np.bincount(texts_of, np.array(self.unequal, bool)[at] if len(at) else None, len(texts)) > 0
+        at, counts = at[~bad[texts_of]], np.where(bad, 0, counts)
+        stops, sides = np.cumsum(counts), []
+        for ids, sizes, width in zip(self.ids, self.sizes, (self.a_size, self.b_size)):
+            sizes = np.array(sizes, np.int64)
+            own = sizes[at]
+            upto = np.append(0, np.cumsum(own))
+            begin = (np.cumsum(sizes) - sizes)[at] - upto[:-1]
+            own_ids = np.array(ids, np.int64)[np.repeat(begin, own) + np.arange(upto[-1])] if len(at) else np.zeros(0, np.int64)
+            sides.append((own_ids, np.cumsum(width[own_ids]), np.diff(upto[stops], prepend=0)))
         (a, a_end, n_a), (b, b_end, n_b) = sides
         size = int(a_end[-1]) + 1 if len(a_end) else 1
         a_here, b_here = np.zeros(size, bool), np.zeros(size, bool)  # whether a token ends at a byte

@@ -117,7 +117,7 @@ def gather(m: Model, texts: list[np.ndarray], into: Gathered) -> None:
         for lo in range(0, steps, SPAN)[::-1]:
             hi = min(lo + SPAN, steps)
             wide = active[lo]
-            keep, scales = np.zeros((hi - lo, wide, states), np.float32), np.ones((hi - lo, wide), np.float32)
+            keep, scales = np.empty((hi - lo, wide, states), np.float32), np.empty((hi - lo, wide), np.float32)
             forward(m, grid, active, lo, hi, starts.pop()[:wide], keep, scales)
             for t in range(hi - 1, lo - 1, -1):
                 n, more = active[t], len(ahead)
@@ -132,9 +132,10 @@ def gather(m: Model, texts: list[np.ndarray], into: Gathered) -> None:
                 own[:n] *= beta
             if lo == 0:
                 into.first[:] += keep[0].sum(0, dtype=np.float64)
-            cells = grid[lo:hi, :wide].ravel()
-            for s in range(states):
-                into.show[:, s] += np.bincount(cells, keep[:, :, s].ravel(), len(into.show))
+            real = np.arange(wide) < active[lo:hi, None]  # not beyond a text's end
+            cells = grid[lo:hi, :wide][real].astype(np.intp)
+            for s, weights in enumerate(np.ascontiguousarray(keep[real].T, np.float64)):
+                into.show[:, s] += np.bincount(cells, weights, len(into.show))
         into.move[:] += moved * exact.move
 
 
@@ -253,13 +254,14 @@ def coded(rows: DataFrame, counts: Counts) -> DataFrame:
             symbols[-1] = last
             symbols[:-1][at >= 0] = head.symbol[known]
             symbols[:-1][at < 0] = [classes + ending(w) for w in tail]
-            return len(words) + 1, int(head.known[known].sum()) + (counts.ends > 0), head.base[known].sum() + end, head.share[known].sum(), symbols.tobytes(), [{"word": w, "times": n} for w, n in Counter(tail).items()]
-
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())])))
+            return len(words) + 1, int(head.known[known].sum()) + (counts.ends > 0), head.base[known].sum() + end, head.share[known].sum(), symbols.tobytes(), Counter(tail)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            made = list(zip(*map(one, batch.column("text").to_pylist()), strict=True)) or [()] * 6
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("learn"), *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], ["doc_id", "learn", "n_tokens", "n_known", "base", "share", "symbols", "tail"])
+            *made, tails = list(zip(*map(one, batch.column("text").to_pylist()), strict=True)) or [()] * 6
+            stops = np.cumsum([0, *map(len, tails)]).astype(np.int32)
+            tail = pa.StructArray.from_arrays([pa.array([w for t in tails for w in t], pa.binary()), pa.array([n for t in tails for n in t.values()], pa.int32())], ["word", "times"])
+            columns = [pa.array(x, k) for x, k in zip(made, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()), strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("learn"), *columns, pa.ListArray.from_arrays(pa.array(stops), tail)], ["doc_id", "learn", "n_tokens", "n_known", "base", "share", "symbols", "tail"])
 
         return step
 

@@ -20,6 +20,7 @@ from redactory.llm.queries import vocabulary
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [
+    "line one\nline two\n\npara. three\r\nfour\n", "\nfirst", 
     "the cat sat on the mat", "The CAT sat; on the mat!", "", None, "a", "Straße äöü ß CAT 42", "x" * 30_000, "one two " * 400, "the cat sat on the mat",
     "tab\tand\nline  two spaces ", " leading", "日本語 テキスト です", "emoji 😀 end", "NUL\x00inside", "<|endoftext|> <s> </s>", "a▁b", "don't we'll   stop...", "  ", " hard space",
 ]
@@ -257,6 +258,7 @@ def test_alignment_equals_the_libraries(spark, monkeypatch, most):
 def test_words_in_a_row_are_the_whole_text(text):
     a, b = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
     own = align.aligner(a, b)
+    own.forget(len(own.words) // 2)
     x = own.align([text, "x", None, text])
     (n_a, n_b, n_groups, n_links, *_, sha), = _aligned([text], a, b)
     assert x.sizes[0].tolist() == x.sizes[3].tolist() == [n_a, n_b, n_groups, n_links]
