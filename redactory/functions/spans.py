@@ -24,9 +24,10 @@ def spans(text: Column, pattern: str, ignore_case: bool = False, needs: str | No
         start = acc["at"] + F.length(pair["g"])
         stop = start + F.length(pair["m"])
         one = F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), pair["m"].alias("value"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return F.when(pair["m"].isNull(), acc).otherwise(F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
 
-    paired = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    # the gap after the last match has no partner; found and gaps stand here once, so each is worked out once
+    paired = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     every = F.aggregate(paired, begun, step, lambda acc: acc["out"])
     hit = text.rlike(java(pattern, ignore_case))
     if needs:
@@ -34,10 +35,20 @@ def spans(text: Column, pattern: str, ignore_case: bool = False, needs: str | No
     return F.when(hit, every).otherwise(F.expr(EMPTY))
 
 
+def exploded(df: DataFrame, *columns: str, array: Column | str, alias: str) -> DataFrame:
+    """The columns and one row per element of an array.
+
+    An inner explode makes the optimizer filter on the array's size below it, so that
+    the array is worked out twice, the first time in the scan's tasks before rows are
+    dealt out. The outer one has no such filter; the rows of empty arrays go after it.
+    """
+    return df.select(*columns, F.explode_outer(array).alias(alias)).where(F.col(alias).isNotNull())
+
+
 def explode_spans(df: DataFrame, column: str = "spans") -> DataFrame:
     """Long form: the columns of df without column, and start, stop, value."""
     rest = [c for c in df.columns if c != column]
-    return df.select(*rest, F.explode(column).alias("_s")).select(*rest, F.col("_s.start").alias("span_start"), F.col("_s.stop").alias("span_end"), F.col("_s.value").alias("value"))
+    return exploded(df, *rest, array=column, alias="_s").select(*rest, F.col("_s.start").alias("span_start"), F.col("_s.stop").alias("span_end"), F.col("_s.value").alias("value"))
 
 
 def sql_spans(source: str, pattern: str, ignore_case: bool = False, carry: str = "doc_id, text") -> str:

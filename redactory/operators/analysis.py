@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from redactory.functions.bank import BANK
 from redactory.functions.dialect import java
-from redactory.functions.spans import spans
+from redactory.functions.spans import exploded, spans
 from redactory.operators import detect as d
 from redactory.operators import entities as e
 from redactory.operators import merge as m
@@ -140,7 +140,7 @@ def classified(df: DataFrame, found: str = "spans", classify: Callable[[Column],
     keys = [c for c in df.columns if c not in ("text", found)]
     around = lambda s: F.substr("text", F.greatest(F.lit(0), s["start"] - AROUND) + 1, s["stop"] + AROUND - F.greatest(F.lit(0), s["start"] - AROUND))
     probs = (lambda s: F.when(s["confidence"].between(0.4, 0.8), classify(around(s)))) if classify else (lambda s: F.expr("cast(null as array<double>)"))
-    rows = df.select(*keys, F.explode(F.transform(found, lambda s: F.struct(s.alias("s"), probs(s).alias("probs")))).alias("x"))
+    rows = exploded(df, *keys, array=F.transform(found, lambda s: F.struct(s.alias("s"), probs(s).alias("probs"))), alias="x")
     long = rows.select(*keys, F.col("x.s.start").alias("span_start"), F.col("x.s.stop").alias("span_end"), "x.s.type", "x.s.source", "x.s.confidence", "x.probs").withColumn("severity", severity_of(F.col("type")))
     return (pr.adjust(long) if classify else long).drop("probs")
 

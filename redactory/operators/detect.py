@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from redactory.functions.bank import BANK, BOOST, Pattern
 from redactory.functions.dialect import java
-from redactory.functions.spans import explode_spans, spans
+from redactory.functions.spans import explode_spans, exploded, spans
 from redactory.functions.values import VALIDATORS, valid_luhn, valid_phone_digits, valid_ssn_loose
 
 SPAN = "array<struct<start:int,stop:int,value:string,type:string,display_name:string,severity:string,confidence:double,prio:int>>"
@@ -43,7 +43,7 @@ def builtin_spans(text: Column) -> Column:
 def long_form(df: DataFrame, column: str = "spans") -> DataFrame:
     """One row per span; values are left out on request of the sink, so keep them here only while needed."""
     rest = [c for c in df.columns if c != column]
-    return df.select(*rest, F.explode(column).alias("_s")).select(
+    return exploded(df, *rest, array=column, alias="_s").select(
         *rest, F.col("_s.start").alias("span_start"), F.col("_s.stop").alias("span_end"), F.col("_s.type").alias("type"), F.col("_s.display_name").alias("display_name"),
         F.col("_s.severity").alias("severity"), F.col("_s.confidence").alias("confidence"), F.col("_s.value").alias("value"), F.col("_s.prio").alias("prio"),
     )
@@ -133,7 +133,7 @@ def custom_regex_spans(df: DataFrame, patterns: list[tuple[str, str]]) -> DataFr
         return F.transform(spans(F.col("text"), p, True), lambda s: F.struct(F.lit(i).alias("pattern_id"), s["start"].alias("start"), s["stop"].alias("stop")))
 
     every = F.concat(*(tagged(i, p) for i, p in patterns))
-    return df.select("doc_id", F.explode(every).alias("s")).select("doc_id", "s.pattern_id", F.col("s.start").alias("span_start"), F.col("s.stop").alias("span_end"), F.lit("custom").alias("type"), F.lit(0.85).alias("confidence"))
+    return exploded(df, "doc_id", array=every, alias="s").select("doc_id", "s.pattern_id", F.col("s.start").alias("span_start"), F.col("s.stop").alias("span_end"), F.lit("custom").alias("type"), F.lit(0.85).alias("confidence"))
 
 
 def valid_patterns(spark, patterns: list[tuple[str, str]]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:

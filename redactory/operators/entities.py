@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactory.functions.spans import spans
+from redactory.functions.spans import exploded, spans
 
 
 class Entity(NamedTuple):
@@ -184,5 +184,5 @@ def context_spans(text: Column, context: Context, ord_: int = 0) -> Column:
 
 def context_candidates(texts: DataFrame, context: Context) -> DataFrame:
     """Long form of context_spans over doc_id, text."""
-    found = texts.select("doc_id", F.explode(context_spans(F.col("text"), context)).alias("s"))
+    found = exploded(texts, "doc_id", array=context_spans(F.col("text"), context), alias="s")
     return found.select("doc_id", F.col("s.start").alias("span_start"), F.col("s.stop").alias("span_end"), "s.type", "s.distance", "s.score", "s.confidence")

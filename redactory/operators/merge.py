@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redactory.functions.spans import exploded
+
 SPAN = "struct<start:int,stop:int,type:string,source:string,confidence:double,ord:int>"
 EMPTY = f"cast(array() as array<{SPAN}>)"
 
@@ -65,7 +67,7 @@ def by_start(spans: Column) -> Column:
 
 def unfold(df: DataFrame) -> DataFrame:
     rest = [c for c in df.columns if c != "spans"]
-    return df.select(*rest, F.explode("spans").alias("s")).select(*rest, F.col("s.start").alias("span_start"), F.col("s.stop").alias("span_end"), "s.type", "s.source", "s.confidence")
+    return exploded(df, *rest, array="spans", alias="s").select(*rest, F.col("s.start").alias("span_start"), F.col("s.stop").alias("span_end"), "s.type", "s.source", "s.confidence")
 
 
 def disjoint(df: DataFrame, others: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redactory.functions.dialect import java, quoted, re2
-from redactory.functions.spans import explode_spans, spans, sql_spans
+from redactory.functions.spans import explode_spans, exploded, spans, sql_spans
 from redactory.operators import analysis as an
 from redactory.operators import detect as d
 from redactory.operators import entities as e
@@ -52,7 +52,7 @@ for _name, _members in e.FAMILIES.items():
     SQL[_name] = folded_sql(" UNION ALL ".join(entity_sql(x, i) for i, x in enumerate(_members)), "ord, span_start", FIRST_WINS if len(_members) > 1 else "acc || x")
 
 
-QUERIES["ner_all_patterns"] = lambda s, sf: c.texts(s, sf).select("doc_id", F.explode(F.concat(*(e.entity_spans(F.col("text"), f) for f in e.FAMILIES.values()))).alias("x")).groupBy("x.type", "x.confidence").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
+QUERIES["ner_all_patterns"] = lambda s, sf: exploded(c.texts(s, sf), "doc_id", array=F.concat(*(e.entity_spans(F.col("text"), f) for f in e.FAMILIES.values())), alias="x").groupBy("x.type", "x.confidence").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
 SQL["ner_all_patterns"] = f"SELECT type, confidence, count(*) AS n, count(DISTINCT doc_id) AS documents FROM ({ENTITIES_SQL}) GROUP BY 1, 2"
 for _name, (_type, _conf, _terms) in e.DICTIONARIES.items():
     if _name == "ner_condition":
@@ -156,7 +156,7 @@ def _candidates(s, sf):
     """Context spans that no built-in span covers, in the patterns' order: all inside the row, over one scan."""
     found = c.texts(s, sf).select("doc_id", F.concat(*(e.context_spans(F.col("text"), x, i) for i, x in enumerate(e.CONTEXTS))).alias("spans"), d.builtin_spans(F.col("text")).alias("own"))
     free = F.filter("spans", lambda x: ~F.exists("own", lambda o: (o["start"] <= x["start"]) & (o["stop"] >= x["stop"])))
-    return found.select("doc_id", F.explode(free).alias("s")).select("doc_id", F.col("s.start").alias("span_start"), F.col("s.stop").alias("span_end"), "s.type", "s.distance", "s.score", "s.confidence", "s.ord")
+    return exploded(found, "doc_id", array=free, alias="s").select("doc_id", F.col("s.start").alias("span_start"), F.col("s.stop").alias("span_end"), "s.type", "s.distance", "s.score", "s.confidence", "s.ord")
 
 
 QUERIES["context_scan"] = lambda s, sf: _candidates(s, sf).drop("ord", "distance")
