@@ -80,7 +80,28 @@ EMAILS = [
 ]
 FAMILIES = {"ner_person_title": PERSON, "ner_org_suffix": ORGANIZATION, "ner_date": DATES, "ner_medical_phrase": MEDICAL, "ner_address": ADDRESSES, "ner_phone_spoken": PHONES, "ner_email_obfuscated": EMAILS}
 
-#: Dictionaries are parameters; these defaults are short samples.
+# Context keywords by the type of a span that they support, or speak against.
+BOOST_WORDS = {
+    "financial": ["salary", "compensation", "comp", "annual", "base pay", "bonus", "equity", "rsu", "stock option", "income", "wages", "earnings", "take-home", "gross pay", "net pay", "w-2", "w2", "1099", "tax bracket", "total comp", "tc is", "my tc", "offer letter", "pay stub", "payroll", "pay rate", "hourly rate", "per year", "per annum", "k a year", "k per year", "annually", "biweekly", "direct deposit", "severance", "golden parachute", "signing bonus", "retention bonus", "vesting", "strike price", "exercise price", "ote", "on-target earnings", "i make", "i earn", "they offered", "package is", "package was", "raise to", "promoted to", "new role pays", "current comp"],
+    "medical_record": ["diagnosed", "prescribed", "patient", "symptoms", "treatment", "surgery", "condition", "chronic", "acute", "prognosis", "lab results", "vitals", "medication", "dosage", "mg", "twice daily", "once daily", "medical record", "mrn", "chart", "clinical", "pathology", "biopsy", "radiology", "oncology", "referral", "discharge", "admission", "emergency room", "icu", "nicu", "hospice", "therapist", "psychiatrist", "counselor", "diagnosis code", "icd-", "cpt-", "hipaa", "phi", "protected health", "blood pressure", "heart rate", "bmi", "glucose", "cholesterol", "hemoglobin", "white blood cell", "platelet", "creatinine"],
+    "legal_amount": ["settlement", "plaintiff", "defendant", "confidential", "privileged", "attorney-client", "under seal", "nda", "non-disclosure", "litigation", "arbitration", "mediation", "damages", "liability", "indemnification", "breach", "clause", "stipulation", "deposition", "discovery", "subpoena", "court order", "judgment", "verdict"],
+    "person_name": ["patient", "client", "employee", "applicant", "candidate", "resident", "beneficiary", "dependent", "spouse", "minor", "subscriber", "policyholder", "account holder", "cardholder", "user", "member", "contact", "next of kin", "guardian", "emergency contact", "primary care", "referred by", "ssn", "date of birth", "dob", "social security", "passport", "license"],
+    "address": ["lives at", "resides at", "home address", "mailing address", "shipping address", "billing address", "residence", "apartment", "suite", "unit", "floor", "zip code", "postal code", "zip", "deliver to", "ship to", "send to", "located at", "office at", "street address", "physical address"],
+    "identity_document": ["passport", "passport number", "driver license", "drivers license", "license number", "dl number", "state id", "national id", "government id", "identity card", "id number", "document number", "issued by", "expiration date", "date of issue", "country of issue", "travel document", "visa number", "green card", "work permit"],
+}
+SUPPRESS_WORDS = {
+    "financial": ["product price", "costs", "revenue", "market cap", "stock price", "fundraise", "raised", "investment round", "list price", "msrp", "retail price", "wholesale", "budget", "forecast", "projection", "quarterly revenue", "annual revenue", "total revenue", "operating cost", "overhead", "price tag", "discount", "coupon", "valuation", "series a", "series b", "seed round", "ipo", "market value", "enterprise value", "gdp", "inflation"],
+    "person_name": ["character", "fictional", "protagonist", "antagonist", "author", "wrote", "novel", "movie", "film", "tv show", "series", "played by", "starring", "directed by", "produced by", "example", "placeholder", "test data", "sample", "demo"],
+    "medical_record": ["in the show", "fictional", "character", "plot", "storyline", "article about", "research on", "study finds", "according to", "wikipedia", "webmd", "general information"],
+}
+
+
+def keyword_rows() -> list[tuple[str, str, str]]:
+    """The same as rows (type, keyword, side)."""
+    return [(t, k, side) for side, by in (("boost", BOOST_WORDS), ("suppress", SUPPRESS_WORDS)) for t, words in by.items() for k in words]
+
+
+#: Dictionaries are tables (operators/lexicons.py); these short samples are always part of the registered ones.
 DICTIONARIES = {
     "ner_org_dict": ("organization", 0.89, ["Goldman Sachs", "World Bank", "Microsoft", "Stanford", "Memorial"]),
     "ner_drug": ("medical", 0.80, ["metformin", "aspirin", "insulin", "ibuprofen", "lisinopril"]),

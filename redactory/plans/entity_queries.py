@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from redactory.functions.dialect import java, quoted, re2
-from redactory.functions.spans import explode_spans, exploded, spans, sql_spans
+from redactory.functions.dialect import quoted, re2
+from redactory.functions.spans import exploded, spans, sql_spans
 from redactory.operators import analysis as an
 from redactory.operators import detect as d
 from redactory.operators import entities as e
+from redactory.operators import lexicons as lx
 from redactory.operators import merge as m
 from redactory.operators import policy as p
 from redactory.plans import policy_queries as pq
@@ -54,40 +55,80 @@ for _name, _members in e.FAMILIES.items():
 
 QUERIES["ner_all_patterns"] = lambda s, sf: exploded(c.texts(s, sf), "doc_id", array=F.concat(*(e.entity_spans(F.col("text"), f) for f in e.FAMILIES.values())), alias="x").groupBy("x.type", "x.confidence").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
 SQL["ner_all_patterns"] = f"SELECT type, confidence, count(*) AS n, count(DISTINCT doc_id) AS documents FROM ({ENTITIES_SQL}) GROUP BY 1, 2"
-for _name, (_type, _conf, _terms) in e.DICTIONARIES.items():
-    if _name == "ner_condition":
-        continue
-    QUERIES[_name] = lambda s, sf, t=_terms, k=_type, x=_conf: explode_spans(c.texts(s, sf).select("doc_id", spans(F.col("text"), e.dictionary_regex(t), True).alias("spans"))).select("doc_id", "span_start", "span_end", F.lit(k).alias("type"), F.lit(x).alias("confidence"))
-    SQL[_name] = f"SELECT doc_id, span_start, span_end, '{_type}' AS type, CAST({_conf} AS DOUBLE) AS confidence FROM ({sql_spans(c.TEXTS_SQL, e.dictionary_regex(_terms), True)})"
-
-_COND = e.dictionary_regex(e.DICTIONARIES["ner_condition"][2])
-
+# dictionaries: the short samples and thousands of terms of one or two words that come in conversations
+_SAMPLES = ", ".join(f"({quoted(n)}, {quoted(t.lower())})" for n, (_, _, terms) in e.DICTIONARIES.items() for t in terms)
+_DEALT = "CASE substr(md5(term), 1, 1) " + " ".join(f"WHEN '{h}' THEN '{n}'" for i, n in enumerate(e.DICTIONARIES) for h in (2 * i, 2 * i + 1)) + " END"
+_TERMS = f"""SELECT DISTINCT dictionary, term FROM (SELECT {_DEALT} AS dictionary, term FROM (
+    SELECT w AS term FROM ({{words}}) WHERE {{fit1}} UNION ALL SELECT w AS term FROM ({{pairs}}) WHERE {{fit2}} AND substr(md5(w), 2, 1) = '0')
+    UNION ALL SELECT * FROM (VALUES {_SAMPLES}) AS v(dictionary, term)) WHERE dictionary IS NOT NULL"""
+_ONE, _TWO = "^[a-z]{4,}$", "^[a-z]{2,} [a-z]{2,}$"
+SPARK_TERMS = _TERMS.format(
+    words="SELECT explode(split(lower(text), ' ')) AS w FROM conversations", fit1=f"w RLIKE '{_ONE}'",
+    pairs="SELECT explode(transform(slice(l, 1, size(l) - 1), (x, i) -> concat(x, ' ', l[i + 1]))) AS w FROM (SELECT split(lower(text), ' ') AS l FROM conversations) WHERE size(l) > 1", fit2=f"w RLIKE '{_TWO}'",
+)
+DUCK_TERMS = _TERMS.format(
+    words="SELECT unnest(string_split(lower(text), ' ')) AS w FROM conversations", fit1=f"regexp_matches(w, '{_ONE}')",
+    pairs="SELECT unnest(list_transform(l[1:len(l) - 1], lambda x, i: x || ' ' || l[i + 1])) AS w FROM (SELECT string_split(lower(text), ' ') AS l FROM conversations) WHERE len(l) > 1", fit2=f"regexp_matches(w, '{_TWO}')",
+)
+_CUE = rf"(?i)(?<![A-Za-z0-9_])(?:{e.MEDICAL_WORDS})(?![A-Za-z0-9_])"
+#: Words and neighbouring pairs of words that a space parts, met with the terms; of each document's hits the leftmost, then longest, stay.
+TERM_SPANS_SQL = f"""SELECT doc_id, dictionary, s.a AS span_start, s.b AS span_end FROM (
+    SELECT doc_id, dictionary, unnest(list_reduce(l, lambda acc, x: CASE WHEN x[1].a >= acc[-1].b THEN acc || x ELSE acc END)) AS s FROM (
+      SELECT doc_id, dictionary, list([{{'a': span_start, 'b': span_end}}] ORDER BY span_start, -span_end) AS l FROM (
+        WITH w AS ({sql_spans(c.TEXTS_SQL, "[A-Za-z0-9_]+")}), g AS (SELECT *, lead(value) OVER o AS v2, lead(span_start) OVER o AS s2, lead(span_end) OVER o AS e2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY span_start))
+        SELECT doc_id, span_start, span_end, dictionary FROM w JOIN ({DUCK_TERMS}) t ON lower(value) = term
+        UNION ALL SELECT doc_id, span_start, e2, dictionary FROM g JOIN ({DUCK_TERMS}) t ON lower(value) || ' ' || lower(v2) = term WHERE s2 = span_end + 1 AND substr(text, s2, 1) = ' ')
+      GROUP BY 1, 2))"""
+
+
+def terms(s, sf):
+    return c.relation(s, sf, SPARK_TERMS, "conversations")
+
+
+def _term_spans(name, type_, confidence):
+    def run(s, sf):
+        found = lx.term_spans(c.texts(s, sf), terms(s, sf).where(F.col("dictionary") == name), _CUE if name == "ner_condition" else None)
+        if name == "ner_condition":
+            return found.select("doc_id", "span_start", "span_end", F.when(F.col("near"), confidence).otherwise(0.72).alias("confidence"))
+        return found.select("doc_id", "span_start", "span_end", F.lit(type_).alias("type"), F.lit(confidence).alias("confidence"))
 
-def _condition(s, sf):
-    found = c.texts(s, sf).select("doc_id", "text", F.explode(spans(F.col("text"), _COND, True)).alias("s")).select("doc_id", "text", F.col("s.start").alias("span_start"), F.col("s.stop").alias("span_end"))
-    at = F.greatest(F.lit(0), F.col("span_start") - 60)
-    near = F.substr("text", at + 1, F.col("span_end") + 60 - at).rlike(java(rf"\b(?:{e.MEDICAL_WORDS})\b", True))
-    return found.select("doc_id", "span_start", "span_end", F.when(near, 0.88).otherwise(0.72).alias("confidence"))
+    return run
 
 
-QUERIES["ner_condition"] = _condition
-SQL["ner_condition"] = f"SELECT doc_id, span_start, span_end, CASE WHEN regexp_matches(substr(text, greatest(0, span_start - 60) + 1, span_end + 60 - greatest(0, span_start - 60)), '(?i)\\b(?:{e.MEDICAL_WORDS})\\b') THEN CAST(0.88 AS DOUBLE) ELSE CAST(0.72 AS DOUBLE) END AS confidence FROM ({sql_spans(c.TEXTS_SQL, _COND, True)})"
+for _name, (_type, _conf, _) in e.DICTIONARIES.items():
+    QUERIES[_name] = _term_spans(_name, _type, _conf)
+    _OWN = f"SELECT * FROM ({TERM_SPANS_SQL}) WHERE dictionary = '{_name}'"
+    SQL[_name] = f"SELECT doc_id, span_start, span_end, '{_type}' AS type, CAST({_conf} AS DOUBLE) AS confidence FROM ({_OWN})"
+SQL["ner_condition"] = f"""SELECT doc_id, span_start, span_end, CASE WHEN regexp_matches(substr(text, greatest(0, span_start - 60) + 1, span_end + 60 - greatest(0, span_start - 60)), '(?i)\\b(?:{e.MEDICAL_WORDS})\\b')
+    THEN CAST(0.88 AS DOUBLE) ELSE CAST(0.72 AS DOUBLE) END AS confidence FROM (SELECT * FROM ({TERM_SPANS_SQL}) WHERE dictionary = 'ner_condition') JOIN ({c.TEXTS_SQL}) USING (doc_id)"""
+#: The samples' spans alone, as the union of all entities has them.
+SAMPLE_SQL = {n: f"SELECT doc_id, span_start, span_end, CAST({conf} AS DOUBLE) AS confidence FROM ({sql_spans(c.TEXTS_SQL, e.dictionary_regex(terms_), True)})" for n, (_, conf, terms_) in e.DICTIONARIES.items()}
+SAMPLE_SQL["ner_condition"] = f"SELECT doc_id, span_start, span_end, CASE WHEN regexp_matches(substr(text, greatest(0, span_start - 60) + 1, span_end + 60 - greatest(0, span_start - 60)), '(?i)\\b(?:{e.MEDICAL_WORDS})\\b') THEN CAST(0.88 AS DOUBLE) ELSE CAST(0.72 AS DOUBLE) END AS confidence FROM ({sql_spans(c.TEXTS_SQL, e.dictionary_regex(e.DICTIONARIES['ner_condition'][2]), True)})"
 
 
 def _others(name):
     return lambda s, sf: m.unfold(c.texts(s, sf).select("doc_id", an.OTHERS[name](F.col("text")).alias("spans"))).select("doc_id", "span_start", "span_end", "confidence")
 
 
-QUERIES["ner_person_bigram"] = _others("ner_person_bigram")
+#: Names: the samples and capitalised words of conversations, each a first or a last name by its hash.
+_NAMES = "SELECT DISTINCT side, name FROM (SELECT CASE WHEN substr(md5(w), 1, 1) < '8' THEN 'first' ELSE 'last' END AS side, w AS name FROM ({words}) WHERE {fit} UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}')" for k, names in (("first", e.FIRST_NAMES), ("last", e.LAST_NAMES)) for n in names) + ") AS v(side, name))"
+SPARK_NAMES = _NAMES.format(words="SELECT explode(split(text, ' ')) AS w FROM conversations", fit="w RLIKE '^[A-Z][a-z]{2,}$'")
+DUCK_NAMES = _NAMES.format(words="SELECT unnest(string_split(text, ' ')) AS w FROM conversations", fit="regexp_matches(w, '^[A-Z][a-z]{2,}$')")
+QUERIES["ner_person_bigram"] = lambda s, sf: lx.known_pairs(c.texts(s, sf), c.relation(s, sf, SPARK_NAMES, "conversations")).select("doc_id", "span_start", "span_end", F.lit(0.84).alias("confidence"))
 _SPLIT = "regexp_split_to_array(value, '\\s+')"
 _BARE = "regexp_replace({}, '^[A-Z][a-z]+-', '')"
-_FIRSTS, _LASTS = tuple(e.FIRST_NAMES), tuple(e.LAST_NAMES)
-_KNOWN_LAST = " OR ".join(f"{x} IN {_LASTS}" for x in ("l", _BARE.format("l"), f"'Al-' || {_BARE.format('l')}", "'Al-' || l"))
-SQL["ner_person_bigram"] = f"""SELECT doc_id, span_start, span_end, CAST(0.84 AS DOUBLE) AS confidence FROM (SELECT *, {_SPLIT}[1] AS f, {_SPLIT}[2] AS l FROM ({sql_spans(c.TEXTS_SQL, e.BIGRAM)}))
-    WHERE (f IN {_FIRSTS} OR {_BARE.format('f')} IN {_FIRSTS}) AND ({_KNOWN_LAST})"""
+def _names_sql(firsts, lasts):
+    known = " OR ".join(f"{x} IN {lasts}" for x in ("l", _BARE.format("l"), f"'Al-' || {_BARE.format('l')}", "'Al-' || l"))
+    return f"""SELECT doc_id, span_start, span_end, CAST(0.84 AS DOUBLE) AS confidence FROM (SELECT *, {_SPLIT}[1] AS f, {_SPLIT}[2] AS l FROM ({sql_spans(c.TEXTS_SQL, e.BIGRAM)}))
+    WHERE (f IN {firsts} OR {_BARE.format('f')} IN {firsts}) AND ({known})"""
+
+
+SQL["ner_person_bigram"] = f"WITH n AS ({DUCK_NAMES}) " + _names_sql("(SELECT name FROM n WHERE side = 'first')", "(SELECT name FROM n WHERE side = 'last')")
+SAMPLE_SQL["ner_person_bigram"] = _names_sql(tuple(e.FIRST_NAMES), tuple(e.LAST_NAMES))
 QUERIES["ner_person_caps"] = _others("ner_person_caps")
 SQL["ner_person_caps"] = f"SELECT doc_id, span_start, span_end, CAST(0.63 AS DOUBLE) AS confidence FROM (SELECT *, regexp_replace(substr(text, 1, span_start), '\\s+$', '') AS b FROM ({sql_spans(c.TEXTS_SQL, e.CAPS)})) WHERE b <> '' AND NOT regexp_matches(b, '[.!?]$') AND NOT list_has_any({_SPLIT}, {e.STOP_WORDS!r})"
 
+SAMPLE_SQL["ner_person_caps"] = SQL["ner_person_caps"]
 QUERIES["ner_all"] = lambda s, sf: m.unfold(c.texts(s, sf).select("doc_id", an.entities(F.col("text")).alias("spans"))).select("doc_id", "span_start", "span_end", "type", "confidence")
 
 
@@ -95,7 +136,7 @@ def _group_sql(family, others):
     """Spans of one kind of entity: each detector's in turn, where none before it has a place."""
     type_ = {"ner_person_bigram": "person", "ner_person_caps": "person"} | {n: t for n, (t, _, _) in e.DICTIONARIES.items()}
     found = [entity_sql(x, i) for i, x in enumerate(e.FAMILIES[family])]
-    found += [f"SELECT doc_id, span_start, span_end, '{type_[o]}' AS type, confidence, {len(found) + i} AS ord FROM ({SQL[o]})" for i, o in enumerate(others)]
+    found += [f"SELECT doc_id, span_start, span_end, '{type_[o]}' AS type, confidence, {len(found) + i} AS ord FROM ({SAMPLE_SQL[o]})" for i, o in enumerate(others)]
     return folded_sql(" UNION ALL ".join(found), "ord, span_start", FIRST_WINS)
 
 
@@ -133,13 +174,33 @@ SUPPRESS = ("example", "sample", "demo", "fictional", "test")
 WINDOW = 150
 
 
+_KINDS = [x for x in e.CONTEXTS if x.op != "ctx_ip"]  # an address by pattern is a built-in span already
+
+
+def _scored_spans(s, sf):
+    """doc_id and spans with near and against: built-in spans and those of the context patterns, by the keywords of their type."""
+    flat = lambda x, type_, confidence: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), type_.alias("type"), confidence.alias("confidence"))
+    builtin = F.transform(d.builtin_spans(F.col("text")), lambda x: flat(x, x["type"], x["confidence"]))
+
+    def hits(x):
+        return F.transform(spans(F.col("text"), x.regex + (f"(?={x.until})" if x.until else "")), lambda y: flat(y, F.lit(x.type), F.lit(x.confidence)))
+
+    others = [hits(x) for x in _KINDS]
+    own = c.texts(s, sf).select("doc_id", "text", F.concat(builtin, *others).alias("spans"))
+    return lx.keyword_distances(own, s.createDataFrame(e.keyword_rows(), "type string, keyword string, side string"), WINDOW).drop("text")
+
+
 def _scores(s, sf):
-    own = pq.spans_in_text(s, sf)
-    at = (F.col("text"), F.col("span_start"), F.col("span_end"))
-    return own.select("doc_id", "span_start", "span_end", "type", "confidence", e.near_distance(*at, BOOST, WINDOW).alias("near"), e.near_distance(*at, SUPPRESS, WINDOW).alias("against"))
+    return exploded(_scored_spans(s, sf), "doc_id", array="spans", alias="s").select("doc_id", F.col("s.start").alias("span_start"), F.col("s.stop").alias("span_end"), "s.type", "s.confidence", "s.near", "s.against")
 
 
-_SCORES = f"SELECT doc_id, span_start, span_end, type, confidence, {sql_distance(BOOST, WINDOW)} AS near, {sql_distance(SUPPRESS, WINDOW)} AS against FROM (SELECT a.*, t.text FROM ({pq.SPANS_SQL}) a JOIN ({c.TEXTS_SQL}) t USING (doc_id))"
+#: Spans meet the places of their type's keywords by a range join.
+_SCORES = f"""WITH t AS ({c.TEXTS_SQL}), k(type, keyword, side) AS (VALUES {", ".join(f"({quoted(t)}, {quoted(w)}, {quoted(x)})" for t, w, x in e.keyword_rows())}),
+    o AS (SELECT doc_id, keyword, p, p + length(keyword) AS q FROM (SELECT doc_id, keyword, unnest(list_transform(g[1:len(g) - 1], lambda x, i: list_sum(list_transform(g[1:i], lambda y: length(y))) + (i - 1) * length(keyword))) AS p
+          FROM (SELECT doc_id, keyword, string_split(lower(text), keyword) AS g FROM t JOIN (SELECT DISTINCT keyword FROM k) ON contains(lower(text), keyword)))),
+    h AS (SELECT *, row_number() OVER () AS r FROM (SELECT doc_id, span_start, span_end, type, confidence FROM ({pq.SPANS_SQL}) {" ".join(f"UNION ALL SELECT doc_id, span_start, span_end, type, confidence FROM ({entity_sql(x)})" for x in _KINDS)})),
+    n AS (SELECT r, side, min(CASE WHEN p < span_start THEN greatest(0, span_start - q) ELSE greatest(0, p - span_end) END) AS gap FROM h JOIN k ON k.type = h.type JOIN o ON o.keyword = k.keyword AND o.doc_id = h.doc_id AND p >= span_start - {WINDOW} AND q <= span_end + {WINDOW} GROUP BY 1, 2)
+    SELECT doc_id, span_start, span_end, type, confidence, a.gap AS near, b.gap AS against FROM h LEFT JOIN n a ON a.r = h.r AND a.side = 'boost' LEFT JOIN n b ON b.r = h.r AND b.side = 'suppress'"""
 _PROX = "(CASE WHEN {d} IS NULL OR {d} > 150 THEN 0.0::DOUBLE ELSE 1 - {d}::DOUBLE / 150 END)"
 QUERIES["keyword_distance"] = lambda s, sf: _scores(s, sf).select("doc_id", "span_start", "span_end", "type", F.col("near").cast("int").alias("near"), F.col("against").cast("int").alias("against"))
 SQL["keyword_distance"] = f"SELECT doc_id, span_start, span_end, type, CAST(near AS INTEGER) AS near, CAST(against AS INTEGER) AS against FROM ({_SCORES})"
