@@ -12,6 +12,7 @@ from redactory.functions.bank import BANK, BOOST, Pattern
 from redactory.functions.dialect import java
 from redactory.functions.spans import explode_spans, exploded, spans
 from redactory.functions.values import VALIDATORS, valid_luhn, valid_phone_digits, valid_ssn_loose
+from redactory.operators import tenants
 
 SPAN = "array<struct<start:int,stop:int,value:string,type:string,display_name:string,severity:string,confidence:double,prio:int>>"
 
@@ -111,19 +112,14 @@ def route_short(text: Column) -> Column:
 
 
 def keyword_spans(df: DataFrame, keywords: DataFrame) -> DataFrame:
-    """All occurrences, overlapping ones too, of each keyword (pattern_id, keyword), whatever the case.
+    """All occurrences, overlapping ones too, of each keyword (pattern_id, keyword), whatever the case; blank keywords have none.
 
-    Documents meet keywords by a containment test, then positions are found inside
-    the row; the keyword table is small by its nature and is sent to all tasks.
+    One automaton pass over each text, as for a tenant's keywords, with all documents as one tenant's.
     """
-    low, key = F.lower("text"), F.lower("keyword")
-    pairs = df.select("doc_id", low.alias("low")).join(F.broadcast(keywords), F.contains("low", key)).withColumn("key", key)
-    pieces = F.split("low", F.concat(F.lit(r"(?=\Q"), "key", F.lit(r"\E)")))  # cut before every occurrence
-    begun = F.struct(F.lit(0).alias("at"), F.when(F.startswith("low", "key"), F.array(F.lit(0))).otherwise(F.expr("cast(array() as array<int>)")).alias("out"))
-    places = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), begun, lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(x))).alias("out")), lambda acc: acc["out"])
-    return pairs.select("doc_id", "pattern_id", F.length("key").alias("_n"), F.explode(places).alias("_p")).select(
-        "doc_id", "pattern_id", F.col("_p").cast("int").alias("span_start"), (F.col("_p") + F.col("_n")).cast("int").alias("span_end"), F.lit("custom").alias("type"), F.lit(0.9).alias("confidence")
-    )
+    one = F.lit(0).cast("long")
+    usable = keywords.where(F.trim("keyword") != "").select(one.alias("tenant_id"), "pattern_id", one.alias("seq"), F.col("pattern_id").alias("name"), F.lit("keyword").alias("kind"), F.col("keyword").alias("value"))
+    found = tenants.tenant_spans(df.select("doc_id", one.alias("tenant_id"), "text"), usable)
+    return found.select("doc_id", "pattern_id", "span_start", "span_end", "type", "confidence")
 
 
 def custom_regex_spans(df: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
@@ -137,12 +133,12 @@ def custom_regex_spans(df: DataFrame, patterns: list[tuple[str, str]]) -> DataFr
 
 
 def valid_patterns(spark, patterns: list[tuple[str, str]]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
-    """Split tenant patterns into usable and rejected: bad syntax, or able to match nothing."""
+    """Split patterns into usable and rejected: bad syntax, able to match nothing, or of nested open repeats."""
     good, bad = [], []
     compiler = spark.sparkContext._jvm.java.util.regex.Pattern
     for i, p in patterns:
         try:
-            (bad if compiler.compile(p).matcher("").find() else good).append((i, p))
+            (bad if compiler.compile(p).matcher("").find() or tenants.nested_quantifiers(p) else good).append((i, p))
         except IllegalArgumentException:  # what the JVM's syntax error arrives as
             bad.append((i, p))
     return good, bad

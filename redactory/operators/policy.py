@@ -72,10 +72,11 @@ def matches_destination(host: Column, pattern: Column) -> Column:
 def escalate(actions: DataFrame, hosts: DataFrame, destinations: DataFrame) -> DataFrame:
     """Raise a document's action to the strictest rule of its destination; never lower it.
 
-    actions: doc_id, tenant_id, action, n_spans; hosts: doc_id, host. Without spans the answer is allow.
+    actions: doc_id, tenant_id, action, n_spans; hosts: doc_id, host. Without spans the
+    answer is allow; a document without a host keeps its action, whatever the rules say.
     """
-    there = actions.join(hosts, "doc_id").join(destinations.select("tenant_id", "destination", F.col("action").alias("d_action")), "tenant_id", "left")
-    fit = F.when(matches_destination(F.col("host"), F.col("destination")), ranked(F.col("d_action"), ACTION_RANK))
+    there = actions.join(hosts, "doc_id", "left").join(destinations.select("tenant_id", "destination", F.col("action").alias("d_action")), "tenant_id", "left")
+    fit = F.when(F.col("host").isNotNull() & matches_destination(F.col("host"), F.col("destination")), ranked(F.col("d_action"), ACTION_RANK))
     top = there.groupBy("doc_id", "host", "action", "n_spans").agg(F.max(fit).alias("d_rank"))
     raised = action_of(F.greatest(ranked(F.col("action"), ACTION_RANK), F.coalesce("d_rank", F.lit(0))))
     return top.select("doc_id", "host", F.when(F.col("n_spans") == 0, F.lit("allow")).otherwise(raised).alias("action"))

@@ -81,8 +81,13 @@ def phone(t: Column, v: Column) -> Column:
     return like_digits(v, F.concat(code, F.lit("555"), F.lpad(draw(t, v, 0, 1000).cast("string"), 3, "0"), F.lit("01"), F.lpad(draw(t, v, 1, 100).cast("string"), 2, "0")))
 
 
+# Tags of addresses that have one.
+TAGS = ["test", "dev", "temp", "noreply", "work"]
+
+
 def email(t: Column, v: Column) -> Column:
-    plus = F.regexp_extract(v, r"^[^@+]*(\+[^@]*)@", 1)
+    """A drawn name and domain; where the address has a tag, a drawn one, never its own."""
+    plus = F.when(F.contains(F.split_part(v, F.lit("@"), F.lit(1)), F.lit("+")), F.concat(F.lit("+"), _pick(TAGS, draw(t, v, 4, 5)))).otherwise("")
     return F.concat(F.lower(_pick(FIRST, draw(t, v, 0, 8))), F.lit("."), F.lower(_pick(LAST, draw(t, v, 1, 8))), draw(t, v, 2, 100).cast("string"), plus, F.lit("@"), _pick(DOMAINS, draw(t, v, 3, 3)))
 
 

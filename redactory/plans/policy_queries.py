@@ -95,8 +95,8 @@ def _escalate(s, sf):
 
 QUERIES["destination_escalate"] = _escalate
 SQL["destination_escalate"] = f"""WITH a AS ({STRICT.format(rank=RANK, acted=acted_sql())}), d AS ({c.DESTINATIONS_SQL}),
-    x AS (SELECT h.page_id AS doc_id, host, a.action, max(CASE WHEN {MATCH} THEN {case('d.action', ACTION_RANK)} END) AS dr
-          FROM ({HOST_SQL}) h JOIN documents o ON o.doc_id = h.page_id LEFT JOIN a ON a.doc_id = h.page_id LEFT JOIN d ON d.tenant_id = h.tenant_id GROUP BY ALL)
+    x AS (SELECT o.doc_id, host, a.action, max(CASE WHEN host IS NOT NULL AND {MATCH} THEN {case('d.action', ACTION_RANK)} END) AS dr
+          FROM documents o LEFT JOIN ({HOST_SQL}) h ON o.doc_id = h.page_id LEFT JOIN a ON a.doc_id = o.doc_id LEFT JOIN d ON d.tenant_id = o.doc_id % 25 GROUP BY ALL)
     SELECT doc_id, host, CASE WHEN action IS NULL THEN 'allow' ELSE {case(f'greatest({RANK}, coalesce(dr, 0))', BACK)} END AS action FROM x"""
 
 QUERIES["file_action"] = lambda s, sf: spans(s, sf).groupBy("doc_id").agg(F.max(p.ranked(F.col("severity"), SEVERITY_RANK)).alias("r")).select("doc_id", p.file_action(F.col("r")).alias("action"))
@@ -117,9 +117,11 @@ SQL["policy_compare"] = "SELECT doc_id, " + ", ".join(f"{case('max(' + case('sev
 
 
 def _shadow(s, sf):
-    now = p.strictest(acted(s, sf), "doc_id").select("doc_id", "action")
-    would = p.strictest(acted(s, sf, ("enforce", "monitor")), "doc_id").select("doc_id", F.col("action").alias("would_be"))
-    return now.join(would, "doc_id").select("doc_id", "action", "would_be", (F.col("action") != F.col("would_be")).alias("differs"))
+    """Both answers from one scan: each span gets its action under either set of rules, and one grouping takes both."""
+    both = acted(s, sf).withColumnRenamed("action", "now_action").drop("rule_id", "profile")
+    both = p.span_actions(both, c.policies(s, sf), c.rules(s, sf), ("enforce", "monitor"))
+    top = both.groupBy("doc_id").agg(*(p.action_of(F.max(p.ranked(F.col(x), ACTION_RANK))).alias(n) for n, x in (("action", "now_action"), ("would_be", "action"))))
+    return top.select("doc_id", "action", "would_be", (F.col("action") != F.col("would_be")).alias("differs"))
 
 
 QUERIES["monitor_shadow"] = _shadow

@@ -164,7 +164,7 @@ SQL["surrogate_name"] = f"""SELECT type, value, CASE k WHEN 0 THEN {_LAST} WHEN
     FROM (SELECT DISTINCT 'person_name' AS type, value, k FROM ({NAMES_SQL}))"""
 QUERIES["surrogate_email"] = lambda s, sf: g.surrogate_map(spans(s, sf).where("type = 'email'")).select("type", "value", "surrogate")
 SQL["surrogate_email"] = f"""SELECT DISTINCT type, value, lower({g.FIRST!r}[{g.sql_draw(0, 8)} + 1]) || '.' || lower({g.LAST!r}[{g.sql_draw(1, 8)} + 1]) || {g.sql_draw(2, 100)}
-    || regexp_extract(value, '^[^@+]*(\\+[^@]*)@', 1) || '@' || {g.DOMAINS!r}[{g.sql_draw(3, 3)} + 1] AS surrogate FROM ({SPANS_SQL}) WHERE type = 'email'"""
+    || CASE WHEN contains(split_part(value, '@', 1), '+') THEN '+' || {g.TAGS!r}[{g.sql_draw(4, 5)} + 1] ELSE '' END || '@' || {g.DOMAINS!r}[{g.sql_draw(3, 3)} + 1] AS surrogate FROM ({SPANS_SQL}) WHERE type = 'email'"""
 QUERIES["surrogate_routing"] = lambda s, sf: c.table(s, sf, "customer").select(F.lit("routing_number").alias("type"), F.col("c_name").alias("value")).transform(g.surrogate_map).select("value", "surrogate")
 
 
