@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from redactory.sources.storage import scratch
 
@@ -22,11 +22,11 @@ def source(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(out: DataFrame, mode: str = "append") -> DataFrame:
+def drain(out: DataFrame, mode: str = "append", offsets: str | None = None) -> DataFrame:
     """Run a stream over all that is there, into Parquet, and read the sink."""
     spark = out.sparkSession
     sink = scratch(spark, "stream")
-    out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start(sink).awaitTermination()
+    out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", offsets or scratch(spark, "offsets")).trigger(availableNow=True).start(sink).awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)
 
 
@@ -53,39 +53,66 @@ def resend_suppressed(events: DataFrame, within: str = "10 seconds") -> DataFram
     return hashed.withWatermark("ts", within).dropDuplicatesWithinWatermark(["user_id", "content_hash"]).select("event_id", "user_id", "content_hash")
 
 
-def one_shot(events: DataFrame, key: str, grants: str, uses: str, seconds: int = 5, late: str = "1 hour") -> DataFrame:
-    """A grant lets exactly one later use of its key through, if it comes in time.
+class OneShot(StatefulProcessor):
+    """The last grant of a key, until a use takes it or its time is over.
 
-    State per key is one time stamp, so keys scale out over the state stores; it goes
-    when the grant is used or when event time, less what rows may be late, has passed its end.
+    State is one number for a key, so keys scale out over the state stores. A timer in
+    event time lets it go, whether or not the key ever comes again.
     """
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        granted = state.get[0] if state.exists else None
+    def __init__(self, grants: str, uses: str, seconds: int):
+        self.grants, self.uses, self.millis = grants, uses, seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.granted = handle, handle.getValueState("granted", "at long")
+
+    def hold(self, at: int | None) -> None:
+        """Keep a grant's time and one timer for its end, or nothing."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if at is None:
+            self.granted.clear()
+        else:
+            self.granted.update((at,))
+            self.handle.registerTimer(at + self.millis + 1)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        """A batch's rows of a key in the order of their times; a use passes only after its grant, never before it."""
+        own = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        before = granted = self.granted.get()[0] if self.granted.exists() else None
         out = []
-        for ts, event_id, kind in zip(rows["ts"], rows["event_id"], rows["event_type"], strict=True):
-            at = ts.value / 1e9
-            if kind == grants:
-                granted = at
-            elif kind == uses:
-                passed = granted is not None and at - granted <= seconds
-                out.append((event_id, int(k[0]), passed))
-                if passed:
-                    granted = None
-        ends = None if granted is None else int((granted + seconds) * 1000) + 1
-        if ends is not None and ends > state.getCurrentWatermarkMs():
-            state.update((granted,))
-            state.setTimeoutTimestamp(ends)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["event_id", "k", "passed"])
-
-    own = events.withWatermark("ts", late).select(F.col(key).cast("long").alias("k"), "ts", "event_id", "event_type").where(F.col("event_type").isin(grants, uses))
-    return own.groupBy("k").applyInPandasWithState(step, "event_id long, k long, passed boolean", "granted double", "append", GroupStateTimeout.EventTimeTimeout)
+        for at, event_id, kind in zip(own["at"].tolist(), own["event_id"].tolist(), own["event_type"].tolist(), strict=True):
+            if kind == self.grants:
+                granted = at if granted is None else max(at, granted)
+            else:
+                passed = granted is not None and 0 <= at - granted <= self.millis
+                out.append((event_id, key[0], passed))
+                granted = None if passed else granted
+        if granted is not None and granted + self.millis < timerValues.getCurrentWatermarkInMs():
+            granted = None
+        if granted != before:
+            self.hold(granted)
+        yield pd.DataFrame(out, columns=["event_id", "k", "passed"]).astype({"event_id": "int64", "k": "int64", "passed": "bool"})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        self.granted.clear()
+        yield pd.DataFrame({"event_id": pd.Series([], dtype="int64"), "k": pd.Series([], dtype="int64"), "passed": pd.Series([], dtype="bool")})
+
+    def close(self) -> None:
+        pass
+
+
+def one_shot(events: DataFrame, key: str, grants: str, uses: str, seconds: int = 5, late: str = "1 hour") -> DataFrame:
+    """A grant lets exactly one later use of its key through, if it comes in time.
+
+    Rows without a key or time are left out. Of a batch, rows are taken in the order of
+    their times; rows later than the watermark are dropped. Needs the RocksDB state
+    store, which is set for the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own = events.withWatermark("ts", late).select(F.col(key).cast("long").alias("k"), "ts", F.unix_millis("ts").alias("at"), "event_id", "event_type")
+    own = own.where(F.col("event_type").isin(grants, uses) & F.col("k").isNotNull() & F.col("ts").isNotNull())
+    return own.groupBy("k").transformWithStateInPandas(OneShot(grants, uses, seconds), "event_id long, k long, passed boolean", "Append", "EventTime")
 
 
 def with_refresh(stream: DataFrame, load: Callable[[], DataFrame], handle: Callable[[DataFrame, DataFrame, int], None]) -> None:

@@ -1,0 +1,45 @@
+"""One-shot states over several micro-batches, and table functions."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from redactory.operators import plugins
+from redactory.streaming import jobs
+
+START = dt.datetime(2024, 1, 1)
+
+
+def _events(spark, folder, batches):
+    """A stream of one file a micro-batch: (event_id, key, minutes, type)."""
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([(e, k, START + dt.timedelta(minutes=m), t) for e, k, m, t in rows], "event_id long, k long, ts timestamp, event_type string")
+        df.coalesce(1).write.mode("append").parquet(str(folder))
+        for f in folder.glob("part-*.parquet"):
+            if not f.name.startswith(("part-b",)):
+                f.rename(folder / f"part-b{i}.parquet")
+    return spark.readStream.schema("event_id long, k long, ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_a_grant_lasts_over_batches_and_ends_with_its_time(spark, tmp_path):
+    batches = [
+        [(1, 7, 0, "grant"), (2, 7, 3, "use"), (3, 7, 4, "use"), (4, 8, 5, "grant"), (5, None, 5, "use")],
+        [(6, 8, 4, "use"), (7, 8, 9, "use"), (8, 9, 9, "grant")],  # 6 comes late, before its grant in time
+        [(9, 9, 40, "use"), (10, 7, 41, "grant"), (11, 7, 43, "other")],
+        [(12, 7, 45, "use"), (13, 3, 200, "grant")],
+        [(14, 1, 400, "use"), (15, 3, 401, "use")],
+        [(16, 1, 600, "use")],
+    ]
+    offsets = str(tmp_path / "offsets")
+    out = jobs.drain(jobs.one_shot(_events(spark, tmp_path / "in", batches), "k", "grant", "use", 600, "10 minutes"), offsets=offsets)
+    got = {r.event_id: r.passed for r in out.collect()}
+    assert got == {2: True, 3: False, 6: False, 7: True, 9: False, 12: True, 14: False, 15: False, 16: False}
+    left = spark.read.format("statestore").option("stateVarName", "granted").load(offsets)
+    assert left.count() == 0
+
+
+def test_a_detector_as_a_table_function(spark):
+    plugins.register_table_detector(spark, "words_of_three", lambda: lambda t: [("three", i, i + 3, 0.5) for i in range(len(t) - 2) if t[i : i + 3].isalpha()])
+    spark.createDataFrame([(1, "ab abc"), (2, None), (3, "")], "id long, t string").createOrReplaceTempView("some_texts")
+    rows = spark.sql("SELECT id, d.* FROM some_texts, LATERAL words_of_three(t) d").collect()
+    assert [tuple(r) for r in rows] == [(1, "three", 3, 6, 0.5)]
