@@ -78,9 +78,9 @@ def _first_sql() -> str:
 QUERIES["first_match_block"] = lambda s, sf: texts(s, sf).select("doc_id", d.first_match_block(F.col("text")).alias("first_match"))
 SQL["first_match_block"] = f"SELECT doc_id, {_first_sql()} AS first_match FROM ({TEXTS_SQL})"
 
-QUERIES["route_short"] = lambda s, sf: texts(s, sf).select("doc_id", d.route_short(F.substring("text", -24, 24)).alias("tail_route"), d.route_short(F.substring("text", -12, 12)).alias("short_route"))
+QUERIES["route_short"] = lambda s, sf: texts(s, sf).select("doc_id", d.route_short(F.col("text")).alias("route"), d.route_short(F.substring("text", -24, 24)).alias("tail_route"), d.route_short(F.substring("text", -12, 12)).alias("short_route"))
 _ROUTE = "CASE WHEN length(trim({t})) = 0 THEN 'allow' WHEN length(trim({t})) < 20 THEN CASE WHEN {q} THEN 'block' ELSE 'allow' END ELSE 'scan' END"
-SQL["route_short"] = f"SELECT doc_id, {_ROUTE.format(t='right(text, 24)', q=_sql_screen('right(text, 24)'))} AS tail_route, {_ROUTE.format(t='right(text, 12)', q=_sql_screen('right(text, 12)'))} AS short_route FROM ({TEXTS_SQL})"
+SQL["route_short"] = f"SELECT doc_id, {_ROUTE.format(t='text', q=_sql_screen())} AS route, {_ROUTE.format(t='right(text, 24)', q=_sql_screen('right(text, 24)'))} AS tail_route, {_ROUTE.format(t='right(text, 12)', q=_sql_screen('right(text, 12)'))} AS short_route FROM ({TEXTS_SQL})"
 
 _DIGITED = r"\b[0-9][0-9 .-]{7,22}[0-9]\b"
 _DIGITED_SQL = sql_spans(TEXTS_SQL, _DIGITED)

@@ -211,15 +211,19 @@ QUERIES["latency_percentiles"] = lambda s, sf: c.table(s, sf, "events").groupBy(
 SQL["latency_percentiles"] = "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY 1"
 
 
+#: The kind that each planted sentence holds.
+_PLANTED = "CASE doc_id % 24 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in {0: "ssn", 2: "credit_card", 3: "aws_key", 4: "api_key", 5: "api_key", 6: "private_key", 7: "api_key", 8: "email", 9: "aws_secret", 10: "api_key", 11: "api_key", 12: "api_key", 13: "phone", 14: "ip_address", 15: "connection_string", 16: "jwt", 17: "api_key", 18: "date"}.items()) + " END"
+
+
 def _eval(s, sf):
-    want = c.documents(s, sf).select("doc_id", F.expr("CASE doc_id % 24 WHEN 0 THEN 'ssn' WHEN 2 THEN 'credit_card' WHEN 8 THEN 'email' WHEN 13 THEN 'phone' END").alias("type")).where("type IS NOT NULL").withColumn("want", F.lit(1))
+    want = c.documents(s, sf).select("doc_id", F.expr(_PLANTED).alias("type")).where("type IS NOT NULL").withColumn("want", F.lit(1))
     found = spans(s, sf).select("doc_id", "type").distinct().withColumn("got", F.lit(1))
     both = want.join(found, ["doc_id", "type"], "full").groupBy("type").agg(F.count_if(F.col("want").isNotNull() & F.col("got").isNotNull()).alias("tp"), F.count_if(F.col("want").isNull()).alias("fp"), F.count_if(F.col("got").isNull()).alias("fn"))
     return both.withColumn("recall", F.round(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), 6)).withColumn("precision", F.round(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), 6))
 
 
 QUERIES["detector_eval"] = _eval
-SQL["detector_eval"] = f"""WITH w AS (SELECT * FROM (SELECT doc_id, CASE doc_id % 24 WHEN 0 THEN 'ssn' WHEN 2 THEN 'credit_card' WHEN 8 THEN 'email' WHEN 13 THEN 'phone' END AS type FROM documents) WHERE type IS NOT NULL), f AS (SELECT DISTINCT doc_id, type FROM ({SPANS_SQL})),
+SQL["detector_eval"] = f"""WITH w AS (SELECT * FROM (SELECT doc_id, {_PLANTED} AS type FROM documents) WHERE type IS NOT NULL), f AS (SELECT DISTINCT doc_id, type FROM ({SPANS_SQL})),
     x AS (SELECT coalesce(w.type, f.type) AS type, count(*) FILTER (w.type IS NOT NULL AND f.type IS NOT NULL) AS tp, count(*) FILTER (w.type IS NULL) AS fp, count(*) FILTER (f.type IS NULL) AS fn FROM w FULL JOIN f ON w.doc_id = f.doc_id AND w.type = f.type GROUP BY 1)
     SELECT *, round(tp / nullif(tp + fn, 0), 6) AS recall, round(tp / nullif(tp + fp, 0), 6) AS precision FROM x"""
 _FILES = "SELECT doc_id, sum(detections) AS file_detections, count(*) AS files FROM (SELECT page_id AS doc_id, page_id % 5 AS detections FROM pages) GROUP BY 1"
@@ -273,3 +277,18 @@ SQL["bypass_event"] = f"SELECT e.doc_id, content_type, by_type, coalesce(b.n, 0)
 SQL["sink_bypass"] = f"SELECT doc_id, content_type, total FROM ({SQL['bypass_event']})"
 QUERIES["zk_event"] = lambda s, sf: spans(s, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.to_json(F.array_sort(F.collect_list(F.struct("span_start", "type")))).alias("details")).select("doc_id", "total", F.octet_length(st.sealed(F.col("details"), st.seal_key(s))).alias("sealed_bytes"))
 SQL["zk_event"] = f"SELECT doc_id, count(*) AS total, 28 + strlen('[' || string_agg('{{\"span_start\":' || span_start || ',\"type\":\"' || type || '\"}}', ',') || ']') AS sealed_bytes FROM ({SPANS_SQL}) GROUP BY 1"
+
+
+def _payload(s, sf):
+    """The whole event of a bypass, one row a document from one scan: hash, counts, and each span's kind, fingerprint and mask."""
+    own = c.texts(s, sf).select("doc_id", v.content_sha256(F.col("text")).alias("content_hash"), d.builtin_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    one = F.transform("spans", lambda x: F.concat_ws(":", F.lpad(x["start"].cast("string"), 9, "0"), x["type"], v.fingerprint(x["value"]), v.mask_placeholder(x["display_name"])))
+    files = c.relation(s, sf, _FILES.replace("GROUP BY 1", "GROUP BY doc_id"), "pages")
+    rows = own.select("doc_id", "content_hash", F.array_sort(one).alias("mappings")).join(files, "doc_id", "left")
+    return rows.select("doc_id", "content_hash", "mappings", F.size("mappings").alias("detections"), F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("file_detections", F.lit(0)).alias("file_detections"))
+
+
+QUERIES["bypass_payload"] = _payload
+SQL["bypass_payload"] = f"""SELECT a.doc_id, 'sha256:' || sha256(text) AS content_hash, mappings, len(mappings) AS detections, coalesce(files, 0) AS files, coalesce(file_detections, 0) AS file_detections FROM (
+    SELECT doc_id, list_sort(list(lpad(CAST(span_start AS VARCHAR), 9, '0') || ':' || type || ':' || substr(sha256(value), 1, 8) || ':' || {MASK})) AS mappings FROM ({SPANS_SQL}) GROUP BY 1) a
+    JOIN ({c.TEXTS_SQL}) t ON a.doc_id = t.doc_id LEFT JOIN ({_FILES}) f ON a.doc_id = f.doc_id"""

@@ -7,26 +7,32 @@ from pyspark.sql import functions as F
 from redactory.functions.bank import BANK
 from redactory.functions.dialect import quoted
 from redactory.functions.spans import sql_spans
+from redactory.functions.values import SQL_VALIDATORS
 from redactory.operators import detect as d
+from redactory.operators import policy as p
+from redactory.plans.policy_queries import DEFAULT
 from redactory.sources import corpus as c
 from redactory.sources.storage import scratch
 from redactory.streaming import jobs
 
 QUERIES, SQL = {}, {}
-_KINDS = [p for p in BANK if p.op in ("detect_email", "detect_ipv4", "detect_kv_secret")]
 #: A message text for each event.
 _TEXT = "concat('user', user_id, ' from 10.0.', user_id % 200, '.', event_id % 250, ' wrote a', event_id, '@example.org token=', md5(cast(event_id as string)))"
 _DUCK_TEXT = "SELECT event_id AS doc_id, concat('user', user_id, ' from 10.0.', user_id % 200, '.', event_id % 250, ' wrote a', event_id, '@example.org token=', md5(CAST(event_id AS VARCHAR))) AS text FROM events"
 
 
 def _detect(s, sf):
-    rows = jobs.source(s, sf).select(F.col("event_id").alias("doc_id"), F.expr(_TEXT).alias("text"))
-    every = F.concat(*(d.pattern_spans(F.col("text"), p) for p in _KINDS))
-    return jobs.drain(d.long_form(rows.select("doc_id", every.alias("spans"))).select("doc_id", "span_start", "span_end", "type"))
+    """All built-in kinds over a stream of messages, with what the tenant's profile says of each span."""
+    rows = jobs.source(s, sf).select(F.col("event_id").alias("doc_id"), (F.col("user_id") % 25).alias("tenant_id"), F.expr(_TEXT).alias("text"))
+    found = d.long_form(rows.select("doc_id", "tenant_id", d.builtin_spans(F.col("text")).alias("spans"))).join(c.policies(s, sf), "tenant_id", "left")
+    action = p.default_action(F.coalesce("profile", F.lit("personal_protection")), F.col("severity"))
+    return jobs.drain(found.select("doc_id", "tenant_id", "span_start", "span_end", "type", "severity", action.alias("action")))
 
 
 QUERIES["stream_detect"] = _detect
-SQL["stream_detect"] = " UNION ALL ".join(f"SELECT doc_id, span_start, span_end, {quoted(p.type)} AS type FROM ({sql_spans(_DUCK_TEXT, p.regex, p.ignore_case)})" for p in _KINDS)
+_MESSAGES = f"SELECT e.event_id AS doc_id, e.user_id % 25 AS tenant_id, t.text FROM events e JOIN ({_DUCK_TEXT}) t ON t.doc_id = e.event_id"
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, tenant_id, span_start, span_end, {quoted(x.type)} AS type, {quoted(x.severity)} AS severity FROM ({sql_spans(_MESSAGES, x.regex, x.ignore_case, 'doc_id, tenant_id, text')})" + (f" WHERE {SQL_VALIDATORS[x.validator]}" if x.validator else "") for x in BANK)
+SQL["stream_detect"] = f"SELECT doc_id, tenant_id, span_start, span_end, type, severity, {DEFAULT} AS action FROM (SELECT f.*, coalesce(q.profile, 'personal_protection') AS profile FROM ({_FOUND}) f LEFT JOIN ({c.POLICIES_SQL}) q USING (tenant_id))"
 QUERIES["stream_audit_counts"] = lambda s, sf: jobs.drain(jobs.audit_counts(jobs.source(s, sf))).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 SQL["stream_audit_counts"] = "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2"
 QUERIES["stream_heartbeat_gap"] = lambda s, sf: jobs.drain(jobs.heartbeat_sessions(jobs.source(s, sf))).select("user_id", F.col("begun").cast("timestamp_ntz").alias("begun"), "beats")
@@ -66,3 +72,28 @@ def _refresh(s, sf):
 
 QUERIES["stream_policy_refresh"] = _refresh
 SQL["stream_policy_refresh"] = f"SELECT event_id, user_id % 25 AS tenant_id, coalesce(profile, 'personal_protection') AS profile FROM events LEFT JOIN ({c.POLICIES_SQL}) p ON user_id % 25 = p.tenant_id"
+
+
+#: When a tenant's policy, and its rules, were last fetched: at its users' last error and signup events.
+SYNCED_SQL = "SELECT user_id % 25 AS tenant_id, max(CASE WHEN event_type = 'error' THEN ts END) AS policy_at, max(CASE WHEN event_type = 'signup' THEN ts END) AS rules_at FROM events WHERE event_id % 3 = 0 GROUP BY user_id % 25"
+POLICY_SECONDS, RULES_SECONDS = 600, 360
+
+
+def _stale(s, sf):
+    """Events scored with the policy that is there; one that is too old, or was never fetched, is flagged and still used."""
+    sink = scratch(s, "stale")
+    age = lambda at: F.col("ts").cast("double") - F.col(at).cast("timestamp").cast("double")
+    late = lambda at, most: F.coalesce(age(at) > most, F.lit(True))
+
+    def handle(batch, policies, _):
+        rows = batch.withColumn("tenant_id", F.col("user_id") % 25).join(policies, "tenant_id", "left")
+        rows.select("event_id", "tenant_id", F.coalesce("profile", F.lit("personal_protection")).alias("profile"), late("policy_at", POLICY_SECONDS).alias("policy_stale"), late("rules_at", RULES_SECONDS).alias("rules_stale")).write.mode("append").parquet(sink)
+
+    jobs.with_refresh(jobs.source(s, sf), lambda: c.policies(s, sf).join(c.relation(s, sf, SYNCED_SQL, "events"), "tenant_id", "full"), handle)
+    return s.read.schema("event_id long, tenant_id long, profile string, policy_stale boolean, rules_stale boolean").parquet(sink)
+
+
+QUERIES["stream_policy_stale"] = _stale
+_LATE = "coalesce(epoch(ts) - epoch({at}) > {n}, true)"
+SQL["stream_policy_stale"] = f"""SELECT event_id, e.user_id % 25 AS tenant_id, coalesce(profile, 'personal_protection') AS profile, {_LATE.format(at='policy_at', n=POLICY_SECONDS)} AS policy_stale, {_LATE.format(at='rules_at', n=RULES_SECONDS)} AS rules_stale
+    FROM events e LEFT JOIN ({c.POLICIES_SQL}) q ON e.user_id % 25 = q.tenant_id LEFT JOIN ({SYNCED_SQL}) y ON e.user_id % 25 = y.tenant_id"""
