@@ -31,7 +31,7 @@ STATES, ROUNDS = 12, 3
 #: rounds over all training texts start there.
 SEED_TEXTS, SEED_WORDS, SEED_ROUNDS = 1500, 3000, 15
 #: Texts worked on side by side, steps kept between them, and cells of one such table at most.
-LANES, SPAN, CELLS = 1024, 1024, 4_000_000
+LANES, SPAN, CELLS = 1024, 512, 4_000_000
 #: Weight of the symbols' plain shares in each state, in tokens.
 PRIOR = 10.0
 
