@@ -138,7 +138,7 @@ def test_surrogates(spark):
     values = [("ssn", "219-09-9999"), ("credit_card", "4111-1111-1111-1111"), ("credit_card", "378282246310005"), ("phone", "+1 (555) 123-4567"), ("email", "jo+x@corp.com"), ("date", "03/05/1984"), ("routing_number", "123"), ("odd_kind", "v"), ("money", "$1,234.50K"), ("driver_license", "A12-345"), ("passport", "X1"), ("jwt", "eyJa.eyJb.c"), ("connection_string", "mysql://u:p@h/db"), ("private_key", "-----BEGIN RSA PRIVATE KEY-----"), ("address", "1 Main St"), ("bank_account", "12345")]
     df = spark.createDataFrame(values, "type string, value string")
     out = {(r["type"], r["value"]): r["surrogate"] for r in surrogate.surrogate_map(df.unionAll(df)).collect()}
-    assert len(out) == len(values) and out["odd_kind", "v"] == "[EXAMPLE_ODD_KIND]" and "+x@" in out["email", "jo+x@corp.com"]
+    assert len(out) == len(values) and out["odd_kind", "v"] == "[EXAMPLE_ODD_KIND]" and out["email", "jo+x@corp.com"].split("@")[0].split("+")[1] in surrogate.TAGS
     checked = spark.createDataFrame([(k[0], x) for k, x in out.items()], "type string, value string").select("type", "value", v.valid_luhn(F.col("value")).alias("luhn"), v.valid_ssn(F.col("value")).alias("ssn")).collect()
     assert all(r["luhn"] for r in checked if r["type"] == "credit_card") and all(r["ssn"] for r in checked if r["type"] == "ssn")
     aba = out["routing_number", "123"]
