@@ -43,6 +43,11 @@ def first_writer_wins(spans: Column) -> Column:
     return F.aggregate(spans, F.expr(EMPTY), lambda acc, s: F.when(F.exists(acc, lambda o: overlaps(s, o)), acc).otherwise(F.concat(acc, F.array(s))))
 
 
+def added(spans: Column, extra: Column) -> Column:
+    """The spans of extra, in order, that overlap none of spans and none of extra that was added before."""
+    return F.aggregate(extra, F.expr(EMPTY), lambda acc, s: F.when(F.exists(spans, lambda o: overlaps(s, o)) | F.exists(acc, lambda o: overlaps(s, o)), acc).otherwise(F.concat(acc, F.array(s))))
+
+
 def sweep(spans: Column) -> Column:
     """From left to right: disjoint spans stay, an overlap that reaches further replaces only with more confidence."""
     ordered = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["confidence"]).alias("b"), s["ord"].alias("c"), s.alias("s")))), lambda x: x["s"])

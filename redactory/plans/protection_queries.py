@@ -113,8 +113,20 @@ QUERIES["union_sources"] = lambda s, sf: _with_source(s, sf).groupBy("source", "
 SQL["union_sources"] = f"SELECT source, type, count(*) AS n, round(sum(confidence), 6) AS total FROM ({TWO_SQL}) GROUP BY ALL"
 for _name, _fold in (("merge_same_type", m.merge_same_type), ("first_writer_wins", m.first_writer_wins), ("sweep_dedup", m.sweep)):
     QUERIES[_name] = lambda s, sf, f=_fold: m.unfold(m.as_spans(_with_source(s, sf), "doc_id").withColumn("spans", f(F.col("spans"))))
-QUERIES["llm_merge"] = lambda s, sf: m.disjoint(_with_source(s, sf).where("source = 'ner'"), spans(s, sf).where("type <> 'phone'")).select("doc_id", "span_start", "span_end", "type")
-SQL["llm_merge"] = f"SELECT doc_id, span_start, span_end, type FROM ({TWO_SQL}) a WHERE source = 'ner' AND NOT EXISTS (SELECT 1 FROM ({SPANS_SQL}) b WHERE b.type <> 'phone' AND b.doc_id = a.doc_id AND a.span_start < b.span_end AND a.span_end > b.span_start)"
+
+
+def _llm_merge(s, sf):
+    """Spans of the second producer, the longest first, added to those of the bank but phone numbers; one shuffle by document."""
+    both = _with_source(s, sf).where("source = 'ner' OR type <> 'phone'").withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.expr("span_start - span_end"), "span_start", "type")))
+    of = lambda name: F.filter("spans", lambda x: x["source"] == name)
+    return m.unfold(m.as_spans(both, "doc_id").withColumn("spans", m.added(of("regex"), of("ner")))).select("doc_id", "span_start", "span_end", "type")
+
+
+QUERIES["llm_merge"] = _llm_merge
+SQL["llm_merge"] = f"""SELECT doc_id, k.a AS span_start, k.b AS span_end, k.t AS type FROM (
+    SELECT doc_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda o: o.a < x[1].b AND o.b > x[1].a)) = 0 THEN acc || x ELSE acc END)) AS k FROM (
+      SELECT doc_id, list([{{'a': span_start, 'b': span_end, 't': type}}] ORDER BY span_start - span_end, span_start, type) AS l FROM ({TWO_SQL}) a
+      WHERE source = 'ner' AND NOT EXISTS (SELECT 1 FROM ({SPANS_SQL}) b WHERE b.type <> 'phone' AND b.doc_id = a.doc_id AND a.span_start < b.span_end AND a.span_end > b.span_start) GROUP BY 1))"""
 QUERIES["conf_filter"] = lambda s, sf: _with_source(s, sf).where("confidence >= 0.85").select("doc_id", "span_start", "type", "source")
 SQL["conf_filter"] = f"SELECT doc_id, span_start, type, source FROM ({TWO_SQL}) WHERE confidence >= 0.85"
 QUERIES["ambiguous_band"] = lambda s, sf: _with_source(s, sf).where(F.col("confidence").between(0.4, 0.8)).select("doc_id", "span_start", "type", "source")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redactory.functions import values as v
+from redactory.functions.spans import exploded
 from redactory.operators import mappings as mp
 from redactory.operators import predictions as pr
 from redactory.operators import detect as d
+from redactory.operators.redact import redacted
 from redactory.plans.policy_queries import SPANS_SQL, spans, spans_in_text
 from redactory.plans.protection_queries import MASKED_SQL, masked
 from redactory.sources import corpus as c
@@ -164,15 +166,36 @@ QUERIES["final_file_list"] = lambda s, sf: mp.final_files(files(s, sf).select(F.
 SQL["final_file_list"] = f"SELECT f.path AS name, CASE WHEN status = 'protected' THEN protected_name ELSE f.path END AS sent FROM ({FILES_SQL}) f LEFT JOIN ({_REVIEW}) i ON f.path = i.name AND f.length = i.size AND f.mtime = i.mtime WHERE coalesce(status, 'clean') <> 'skipped'"
 
 
+def _reviewed(s, sf):
+    """doc_id, masked text, its tokens and its mappings, from one scan; names, starts and tokens are left out in turn."""
+    found = c.texts(s, sf).select("doc_id", "text", d.builtin_spans(F.col("text")).alias("spans"))
+    keyed = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["type"].alias("type"), x["display_name"].alias("display_name"))))
+
+    def mapping(x, i):
+        return F.struct(i.cast("int").alias("idx"), F.when(x["start"] % 7 != 3, x["start"]).alias("span_start"), F.when(x["start"] % 2 == 0, v.mask_placeholder(x["display_name"])).alias("placeholder"), F.when(x["start"] % 5 == 1, F.lit("[EMAIL]")).otherwise("[NONE]").alias("replacement"), F.when(x["start"] % 3 != 0, x["display_name"]).alias("display_name"))
+
+    text = redacted(F.col("text"), F.col("spans"), lambda x: v.mask_placeholder(x["display_name"]))
+    rows = found.select("doc_id", text.alias("protected"), F.transform(keyed, mapping).alias("mappings"))
+    return rows.withColumn("pairs", mp.paired(F.regexp_extract_all("protected", F.lit(mp.TOKEN), F.lit(0)), F.col("mappings")))
+
+
 def _pairs(s, sf):
-    own = st.cut(spans(s, sf), "spans").where("display_name NOT LIKE '%&%'")  # a mask with an ampersand is no token
-    place = v.mask_placeholder(F.col("display_name"))
-    return mp.token_map(mp.bracket_tokens(masked(s, sf)), own.select("doc_id", F.row_number().over(mp.Window.partitionBy("doc_id").orderBy("span_start", "span_end", "type")).alias("idx"), "span_start", F.when(F.col("span_start") % 2 == 0, place).alias("placeholder"), F.lit("[NONE]").alias("replacement"), place.alias("by_display")))
+    return exploded(_reviewed(s, sf), "doc_id", array="pairs", alias="p").select("doc_id", "p.*")
+
+
+def _choices(s, sf):
+    """Two of three mappings are chosen; the tokens of some were edited, so that they fall back on their names."""
+
+    def choice(m):
+        token = F.get(F.filter("pairs", lambda p: p["idx"] == m["idx"]), F.lit(0))["token"]
+        return F.struct(m["idx"].alias("idx"), (m["idx"] % 3 != 0).alias("enabled"), F.concat(F.lit("<"), m["idx"].cast("string"), F.lit(">")).alias("chosen"), F.when(m["idx"] % 4 != 1, token).alias("token"), m["placeholder"].alias("placeholder"), m["replacement"].alias("replacement"))
+
+    return _reviewed(s, sf).select("doc_id", mp.with_choices(F.col("protected"), F.transform("mappings", choice)).alias("protected"))
 
 
 QUERIES["token_occurrence"] = lambda s, sf: mp.bracket_tokens(masked(s, sf)).select("doc_id", "token", "nth")
 QUERIES["token_map"] = _pairs
-QUERIES["apply_choices"] = lambda s, sf: mp.apply_choices(masked(s, sf), _pairs(s, sf).select("doc_id", "idx", "token", F.concat(F.lit("<"), F.col("idx").cast("string"), F.lit(">")).alias("replacement"), (F.col("idx") % 3 != 0).alias("enabled")))
+QUERIES["apply_choices"] = _choices
 QUERIES["protect_choices"] = lambda s, sf: _protect_choices(s, sf)
 
 
@@ -198,16 +221,21 @@ def _popup(s, sf):
 
 QUERIES["popup_summary"] = _popup
 SQL["popup_summary"] = f"SELECT display_name, sum(n) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, display_name, 1 AS n FROM ({SPANS_SQL}) UNION ALL SELECT page_id, 'File', page_id % 5 FROM pages WHERE page_id % 5 <> 0) GROUP BY 1"
-# Stand-ins by type where nothing better is known.
-STAND_IN = {"ssn": "123-45-6789", "credit_card": "4532-XXXX-XXXX-1234", "email": "user@example.com", "phone": "(555) 123-4567", "ip_address": "192.0.2.1", "api_key": "sk-xxxxxxxxxxxx"}
 
 
 def _fallback(s, sf):
-    out = F.when(F.col("value").rlike("[0-9]"), v.mask_digits(F.col("value"))).otherwise("[EXAMPLE]")
-    for k, x in STAND_IN.items():
-        out = F.when(F.col("type") == k, F.lit(x)).otherwise(out)
-    return spans(s, sf).select("doc_id", "span_start", "type", out.alias("stand_in"))
+    """The preview is the found value; its mask or its placeholder is known for two of three."""
+    found = spans(s, sf)
+    mask = F.when(F.col("span_start") % 3 == 0, v.mask_digits(F.col("value")))
+    place = F.when(F.col("span_start") % 3 == 1, v.mask_placeholder(F.col("display_name")))
+    return found.select("doc_id", "span_start", "type", mp.fallback_dummy(F.col("type"), F.col("display_name"), F.col("value"), mask, place).alias("stand_in"))
 
 
 QUERIES["fallback_dummy"] = _fallback
-SQL["fallback_dummy"] = "SELECT doc_id, span_start, type, CASE type " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in STAND_IN.items()) + f" ELSE CASE WHEN regexp_matches(value, '[0-9]') THEN regexp_replace(value, '[0-9]', 'X', 'g') ELSE '[EXAMPLE]' END END AS stand_in FROM ({SPANS_SQL})"
+_STAND_IN = (
+    [f"WHEN lower(type) = '{k}' THEN '{x}'" for k, x in mp.STAND_IN_BY_TYPE.items()]
+    + [f"WHEN regexp_matches(lower(display_name), '{'|'.join(words)}') THEN '{x}'" for words, x in mp.STAND_IN_BY_NAME]
+    + [f"WHEN regexp_matches(value, '{shape}') THEN '{x}'" for shape, x in mp.STAND_IN_BY_SHAPE]
+    + ["WHEN span_start % 3 = 0 AND value <> '' THEN regexp_replace(value, '[0-9]', 'X', 'g')", "WHEN span_start % 3 = 1 AND display_name <> '' THEN '[' || regexp_replace(upper(display_name), '\\s+', '_', 'g') || ']'"]
+)
+SQL["fallback_dummy"] = f"SELECT doc_id, span_start, type, CASE {' '.join(_STAND_IN)} ELSE '[REDACTED]' END AS stand_in FROM ({SPANS_SQL})"

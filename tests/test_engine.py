@@ -6,6 +6,7 @@ import decimal
 import hashlib
 import hmac
 import os
+import random
 import re
 
 import duckdb
@@ -231,14 +232,87 @@ def test_context_distance(spark):
     assert got == [4, None, 0]
 
 
+MAPPING = "idx int, span_start int, placeholder string, replacement string, display_name string"
+
+
 def test_token_map(spark):
     masked = spark.createDataFrame([(1, "[A_B] x [A_B] [C] [D]")], "doc_id long, protected string")
     tokens = mappings.bracket_tokens(masked)
-    maps = spark.createDataFrame([(1, 0, 5, "[A_B]", None, None), (1, 1, 9, None, "[C]", None), (1, 2, 12, None, None, "[A_B]"), (1, 3, 20, None, None, None)], "doc_id long, idx int, span_start int, placeholder string, replacement string, by_display string")
+    maps = spark.createDataFrame([(1, 0, 5, "[A_B]", None, None), (1, 1, 9, None, "[C]", None), (1, 2, 12, None, None, "a b"), (1, 3, 20, None, None, None), (2, 0, 1, "[A_B]", None, None)], f"doc_id long, {MAPPING}")
     got = {r["idx"]: (r["pos"], r["token"]) for r in mappings.token_map(tokens, maps).collect()}
     assert got == {0: (0, "[A_B]"), 1: (2, "[C]"), 2: (1, "[A_B]"), 3: (3, "[D]")}
 
 
+def slow_pairs(tokens, maps):
+    """Each pass over all mappings in turn, each looking through all tokens."""
+    used, out = set(), {}
+
+    def claim(i, name):
+        for at, t in enumerate(tokens):
+            if name and t == name and at not in used and i not in out:
+                used.add(at)
+                out[i] = at
+
+    for key in ("placeholder", "replacement"):
+        for x in maps:
+            claim(x["idx"], x[key])
+    for x in maps:
+        for shape in ("joined", "plain", "first"):
+            name = (x["display_name"] or "").upper()
+            claim(x["idx"], name and "[" + {"joined": "_".join(name.split()), "plain": name, "first": (name.split() or [""])[0]}[shape] + "]")
+    for x in sorted((x for x in maps if x["span_start"] is not None), key=lambda x: x["span_start"]) + [x for x in maps if x["span_start"] is None]:
+        if x["idx"] not in out:
+            claim(x["idx"], next((t for at, t in enumerate(tokens) if at not in used), None))
+    return [(i, at, tokens[at]) for i, at in sorted(out.items())]
+
+
+def test_pairs_against_brute_force():
+    rng = random.Random(5)
+    names = ["Phone Number", "Phone", "SSN", "API  Key", None, ""]
+    for _ in range(400):
+        tokens = rng.choices(["[PHONE_NUMBER]", "[PHONE]", "[SSN]", "[API_KEY]", "[API]", "[X 1]"], k=rng.randrange(7))
+        pick = lambda: rng.choice([None, "", *tokens, "[NONE]"])
+        maps = [{"idx": i, "span_start": rng.choice([None, rng.randrange(50)]), "placeholder": pick(), "replacement": pick(), "display_name": rng.choice(names)} for i in range(rng.randrange(7))]
+        assert mappings.pair(tokens, maps) == slow_pairs(tokens, maps), (tokens, maps)
+    assert mappings.pair(None, None) == []
+
+
+def test_choices_fall_back(spark):
+    rows = [
+        (1, 0, True, "Ann", "[NAME]", None, None),  # by token, first place only
+        (1, 1, True, "Bob", "[GONE]", "[NAME]", None),  # token edited: placeholder
+        (1, 2, True, "x@y", None, None, "[MAIL]"),  # replacement
+        (1, 3, True, "", "[SSN]", None, None),  # blank choice takes the token away
+        (1, 4, True, "", None, "[CARD]", None),  # but has no placeholder to fall back on
+        (1, 5, False, "no", "[CARD]", None, None),
+        (1, 6, True, "[CARD]", "[CARD]", "[CARD]", "[CARD]"),  # same as it is
+        (1, 7, True, "z", None, "", ""),
+        (3, 0, True, "z", "[A]", None, None),
+    ]
+    choices = spark.createDataFrame(rows, "doc_id long, idx int, enabled boolean, chosen string, token string, placeholder string, replacement string")
+    masked = spark.createDataFrame([(1, "[NAME] [NAME] [MAIL] 😀[SSN]! [CARD]"), (2, "[A] stays"), (3, None)], "doc_id long, protected string")
+    got = {r["doc_id"]: r["protected"] for r in mappings.apply_choices(masked, choices).collect()}
+    assert got == {1: "Ann Bob x@y 😀! [CARD]", 2: "[A] stays", 3: None}
+
+
+def test_fallback_dummy(spark):
+    rows = [
+        ("SSN", "x", "", "", "", "123-45-6789"), ("custom", "Total Salary", "", "", "", "$100,000"), ("custom", "Witness", "", "", "", "Jane Doe"), ("custom", "Case No", "", "", "", "#0000-0000"), ("custom", "DOB", "", "", "", "01/01/2000"),
+        ("custom", "Street", "", "", "", "123 Example St, Anytown, ST 12345"), ("custom", "other", "$1.5M", "", "", "$100,000"), ("custom", "other", "219 09 9999", "", "", "123-45-6789"), ("custom", "other", "a.b@c.io", "", "", "user@example.com"), ("custom", "other", "555.123.4567", "", "", "(555) 123-4567"),
+        ("custom", None, "zz", "z*", "[Z]", "z*"), (None, None, None, "", "[Z]", "[Z]"), (None, None, None, None, None, "[REDACTED]"),
+    ]
+    df = spark.createDataFrame(rows, "type string, name string, preview string, masked string, place string, want string")
+    for r in df.withColumn("got", mappings.fallback_dummy(*map(F.col, ("type", "name", "preview", "masked", "place")))).collect():
+        assert r["got"] == r["want"], r
+
+
+def test_added_spans(spark):
+    rows = [(1, a, b, "t", src, 0.9, i) for i, (a, b, src) in enumerate([(0, 5, "own"), (4, 6, "new"), (10, 20, "new"), (12, 14, "new"), (20, 22, "new"), (30, 31, "own"), (29, 32, "new")])]
+    df = merge.as_spans(spark.createDataFrame(rows, "doc_id long, span_start int, span_end int, type string, source string, confidence double, ord int"), "doc_id")
+    of = lambda name: F.filter("spans", lambda x: x["source"] == name)
+    assert [(r["span_start"], r["span_end"]) for r in merge.unfold(df.withColumn("spans", merge.added(of("own"), of("new")))).collect()] == [(10, 20), (20, 22)]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbfhello \xff")
     (tmp_path / "b.exe").write_bytes(b"no")
