@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +16,67 @@ CATEGORIES = [("person_name", "Person Name", "medium"), ("financial", "Financial
 ANSWER_TYPES = [("name", "person_name"), ("money", "financial"), ("medical", "medical_record"), ("id_doc", "identity_document"), ("addr", "address"), ("dob", "date"), ("ip", "ip_address"), ("phone", "phone"), ("email", "email"), ("org", "organization"), ("ssn", "ssn"), ("credential", "api_key")]
 
 
+def windows(n: int, size: int, overlap: int) -> Iterator[tuple[int, int, int, int]]:
+    """Windows over n tokens as (start, stop, own start, own stop): each token is owned by one, which sees half the overlap beside it."""
+    step, start = size - overlap, 0
+    while start < n:
+        last = start + size >= n
+        yield start, min(start + size, n), start + (overlap // 2 if start else 0), n if last else start + step + overlap // 2
+        if last:
+            return
+        start += step
+
+
+def label_tokens(texts: DataFrame, make: Callable[[], Callable[[list[list[str]]], list[list[tuple[str, float]]]]], size: int = 256, overlap: int = 64, token: str = r"\S+", batch: int = 64) -> DataFrame:
+    """doc_id, tok_idx, label, prob, char_start, char_end: a token model's labels over whole texts.
+
+    A text is cut into tokens (matches of token), these into windows of size that
+    share overlap tokens, so a model of bounded input reads all of it. make() is called
+    once in a task; what it gives takes up to batch windows and returns one (label,
+    probability) for each of their tokens. At a seam, each token's label comes from
+    the window that sees more around it. Tokens labelled O give no row, only a gap in
+    tok_idx. Null and empty texts give none; other columns are not read.
+    """
+    if not 0 <= overlap < size or overlap % 2:
+        raise ValueError("overlap must be even and less than size")
+    kind = "doc_id long, tok_idx int, label string, prob double, char_start int, char_end int"
+    schema = pa.schema([("doc_id", pa.int64()), ("tok_idx", pa.int32()), ("label", pa.string()), ("prob", pa.float64()), ("char_start", pa.int32()), ("char_end", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, word = make(), re.compile(token)
+
+        def cuts() -> Iterator[tuple]:
+            for b in batches:
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                    places = [m.span() for m in word.finditer(text.as_py() or "")]
+                    if places:
+                        whole = text.as_py()
+                        for w in windows(len(places), size, overlap):
+                            yield doc, w, places, [whole[i:j] for i, j in places[w[0] : w[1]]]
+
+        todo = cuts()
+        while some := list(islice(todo, batch)):
+            rows = []
+            for (doc, (start, _, own, end), places, _), labels in zip(some, model([x[3] for x in some]), strict=True):
+                rows += [(doc, i, *labels[i - start], *places[i]) for i in range(own, end) if labels[i - start][0] != "O"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+
+    return texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kind)
+
+
 def bio_spans(tokens: DataFrame, least: float = 0.5) -> DataFrame:
     """Merge B-, I- and O labels (doc_id, tok_idx, label, prob, char_start, char_end) into spans.
 
-    An I- of another type starts a span of its own; special tokens (0, 0) and O end
-    one. Islands come from one ordered pass over each document's tokens.
+    An I- of another type starts a span of its own; special tokens (0, 0), O and a gap
+    in tok_idx, which counts a document's tokens, end one. Only labelled tokens are
+    shuffled, by document; islands come from one ordered pass over them.
     """
     w = Window.partitionBy("doc_id").orderBy("tok_idx")
     real = (F.col("label") != "O") & ~((F.col("char_start") == 0) & (F.col("char_end") == 0))
-    t = tokens.withColumn("entity", F.when(real, F.substring("label", 3, 100)))
-    opens = F.col("entity").isNotNull() & (F.startswith("label", F.lit("B-")) | ~F.lag("entity").over(w).eqNullSafe(F.col("entity")))
-    islands = t.withColumn("opens", opens.cast("int")).withColumn("island", F.sum("opens").over(w)).where("entity IS NOT NULL")
+    t = tokens.where(real).withColumn("entity", F.substring("label", 3, 100))
+    follows = F.lag("entity").over(w).eqNullSafe(F.col("entity")) & (F.lag("tok_idx").over(w) == F.col("tok_idx") - 1)
+    opens = F.startswith("label", F.lit("B-")) | ~F.coalesce(follows, F.lit(False))
+    islands = t.withColumn("opens", opens.cast("int")).withColumn("island", F.sum("opens").over(w))
     spans = islands.groupBy("doc_id", "island").agg(F.first("entity").alias("entity"), F.min("char_start").alias("span_start"), F.max("char_end").alias("span_end"), F.avg("prob").alias("p"))
     return spans.where((F.col("p") >= least) & (F.col("span_end") > F.col("span_start"))).select("doc_id", "entity", "span_start", "span_end", (F.floor(F.col("p") * 1000 + 0.5) / 1000).alias("confidence"))
 

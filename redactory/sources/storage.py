@@ -58,6 +58,17 @@ def scan_files(spark: SparkSession, path: str, most: int = LOCAL_BYTES) -> DataF
     return files.where((F.col("length") <= most) & extension(F.col("path")).isin(LOCAL_EXTENSIONS)).select("path", "length", decode_text(F.col("content")).alias("text"))
 
 
+def write_files(texts: DataFrame, key: str, path: str | None = None) -> str:
+    """Write each row's text as a file of its own below path (else a shared scratch folder), in a folder named after key.
+
+    key must tell rows apart and not be null. A line end closes each file; a null text is an empty line.
+    """
+    path = path or scratch(texts.sparkSession, "files")
+    texts.select(key, F.coalesce("text", F.lit("")).alias("text")).write.partitionBy(key).text(path)
+    texts.sparkSession.catalog.refreshByPath(path)
+    return path
+
+
 def route(path: Column, length: Column) -> Column:
     ext = extension(path)
     return F.when(ext.isin(STUB_EXTENSIONS), "stub").when(~ext.isin(LOCAL_EXTENSIONS), "unsupported").when(length > LOCAL_BYTES, "too_large").otherwise("local")

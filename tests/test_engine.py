@@ -220,6 +220,37 @@ def test_bio(spark):
     assert got == [(1, 6, "EMAIL", 0.85), (7, 9, "PERSON", 0.7), (16, 18, "SSN", 0.9), (19, 22, "SSN", 0.6)]
 
 
+def test_windows_own_each_token_once():
+    for n in range(40):
+        for size, overlap in ((5, 2), (4, 0), (8, 6), (50, 4)):
+            cuts = list(predictions.windows(n, size, overlap))
+            assert [i for _, _, own, end in cuts for i in range(own, end)] == list(range(n))
+            assert all(b - a <= size and a <= own <= end <= b for a, b, own, end in cuts)
+            assert all(own - a >= overlap // 2 for a, _, own, _ in cuts if a) and all(b - end >= overlap // 2 for _, b, _, end in cuts if b < n)
+
+
+def test_labels_over_seams(spark):
+    """A model that sees one neighbour on each side labels long texts as if they were one window."""
+
+    def make():
+        def one(window):
+            return [("O", 1.0) if t == "-" else ("I-X" if i and window[i - 1] == "x" else "B-X", 0.5 + i * 0) for i, t in enumerate(window)]
+
+        return lambda batch: [one(w) for w in batch]
+
+    texts = ["", None, "x", "-", "x x - x", "😀 x " * 30, "x - - " * 11 + "x x x x x x x x x x x", "  x\n x  "]
+    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, label string")
+    got = predictions.label_tokens(df, make, size=6, overlap=2, batch=3)
+    want = []
+    for i, t in enumerate(texts):
+        places = [m.span() for m in re.finditer(r"\S+", t or "")]
+        words = [t[a:b] for a, b in places]
+        want += [(i, k, "I-X" if k and words[k - 1] == "x" else "B-X", 0.5, *places[k]) for k, w in enumerate(words) if w != "-"]
+    assert sorted(tuple(r) for r in got.collect()) == want
+    with pytest.raises(ValueError):
+        predictions.label_tokens(df, make, size=4, overlap=4)
+
+
 def test_answers(spark):
     rows = [(1, "mail a@b.co", '```json\n[{"type":"email","value":"a@b.co"}]\n```'), (2, "mail a@b.co", '[{"type":"email","value":"zz"}]'), (3, "mail a@b.co", '{"detections":[{"type":"email","value":"a@b.co"},{"type":"em'), (4, "120/80", '[{"type":"money","value":"120/80"}]')]
     got = sorted((r["doc_id"], r["span_start"], r["type"]) for r in predictions.answer_spans(spark.createDataFrame(rows, "doc_id long, text string, response string")).collect())
@@ -321,6 +352,14 @@ def test_files(spark, tmp_path):
     assert [r["text"] for r in out] == ["hello �"]
 
 
+def test_files_written_and_read(spark, tmp_path):
+    df = spark.createDataFrame([(1, "\ufeffa\nb", 9), (2, None, 9), (3, "y" * storage.LOCAL_BYTES, 9), (4, "é😀", 9)], "doc_id long, text string, length int")
+    path = storage.write_files(df, "doc_id", f"{tmp_path}/out")
+    read = storage.scan_files(spark, path)
+    assert sorted((r["length"], r["text"]) for r in read.collect()) == [(1, "\n"), (7, "a\nb\n"), (7, "é😀\n")]
+    assert "LessThanOrEqual(length" in read._jdf.queryExecution().toString()
+
+
 def test_json_strings(spark):
     df = spark.createDataFrame([(1, '{"a":"x","b":["y",{"c":"z"}],"n":5}'), (2, "bad"), (3, '"top"')], "id long, body string")
     got = sorted((r["id"], r["text"]) for r in storage.json_strings(df).collect())
