@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from redactory.functions.bank import BANK
+from redactory.functions.bank import BANK, SEVERITY_RANK
 from redactory.functions.dialect import quoted
 from redactory.functions.spans import sql_spans
 from redactory.functions.values import SQL_VALIDATORS
@@ -97,3 +97,34 @@ QUERIES["stream_policy_stale"] = _stale
 _LATE = "coalesce(epoch(ts) - epoch({at}) > {n}, true)"
 SQL["stream_policy_stale"] = f"""SELECT event_id, e.user_id % 25 AS tenant_id, coalesce(profile, 'personal_protection') AS profile, {_LATE.format(at='policy_at', n=POLICY_SECONDS)} AS policy_stale, {_LATE.format(at='rules_at', n=RULES_SECONDS)} AS rules_stale
     FROM events e LEFT JOIN ({c.POLICIES_SQL}) q ON e.user_id % 25 = q.tenant_id LEFT JOIN ({SYNCED_SQL}) y ON e.user_id % 25 = y.tenant_id"""
+
+
+#: Versions of a tenant's policy and of its rules as events bring them; a policy's body is its profile.
+_PART = "CASE event_type WHEN 'error' THEN 'policy' WHEN 'signup' THEN 'rules' END"
+_PROFILE = "CASE event_id % 4 WHEN 0 THEN 'personal_protection' WHEN 1 THEN 'business_standard' WHEN 2 THEN 'strict_compliance' ELSE 'monitor_only' END"
+
+
+def _as_of(s, sf):
+    """Each message's gravest span, judged by the policy that stood when it was sent; versions come as a second stream."""
+    events = jobs.source(s, sf).withColumn("tenant_id", F.col("user_id") % 25)
+    grave = F.array_max(F.transform(d.builtin_spans(F.expr(_TEXT)), lambda x: p.ranked(x["severity"], SEVERITY_RANK)))
+    messages = events.where(F.expr(_PART).isNull()).select("tenant_id", "ts", F.col("event_id").alias("id"), p.severity_of(grave).alias("body"))
+    versions = events.where(F.expr(_PART).isNotNull()).select("tenant_id", "ts", F.expr(_PART).alias("part"), F.col("event_id").alias("id"), F.expr(_PROFILE).alias("body"))
+    out = jobs.drain(jobs.policy_as_of(messages, versions, {"policy": POLICY_SECONDS, "rules": RULES_SECONDS}))
+    profile = F.coalesce("policy_body", F.lit("personal_protection"))
+    action = F.when(F.col("body").isNull(), "allow").otherwise(p.default_action(profile, F.col("body")))
+    return out.select(F.col("id").alias("event_id"), "tenant_id", F.col("body").alias("severity"), "policy_version", "policy_stale", "rules_version", "rules_stale", profile.alias("profile"), action.alias("action"))
+
+
+QUERIES["stream_policy_asof"] = _as_of
+_PARTS = f"SELECT user_id % 25 AS tenant_id, {_PART} AS part, ts, max(event_id) AS version FROM events WHERE {_PART} IS NOT NULL GROUP BY ALL"
+_RANK = "CASE severity " + " ".join(f"WHEN {quoted(k)} THEN {n}" for k, n in SEVERITY_RANK.items()) + " END"
+_NAMED = "CASE r " + " ".join(f"WHEN {n} THEN {quoted(k)}" for k, n in SEVERITY_RANK.items()) + " END"
+_GRAVE = f"SELECT doc_id AS event_id, max({_RANK}) AS r FROM ({_FOUND}) GROUP BY 1"
+SQL["stream_policy_asof"] = f"""WITH v AS ({_PARTS}), m AS (SELECT e.event_id, user_id % 25 AS tenant_id, ts, {_NAMED} AS severity FROM events e LEFT JOIN ({_GRAVE}) g ON e.event_id = g.event_id
+      WHERE {_PART} IS NULL AND epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 3600000 FROM events)),
+    x AS (SELECT m.*, a.version AS policy_version, a.ts AS policy_at, b.version AS rules_version, b.ts AS rules_at
+      FROM m ASOF LEFT JOIN (SELECT * FROM v WHERE part = 'policy') a ON m.tenant_id = a.tenant_id AND m.ts >= a.ts ASOF LEFT JOIN (SELECT * FROM v WHERE part = 'rules') b ON m.tenant_id = b.tenant_id AND m.ts >= b.ts),
+    y AS (SELECT *, coalesce({_PROFILE.replace('event_id', 'policy_version')}, 'personal_protection') AS by_version FROM x)
+    SELECT event_id, tenant_id, severity, policy_version, {_LATE.format(at='policy_at', n=POLICY_SECONDS)} AS policy_stale, rules_version, {_LATE.format(at='rules_at', n=RULES_SECONDS)} AS rules_stale, profile,
+      CASE WHEN severity IS NULL THEN 'allow' ELSE {DEFAULT} END AS action FROM (SELECT *, CASE WHEN policy_version IS NULL THEN 'personal_protection' ELSE by_version END AS profile FROM y)"""

@@ -115,6 +115,100 @@ def one_shot(events: DataFrame, key: str, grants: str, uses: str, seconds: int =
     return own.groupBy("k").transformWithStateInPandas(OneShot(grants, uses, seconds), "event_id long, k long, passed boolean", "Append", "EventTime")
 
 
+class AsOfPolicy(StatefulProcessor):
+    """Messages of a tenant wait for the watermark, then meet the versions that stood at their time.
+
+    State is what can still matter: messages above the watermark, the versions above
+    it, and of each part the last one below. One timer stands for the earliest message.
+    """
+
+    def __init__(self, stale: dict[str, int]):
+        self.stale = {part: seconds * 1_000_000 for part, seconds in stale.items()}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.versions = handle.getListState("versions", "part string, at long, id long, body string")
+        self.waiting = handle.getListState("waiting", "at long, id long, body string")
+
+    def hold(self, versions: list[tuple], waiting: list[tuple], watermark: int) -> None:
+        """Write the state back without versions that no message can ask for any more, and set the timer."""
+        horizon = min([watermark * 1000, *(w[0] for w in waiting)])
+        last = {v[0]: v for v in versions if v[1] <= horizon}
+        versions = [v for v in versions if v[1] > horizon or last[v[0]] is v]
+        for state, rows in ((self.versions, versions), (self.waiting, waiting)):
+            state.put(rows) if rows else state.clear()
+        due = min((w[0] // 1000 for w in waiting), default=None)
+        timers = list(self.handle.listTimers())
+        if timers != [due]:
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+
+    def held(self) -> tuple[list[tuple], list[tuple]]:
+        return list(self.versions.get()) if self.versions.exists() else [], list(self.waiting.get()) if self.waiting.exists() else []
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        versions, waiting = self.held()
+        for own in rows:
+            body = [None if pd.isna(b) else b for b in own["body"]]
+            for part, at, i, b in zip(own["part"].tolist(), own["at"].tolist(), own["id"].tolist(), body, strict=True):
+                waiting.append((at, i, b)) if part == "message" else versions.append((part, at, i, b))
+        self.hold(sorted(versions, key=lambda v: (v[1], v[2])), waiting, timerValues.getCurrentWatermarkInMs())
+        yield self.answers(key, [])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        """All messages below the watermark, in one walk over both sorted lists."""
+        versions, waiting = self.held()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        out, seen, i = [], {}, 0
+        for at, message, body in sorted(w for w in waiting if w[0] // 1000 < watermark):
+            while i < len(versions) and versions[i][1] <= at:
+                seen[versions[i][0]] = versions[i]
+                i += 1
+            row = [message, body]
+            for part, micros in self.stale.items():
+                v = seen.get(part)
+                row += [v and v[2], v and v[3], v is None or at - v[1] > micros]
+            out.append(row)
+        self.hold(versions, [w for w in waiting if w[0] // 1000 >= watermark], watermark)
+        yield self.answers(key, out)
+
+    def answers(self, key: tuple, rows: list[list]) -> pd.DataFrame:
+        columns = ["id", "body", *(f"{part}_{what}" for part in self.stale for what in ("version", "body", "stale"))]
+        kinds = {c: "bool" if c.endswith("_stale") else "Int64" if c.endswith("_version") or c == "id" else "object" for c in columns}
+        out = pd.DataFrame(rows, columns=columns).astype(kinds)
+        out.insert(0, "tenant_id", pd.Series([key[0]] * len(rows), dtype="Int64"))
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def policy_as_of(messages: DataFrame, versions: DataFrame, stale: dict[str, int], late: str = "1 hour", salts: int = 8) -> DataFrame:
+    """Each message with the newest version of every part that stood at its own time, however late either came.
+
+    messages: tenant_id, ts, id, body; versions: tenant_id, ts, part, id, body, a stream or a
+    table read as one. stale names the parts (other ones are ignored) with the seconds after
+    which a version counts as stale: it is flagged and still used; where none stood, its id and body are null and
+    the flag is set. Of versions at one time, the largest id stands. Columns: tenant_id, id,
+    body, and <part>_version, <part>_body, <part>_stale.
+
+    A message is answered once the watermark has passed it, so an earlier version that
+    comes up to late after it still counts; rows of either side below the watermark are dropped, as are those without a tenant or
+    time. One watermark runs over both sides, so a tenant or side that says nothing holds nobody
+    up. A tenant's messages are dealt over salts keys by id, as one tenant may send a third of all; its versions,
+    which are few, go to each of them.
+    """
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    m = messages.select("tenant_id", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"), "ts", F.lit("message").alias("part"), "id", "body")
+    v = versions.where(F.col("part").isin(*stale)).select("tenant_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "ts", "part", "id", "body")
+    both = m.unionByName(v).where(F.col("tenant_id").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", late)
+    own = both.select(F.col("tenant_id").cast("long").alias("tenant_id"), "salt", "ts", F.unix_micros("ts").alias("at"), "part", F.col("id").cast("long").alias("id"), F.col("body").cast("string").alias("body"))
+    schema = "tenant_id long, id long, body string" + "".join(f", {p}_version long, {p}_body string, {p}_stale boolean" for p in stale)
+    return own.groupBy("tenant_id", "salt").transformWithStateInPandas(AsOfPolicy(stale), schema, "Append", "EventTime")
+
+
 def with_refresh(stream: DataFrame, load: Callable[[], DataFrame], handle: Callable[[DataFrame, DataFrame, int], None]) -> None:
     """Hand each micro-batch over with small tables that are read anew for it."""
     stream.writeStream.foreachBatch(lambda batch, n: handle(batch, load(), n)).option("checkpointLocation", scratch(stream.sparkSession, "offsets")).trigger(availableNow=True).start().awaitTermination()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from redactory.operators import plugins
 from redactory.streaming import jobs
 
@@ -38,6 +40,39 @@ def test_a_grant_lasts_over_batches_and_ends_with_its_time(spark, tmp_path):
     assert left.count() == 0
 
 
+def test_messages_meet_the_version_of_their_own_time(spark, tmp_path):
+    """Against brute force, with versions that come batches after the messages they belong to, ties and two tenants."""
+    batches = [
+        [(1, 7, 10, "m"), (2, 8, 11, "m"), (3, 7, 2, "policy")],
+        [(4, 7, 9, "policy"), (5, 7, 20, "m"), (6, 8, 12, "rules"), (7, None, 12, "m"), (8, 7, 9, "policy")],  # 4 and 8 are one time: 8 stands
+        [(9, 8, 11, "policy"), (10, 8, 14, "m"), (11, 7, 21, "other")],
+        [(12, 7, 60, "m"), (13, 7, 45, "rules")],
+        [(14, 8, 5, "policy"), (15, 7, 130, "m"), (16, 8, 129, "m")],  # 14 is below the watermark
+        [(17, 9, 400, "m")],
+    ]
+    events = _events(spark, tmp_path / "in", batches).withColumnRenamed("k", "tenant_id").withColumnRenamed("event_id", "id")
+    body = F.concat(F.lit("b"), F.col("id"))
+    messages = events.where("event_type = 'm'").select("tenant_id", "ts", "id", body.alias("body"))
+    versions = events.where("event_type <> 'm'").select("tenant_id", "ts", F.col("event_type").alias("part"), "id", F.when(F.col("id") != 6, body).alias("body"))
+    offsets = str(tmp_path / "offsets")
+    rows = jobs.drain(jobs.policy_as_of(messages, versions, {"policy": 600, "rules": 360}, "15 minutes", salts=3), offsets=offsets).collect()
+    flat = [r for b in batches for r in b]
+    want = set()
+    for e, k, m, t in flat:
+        if t == "m" and k is not None and m < 400 - 15:
+            row = [k, e, f"b{e}"]
+            for part, most in (("policy", 10), ("rules", 6)):
+                stood = [(vm, ve) for ve, vk, vm, vt in flat if vt == part and vk == k and vm <= m and ve != 14]
+                at, version = max(stood, default=(None, None))
+                row += [version, None if version in (None, 6) else f"b{version}", at is None or m - at > most]
+            want.add(tuple(row))
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    left = {name: spark.read.format("statestore").option("stateVarName", name).load(offsets) for name in ("versions", "waiting")}
+    assert left["waiting"].count() == 1
+    kept = {(r.key.tenant_id, r.list_element.part, r.list_element.id) for r in left["versions"].collect()}
+    assert kept == {(7, "policy", 8), (7, "rules", 13), (8, "policy", 9), (8, "rules", 6)}
+
+
 def test_a_detector_as_a_table_function(spark):
     plugins.register_table_detector(spark, "words_of_three", lambda: lambda t: [("three", i, i + 3, 0.5) for i in range(len(t) - 2) if t[i : i + 3].isalpha()])
     spark.createDataFrame([(1, "ab abc"), (2, None), (3, "")], "id long, t string").createOrReplaceTempView("some_texts")
