@@ -123,6 +123,16 @@ RESAMPLING_SQL = f"""
          r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM x WHERE n_features >= 20)
     SELECT x.doc_id, n_features, weight, score, CASE WHEN place <= (10 * (SELECT count(*) FROM r)) // 100 THEN place END AS rank FROM x LEFT JOIN r ON x.doc_id = r.doc_id
 """
+#: Running bytes in doc_id order cut at equal shares; the CRC is worked out byte by byte, as above.
+SHARDING_SQL = """
+    WITH tab AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+         d AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size,
+                 xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1])), 4294967295) AS text_crc32
+               FROM documents, tab),
+         m AS (SELECT *, sum(size) OVER (ORDER BY doc_id)::BIGINT - size // 2 - 1 AS middle, sum(size) OVER ()::BIGINT AS whole FROM d),
+         s AS (SELECT *, least(23, middle * 24 // whole)::INTEGER AS shard FROM m)
+    SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s
+"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -133,5 +143,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.text) AS text_sha256
             FROM d JOIN g ON d.text = g.text
         """,
+        "op10_sharding": SHARDING_SQL,
         "op11_resampling": RESAMPLING_SQL,
     }
