@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
+#: Most bytes of an Arrow batch. Spark's own bound is several times that, and each task holds some copies on either side.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give every executor this package, once in each application."""
+    """Give every executor this package, once in each application, and keep the session's Arrow batches small.
+
+    A bound other than Spark's own has been set by the user, and stays.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[2]
@@ -95,6 +103,7 @@ def per_batch(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.Reco
             for part in parts_of(batch):
                 if (out := step(part)) is not None:
                     yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -165,6 +174,15 @@ def keep_where(docs: DataFrame, setup: Callable[[], Callable[[list[str | None]],
     return per_batch(docs, start, docs.schema)
 
 
+def give_back() -> None:
+    """Hand free memory of this process to the system, so that the next task or operator finds it there."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
 _in_worker: dict = {}
 
 
@@ -177,5 +195,6 @@ def in_worker(key: tuple, build: Callable[[], object]):
     if key not in _in_worker:
         _in_worker.clear()
         gc.collect()  # what was kept may hold itself
+        give_back()
         _in_worker[key] = build()
     return _in_worker[key]
