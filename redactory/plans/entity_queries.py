@@ -233,6 +233,12 @@ def _merged(s, sf):
 
 
 QUERIES["context_merge"] = _merged
+_NUMBERED = " UNION ALL ".join(f"SELECT doc_id, span_start, span_end, type, confidence, {i} AS ord FROM ({context_sql(x)})" for i, x in enumerate(e.CONTEXTS))
+_MERGE_OWN = f"SELECT doc_id, span_start, span_end, type, floor(greatest(0.0::DOUBLE, {_UP} - {_UP} * {_PROX.format(d='against')} * 0.5::DOUBLE) * 1000 + 0.5) / 1000 AS confidence FROM ({_SCORES})"
+_MERGE_NEW = f"""SELECT * FROM ({_NUMBERED}) x WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.span_start <= x.span_start AND b.span_end >= x.span_end)
+    AND NOT EXISTS (SELECT 1 FROM own w WHERE w.doc_id = x.doc_id AND w.span_start < x.span_end AND w.span_end > x.span_start)"""
+SQL["context_merge"] = f"""WITH b AS (SELECT doc_id, span_start, span_end FROM ({pq.SPANS_SQL})), own AS ({_MERGE_OWN})
+    SELECT * FROM (SELECT *, 'regex' AS source FROM own UNION ALL SELECT *, 'context' AS source FROM ({folded_sql(_MERGE_NEW, "ord, span_start", FIRST_WINS)})) WHERE confidence >= 0.3"""
 
 
 def _found(s):

@@ -115,6 +115,20 @@ for _name, _fold in (("merge_same_type", m.merge_same_type), ("first_writer_wins
     QUERIES[_name] = lambda s, sf, f=_fold: m.unfold(m.as_spans(_with_source(s, sf), "doc_id").withColumn("spans", f(F.col("spans"))))
 
 
+def _fold_sql(step, order):
+    """Both producers' spans of a document in order, folded: acc is the list kept so far, x a list of the next one."""
+    return f"""SELECT doc_id, s.a AS span_start, s.b AS span_end, s.t AS type, s.p AS source, s.c AS confidence FROM (
+      SELECT doc_id, unnest(list_reduce(list([{{'a': span_start, 'b': span_end, 't': type, 'p': source, 'c': confidence}}] ORDER BY {order}), lambda acc, x: {step})) AS s FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY source DESC, span_start, span_end, type) AS ord FROM ({TWO_SQL})) GROUP BY doc_id)"""
+
+
+_SHARED = "(least(o.b, x[1].b) - greatest(o.a, x[1].a))"
+_CLASH = f"coalesce(list_position(list_transform(acc, lambda o: o.t = x[1].t AND {_SHARED} > 0 AND {_SHARED} / least(o.b - o.a, x[1].b - x[1].a) > 0.5), true), 0)"
+SQL["merge_same_type"] = _fold_sql(f"CASE WHEN {_CLASH} > 0 THEN list_transform(acc, lambda o, i: CASE WHEN i = {_CLASH} AND x[1].c > o.c THEN x[1] ELSE o END) ELSE acc || x END", "ord")
+SQL["first_writer_wins"] = _fold_sql("CASE WHEN len(list_filter(acc, lambda o: x[1].a < o.b AND x[1].b > o.a)) > 0 THEN acc ELSE acc || x END", "ord")
+SQL["sweep_dedup"] = _fold_sql("CASE WHEN x[1].a >= acc[-1].b THEN acc || x WHEN x[1].b > acc[-1].b AND x[1].c > acc[-1].c THEN acc[1:len(acc) - 1] || x ELSE acc END", "span_start, -confidence, ord")
+
+
 def _llm_merge(s, sf):
     """Spans of the second producer, the longest first, added to those of the bank but phone numbers; one shuffle by document."""
     both = _with_source(s, sf).where("source = 'ner' OR type <> 'phone'").withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.expr("span_start - span_end"), "span_start", "type")))

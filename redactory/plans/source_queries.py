@@ -172,14 +172,22 @@ SQL["classifier_adjust"] = f"""SELECT doc_id, span_start, CASE WHEN r THEN {_TYP
     WHERE n >= 0.3"""
 
 
+#: What a model calls these types in its answers.
+_ANSWERED = {"email": "email", "phone": "phone", "ip_address": "ip", "date": "dob", "ssn": "ssn"}
+
+
 def _answers(s, sf):
-    one = spans_in_text(s, sf).where("type IN ('email', 'phone')")
-    item = F.to_json(F.struct("type", "value"))
+    """Answers that name a span's value: fenced, with a value that the text lacks, and cut off."""
+    one = spans_in_text(s, sf).where(F.col("type").isin(*_ANSWERED))
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in _ANSWERED.items() for x in pair)), F.col("type"))
+    item = F.to_json(F.struct(kind.alias("type"), "value"))
     shaped = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n["), item, F.lit("]\n```"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("["), item, F.lit(',{"type":"name","value":"nobody by that name"}] ok'))).otherwise(F.concat(F.lit('{"detections":['), item, F.lit(',{"type":"em')))
     return pr.answer_spans(one.select("doc_id", "text", shaped.alias("response")))
 
 
 QUERIES["llm_response_spans"] = _answers
+SQL["llm_response_spans"] = f"""SELECT doc_id, CAST(instr(text, value) - 1 AS INTEGER) AS span_start, CAST(instr(text, value) - 1 + length(value) AS INTEGER) AS span_end, type, CAST(0.92 AS DOUBLE) AS confidence
+    FROM (SELECT doc_id, value, type FROM ({SPANS_SQL}) WHERE type IN {tuple(_ANSWERED)}) JOIN ({c.TEXTS_SQL}) USING (doc_id)"""
 QUERIES["llm_relabel_fix"] = lambda s, sf: c.table(s, sf, "customer").select("c_custkey", pr.relabelled(F.lit("financial"), F.lower(F.concat_ws("", F.when(F.col("c_custkey") % 2 == 0, F.lit("mr-")).otherwise(F.lit("$")), F.col("c_custkey").cast("string")))).alias("type"))
 SQL["llm_relabel_fix"] = "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND c_custkey >= 1000 THEN 'medical_record' ELSE 'financial' END AS type FROM customer"
 
