@@ -85,6 +85,13 @@ def dictionary_spans(text: Column, name: str, ord_: int = 0) -> Column:
     return F.transform(spans(text, e.dictionary_regex(terms), True), lambda s: _span(s, type_, "ner", sure(s), ord_))
 
 
+def term_entities(terms: Column, name: str) -> Column:
+    """The same from a dictionary of any size, whose places lexicons.with_terms has found."""
+    type_, confidence, _ = e.DICTIONARIES[name]
+    sure = lambda t: F.when(t["near"], confidence).otherwise(0.72) if name == "ner_condition" else confidence
+    return F.transform(F.filter(terms, lambda t: t["dictionary"] == name), lambda t: _span(t, type_, "ner", sure(t)))
+
+
 #: Detectors of one kind of entity, in the order in which they take places: a pattern family, then others.
 GROUPS = [
     ("ner_person_title", ("ner_person_bigram", "ner_person_caps")), ("ner_org_suffix", ("ner_org_dict",)), ("ner_date", ()), ("ner_medical_phrase", ("ner_drug", "ner_condition", "ner_procedure")),
@@ -93,15 +100,16 @@ GROUPS = [
 OTHERS = {"ner_person_bigram": name_pairs, "ner_person_caps": capitalised_runs} | {n: partial(dictionary_spans, name=n) for n in e.DICTIONARIES}
 
 
-def every_entity(text: Column) -> Column:
-    """Spans of all entity detectors; within a kind earlier detectors win."""
-    found = [m.first_writer_wins(F.concat(e.entity_spans(text, e.FAMILIES[f]), *(OTHERS[o](text) for o in others))) for f, others in GROUPS]
+def every_entity(text: Column, terms: Column | None = None) -> Column:
+    """Spans of all entity detectors; within a kind earlier detectors win. Without terms, the dictionaries are the short samples."""
+    one = lambda o: term_entities(terms, o) if terms is not None and o in e.DICTIONARIES else OTHERS[o](text)
+    found = [m.first_writer_wins(F.concat(e.entity_spans(text, e.FAMILIES[f]), *map(one, others))) for f, others in GROUPS]
     return F.concat(*(F.transform(x, lambda s, i=i: _span(s, s["type"], "ner", s["confidence"], i)) for i, x in enumerate(found)))
 
 
-def entities(text: Column) -> Column:
+def entities(text: Column, terms: Column | None = None) -> Column:
     """All entities, overlaps swept from left to right."""
-    return m.sweep(every_entity(text))
+    return m.sweep(every_entity(text, terms))
 
 
 def custom_spans(text: Column, patterns: Sequence[str], keywords: Sequence[str]) -> Column:
@@ -145,14 +153,15 @@ def classified(df: DataFrame, found: str = "spans", classify: Callable[[Column],
     return (pr.adjust(long) if classify else long).drop("probs")
 
 
-def analyzed(df: DataFrame, found: Column, semantic: Detector = None) -> DataFrame:
+def analyzed(df: DataFrame, found: Column, semantic: Detector = None, terms: str | None = None) -> DataFrame:
     """Of df with text: the other columns, content_hash, counts by stage, the merged spans and their surrogates; text is left out.
 
     found are the first stage's spans; entities are the second's; semantic is an
-    optional third. Spans of one type that mostly overlap are merged.
+    optional third. terms names a column of dictionary places, which is left out too.
+    Spans of one type that mostly overlap are merged.
     """
-    keys = [c for c in df.columns if c != "text"]
-    staged = df.select(*keys, "text", found.alias("regex"), entities(F.col("text")).alias("ner"), (semantic(F.col("text")) if semantic else F.expr(m.EMPTY)).alias("semantic"))
+    keys = [c for c in df.columns if c not in ("text", terms)]
+    staged = df.select(*keys, "text", found.alias("regex"), entities(F.col("text"), F.col(terms) if terms else None).alias("ner"), (semantic(F.col("text")) if semantic else F.expr(m.EMPTY)).alias("semantic"))
     merged = staged.withColumn("spans", m.merge_same_type(F.concat("regex", "ner", "semantic")))
     made = F.transform("spans", lambda s: g.surrogate(s["type"], F.substr("text", s["start"] + 1, s["stop"] - s["start"])))
     return merged.select(*keys, F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), *(F.size(x).alias(f"{x}_count") for x in ("regex", "ner", "semantic")), "spans", made.alias("surrogates"))

@@ -71,62 +71,64 @@ def leftmost_longest(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_HITS = pa.list_(pa.struct([("d", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))
+_HIT = "array<struct<dictionary:string,start:int,stop:int,near:boolean>>"
+_HITS = pa.list_(pa.struct([("dictionary", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("near", pa.bool_())]))
 
 
-def term_spans(texts: DataFrame, terms: DataFrame, cue: str | None = None, around: int = 60, most: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, dictionary, span_start, span_end, near: where the terms of each dictionary stand, whatever their case.
+def with_terms(df: DataFrame, terms: DataFrame, cue: str | None = None, around: int = 60, most: int = BLOCK_BYTES, into: str = "terms", without: tuple[str, ...] = ()) -> DataFrame:
+    """df with an array of where the terms of each dictionary stand, whatever their case: dictionary, start, stop, near.
 
-    texts: doc_id, text; terms: dictionary, term. A term stands between signs that
+    df: text and any columns, of which those in without are left out; a column of the
+    array's name is replaced. terms: dictionary, term. A term stands between signs that
     are no ASCII word signs; of overlapping terms of one dictionary the leftmost
     stays, then the longest. near says whether the cue, a pattern, is found within
-    around characters. Null texts, and blank terms, give no rows; rows that repeat
-    give theirs each; other columns are not read.
+    around characters. Null texts, and blank terms, give an empty array.
     """
     own, _ = usable(terms.select("dictionary", "term"))
 
-    def hits_of(rows: list) -> Callable[[], Callable[[str], list[tuple[str, int, int]]]]:
+    def settled(text: str, hits: list[dict], sure: re.Pattern | None) -> list[dict]:
+        every: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for h in hits:
+            every[h["dictionary"]].append((h["start"], h["stop"]))
+        return [{"dictionary": d, "start": x, "stop": y, "near": bool(sure and sure.search(text[max(0, x - around) : y + around]))} for d, places in every.items() for x, y in leftmost_longest(places)]
+
+    def passed(rows: list, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         by_term: dict[str, list[str]] = defaultdict(list)
         for r in rows:
             by_term[r.term].append(r.dictionary)
 
-        def start() -> Callable[[str], list[tuple[str, int, int]]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = automaton({t: (len(t), tuple(d)) for t, d in by_term.items()})
-            return lambda low: [(d, last + 1 - size, last + 1) for last, (size, names) in (found.iter(low) if by_term else ()) if bordered(low, last + 1 - size, last + 1) for d in names]
+            sure = re.compile(cue) if cue else None
 
-        return start
+            def hits(low: str) -> list[dict]:
+                return [{"dictionary": d, "start": at + 1 - size, "stop": at + 1, "near": False} for at, (size, names) in (found.iter(low) if by_term else ()) if bordered(low, at + 1 - size, at + 1) for d in names]
 
-    def passed(start: Callable) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hits = start()
             for batch in batches:
-                more = [old + [{"d": d, "a": a, "b": b} for d, a, b in hits(lowered(t or ""))] for t, old in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(more, _HITS)], ["doc_id", "text", "hits"])
+                made = []
+                for text, old in zip(batch.column("text").to_pylist(), batch.column(into).to_pylist(), strict=True):
+                    now = old + hits(lowered(text or ""))
+                    made.append(settled(text or "", now, sure) if last else now)
+                names = [n for n in batch.schema.names if not (last and n in without)]
+                yield pa.RecordBatch.from_arrays([pa.array(made, _HITS) if n == into else batch.column(n) for n in names], names)
 
         return run
 
-    def ended(start: Callable) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hits, sure = start(), re.compile(cue) if cue else None
-            for batch in batches:
-                out: list[tuple] = []
-                for doc_id, text, old in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "hits")), strict=True):
-                    every: dict[str, list[tuple[int, int]]] = defaultdict(list)
-                    for d, a, b in [*((h["d"], h["a"], h["b"]) for h in old), *hits(lowered(text or ""))]:
-                        every[d].append((a, b))
-                    for d, own in every.items():
-                        out += [(doc_id, d, a, b, bool(sure and sure.search(text[max(0, a - around) : b + around]))) for a, b in leftmost_longest(own)]
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], ["doc_id", "dictionary", "span_start", "span_end", "near"])
+    rows = df.withColumn(into, F.expr(f"cast(array() as {_HIT})"))
+    *others, last = blocks(own, most=most)
+    for block in others:
+        rows = rows.mapInArrow(passed(block, False), rows.schema)
+    return rows.mapInArrow(passed(last, True), StructType([f for f in rows.schema.fields if f.name not in without]))
 
-        return run
 
-    kind = "doc_id long, text string, hits array<struct<d:string,a:int,b:int>>"
-    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr("cast(array() as array<struct<d:string,a:int,b:int>>)").alias("hits"))
-    *others, last = [hits_of(b) for b in blocks(own, most=most)]
-    for start in others:
-        rows = rows.mapInArrow(passed(start), kind)
-    return rows.mapInArrow(ended(last), "doc_id long, dictionary string, span_start int, span_end int, near boolean")
+def term_spans(texts: DataFrame, terms: DataFrame, cue: str | None = None, around: int = 60, most: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, dictionary, span_start, span_end, near: the places of with_terms, a row each.
+
+    texts: doc_id, text; other columns are not read. Rows that repeat give theirs each.
+    """
+    own = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = exploded(with_terms(own, terms, cue, around, most, without=("text",)), "doc_id", array="terms", alias="t")
+    return found.select("doc_id", "t.dictionary", F.col("t.start").alias("span_start"), F.col("t.stop").alias("span_end"), "t.near")
 
 
 def keyword_distances(df: DataFrame, keywords: DataFrame, window: int = 150, found: str = "spans", most: int = BLOCK_BYTES) -> DataFrame:

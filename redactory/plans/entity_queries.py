@@ -101,9 +101,8 @@ for _name, (_type, _conf, _) in e.DICTIONARIES.items():
     SQL[_name] = f"SELECT doc_id, span_start, span_end, '{_type}' AS type, CAST({_conf} AS DOUBLE) AS confidence FROM ({_OWN})"
 SQL["ner_condition"] = f"""SELECT doc_id, span_start, span_end, CASE WHEN regexp_matches(substr(text, greatest(0, span_start - 60) + 1, span_end + 60 - greatest(0, span_start - 60)), '(?i)\\b(?:{e.MEDICAL_WORDS})\\b')
     THEN CAST(0.88 AS DOUBLE) ELSE CAST(0.72 AS DOUBLE) END AS confidence FROM (SELECT * FROM ({TERM_SPANS_SQL}) WHERE dictionary = 'ner_condition') JOIN ({c.TEXTS_SQL}) USING (doc_id)"""
-#: The samples' spans alone, as the union of all entities has them.
-SAMPLE_SQL = {n: f"SELECT doc_id, span_start, span_end, CAST({conf} AS DOUBLE) AS confidence FROM ({sql_spans(c.TEXTS_SQL, e.dictionary_regex(terms_), True)})" for n, (_, conf, terms_) in e.DICTIONARIES.items()}
-SAMPLE_SQL["ner_condition"] = f"SELECT doc_id, span_start, span_end, CASE WHEN regexp_matches(substr(text, greatest(0, span_start - 60) + 1, span_end + 60 - greatest(0, span_start - 60)), '(?i)\\b(?:{e.MEDICAL_WORDS})\\b') THEN CAST(0.88 AS DOUBLE) ELSE CAST(0.72 AS DOUBLE) END AS confidence FROM ({sql_spans(c.TEXTS_SQL, e.dictionary_regex(e.DICTIONARIES['ner_condition'][2]), True)})"
+#: Names of the samples alone, as the union of all entities has them.
+SAMPLE_SQL = {}
 
 
 def _others(name):
@@ -129,14 +128,21 @@ QUERIES["ner_person_caps"] = _others("ner_person_caps")
 SQL["ner_person_caps"] = f"SELECT doc_id, span_start, span_end, CAST(0.63 AS DOUBLE) AS confidence FROM (SELECT *, regexp_replace(substr(text, 1, span_start), '\\s+$', '') AS b FROM ({sql_spans(c.TEXTS_SQL, e.CAPS)})) WHERE b <> '' AND NOT regexp_matches(b, '[.!?]$') AND NOT list_has_any({_SPLIT}, {e.STOP_WORDS!r})"
 
 SAMPLE_SQL["ner_person_caps"] = SQL["ner_person_caps"]
-QUERIES["ner_all"] = lambda s, sf: m.unfold(c.texts(s, sf).select("doc_id", an.entities(F.col("text")).alias("spans"))).select("doc_id", "span_start", "span_end", "type", "confidence")
+
+
+def _termed(s, sf):
+    """doc_id, text and the places of the dictionaries' terms, found in one pass."""
+    return lx.with_terms(c.texts(s, sf).select("doc_id", "text"), terms(s, sf), _CUE)
+
+
+QUERIES["ner_all"] = lambda s, sf: m.unfold(_termed(s, sf).select("doc_id", an.entities(F.col("text"), F.col("terms")).alias("spans"))).select("doc_id", "span_start", "span_end", "type", "confidence")
 
 
 def _group_sql(family, others):
     """Spans of one kind of entity: each detector's in turn, where none before it has a place."""
     type_ = {"ner_person_bigram": "person", "ner_person_caps": "person"} | {n: t for n, (t, _, _) in e.DICTIONARIES.items()}
     found = [entity_sql(x, i) for i, x in enumerate(e.FAMILIES[family])]
-    found += [f"SELECT doc_id, span_start, span_end, '{type_[o]}' AS type, confidence, {len(found) + i} AS ord FROM ({SAMPLE_SQL[o]})" for i, o in enumerate(others)]
+    found += [f"SELECT doc_id, span_start, span_end, '{type_[o]}' AS type, confidence, {len(found) + i} AS ord FROM ({SAMPLE_SQL.get(o) or SQL[o]})" for i, o in enumerate(others)]
     return folded_sql(" UNION ALL ".join(found), "ord, span_start", FIRST_WINS)
 
 
@@ -241,13 +247,13 @@ SQL["context_merge"] = f"""WITH b AS (SELECT doc_id, span_start, span_end FROM (
     SELECT * FROM (SELECT *, 'regex' AS source FROM own UNION ALL SELECT *, 'context' AS source FROM ({folded_sql(_MERGE_NEW, "ord, span_start", FIRST_WINS)})) WHERE confidence >= 0.3"""
 
 
-def _found(s):
+def _found(s, model=an.entities):
     """The first stage over a text: built-in and custom spans and those of a model (entities here), scored and merged with contexts."""
     patterns = [x for _, x in d.valid_patterns(s, REGEXES)[0]]
-    return an.detected(F.col("text"), patterns, [k for _, k in KEYWORDS], an.entities, BOOST, SUPPRESS, WINDOW)
+    return an.detected(F.col("text"), patterns, [k for _, k in KEYWORDS], model, BOOST, SUPPRESS, WINDOW)
 
 
-QUERIES["pipeline_detect"] = lambda s, sf: an.classified(c.texts(s, sf).select("doc_id", "text", _found(s).alias("spans")), "spans", an.cue_probabilities)
+QUERIES["pipeline_detect"] = lambda s, sf: an.classified(_termed(s, sf).select("doc_id", "text", _found(s, lambda text: an.entities(text, F.col("terms"))).alias("spans")), "spans", an.cue_probabilities)
 
 
 def _analyze(s, sf):

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from redactory.functions.bank import BANK
+from redactory.operators import analysis
 from redactory.operators import detect as d
 from redactory.operators import entities as e
 from redactory.operators import lexicons as lx
@@ -111,3 +113,20 @@ def test_patterns_run_once_and_after_rows_are_dealt(spark):
     assert "regexp_extract_all" in below
     assert not [line for line in below.splitlines() if "Filter" in line and ("RLIKE" in line or "regexp" in line)]
     assert plan.count("regexp_extract_all") == len(BANK)
+
+
+def test_places_in_the_row_keep_other_columns_and_feed_the_entities(spark):
+    rows = [(1, "He took Zaltrafen and zaltra daily, the patient had Morbus Ix.", None, "x"), (2, None, None, "y"), (3, "", None, "z"), (3, "", None, "z"), (4, "zaltrafenx Morbus  Ix", None, None)]
+    df = spark.createDataFrame(rows, "id long, text string, terms string, doc_id string")
+    table = spark.createDataFrame([("ner_drug", "zaltra"), ("ner_drug", "Zaltrafen"), ("ner_condition", "morbus ix"), ("ner_drug", " "), ("ner_drug", None)], "dictionary string, term string")
+    for most in (128, lx.BLOCK_BYTES):  # two automata, or one
+        placed = lx.with_terms(df, table, r"(?i)patient", most=most)
+        assert placed.columns == df.columns
+        got = sorted((r.id, r.doc_id, sorted((t.dictionary, t.start, t.stop, t.near) for t in r.terms)) for r in placed.fillna("none", ["doc_id"]).collect())
+        assert got == [(1, "x", [("ner_condition", 52, 61, True), ("ner_drug", 8, 17, True), ("ner_drug", 22, 28, True)]), (2, "y", []), (3, "z", []), (3, "z", []), (4, "none", [])]
+    assert lx.with_terms(df, table, without=("text",)).columns == [c for c in df.columns if c != "text"]
+    placed = lx.with_terms(df, table, r"(?i)patient").where("id = 1")
+    found = {(s["start"], s["stop"], s["type"], s["confidence"]) for n in ("ner_drug", "ner_condition") for s in placed.select(analysis.term_entities(F.col("terms"), n).alias("e")).first().e}
+    assert found == {(8, 17, "medical", 0.80), (22, 28, "medical", 0.80), (52, 61, "medical", 0.88)}
+    empty = lx.with_terms(df.limit(0), table.limit(0))
+    assert empty.count() == 0
