@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from redactory.functions.bank import BANK
 from redactory.functions.dialect import java
-from redactory.functions.spans import exploded, spans
+from redactory.functions.spans import bound, exploded, pieces, spans, window as cut_out
 from redactory.operators import detect as d
 from redactory.operators import entities as e
 from redactory.operators import merge as m
@@ -26,11 +26,6 @@ LEAST_CONFIDENCE = 0.3
 AROUND = 128
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value worked out once however often body reads it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _span(s: Column, type_: Column | str, source: str, confidence: Column | float, ord_: Column | int = 0) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), lit(type_).alias("type"), F.lit(source).alias("source"), lit(confidence).alias("confidence"), lit(ord_).cast("int").alias("ord"))
@@ -61,14 +56,15 @@ def name_pairs(text: Column, ord_: int = 0) -> Column:
 def capitalised_runs(text: Column, ord_: int = 0) -> Column:
     """Two to four capitalised words that do not begin a sentence and hold no stop-word."""
 
-    def inside(s: Column) -> Column:
+    def inside(s: Column, parts: Column) -> Column:
         trimmed = lambda x: F.regexp_replace(x, r"\s+\z", "")
-        near = trimmed(F.substr(text, F.greatest(s["start"] - 63, F.lit(1)), F.least(s["start"], F.lit(64))))
-        before = F.when(near != "", near).otherwise(trimmed(F.substr(text, F.lit(1), s["start"])))
+        near = trimmed(cut_out(parts, F.greatest(s["start"] - 64, F.lit(0)), s["start"]))
+        before = bound(near, lambda x: F.when(x != "", x).otherwise(trimmed(F.substr(text, F.lit(1), s["start"]))))
         stops = F.array(*map(F.lit, e.STOP_WORDS))
-        return (before != "") & ~before.rlike(r"[.!?]\z") & ~F.arrays_overlap(F.split(s["value"], r"\s+"), stops)
+        return ~F.arrays_overlap(F.split(s["value"], r"\s+"), stops) & bound(before, lambda x: (x != "") & ~x.rlike(r"[.!?]\z"))
 
-    return F.transform(F.filter(spans(text, e.CAPS), inside), lambda s: _span(s, "person", "ner", 0.63, ord_))
+    kept = bound(pieces(text), lambda parts: F.filter(spans(text, e.CAPS), lambda s: inside(s, parts)))
+    return F.transform(kept, lambda s: _span(s, "person", "ner", 0.63, ord_))
 
 
 def dictionary_spans(text: Column, name: str, ord_: int = 0) -> Column:
@@ -122,14 +118,16 @@ def custom_spans(text: Column, patterns: Sequence[str], keywords: Sequence[str])
 def detected(text: Column, patterns: Sequence[str] = (), keywords: Sequence[str] = (), model: Detector = None, boost: tuple[str, ...] = (), suppress: tuple[str, ...] = (), window: int = 150) -> Column:
     """Built-in, custom and model spans scored by their context, then context spans that overlap none of them."""
 
-    def score(s: Column) -> Column:
-        near = [e.proximity(e.near_distance(text, s["start"], s["stop"], words, window), window) if words else F.lit(0.0) for words in (boost, suppress)]
+    def score(s: Column, places: Column) -> Column:
+        near = [bound(e.least_gap(places[side], s["start"], s["stop"], window), lambda x: e.proximity(x, window)) if words else F.lit(0.0) for side, words in (("boost", boost), ("suppress", suppress))]
         return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["type"].alias("type"), s["source"].alias("source"), e.adjusted(s["confidence"], *near).alias("confidence"), s["ord"].alias("ord"))
 
     def merged(own: Column) -> Column:
         context = F.concat(*(F.transform(e.context_spans(text, x, i), lambda s: _span(s, s["type"], "context", s["confidence"], s["ord"])) for i, x in enumerate(e.CONTEXTS)))
         free = F.filter(context, lambda x: ~F.exists(own, lambda o: m.overlaps(o, x)))
-        return F.filter(F.concat(F.transform(own, score), m.first_writer_wins(free)), lambda s: s["confidence"] >= LEAST_CONFIDENCE)
+        none = F.expr("cast(array() as array<struct<start:int,stop:int>>)")
+        places = F.struct(*((e.keyword_places(text, words) if words else none).alias(side) for side, words in (("boost", boost), ("suppress", suppress))))
+        return F.filter(F.concat(bound(places, lambda x: F.transform(own, lambda s: score(s, x))), m.first_writer_wins(free)), lambda s: s["confidence"] >= LEAST_CONFIDENCE)
 
     builtin = F.transform(d.builtin_spans(text), lambda s: _span(s, s["type"], "regex", s["confidence"], s["prio"]))
     return bound(F.concat(builtin, custom_spans(text, patterns, keywords), *([model(text)] if model else [])), merged)
@@ -137,31 +135,35 @@ def detected(text: Column, patterns: Sequence[str] = (), keywords: Sequence[str]
 
 def cue_probabilities(around: Column) -> Column:
     """A stand-in for a trained classifier: each category's share of the context keywords that stand around a span."""
-    low = F.lower(around)
     cues = {t: sorted({k for x in e.CONTEXTS if x.type == t for k in x.keywords}) for t in {x.type for x in e.CONTEXTS}}
-    hits = [sum((F.contains(low, F.lit(k)).cast("int") for k in cues.get(t, ())), F.lit(0)) for t, _, _ in pr.CATEGORIES]
-    return bound(F.array(*hits), lambda n: F.transform(n, lambda x: x / (F.aggregate(n, F.lit(0), lambda a, b: a + b) + 1.0)))
+
+    def hits(low: Column) -> Column:
+        return F.array(*(sum((F.contains(low, F.lit(k)).cast("int") for k in cues.get(t, ())), F.lit(0)) for t, _, _ in pr.CATEGORIES))
+
+    return bound(bound(F.lower(around), hits), lambda n: F.transform(n, lambda x: x / (F.aggregate(n, F.lit(0), lambda a, b: a + b) + 1.0)))
 
 
 def classified(df: DataFrame, found: str = "spans", classify: Callable[[Column], Column] | None = None) -> DataFrame:
     """Long form of df (key columns, text, an array of spans) with severity, after the classifier's changes to doubtful spans."""
     keys = [c for c in df.columns if c not in ("text", found)]
-    around = lambda s: F.substr("text", F.greatest(F.lit(0), s["start"] - AROUND) + 1, s["stop"] + AROUND - F.greatest(F.lit(0), s["start"] - AROUND))
-    probs = (lambda s: F.when(s["confidence"].between(0.4, 0.8), classify(around(s)))) if classify else (lambda s: F.expr("cast(null as array<double>)"))
-    rows = exploded(df, *keys, array=F.transform(found, lambda s: F.struct(s.alias("s"), probs(s).alias("probs"))), alias="x")
+    around = lambda s, parts: cut_out(parts, F.greatest(F.lit(0), s["start"] - AROUND), s["stop"] + AROUND)
+    probs = (lambda s, parts: F.when(s["confidence"].between(0.4, 0.8), classify(around(s, parts)))) if classify else (lambda s, parts: F.expr("cast(null as array<double>)"))
+    rows = exploded(df, *keys, array=bound(pieces(F.col("text")), lambda parts: F.transform(found, lambda s: F.struct(s.alias("s"), probs(s, parts).alias("probs")))), alias="x")
     long = rows.select(*keys, F.col("x.s.start").alias("span_start"), F.col("x.s.stop").alias("span_end"), "x.s.type", "x.s.source", "x.s.confidence", "x.probs").withColumn("severity", severity_of(F.col("type")))
     return (pr.adjust(long) if classify else long).drop("probs")
 
 
-def analyzed(df: DataFrame, found: Column, semantic: Detector = None, terms: str | None = None) -> DataFrame:
+def analyzed(df: DataFrame, found: Column, semantic: Detector = None, terms: str | None = None, ner: str | None = None) -> DataFrame:
     """Of df with text: the other columns, content_hash, counts by stage, the merged spans and their surrogates; text is left out.
 
     found are the first stage's spans; entities are the second's; semantic is an
-    optional third. terms names a column of dictionary places, which is left out too.
+    optional third. terms names a column of dictionary places, which is left out too;
+    ner names one that holds the entities already, which are found anew where it is None.
     Spans of one type that mostly overlap are merged.
     """
-    keys = [c for c in df.columns if c not in ("text", terms)]
-    staged = df.select(*keys, "text", found.alias("regex"), entities(F.col("text"), F.col(terms) if terms else None).alias("ner"), (semantic(F.col("text")) if semantic else F.expr(m.EMPTY)).alias("semantic"))
+    keys = [c for c in df.columns if c not in ("text", terms, ner)]
+    second = F.col(ner) if ner else entities(F.col("text"), F.col(terms) if terms else None)
+    staged = df.select(*keys, "text", found.alias("regex"), second.alias("ner"), (semantic(F.col("text")) if semantic else F.expr(m.EMPTY)).alias("semantic"))
     merged = staged.withColumn("spans", m.merge_same_type(F.concat("regex", "ner", "semantic")))
     made = F.transform("spans", lambda s: g.surrogate(s["type"], F.substr("text", s["start"] + 1, s["stop"] - s["start"])))
     return merged.select(*keys, F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), *(F.size(x).alias(f"{x}_count") for x in ("regex", "ner", "semantic")), "spans", made.alias("surrogates"))

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactory.functions.spans import exploded, spans
+from redactory.functions.spans import bound, exploded, pieces, spans, window as cut_out
 
 
 class Entity(NamedTuple):
@@ -155,21 +155,52 @@ CONTEXTS = [
 ]
 
 
-def near_distance(text: Column, start: Column, stop: Column, keywords: tuple[str, ...], window: int) -> Column:
+def near_distance(text: Column, start: Column, stop: Column, keywords: tuple[str, ...], window: int, parts: Column | None = None) -> Column:
     """Least gap between the span and a keyword that lies wholly within the window; 0 if they touch; null if none.
 
-    Only the window's characters are looked at, so the cost does not follow the text's length.
+    The window is cut out of the text, or of its pieces if they are given, and lowered once; only its characters are looked at.
     """
-    low = F.lower(text)
-    before_at = F.greatest(F.lit(0), start - window)
-    before = F.reverse(F.substr(low, before_at + 1, start - before_at))
-    after = F.substr(low, stop + 1, F.lit(window))
-    left, right = F.regexp_instr(before, F.lit(_any(k[::-1] for k in keywords))), F.regexp_instr(after, F.lit(_any(keywords)))
-    inside = F.lit(False)
-    for n in sorted({len(k) for k in keywords}):  # an occurrence of n characters within n - 1 of the span overlaps it
-        at = F.greatest(F.lit(0), start - (n - 1))
-        inside = inside | F.substr(low, at + 1, stop + (n - 1) - at).rlike(_any(k for k in keywords if len(k) == n))
-    return F.least(F.when(inside, 0), F.when(left > 0, left - 1), F.when(right > 0, right - 1))
+    wide = max([window, *(len(k) - 1 for k in keywords)])
+    begin = F.greatest(F.lit(0), start - wide)
+
+    def least(low: Column) -> Column:
+        before_at = F.greatest(F.lit(0), start - window)
+        before = F.reverse(F.substr(low, before_at - begin + 1, start - before_at))
+        after = F.substr(low, stop - begin + 1, F.lit(window))
+        inside = F.lit(False)
+        for n in sorted({len(k) for k in keywords}):  # an occurrence of n characters within n - 1 of the span overlaps it
+            at = F.greatest(F.lit(0), start - (n - 1))
+            inside = inside | F.substr(low, at - begin + 1, stop + (n - 1) - at).rlike(_any(k for k in keywords if len(k) == n))
+        sides = F.array(F.regexp_instr(before, F.lit(_any(k[::-1] for k in keywords))), F.regexp_instr(after, F.lit(_any(keywords))))
+        return F.when(inside, 0).otherwise(F.array_min(F.transform(sides, lambda x: F.when(x > 0, x - 1))))
+
+    near = F.substr(text, begin + 1, stop + wide - begin) if parts is None else cut_out(parts, begin, stop + wide)
+    return bound(F.lower(near), least)
+
+
+def keyword_places(text: Column, keywords: Iterable[str]) -> Column:
+    """array<struct<start, stop>> of all occurrences of the keywords, overlapping ones too, whatever their case."""
+    words = sorted(set(keywords))
+    begins, longest = _any(words), max(map(len, words))
+
+    def found(low: Column) -> Column:
+        # pieces begin where a keyword does; the first one may not
+        step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        starts = F.aggregate(F.split(low, f"(?={begins})", -1), F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), step, lambda acc: acc["out"])
+
+        def here(at: Column) -> Column:
+            own = lambda x: F.array(*(F.struct(at.alias("start"), F.when(F.startswith(x, F.lit(k)), at + len(k)).alias("stop")) for k in words))
+            return F.filter(bound(F.substr(low, at + 1, F.lit(longest)), own), lambda p: p["stop"].isNotNull())
+
+        return F.when(low.rlike(begins), F.flatten(F.transform(starts, here))).otherwise(F.expr("cast(array() as array<struct<start:int,stop:int>>)"))
+
+    return bound(F.lower(text), found)
+
+
+def least_gap(places: Column, start: Column, stop: Column, window: int) -> Column:
+    """What near_distance gives, from the keywords' places."""
+    inside = F.filter(places, lambda p: (p["start"] >= start - window) & (p["stop"] <= stop + window))
+    return F.array_min(F.transform(inside, lambda p: F.greatest(F.lit(0), F.when(p["start"] < start, start - p["stop"]).otherwise(p["start"] - stop))))
 
 
 def _any(words: Iterable[str]) -> str:
@@ -193,7 +224,9 @@ def adjusted(confidence: Column, boost: Column, suppress: Column) -> Column:
 
 def context_spans(text: Column, context: Context, ord_: int = 0) -> Column:
     """Pattern hits with their score, in the row: those of at least 0.3 whose confidence times score reaches 0.5."""
-    placed = F.transform(spans(text, context.regex + (f"(?={context.until})" if context.until else "")), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), near_distance(text, s["start"], s["stop"], context.keywords, context.window).alias("distance")))
+    hits = spans(text, context.regex + (f"(?={context.until})" if context.until else ""))
+    near_of = lambda s, parts: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), near_distance(text, s["start"], s["stop"], context.keywords, context.window, parts).alias("distance"))
+    placed = bound(hits, lambda found: F.when(F.size(found) > 0, bound(pieces(text), lambda parts: F.transform(found, lambda s: near_of(s, parts)))).otherwise(F.transform(found, lambda s: near_of(s, F.array(text)))))
     near = F.filter(placed, lambda s: (proximity(s["distance"], context.window) >= 0.3) & (rounded(proximity(s["distance"], context.window) * context.confidence) >= 0.5))
 
     def scored(s: Column) -> Column:

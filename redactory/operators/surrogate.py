@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redactory.functions.spans import bound
 from redactory.functions.values import value_kind
 
 FIRST = ["Alex", "Blair", "Casey", "Dana", "Ellis", "Finley", "Gray", "Harper"]
@@ -40,21 +41,24 @@ def like_digits(value: Column, digits: Column) -> Column:
     """The value's layout with its digits replaced in order."""
     chars, begun = F.split(value, ""), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, c: Column) -> Column:
-        digit = c.rlike("[0-9]")
-        return F.struct((acc["at"] + digit.cast("int")).alias("at"), F.concat(acc["out"], F.when(digit, F.substr(digits, acc["at"] + 1, F.lit(1))).otherwise(c)).alias("out"))
+    def replaced(given: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            digit = c.rlike("[0-9]")
+            return F.struct((acc["at"] + digit.cast("int")).alias("at"), F.concat(acc["out"], F.when(digit, F.substr(given, acc["at"] + 1, F.lit(1))).otherwise(c)).alias("out"))
 
-    return F.aggregate(chars, begun, step, lambda acc: acc["out"])
+        return F.aggregate(chars, begun, step, lambda acc: acc["out"])
+
+    return bound(digits, replaced)
 
 
 def luhn_digit(body: Column) -> Column:
     """The digit that makes body + digit pass the checksum."""
-    n = F.length(body)
-    total = F.aggregate(
-        F.sequence(F.lit(1), n), F.lit(0),
-        lambda acc, i: acc + _luhn_part(F.substr(body, i, F.lit(1)).cast("int"), (n - i) % 2 == 0),
-    )
-    return ((10 - total % 10) % 10).cast("string")
+
+    def total(given: Column) -> Column:
+        n = F.length(given)
+        return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + _luhn_part(F.substr(given, i, F.lit(1)).cast("int"), (n - i) % 2 == 0))
+
+    return ((10 - bound(body, total) % 10) % 10).cast("string")
 
 
 def _luhn_part(d: Column, doubled: Column) -> Column:
@@ -71,7 +75,7 @@ def card(t: Column, v: Column) -> Column:
     head = F.substring(digits, 1, 4)
     middle = F.concat(*(F.lpad(draw(t, v, k, 10000).cast("string"), 4, "0") for k in range(4)))
     body = F.concat(head, F.substr(middle, F.lit(1), F.length(digits) - 5))
-    return like_digits(v, F.concat(body, luhn_digit(body)))
+    return like_digits(v, bound(body, lambda b: F.concat(b, luhn_digit(b))))
 
 
 def phone(t: Column, v: Column) -> Column:
@@ -266,11 +270,15 @@ def surrogate(type_: Column, value: Column, families: dict[str, Callable[[Column
 
     families may be another table of generators, or this one with some replaced.
     """
-    type_ = F.lower(F.trim(type_))
-    out = placeholder(type_)
-    for name_, family in families.items():
-        out = F.when(type_ == name_, family(type_, value)).otherwise(out)
-    return out
+
+    def made(pair: Column) -> Column:
+        kind, own = pair["type"], pair["value"]
+        out = placeholder(kind)
+        for name_, family in families.items():
+            out = F.when(kind == name_, family(kind, own)).otherwise(out)
+        return out
+
+    return bound(F.struct(F.lower(F.trim(type_)).alias("type"), value.alias("value")), made)
 
 
 def surrogate_map(spans: DataFrame) -> DataFrame:

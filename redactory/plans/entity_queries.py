@@ -258,7 +258,8 @@ QUERIES["pipeline_detect"] = lambda s, sf: an.classified(_termed(s, sf).select("
 
 def _analyze(s, sf):
     """One row per document: hash, counts by stage, types, action of the tenant's policy and how many surrogates differ from each other."""
-    done = cut(an.analyzed(c.texts(s, sf).select("doc_id", (F.col("doc_id") % 25).alias("tenant_id"), "text"), _found(s)), "analyzed")
+    own = c.texts(s, sf).select("doc_id", (F.col("doc_id") % 25).alias("tenant_id"), "text", an.entities(F.col("text")).alias("entities"))
+    done = cut(an.analyzed(own, _found(s, lambda _: F.col("entities")), ner="entities"), "analyzed")
     long = m.unfold(done.select("doc_id", "tenant_id", "spans")).withColumn("severity", an.severity_of(F.col("type")))
     top = p.strictest(p.span_actions(long, c.policies(s, sf), c.rules(s, sf)), "doc_id").select("doc_id", "action", "trigger_type")
     types = F.array_sort(F.array_distinct(F.transform("spans", lambda x: x["type"])))
