@@ -15,6 +15,7 @@ from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -24,6 +25,8 @@ from redactory.operators import entities as e
 
 #: Bytes of terms that one automaton, and so one task, may hold.
 BLOCK_BYTES = 32 << 20
+#: Characters of texts that a task works on at once; what it finds in them is Python objects, many times as large.
+PART_CHARS = 1 << 18
 _WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
 
 
@@ -39,6 +42,19 @@ def usable(terms: DataFrame, column: str = "term") -> tuple[DataFrame, DataFrame
     return terms.where(~blank).withColumn(column, F.lower(column)).distinct(), terms.where(blank).withColumn("reason", F.lit("blank term"))
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about PART_CHARS characters of text, or one row where its text is longer."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
+        begin = total = 0
+        for i, n in enumerate(sizes):
+            if i > begin and total + n > PART_CHARS:
+                yield batch.slice(begin, i - begin)
+                begin, total = i, 0
+            total += n
+        yield batch.slice(begin)
+
+
 def blocks(terms: DataFrame, column: str = "term", most: int = BLOCK_BYTES) -> Iterator[list]:
     """The rows of a table of terms, in blocks of about that many bytes at most."""
     size = terms.agg(F.coalesce(F.sum(F.octet_length(column) + 64), F.lit(0))).first()[0]
@@ -104,7 +120,7 @@ def with_terms(df: DataFrame, terms: DataFrame, cue: str | None = None, around:
             def hits(low: str) -> list[dict]:
                 return [{"dictionary": d, "start": at + 1 - size, "stop": at + 1, "near": False} for at, (size, names) in (found.iter(low) if by_term else ()) if bordered(low, at + 1 - size, at + 1) for d in names]
 
-            for batch in batches:
+            for batch in parts(batches):
                 made = []
                 for text, old in zip(batch.column("text").to_pylist(), batch.column(into).to_pylist(), strict=True):
                     now = old + hits(lowered(text or ""))
@@ -162,7 +178,7 @@ def keyword_distances(df: DataFrame, keywords: DataFrame, window: int = 150, fou
                     best = gap if best is None or gap < best else best
             return best
 
-        for batch in batches:
+        for batch in parts(batches):
             at = batch.schema.get_field_index(found)
             made = []
             for text, own in zip(batch.column("text").to_pylist(), batch.column(found).to_pylist(), strict=True):

@@ -5,11 +5,12 @@ from __future__ import annotations
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from redactory.functions.spans import pieces, window
-from redactory.operators import entities, merge
+from redactory.operators import entities, lexicons, merge
 from redactory.operators import tenants as t
 from redactory.plans import protection_queries
 
@@ -60,3 +61,12 @@ def test_money_is_rounded_as_in_the_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
     assert got == set(con.execute(protection_queries.SQL["money_format"]).fetchall())
+
+
+def test_tasks_work_on_parts_of_a_batch(monkeypatch):
+    monkeypatch.setattr(lexicons, "PART_CHARS", 10)
+    texts = ["abcdef", None, "abc", "é" * 30, "", "abcdefghij", "a"]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    got = list(lexicons.parts(iter([batch, batch.slice(0, 0)])))
+    assert [r for b in got for r in b.to_pylist()] == batch.to_pylist()
+    assert [b.num_rows for b in got] == [3, 1, 2, 1, 0]
