@@ -51,10 +51,13 @@ def _written(s, sf):
 def _scan_files(s, sf):
     """Files are written, read, protected, written back one for one, and read again."""
     numbered = lambda df: df.select(F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), "length", F.rtrim("text", F.lit("\n")).alias("text"))
-    read = numbered(st.scan_files(s, _written(s, sf)))
-    masked_ = read.select("doc_id", "length", "text", redacted(F.col("text"), d.builtin_spans(F.col("text")), lambda x: v.mask_placeholder(x["display_name"])).alias("protected"))
-    back = numbered(st.scan_files(s, st.write_files(masked_.select("doc_id", F.col("protected").alias("text")), "doc_id")))
-    return read.select("doc_id", "length", F.sha2("text", 256).alias("text_sha256")).join(back.select("doc_id", F.sha2("text", 256).alias("protected_sha256")), "doc_id", "left")
+    with st.small_files(s):
+        read = numbered(st.scan_files(s, _written(s, sf)))
+        masked_ = read.select("doc_id", redacted(F.col("text"), d.builtin_spans(F.col("text")), lambda x: v.mask_placeholder(x["display_name"])).alias("text"))
+        back = numbered(st.scan_files(s, st.write_files(masked_, "doc_id")))
+        own = st.cut(read.select("doc_id", "length", F.sha2("text", 256).alias("text_sha256")), "read")
+        protected = st.cut(back.select("doc_id", F.sha2("text", 256).alias("protected_sha256")), "back")
+    return own.join(protected, "doc_id", "left")
 
 
 QUERIES["scan_files"] = _scan_files

@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,17 +65,69 @@ def scan_files(spark: SparkSession, path: str, most: int = LOCAL_BYTES) -> DataF
     return files.where((F.col("length") <= most) & extension(F.col("path")).isin(LOCAL_EXTENSIONS)).select("path", "length", decode_text(F.col("content")).alias("text"))
 
 
+#: Folders that written files are dealt over by their key, so that listings run in parallel and none grows too long.
+FOLDERS = 256
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str] | None:
+    """The file system of a path and the path inside it, or None where Arrow knows no such store."""
+    try:
+        return fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+
+
 def write_files(texts: DataFrame, key: str, path: str | None = None) -> str:
-    """Write each row's text as a file of its own below path (else a shared scratch folder), in a folder named after key.
+    """Write each row's text as a file of its own below path (else a shared scratch folder), named after key.
 
     key must tell rows apart and not be null. A line end closes each file; a null text is an empty line.
+    Tasks write the files themselves, into folders by the key's hash: a committer that moves file by file,
+    and on local disks a process for each file's mode, cost far more than the files. A file gets its name
+    once it is whole, and a repeated task writes the same names. Stores that only Spark opens get Spark's writer.
     """
     path = path or scratch(texts.sparkSession, "files")
-    texts.select(key, F.coalesce("text", F.lit("")).alias("text")).write.partitionBy(key).text(path)
+    rows = texts.select(F.col(key).cast("string").alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    if _opened(path) is None:
+        rows.select(F.col("name").alias(key), F.col("content").cast("string").alias("text")).write.partitionBy(key).text(path)
+        texts.sparkSession.catalog.refreshByPath(path)
+        return path
+    store, root = _opened(path)
+    if store.get_file_info(root).type != fs.FileType.NotFound:
+        raise ValueError(f"{path} exists")
+    for i in range(FOLDERS):
+        store.create_dir(f"{root}/{i:02x}")
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _opened(path)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                folder, file = f"{root}/{zlib.crc32(name.encode()) % FOLDERS:02x}", f"{key}={quote(name, safe='')}.txt"
+                whole = f"{folder}/_{uuid.uuid4().hex}"  # names with this first sign are no input for Spark
+                with store.open_output_stream(whole) as out:
+                    out.write(content.as_buffer())
+                    out.write(b"\n")
+                store.move(whole, f"{folder}/{file}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
+
+    rows.mapInArrow(written, "files long").agg(F.sum("files")).collect()
     texts.sparkSession.catalog.refreshByPath(path)
     return path
 
 
+@contextmanager
+def small_files(spark: SparkSession) -> Iterator[None]:
+    """Reads inside take thousands of small files a task; by Spark's own settings a file counts as 4 MB, so a task takes 32 or fewer."""
+    own = {"spark.sql.files.openCostInBytes": "4096", "spark.sql.files.maxPartitionBytes": str(32 << 20)}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def route(path: Column, length: Column) -> Column:
     ext = extension(path)
     return F.when(ext.isin(STUB_EXTENSIONS), "stub").when(~ext.isin(LOCAL_EXTENSIONS), "unsupported").when(length > LOCAL_BYTES, "too_large").otherwise("local")
