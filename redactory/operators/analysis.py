@@ -122,15 +122,17 @@ def detected(text: Column, patterns: Sequence[str] = (), keywords: Sequence[str]
         near = [bound(e.least_gap(places[side], s["start"], s["stop"], window), lambda x: e.proximity(x, window)) if words else F.lit(0.0) for side, words in (("boost", boost), ("suppress", suppress))]
         return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["type"].alias("type"), s["source"].alias("source"), e.adjusted(s["confidence"], *near).alias("confidence"), s["ord"].alias("ord"))
 
-    def merged(own: Column) -> Column:
-        context = F.concat(*(F.transform(e.context_spans(text, x, i), lambda s: _span(s, s["type"], "context", s["confidence"], s["ord"])) for i, x in enumerate(e.CONTEXTS)))
+    context = F.concat(*(F.transform(e.context_spans(text, x, i), lambda s: _span(s, s["type"], "context", s["confidence"], s["ord"])) for i, x in enumerate(e.CONTEXTS)))
+
+    def merged(own: Column, context: Column) -> Column:
         free = F.filter(context, lambda x: ~F.exists(own, lambda o: m.overlaps(o, x)))
         none = F.expr("cast(array() as array<struct<start:int,stop:int>>)")
         places = F.struct(*((e.keyword_places(text, words) if words else none).alias(side) for side, words in (("boost", boost), ("suppress", suppress))))
         return F.filter(F.concat(bound(places, lambda x: F.transform(own, lambda s: score(s, x))), m.first_writer_wins(free)), lambda s: s["confidence"] >= LEAST_CONFIDENCE)
 
     builtin = F.transform(d.builtin_spans(text), lambda s: _span(s, s["type"], "regex", s["confidence"], s["prio"]))
-    return bound(F.concat(builtin, custom_spans(text, patterns, keywords), *([model(text)] if model else [])), merged)
+    every = F.concat(builtin, custom_spans(text, patterns, keywords), *([model(text)] if model else []))
+    return bound(F.struct(every.alias("own"), context.alias("context")), lambda x: merged(x["own"], x["context"]))
 
 
 def cue_probabilities(around: Column) -> Column:

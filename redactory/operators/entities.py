@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactory.functions.spans import bound, exploded, pieces, spans, window as cut_out
+from redactory.functions.spans import bound, exploded, pieces, screened, spans, window as cut_out
 
 
 class Entity(NamedTuple):
@@ -23,6 +23,10 @@ class Entity(NamedTuple):
     def java(self) -> str:
         return self.regex + (f"(?={self.until})" if self.until else "")
 
+    def whole(self) -> str:
+        """The same with what must follow as part of the match, for screens."""
+        return self.regex + (f"(?:{self.until})" if self.until else "")
+
 
 _DAY = "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday"
 _MONTH = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
@@ -124,9 +128,10 @@ def dictionary_regex(terms: list[str]) -> str:
 
 def entity_spans(text: Column, family: list[Entity]) -> Column:
     """Spans of a family, with the pattern's place as ord; overlaps are left to first_writer_wins."""
+    held = screened(text, [(e.whole(), e.ignore_case) for e in family])
 
     def tagged(i: int, e: Entity) -> Column:
-        return F.transform(spans(text, e.java(), e.ignore_case), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(e.type).alias("type"), F.lit("ner").alias("source"), F.lit(e.confidence).alias("confidence"), F.lit(i).alias("ord")))
+        return F.transform(spans(text, e.java(), e.ignore_case, held=F.array_contains(held, i)), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(e.type).alias("type"), F.lit("ner").alias("source"), F.lit(e.confidence).alias("confidence"), F.lit(i).alias("ord")))
 
     return F.concat(*(tagged(i, e) for i, e in enumerate(family)))
 
@@ -224,7 +229,8 @@ def adjusted(confidence: Column, boost: Column, suppress: Column) -> Column:
 
 def context_spans(text: Column, context: Context, ord_: int = 0) -> Column:
     """Pattern hits with their score, in the row: those of at least 0.3 whose confidence times score reaches 0.5."""
-    hits = spans(text, context.regex + (f"(?={context.until})" if context.until else ""))
+    held = screened(text, [(context.regex + (f"(?:{context.until})" if context.until else ""), False)])
+    hits = spans(text, context.regex + (f"(?={context.until})" if context.until else ""), held=F.array_contains(held, 0))
     near_of = lambda s, parts: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), near_distance(text, s["start"], s["stop"], context.keywords, context.window, parts).alias("distance"))
     placed = bound(hits, lambda found: F.when(F.size(found) > 0, bound(pieces(text), lambda parts: F.transform(found, lambda s: near_of(s, parts)))).otherwise(F.transform(found, lambda s: near_of(s, F.array(text)))))
     near = F.filter(placed, lambda s: (proximity(s["distance"], context.window) >= 0.3) & (rounded(proximity(s["distance"], context.window) * context.confidence) >= 0.5))
