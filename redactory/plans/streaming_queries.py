@@ -106,8 +106,8 @@ _PROFILE = "CASE event_id % 4 WHEN 0 THEN 'personal_protection' WHEN 1 THEN 'bus
 
 def _as_of(s, sf):
     """Each message's gravest span, judged by the policy that stood when it was sent; versions come as a second stream."""
-    events = jobs.source(s, sf).withColumn("tenant_id", F.col("user_id") % 25)
-    grave = F.array_max(F.transform(d.builtin_spans(F.expr(_TEXT)), lambda x: p.ranked(x["severity"], SEVERITY_RANK)))
+    events = jobs.source(s, sf).withColumn("tenant_id", F.col("user_id") % 25).withColumn("text", F.expr(_TEXT))
+    grave = F.array_max(F.transform(d.builtin_spans(F.col("text")), lambda x: p.ranked(x["severity"], SEVERITY_RANK)))
     messages = events.where(F.expr(_PART).isNull()).select("tenant_id", "ts", F.col("event_id").alias("id"), p.severity_of(grave).alias("body"))
     versions = events.where(F.expr(_PART).isNotNull()).select("tenant_id", "ts", F.expr(_PART).alias("part"), F.col("event_id").alias("id"), F.expr(_PROFILE).alias("body"))
     out = jobs.drain(jobs.policy_as_of(messages, versions, {"policy": POLICY_SECONDS, "rules": RULES_SECONDS}))

@@ -1,13 +1,24 @@
-"""Many small files."""
+"""Many small files, and screens that spare texts without a match."""
 
 from __future__ import annotations
 
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from redactory.functions.bank import BANK
+from redactory.functions.spans import screened, spans
+from redactory.operators import detect, entities
+from redactory.plans import protection_queries
 from redactory.sources import storage
 
+#: Texts around which the two matchers could differ: vertical tabs, wide blanks, accents, the Kelvin sign, line ends, bad bytes.
+ODD = [
+    None, "", "219\x0b09\x0b1234", "card 4111\x0b1111\x0b1111\x0b1111", "api_key\x0b=\x0b" + "a" * 24, "éA@b.com", "x\u00a0219-09-1234\u2003y", "TO\u212aEN = abcdefgh1", "pa\u017f\u017fword: hunter2hunter2",
+    "-----BEGIN\x0bRSA PRIVATE\nKEY-----", "Bearer\x0b" + "b" * 20, "March\x0b5,\x0b1984", "next\x0bweek", "Dr.\x0bSarah\x0bChen", "Acme\x0bWidgets\x0bLLC", "diagnosed\x0bwith flu\x0b\x0bx", "P.O.\x0bBox\x0b12", "history of gout", "$2\x0bmillion", "postgres://é\u2028x",
+]
+
 
 def test_many_files_share_folders_and_tasks(spark, tmp_path):
     df = spark.range(600).selectExpr("concat('a/b ', id) AS k", "CASE WHEN id % 7 = 0 THEN NULL ELSE concat('text ', id) END AS text")
@@ -20,3 +31,31 @@ def test_many_files_share_folders_and_tasks(spark, tmp_path):
         assert read.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
     with pytest.raises(ValueError, match="exists"):
         storage.write_files(df, "k", path)
+
+
+def test_screens_lose_no_match(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "i long, text string").union(spark.sql("SELECT 99L, cast(concat(x'3A2F2F', x'FF') AS string) || ' postgres://' || cast(x'FFFE' AS string)"))
+    kinds = [(p.regex, p.regex, p.ignore_case) for p in BANK] + [(x.java(), x.whole(), x.ignore_case) for f in entities.FAMILIES.values() for x in f]
+    kinds += [(x.regex + (f"(?={x.until})" if x.until else ""), x.regex + (f"(?:{x.until})" if x.until else ""), False) for x in entities.CONTEXTS]
+    held = screened(F.col("text"), [(w, i) for _, w, i in kinds])
+    plain = F.array(*(spans(F.col("text"), p, i) for p, _, i in kinds))
+    quick = F.array(*(spans(F.col("text"), p, i, held=F.array_contains(held, n)) for n, (p, _, i) in enumerate(kinds)))
+    got = df.select("text", plain.alias("a"), quick.alias("b")).collect()
+    assert sum(len(x) for r in got for x in r.a) > 15
+    assert all(r.a == r.b for r in got)
+
+
+def test_a_pattern_that_arrow_refuses_is_looked_for_everywhere(spark):
+    df = spark.createDataFrame([("ab",), ("c",), (None,)], "text string")
+    assert [r[0] for r in df.select(screened(F.col("text"), [("a(?=b)", False), ("B", True)])).collect()] == [[0, 1], [0], []]
+
+
+@pytest.mark.parametrize("make", [detect.builtin_spans, lambda t: entities.entity_spans(t, entities.FAMILIES["ner_date"]), lambda t: entities.context_spans(t, entities.CONTEXTS[0])])
+def test_detectors_screen_all_texts_in_one_pass(spark, make):
+    plan = spark.range(1).selectExpr("cast(id AS string) AS text").select(make(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_two_producers_take_one_scan(spark):
+    plan = protection_queries.QUERIES["sweep_dedup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
