@@ -207,11 +207,14 @@ SQL["model_scores"] = "SELECT doc_id, length(text) AS n FROM documents"
 
 
 # mappings
-def _mappings(s, sf):
-    return spans(s, sf).where("span_start % 5 <> 0").select("doc_id", "type", "span_start", "span_end", v.mask_placeholder(F.col("display_name")).alias("replacement"), F.col("span_start").alias("idx"))
+def _mapping_for_detection(s, sf):
+    """Spans are found and written once; mappings are made of them and joined back."""
+    found = st.cut(spans(s, sf).select("doc_id", "type", "span_start", "span_end", "display_name"), "found")
+    mappings = found.where("span_start % 5 <> 0").withColumn("replacement", v.mask_placeholder(F.col("display_name"))).withColumn("idx", F.col("span_start"))
+    return mp.mapping_for_detection(found.drop("display_name"), mappings)
 
 
-QUERIES["mapping_for_detection"] = lambda s, sf: mp.mapping_for_detection(spans(s, sf).select("doc_id", "type", "span_start", "span_end"), _mappings(s, sf))
+QUERIES["mapping_for_detection"] = _mapping_for_detection
 SQL["mapping_for_detection"] = f"SELECT doc_id, type, span_start, span_end, CASE WHEN span_start % 5 <> 0 THEN '[' || regexp_replace(upper(display_name), '\\s+', '_', 'g') || ']' END AS replacement FROM ({SPANS_SQL})"
 _REVIEW = "SELECT path AS name, length AS size, mtime, CASE doc_id % 4 WHEN 0 THEN 'protected' WHEN 1 THEN 'skipped' ELSE 'pending' END AS status, 'safe-' || path AS protected_name FROM (" + FILES_SQL + ") WHERE doc_id % 5 <> 0"
 QUERIES["final_file_list"] = lambda s, sf: mp.final_files(files(s, sf).select(F.col("path").alias("name"), F.col("length").alias("size"), "mtime"), c.relation(s, sf, _REVIEW, "documents")).select("name", "sent")
