@@ -146,6 +146,8 @@ class Context(NamedTuple):
     #: What must follow a match, as for entities.
     until: str = ""
 
+    java, whole = Entity.java, Entity.whole
+
 
 # Context patterns with their keywords, window and confidence.
 CONTEXTS = [
@@ -229,8 +231,8 @@ def adjusted(confidence: Column, boost: Column, suppress: Column) -> Column:
 
 def context_spans(text: Column, context: Context, ord_: int = 0) -> Column:
     """Pattern hits with their score, in the row: those of at least 0.3 whose confidence times score reaches 0.5."""
-    held = screened(text, [(context.regex + (f"(?:{context.until})" if context.until else ""), False)])
-    hits = spans(text, context.regex + (f"(?={context.until})" if context.until else ""), held=F.array_contains(held, 0))
+    held = screened(text, [(context.whole(), False)])
+    hits = spans(text, context.java(), held=F.array_contains(held, 0))
     near_of = lambda s, parts: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), near_distance(text, s["start"], s["stop"], context.keywords, context.window, parts).alias("distance"))
     placed = bound(hits, lambda found: F.when(F.size(found) > 0, bound(pieces(text), lambda parts: F.transform(found, lambda s: near_of(s, parts)))).otherwise(F.transform(found, lambda s: near_of(s, F.array(text)))))
     near = F.filter(placed, lambda s: (proximity(s["distance"], context.window) >= 0.3) & (rounded(proximity(s["distance"], context.window) * context.confidence) >= 0.5))

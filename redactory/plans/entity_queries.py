@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redactory.functions.dialect import quoted, re2
-from redactory.functions.spans import exploded, spans, sql_spans
+from redactory.functions.spans import exploded, screened, spans, sql_spans
 from redactory.operators import analysis as an
 from redactory.operators import detect as d
 from redactory.operators import entities as e
@@ -188,10 +188,12 @@ def _scored_spans(s, sf):
     flat = lambda x, type_, confidence: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), type_.alias("type"), confidence.alias("confidence"))
     builtin = F.transform(d.builtin_spans(F.col("text")), lambda x: flat(x, x["type"], x["confidence"]))
 
-    def hits(x):
-        return F.transform(spans(F.col("text"), x.regex + (f"(?={x.until})" if x.until else "")), lambda y: flat(y, F.lit(x.type), F.lit(x.confidence)))
+    held = screened(F.col("text"), [(x.whole(), False) for x in _KINDS])
 
-    others = [hits(x) for x in _KINDS]
+    def hits(i, x):
+        return F.transform(spans(F.col("text"), x.java(), held=F.array_contains(held, i)), lambda y: flat(y, F.lit(x.type), F.lit(x.confidence)))
+
+    others = [hits(i, x) for i, x in enumerate(_KINDS)]
     own = c.texts(s, sf).select("doc_id", "text", F.concat(builtin, *others).alias("spans"))
     return lx.keyword_distances(own, s.createDataFrame(e.keyword_rows(), "type string, keyword string, side string"), WINDOW).drop("text")
 
