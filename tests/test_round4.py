@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from redactory.functions.bank import BANK
 from redactory.functions.spans import screened, spans
 from redactory.operators import detect, entities
-from redactory.plans import protection_queries
+from redactory.plans import entity_queries, protection_queries
 from redactory.sources import storage
 
 #: Texts around which the two matchers could differ: vertical tabs, wide blanks, accents, the Kelvin sign, line ends, bad bytes.
@@ -59,3 +60,22 @@ def test_detectors_screen_all_texts_in_one_pass(spark, make):
 def test_two_producers_take_one_scan(spark):
     plan = protection_queries.QUERIES["sweep_dedup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("name", ["warn_event", "bypass_event", "context_boost"])
+def test_a_query_scans_and_screens_texts_once(spark, name):
+    plan = protection_queries.QUERIES.get(name, entity_queries.QUERIES.get(name))(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_warning_counts_all_texts_of_a_number(spark, tmp_path):
+    rows = [(13, "web", "none"), (13, "web", "call 555-123-4567"), (37, "web", "x"), (14, "web", None), (None, "web", "a@b.com")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("nation", "supplier"):
+        os.symlink(f"/root/testdata/sf0.001/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    con = duckdb.connect()
+    for t, at in (("documents", "documents.parquet/*.parquet"), ("nation", "nation.parquet"), ("supplier", "supplier.parquet")):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{at}'")
+    names = ["doc_id", "detections", "content_hash"]
+    mine = protection_queries.QUERIES["warn_event"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, mine)) == sorted(con.sql(f"SELECT {', '.join(names)} FROM ({protection_queries.SQL['warn_event']})").fetchall())
