@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from redactory.functions.bank import BANK
 from redactory.functions.spans import screened, spans
-from redactory.operators import detect, entities
+from redactory.operators import detect, entities, tenants
 from redactory.plans import entity_queries, protection_queries
 from redactory.sources import storage
 
@@ -79,3 +80,17 @@ def test_a_warning_counts_all_texts_of_a_number(spark, tmp_path):
     names = ["doc_id", "detections", "content_hash"]
     mine = protection_queries.QUERIES["warn_event"](spark, str(tmp_path)).select(*names).collect()
     assert sorted(map(tuple, mine)) == sorted(con.sql(f"SELECT {', '.join(names)} FROM ({protection_queries.SQL['warn_event']})").fetchall())
+
+
+@pytest.mark.parametrize("most", [tenants.SENT_BYTES, 0])
+def test_hits_of_a_value_that_many_patterns_share_are_dealt_out(spark, monkeypatch, most):
+    """Blocks of patterns meet the hits, so one value's rows come from many tasks; null names and copies are kept."""
+    monkeypatch.setattr(tenants, "BLOCK", 50, raising=False)
+    ids = [f"p{i}" for i in range(1000)] + ["p7", None]
+    usable = spark.createDataFrame([(1, p, i, "n", "keyword", "ab") for i, p in enumerate(ids)], "tenant_id long, pattern_id string, seq long, name string, kind string, value string")
+    texts = spark.createDataFrame([(i, 1 + i % 2, "ab ab") for i in range(80)], "doc_id long, tenant_id long, text string")
+    found = tenants.tenant_spans(texts, usable, most)
+    got = Counter((r.doc_id, r.pattern_id, r.span_start) for r in found.collect())
+    assert got == Counter((i, p, at) for i in range(0, 80, 2) for p in ids for at in (0, 3))
+    by_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(by_task) < (1 if most else 0.2) * sum(by_task)
