@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,65 +55,78 @@ def resend_suppressed(events: DataFrame, within: str = "10 seconds") -> DataFram
 
 
 class OneShot(StatefulProcessor):
-    """The last grant of a key, until a use takes it or its time is over.
+    """The last grant of each key of a bucket, until a use takes it or its time is over.
 
-    State is one number for a key, so keys scale out over the state stores. A timer in
-    event time lets it go, whether or not the key ever comes again.
+    State is one packed list of (key, time) for a bucket, read and written once a batch, so
+    its cost is that of the rows and not of a call for each key. A timer in event time lets
+    the oldest grants go, whether or not their keys ever come again.
     """
 
     def __init__(self, grants: str, uses: str, seconds: int):
         self.grants, self.uses, self.millis = grants, uses, seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.granted = handle, handle.getValueState("granted", "at long")
-
-    def hold(self, at: int | None) -> None:
-        """Keep a grant's time and one timer for its end, or nothing."""
-        for timer in list(self.handle.listTimers()):
+        self.handle, self.granted = handle, handle.getValueState("granted", "held binary")
+
+    def held(self) -> dict[int, int]:
+        if not self.granted.exists():
+            return {}
+        keys, times = np.frombuffer(self.granted.get()[0], dtype="<i8").reshape(2, -1).tolist()
+        return dict(zip(keys, times, strict=True))
+
+    def hold(self, granted: dict[int, int], watermark: int) -> None:
+        """Keep the grants whose time is not over and one timer for the first end, or nothing."""
+        granted = {k: at for k, at in granted.items() if at + self.millis >= watermark}
+        due = [min(granted.values()) + self.millis + 1] if granted else []
+        timers = list(self.handle.listTimers())
+        for timer in timers if timers != due else ():
             self.handle.deleteTimer(timer)
-        if at is None:
-            self.granted.clear()
+        if granted:
+            self.granted.update((np.array([list(granted.keys()), list(granted.values())], dtype="<i8").tobytes(),))
+            if timers != due:
+                self.handle.registerTimer(due[0])
         else:
-            self.granted.update((at,))
-            self.handle.registerTimer(at + self.millis + 1)
+            self.granted.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        """A batch's rows of a key in the order of their times; a use passes only after its grant, never before it."""
+        """A batch's rows of a bucket in the order of their times; a use passes only after its key's grant, never before it."""
         own = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        before = granted = self.granted.get()[0] if self.granted.exists() else None
-        out = []
-        for at, event_id, kind in zip(own["at"].tolist(), own["event_id"].tolist(), own["event_type"].tolist(), strict=True):
-            if kind == self.grants:
-                granted = at if granted is None else max(at, granted)
+        before = self.held()
+        granted, uses, passes = dict(before), own["event_type"] != self.grants, []
+        for k, at, use in zip(own["k"].tolist(), own["at"].tolist(), uses.tolist(), strict=True):
+            last = granted.get(k)
+            if not use:
+                granted[k] = at if last is None else max(at, last)
             else:
-                passed = granted is not None and 0 <= at - granted <= self.millis
-                out.append((event_id, key[0], passed))
-                granted = None if passed else granted
-        if granted is not None and granted + self.millis < timerValues.getCurrentWatermarkInMs():
-            granted = None
+                passed = last is not None and 0 <= at - last <= self.millis
+                passes.append(passed)
+                if passed:
+                    del granted[k]
         if granted != before:
-            self.hold(granted)
-        yield pd.DataFrame(out, columns=["event_id", "k", "passed"]).astype({"event_id": "int64", "k": "int64", "passed": "bool"})
+            self.hold(granted, timerValues.getCurrentWatermarkInMs())
+        out = own.loc[uses.to_numpy(), ["event_id", "k"]].reset_index(drop=True)
+        yield out.assign(passed=pd.Series(passes, dtype="bool")).astype({"event_id": "Int64", "k": "int64"})
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        self.granted.clear()
-        yield pd.DataFrame({"event_id": pd.Series([], dtype="int64"), "k": pd.Series([], dtype="int64"), "passed": pd.Series([], dtype="bool")})
+        self.hold(self.held(), timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"event_id": pd.Series([], dtype="Int64"), "k": pd.Series([], dtype="int64"), "passed": pd.Series([], dtype="bool")})
 
     def close(self) -> None:
         pass
 
 
-def one_shot(events: DataFrame, key: str, grants: str, uses: str, seconds: int = 5, late: str = "1 hour") -> DataFrame:
+def one_shot(events: DataFrame, key: str, grants: str, uses: str, seconds: int = 5, late: str = "1 hour", buckets: int = 1024) -> DataFrame:
     """A grant lets exactly one later use of its key through, if it comes in time.
 
     Rows without a key or time are left out. Of a batch, rows are taken in the order of
-    their times; rows later than the watermark are dropped. Needs the RocksDB state
-    store, which is set for the session.
+    their times; rows later than the watermark are dropped. Keys are dealt over buckets by
+    their hash. Needs the RocksDB state store, which is set for the session.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own = events.withWatermark("ts", late).select(F.col(key).cast("long").alias("k"), "ts", F.unix_millis("ts").alias("at"), "event_id", "event_type")
     own = own.where(F.col("event_type").isin(grants, uses) & F.col("k").isNotNull() & F.col("ts").isNotNull())
-    return own.groupBy("k").transformWithStateInPandas(OneShot(grants, uses, seconds), "event_id long, k long, passed boolean", "Append", "EventTime")
+    own = own.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)))
+    return own.groupBy("bucket").transformWithStateInPandas(OneShot(grants, uses, seconds), "event_id long, k long, passed boolean", "Append", "EventTime")
 
 
 class AsOfPolicy(StatefulProcessor):

@@ -40,6 +40,28 @@ def test_a_grant_lasts_over_batches_and_ends_with_its_time(spark, tmp_path):
     assert left.count() == 0
 
 
+def test_keys_share_buckets_of_state(spark, tmp_path):
+    """Hundreds of keys, a few rows of state; each key's grants and uses as if it were alone."""
+    batches = [
+        [(k, k, k % 3, "grant") for k in range(300)] + [(300 + k, k, 2 + k % 4, "use") for k in range(0, 300, 2)],
+        [(600 + k, k, 8, "use") for k in range(0, 300, 3)],
+        [(900 + k, k, 20, "use") for k in range(300)],
+    ]
+    offsets = str(tmp_path / "offsets")
+    out = jobs.drain(jobs.one_shot(_events(spark, tmp_path / "in", batches), "k", "grant", "use", 600, "10 minutes", buckets=4), offsets=offsets)
+    got, want, held = {(r.event_id, r.k): r.passed for r in out.collect()}, {}, {}
+    for e, k, m, t in [r for b in batches for r in sorted(b, key=lambda r: (r[2], r[0]))]:
+        if t == "grant":
+            held[k] = m
+        else:
+            want[e, k] = k in held and m - held[k] <= 10
+            if want[e, k]:
+                del held[k]
+    assert got == want and {True, False} == set(want.values())
+    first = spark.read.format("statestore").option("stateVarName", "granted").option("batchId", 0).load(offsets)
+    assert 0 < first.count() <= 4
+
+
 def test_messages_meet_the_version_of_their_own_time(spark, tmp_path):
     """Against brute force, with versions that come batches after the messages they belong to, ties and two tenants."""
     batches = [
