@@ -23,7 +23,7 @@ _DUCK_TEXT = "SELECT event_id AS doc_id, concat('user', user_id, ' from 10.0.',
 
 def _detect(s, sf):
     """All built-in kinds over a stream of messages, with what the tenant's profile says of each span."""
-    rows = jobs.source(s, sf).select(F.col("event_id").alias("doc_id"), (F.col("user_id") % 25).alias("tenant_id"), F.expr(_TEXT).alias("text"))
+    rows = jobs.dealt(jobs.source(s, sf).select("event_id", "user_id"), "event_id").select(F.col("event_id").alias("doc_id"), (F.col("user_id") % 25).alias("tenant_id"), F.expr(_TEXT).alias("text"))
     found = d.long_form(rows.select("doc_id", "tenant_id", d.builtin_spans(F.col("text")).alias("spans"))).join(c.policies(s, sf), "tenant_id", "left")
     action = p.default_action(F.coalesce("profile", F.lit("personal_protection")), F.col("severity"))
     return jobs.drain(found.select("doc_id", "tenant_id", "span_start", "span_end", "type", "severity", action.alias("action")))
@@ -106,9 +106,9 @@ _PROFILE = "CASE event_id % 4 WHEN 0 THEN 'personal_protection' WHEN 1 THEN 'bus
 
 def _as_of(s, sf):
     """Each message's gravest span, judged by the policy that stood when it was sent; versions come as a second stream."""
-    events = jobs.source(s, sf).withColumn("tenant_id", F.col("user_id") % 25).withColumn("text", F.expr(_TEXT))
-    grave = F.array_max(F.transform(d.builtin_spans(F.col("text")), lambda x: p.ranked(x["severity"], SEVERITY_RANK)))
-    messages = events.where(F.expr(_PART).isNull()).select("tenant_id", "ts", F.col("event_id").alias("id"), p.severity_of(grave).alias("body"))
+    events = jobs.source(s, sf).select("event_id", "user_id", "event_type", "ts").withColumn("tenant_id", F.col("user_id") % 25)
+    texts = jobs.dealt(events.where(F.expr(_PART).isNull()), "event_id").withColumn("text", F.expr(_TEXT))
+    messages = texts.select("tenant_id", "ts", F.col("event_id").alias("id"), d.gravest(F.col("text")).alias("body"))
     versions = events.where(F.expr(_PART).isNotNull()).select("tenant_id", "ts", F.expr(_PART).alias("part"), F.col("event_id").alias("id"), F.expr(_PROFILE).alias("body"))
     out = jobs.drain(jobs.policy_as_of(messages, versions, {"policy": POLICY_SECONDS, "rules": RULES_SECONDS}))
     profile = F.coalesce("policy_body", F.lit("personal_protection"))

@@ -10,12 +10,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from redactory.sources.storage import scratch
 
+#: Answered messages that are handed over at once.
+ANSWERS = 100_000
+
 
 def source(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """A table replayed as a stream of files; ts as a timestamp."""
@@ -23,6 +28,11 @@ def source(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def dealt(events: DataFrame, key: str) -> DataFrame:
+    """The rows over as many tasks as a shuffle has, for work that costs far more than a row's way; one file may else be one task's."""
+    return events.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def drain(out: DataFrame, mode: str = "append", offsets: str | None = None) -> DataFrame:
     """Run a stream over all that is there, into Parquet, and read the sink."""
     spark = out.sparkSession
@@ -132,8 +142,9 @@ def one_shot(events: DataFrame, key: str, grants: str, uses: str, seconds: int =
 class AsOfPolicy(StatefulProcessor):
     """Messages of a tenant wait for the watermark, then meet the versions that stood at their time.
 
-    State is what can still matter: messages above the watermark, the versions above
-    it, and of each part the last one below. One timer stands for the earliest message.
+    State is what can still matter: messages and versions above the watermark, as packed
+    Arrow batches that a batch's rows are only added to, and of each part the last version
+    below. One timer stands for the earliest row above.
     """
 
     def __init__(self, stale: dict[str, int]):
@@ -142,58 +153,72 @@ class AsOfPolicy(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.versions = handle.getListState("versions", "part string, at long, id long, body string")
-        self.waiting = handle.getListState("waiting", "at long, id long, body string")
-
-    def hold(self, versions: list[tuple], waiting: list[tuple], watermark: int) -> None:
-        """Write the state back without versions that no message can ask for any more, and set the timer."""
-        horizon = min([watermark * 1000, *(w[0] for w in waiting)])
-        last = {v[0]: v for v in versions if v[1] <= horizon}
-        versions = [v for v in versions if v[1] > horizon or last[v[0]] is v]
-        for state, rows in ((self.versions, versions), (self.waiting, waiting)):
-            state.put(rows) if rows else state.clear()
-        due = min((w[0] // 1000 for w in waiting), default=None)
+        self.waiting = handle.getListState("waiting", "packed binary")
+
+    @staticmethod
+    def table(part: object, at: object, i: object, body: object) -> pa.Table:
+        columns = zip((part, at, i, body), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)
+        part, at, i, body = (pa.array(c, kind, from_pandas=True) for c, kind in columns)
+        return pa.table({"part": part.dictionary_encode(), "at": at, "id": i, "body": body.dictionary_encode()})
+
+    @staticmethod
+    def packed(rows: pa.Table) -> bytes:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+            w.write_table(rows)
+        return out.getvalue().to_pybytes()
+
+    def wake(self, due: int | None, anew: bool = False) -> None:
+        """One timer, for the earliest row that waits; anew if the rows that were there are gone."""
         timers = list(self.handle.listTimers())
+        due = due if anew else min([*timers, *([] if due is None else [due])], default=None)
         if timers != [due]:
             for timer in timers:
                 self.handle.deleteTimer(timer)
             if due is not None:
                 self.handle.registerTimer(due)
 
-    def held(self) -> tuple[list[tuple], list[tuple]]:
-        return list(self.versions.get()) if self.versions.exists() else [], list(self.waiting.get()) if self.waiting.exists() else []
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        versions, waiting = self.held()
+        due = None
         for own in rows:
-            body = [None if pd.isna(b) else b for b in own["body"]]
-            for part, at, i, b in zip(own["part"].tolist(), own["at"].tolist(), own["id"].tolist(), body, strict=True):
-                waiting.append((at, i, b)) if part == "message" else versions.append((part, at, i, b))
-        self.hold(sorted(versions, key=lambda v: (v[1], v[2])), waiting, timerValues.getCurrentWatermarkInMs())
-        yield self.answers(key, [])
+            first = int(own["at"].min()) // 1000
+            due = first if due is None else min(first, due)
+            self.waiting.appendValue((self.packed(self.table(own["part"], own["at"], own["id"], own["body"])),))
+        self.wake(due)
+        yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        """All messages below the watermark, in one walk over both sorted lists."""
-        versions, waiting = self.held()
+        """All messages below the watermark: rows in the order of time, a version before the messages of its time."""
         watermark = timerValues.getCurrentWatermarkInMs()
-        out, seen, i = [], {}, 0
-        for at, message, body in sorted(w for w in waiting if w[0] // 1000 < watermark):
-            while i < len(versions) and versions[i][1] <= at:
-                seen[versions[i][0]] = versions[i]
-                i += 1
-            row = [message, body]
-            for part, micros in self.stale.items():
-                v = seen.get(part)
-                row += [v and v[2], v and v[3], v is None or at - v[1] > micros]
-            out.append(row)
-        self.hold(versions, [w for w in waiting if w[0] // 1000 >= watermark], watermark)
-        yield self.answers(key, out)
-
-    def answers(self, key: tuple, rows: list[list]) -> pd.DataFrame:
-        columns = ["id", "body", *(f"{part}_{what}" for part in self.stale for what in ("version", "body", "stale"))]
-        kinds = {c: "bool" if c.endswith("_stale") else "Int64" if c.endswith("_version") or c == "id" else "object" for c in columns}
-        out = pd.DataFrame(rows, columns=columns).astype(kinds)
-        out.insert(0, "tenant_id", pd.Series([key[0]] * len(rows), dtype="Int64"))
-        return out
+        pending = pa.concat_tables([pa.ipc.open_stream(w[0]).read_all() for w in self.waiting.get()] if self.waiting.exists() else [self.table([], [], [], [])])
+        below = pending["at"].to_numpy() < watermark * 1000
+        rest = pending.filter(pa.array(~below))
+        stood = list(self.versions.get()) if self.versions.exists() else []
+        done = pa.concat_tables([self.table(*(list(c) for c in zip(*stood, strict=True))), pending.filter(pa.array(below))] if stood else [pending.filter(pa.array(below))])
+        is_message = pc.equal(done["part"].cast(pa.string()), "message").to_numpy()
+        order = np.lexsort((pc.fill_null(done["id"], -1).to_numpy(), is_message, done["at"].to_numpy()))
+        done = done.unify_dictionaries().combine_chunks().take(pa.array(order))
+        at, part, is_message = done["at"].to_numpy(), done["part"].cast(pa.string()), is_message[order]
+        body, message_at = done["body"].cast(pa.string()).combine_chunks(), at[is_message]
+        out, last = {"id": done["id"].filter(pa.array(is_message)), "body": body.filter(pa.array(is_message))}, []
+        for name, micros in self.stale.items():
+            place = np.maximum.accumulate(np.where(pc.equal(part, name).to_numpy(), np.arange(len(at)), -1))
+            last += [int(p) for p in place[-1:] if p >= 0]
+            there = place[is_message]
+            none = there < 0
+            which = pa.array(there, mask=none)
+            out |= {f"{name}_version": done["id"].take(which), f"{name}_body": body.take(which), f"{name}_stale": none | (message_at - at[there] > micros)}
+        if last:
+            self.versions.put([tuple(r.values()) for r in done.take(pa.array(last)).to_pylist()])
+        if len(rest):
+            self.waiting.put([(self.packed(rest.unify_dictionaries().combine_chunks()),)])
+        else:
+            self.waiting.clear()
+        # a timer that stands at the watermark goes with the one that just fired
+        self.wake(max(int(rest["at"].to_numpy().min()) // 1000, watermark + 1) if len(rest) else None, anew=True)
+        answers = pa.table({"tenant_id": pa.array(np.full(len(message_at), key[0], dtype="int64")), **out})
+        for begin in range(0, len(answers), ANSWERS):
+            yield answers.slice(begin, ANSWERS).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
 
     def close(self) -> None:
         pass
