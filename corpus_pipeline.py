@@ -22,6 +22,8 @@ from redactory.llm.toxicity import reject_toxic
 
 #: A text whose language is less certain than this goes; ordinary texts, mixed ones too, score well above.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Chunks of texts whose ids a worker keeps in packing: after four stages its executor's heap is as large as it gets.
+PACK_CHUNKS = 300_000
 
 #: No SQL says the classifier, the language parser and the packing plan.
 ORACLE_SQL = None
@@ -64,7 +66,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents left, packed into sequences of 4096 tokens: one row per piece."""
     common.ship(spark)
-    return pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    return pack_documents(docs, vocabulary("word_bpe_49k.json"), most=PACK_CHUNKS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

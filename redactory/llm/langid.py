@@ -8,6 +8,9 @@ letters, each weighed by the logarithm of the sample's length, wins.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -19,12 +22,17 @@ from redactory.llm.common import fold, in_worker, keep_where, per_batch
 #: Bounds of what is learned from: documents of a language, letters of a document and of a language.
 DOCS, DOC_CHARS, LANGUAGE_CHARS = 96, 20_000, 80_000
 SHARPNESS = 25.0
-_CACHE = 250_000
+#: Chunks kept in a worker before it starts anew; letters from which on a word is parsed alone; characters of texts whose new chunks are parsed together.
+_CACHE, _LONG, GROUP_CHARS = 100_000, 64, 1 << 18
 _LETTERS = regex.compile(r"\p{L}+")
 
 
 class SuffixAutomaton:
-    """All substrings of a text; step holds the transitions."""
+    """All substrings of a text.
+
+    keys holds each transition as state * width + the letter's code, in order, and to
+    where it leads: some bytes a transition, where a dictionary a state takes hundreds.
+    """
 
     def __init__(self, text: str):
         nexts, links, lens, last = [{}], [-1], [0], 0
@@ -50,39 +58,95 @@ class SuffixAutomaton:
                     while at >= 0 and nexts[at].get(c) == old:
                         nexts[at][c] = copy
                         at = links[at]
-        self.nexts = nexts
+        codes = {c: i for i, c in enumerate(sorted(set(text)), 1)}
+        self.width = len(codes) + 1
+        kind = np.uint32 if len(nexts) * self.width < 1 << 32 else np.uint64
+        edges = sum(map(len, nexts))
+        keys = np.fromiter((at * self.width + codes[c] for at, row in enumerate(nexts) for c in row), kind, edges)
+        to = np.fromiter((x for row in nexts for x in row.values()), kind, edges)
+        order = keys.argsort()
+        self.keys, self.to = np.append(keys[order], np.array(np.iinfo(kind).max, kind)), np.append(to[order], np.array(0, kind))
+        #: A letter's code by its code point, and where it leads from the root; 0 is a letter not seen.
+        self.code = np.zeros(max(map(ord, codes), default=0) + 2, kind)
+        self.first = np.zeros(self.width, kind)
+        for c, i in codes.items():
+            self.code[ord(c)], self.first[i] = i, nexts[0][c]
 
     def phrases(self, word: str) -> int:
         """Greedy longest matches that cover the word; a letter not seen at all is a phrase of its own."""
-        nexts, state, n = self.nexts, 0, 1
-        for c in word:
-            to = nexts[state].get(c)
+        points = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        codes = self.code[np.minimum(points, len(self.code) - 1)].tolist()
+        first, width, known, state, n = self.first.tolist(), self.width, {}, 0, 1
+        for c in codes:
+            key = state * width + c
+            to = known.get(key)
             if to is None:
+                at = int(self.keys.searchsorted(self.keys.dtype.type(key)))
+                known[key] = to = int(self.to[at]) if self.keys[at] == key else 0
+            if not to:  # no transition leads to the root
                 n += state > 0
-                to = nexts[0].get(c, 0)
+                to = first[c]
                 n += to == 0
             state = to
         return n
 
+    def phrases_each(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """phrases of many words at once, letter by letter: code points of all, where each begins, and sizes from the longest to the shortest."""
+        codes = self.code[np.minimum(points, len(self.code) - 1)]
+        state, n = np.zeros(len(starts), self.keys.dtype), np.ones(len(starts), np.int64)
+        width = self.keys.dtype.type(self.width)
+        for p in range(int(sizes[0]) if len(sizes) else 0):
+            live = int(np.searchsorted(-sizes, -p))  # words longer than p come first
+            c, before = codes[starts[:live] + p], state[:live]
+            key = before * width + c
+            at = self.keys.searchsorted(key)
+            missed = self.keys[at] != key
+            to = np.where(missed, self.first[c], self.to[at])
+            n[:live] += missed & (before > 0)
+            n[:live] += missed & (to == 0)
+            state[:live] = to
+        return n
 
-def parser(samples: tuple[str, ...]):
-    """chunk -> letters and phrases per language, as float32 bytes."""
-    return in_worker(("language", samples), lambda: _new_parser(samples))
-
-
-def _new_parser(samples: tuple[str, ...]):
-    automata = [SuffixAutomaton(s) for s in samples]
-
-    class Chunks(dict):
-        def __missing__(self, chunk: str) -> bytes:
-            row = np.zeros(len(automata) + 1, np.float32)
-            for word in _LETTERS.findall(chunk):
-                row[0] += len(word)
-                row[1:] += [a.phrases(f" {word} ") for a in automata]
-            self[chunk] = out = row.tobytes()
-            return out
 
-    return Chunks()
+def parser(samples: tuple[str, ...]) -> Parser:
+    """The parser of these samples, kept in the worker."""
+    return in_worker(("language", samples), lambda: Parser(samples))
+
+
+class Parser:
+    """What is known of chunks: letters, and phrases per language."""
+
+    def __init__(self, samples: tuple[str, ...]):
+        self.automata = [SuffixAutomaton(s) for s in samples]
+        self.known: dict[str, bytes] = {}
+
+    def totals(self, chunks: list[str]) -> np.ndarray:
+        """Letters, and phrases per language, of all these chunks together; each must be known."""
+        return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32).reshape(-1, len(self.automata) + 1).sum(axis=0, dtype=np.int64)
+
+    def learn(self, chunks: Iterable[str]) -> None:
+        """Get to know the chunks that are new; what was known before may go."""
+        if len(self.known) > _CACHE:
+            self.known.clear()
+        new = [c for c in chunks if c not in self.known]
+        words, owners = [], []
+        for i, chunk in enumerate(new):
+            found = [chunk] if chunk.isascii() and chunk.isalpha() else _LETTERS.findall(chunk)
+            words += found
+            owners += [i] * len(found)
+        rows = np.zeros((len(new), len(self.automata) + 1), np.int64)
+        if words:
+            owner, size = np.array(owners), np.fromiter(map(len, words), np.int64, len(words))
+            np.add.at(rows, (owner, 0), size)
+            for i in np.flatnonzero(size > _LONG):
+                rows[owner[i], 1:] += [a.phrases(f" {words[i]} ") for a in self.automata]
+            short = np.flatnonzero(size <= _LONG)
+            short = short[np.argsort(-size[short], kind="stable")]
+            points = np.frombuffer(f" {' '.join([words[i] for i in short])} ".encode("utf-32-le"), np.uint32)
+            ends = np.cumsum(size[short] + 1)  # a word's last space is the first of the next
+            for k, a in enumerate(self.automata, 1):
+                np.add.at(rows, (owner[short], k), a.phrases_each(points, ends - size[short] - 1, size[short] + 2))
+        self.known.update(zip(new, (r.tobytes() for r in rows.astype(np.int32)), strict=True))
 
 
 def _slice(text: Column, doc_id: Column) -> Column:
@@ -112,24 +176,36 @@ def learn(docs: DataFrame) -> dict[str, str]:
     return out
 
 
+def _groups(texts: list[str | None]) -> Iterator[list[list[str]]]:
+    """Each text's chunks, in lists of texts of about GROUP_CHARS characters."""
+    group, size = [], 0
+    for text in texts:
+        group.append((text or "").lower().split())
+        size += len(text or "")
+        if size >= GROUP_CHARS:
+            yield group
+            group, size = [], 0
+    yield group
+
+
 def _guesser(names: tuple[str, ...], samples: tuple[str, ...]):
     """Texts to (language, score)."""
-    chunks = parser(samples)
+    parse = parser(samples)
     #: A phrase of a longer sample is worth more bits; 1 for a sample of full length.
     size = np.log2([len(s) + 2 for s in samples]) / np.log2(LANGUAGE_CHARS)
 
     def guess(texts: list[str | None]) -> list[tuple[str, float]]:
         out = []
-        for text in texts:
-            if len(chunks) > _CACHE:
-                chunks.clear()
-            rows = np.frombuffer(b"".join(map(chunks.__getitem__, (text or "").lower().split())), np.float32).reshape(-1, len(names) + 1).sum(axis=0, dtype=np.float64)
-            if not names or rows[0] == 0:
-                out.append(("und", 0.0))
-                continue
-            rate = rows[1:] / rows[0] * size
-            best = int(rate.argmin())
-            out.append((names[best], float(1 / np.exp(-SHARPNESS * (rate - rate[best])).sum())))
+        for group in _groups(texts):
+            parse.learn(dict.fromkeys(chain.from_iterable(group)))
+            for chunks in group:
+                total = parse.totals(chunks)
+                if not names or total[0] == 0:
+                    out.append(("und", 0.0))
+                    continue
+                rate = total[1:] / total[0] * size
+                best = int(rate.argmin())
+                out.append((names[best], float(1 / np.exp(-SHARPNESS * (rate - rate[best])).sum())))
         return out
 
     return guess

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactory.llm.common import materialise, per_batch, texts_of
-from redactory.llm.tokenids import id_coder
+from redactory.llm.tokenids import CACHE_CHUNKS, id_coder
 
 GRAIN = 64
 #: Pieces that one (class, block) group should hold.
@@ -111,11 +111,11 @@ def cut(total: int, capacity: int) -> list[int]:
     return [capacity] * full + [grains * GRAIN] * bool(grains) + [small] * bool(small)
 
 
-def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, keep: bool = False) -> DataFrame:
-    """Tokenise whole texts, append end_id and cut: one row per piece, with its ids if keep."""
+def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, keep: bool = False, most: int = CACHE_CHUNKS) -> DataFrame:
+    """Tokenise whole texts, append end_id and cut: one row per piece, with its ids if keep; a worker keeps about most chunks."""
 
     def setup():
-        coder, end = id_coder(path), np.array([end_id], "<u4").tobytes()
+        coder, end = id_coder(path, most), np.array([end_id], "<u4").tobytes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
@@ -136,7 +136,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, keep: b
     return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), setup, schema)
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, keep: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, keep: bool = False, most: int = CACHE_CHUNKS) -> DataFrame:
     """Pack all documents: one row per piece with sequence_id and offset.
 
     Null texts count as empty (their only id is end_id). Repeated rows are packed
@@ -144,7 +144,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int =
     capacity / GRAIN + GRAIN rows) reaches the driver.
     """
     spark = docs.sparkSession
-    pieces = materialise(token_pieces(docs, path, end_id, capacity, keep), "pieces")
+    pieces = materialise(token_pieces(docs, path, end_id, capacity, keep, most), "pieces")
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces.select("doc_id").count() // BLOCK_PIECES + 1)
     pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)))
     sizes = pieces.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))

@@ -28,12 +28,13 @@ class IdCoder:
     Chunks are what single spaces (or, where the file drops white space, any
     white space) part: no piece of either kind of splitter spans two of them, and
     normalisation acts inside them. Texts for which that does not hold go to the
-    library whole.
+    library whole. At most about most chunks are kept.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
+        self.most = most
         spec = json.loads(open(path, encoding="utf-8").read())
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -81,7 +82,7 @@ class IdCoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if len(self.chunks) + len(self.pieces) > CACHE_CHUNKS:
+        if len(self.chunks) + len(self.pieces) > self.most:
             self.chunks.clear()
             self.pieces.clear()
         if self.drops_space and not any(c in text for c in _SEPARATORS):
@@ -95,5 +96,5 @@ class IdCoder:
         return self.whole(text)
 
 
-def id_coder(path: str) -> IdCoder:
-    return in_worker(("ids", path), lambda: IdCoder(path))
+def id_coder(path: str, most: int = CACHE_CHUNKS) -> IdCoder:
+    return in_worker(("ids", path, most), lambda: IdCoder(path, most))

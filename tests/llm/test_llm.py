@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -479,3 +480,44 @@ def test_language_of_long_documents_is_learned(spark):
     samples = langid.learn(docs)
     assert set(samples) == {"short", "books"} and all(len(x) <= langid.LANGUAGE_CHARS + 2 * langid.DOC_CHARS for x in samples.values())
     assert {r["doc_id"] for r in langid.identify_language(docs).where("lang_pred = 'books'").collect()} == set(range(40, 60))
+
+
+def test_language_parser_is_small_and_parses_words_together():
+    """Many words at once, a word alone and a long one are parsed as by substring search; transitions take some bytes each."""
+    rng = np.random.default_rng(14)
+    text = " ".join("".join(rng.choice(list("abcdeé字"), n)) for n in rng.integers(1, 9, 300))
+    parse = langid.Parser((text, text[:40], "xyz", ""))
+    chunks = ["".join(rng.choice(list("abcdeéx字,1"), n)) for n in rng.integers(1, 12, 200)] + ["a" * 100, "abé字" * 30 + ",b", "123", "q"]
+
+    def phrases(word, sample):  # an unseen letter is a phrase, and the one before it ends there; so does the first of a sample without spaces
+        n, held = 1, ""
+        for c in word:
+            if held + c in sample:
+                held += c
+                continue
+            n += held != ""
+            held = c if c in sample else ""
+            n += held == ""
+        return n
+
+    parse.learn(chunks)
+    for chunk in chunks:
+        words = langid._LETTERS.findall(chunk)
+        assert parse.totals([chunk]).tolist() == [sum(map(len, words)), *(sum(phrases(f" {w} ", s) for w in words) for s in (text, text[:40], "xyz", ""))]
+    assert parse.totals([]).tolist() == [0] * 5
+    letters = "".join(rng.choice(list("abcdefghijklmnop "), 20_000))
+    tracemalloc.start()
+    kept = langid.SuffixAutomaton(letters)
+    now = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept.phrases(letters[:50]) == 1 and now < 60 * len(letters)  # dictionaries took above 300 bytes a letter
+
+
+def test_packing_keeps_few_chunks():
+    """A bound on the chunks that a worker keeps changes no ids."""
+    small, plain = tokenids.IdCoder(WORD, 3), tokenids.IdCoder(WORD)
+    for text in ("one two three, four five", "six seven one two", "", LONG[:2000]):
+        assert small.ids(text) == plain.ids(text)
+    before = len(small.chunks)
+    small.ids("again")
+    assert before > 3 and len(small.chunks) == 1
