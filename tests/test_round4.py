@@ -94,3 +94,15 @@ def test_hits_of_a_value_that_many_patterns_share_are_dealt_out(spark, monkeypat
     assert got == Counter((i, p, at) for i in range(0, 80, 2) for p in ids for at in (0, 3))
     by_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert max(by_task) < (1 if most else 0.2) * sum(by_task)
+
+
+def test_a_payload_works_its_spans_out_once(spark, tmp_path):
+    spark.createDataFrame([(1, "mail", "Write to a@b.org or 10.0.0.1."), (2, "web", None), (26, "web", ""), (31, "web", "nothing")], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1,), (1,), (99,)], "page_id long").write.parquet(str(tmp_path / "pages.parquet"))
+    out = protection_queries.QUERIES["bypass_payload"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == len(BANK)
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    assert sorted(map(tuple, out.collect())) == sorted(con.execute(protection_queries.SQL["bypass_payload"]).fetchall())
