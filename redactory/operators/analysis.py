@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
-from functools import partial, reduce
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache, partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from redactory.functions.dialect import java
 from redactory.functions.spans import bound, exploded, pieces, spans, window as cut_out
 from redactory.operators import detect as d
 from redactory.operators import entities as e
+from redactory.operators import lexicons as lx
 from redactory.operators import merge as m
 from redactory.operators import predictions as pr
 from redactory.operators import surrogate as g
@@ -96,11 +99,16 @@ GROUPS = [
 OTHERS = {"ner_person_bigram": name_pairs, "ner_person_caps": capitalised_runs} | {n: partial(dictionary_spans, name=n) for n in e.DICTIONARIES}
 
 
-def every_entity(text: Column, terms: Column | None = None) -> Column:
-    """Spans of all entity detectors; within a kind earlier detectors win. Without terms, the dictionaries are the short samples."""
+def _kinds(text: Column, terms: Column | None) -> list[Column]:
+    """Spans of each of GROUPS, by its detectors in turn; overlaps are not yet settled."""
     one = lambda o: term_entities(terms, o) if terms is not None and o in e.DICTIONARIES else OTHERS[o](text)
-    found = [m.first_writer_wins(F.concat(e.entity_spans(text, e.FAMILIES[f]), *map(one, others))) for f, others in GROUPS]
-    return F.concat(*(F.transform(x, lambda s, i=i: _span(s, s["type"], "ner", s["confidence"], i)) for i, x in enumerate(found)))
+    return [F.concat(e.entity_spans(text, e.FAMILIES[f]), *map(one, others)) for f, others in GROUPS]
+
+
+def every_entity(text: Column, terms: Column | None = None, fold: Callable[[Column], Column] = m.first_writer_wins) -> Column:
+    """Spans of all entity detectors, with their kind's place as ord; within a kind earlier detectors win. Without terms, the dictionaries are the short samples."""
+    placed = lambda x, i: F.transform(fold(x), lambda s: _span(s, s["type"], "ner", s["confidence"], i))
+    return F.concat(*(placed(x, i) for i, x in enumerate(_kinds(text, terms))))
 
 
 def entities(text: Column, terms: Column | None = None) -> Column:
@@ -108,6 +116,12 @@ def entities(text: Column, terms: Column | None = None) -> Column:
     return m.sweep(every_entity(text, terms))
 
 
+def with_entities(df: DataFrame, terms: str | None = None, into: str = "entities") -> DataFrame:
+    """df with text, and the spans of entities beside it, settled in a time that grows with their number; the column of terms is left out."""
+    found = every_entity(F.col("text"), F.col(terms) if terms else None, lambda x: x)
+    return m.settled(df.select(*(c for c in df.columns if c not in (terms, into)), found.alias(into)), into)
+
+
 def custom_spans(text: Column, patterns: Sequence[str], keywords: Sequence[str]) -> Column:
     """A tenant's valid patterns and its keywords, whatever the case."""
     found = [F.transform(spans(text, p, True), lambda s: _span(s, "custom", "custom", 0.85)) for p in patterns]
@@ -136,22 +150,41 @@ def detected(text: Column, patterns: Sequence[str] = (), keywords: Sequence[str]
 
 
 def cue_probabilities(around: Column) -> Column:
-    """A stand-in for a trained classifier: each category's share of the context keywords that stand around a span."""
+    """A stand-in for a trained classifier: each category's share of the context keywords that stand around a span; null for null.
+
+    One automaton pass over each string. The function counts as one that may change its answers,
+    so that no filter on them is put below it, where it would run a second time.
+    """
     cues = {t: sorted({k for x in e.CONTEXTS if x.type == t for k in x.keywords}) for t in {x.type for x in e.CONTEXTS}}
+    categories = [t for t, _, _ in pr.CATEGORIES]
+    words = sorted({k for t in categories for k in cues.get(t, ())})
+    own = [np.array([k in cues.get(t, ()) for t in categories], np.int64) for k in words]
+
+    def shares(found: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        places = lx.automaton({k: i for i, k in enumerate(words)})
+
+        @lru_cache(maxsize=1 << 16)
+        def share(held: frozenset) -> list[float]:
+            n = sum((own[i] for i in held), np.zeros(len(categories), np.int64))
+            return (n / (n.sum() + 1.0)).tolist()
 
-    def hits(low: Column) -> Column:
-        return F.array(*(sum((F.contains(low, F.lit(k)).cast("int") for k in cues.get(t, ())), F.lit(0)) for t, _, _ in pr.CATEGORIES))
+        for texts in found:
+            yield pa.array([None if x is None else share(frozenset(i for _, i in places.iter(x))) for x in texts.to_pylist()], pa.list_(pa.float64()))
 
-    return bound(bound(F.lower(around), hits), lambda n: F.transform(n, lambda x: x / (F.aggregate(n, F.lit(0), lambda a, b: a + b) + 1.0)))
+    return F.arrow_udf(shares, "array<double>").asNondeterministic()(F.lower(around))
 
 
 def classified(df: DataFrame, found: str = "spans", classify: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Long form of df (key columns, text, an array of spans) with severity, after the classifier's changes to doubtful spans."""
+    """Long form of df (key columns, text, an array of spans) with severity, after the classifier's changes to doubtful spans.
+
+    classify gets the characters around a span, null for those that are not doubtful, a row a span.
+    """
     keys = [c for c in df.columns if c not in ("text", found)]
-    around = lambda s, parts: cut_out(parts, F.greatest(F.lit(0), s["start"] - AROUND), s["stop"] + AROUND)
-    probs = (lambda s, parts: F.when(s["confidence"].between(0.4, 0.8), classify(around(s, parts)))) if classify else (lambda s, parts: F.expr("cast(null as array<double>)"))
-    rows = exploded(df, *keys, array=bound(pieces(F.col("text")), lambda parts: F.transform(found, lambda s: F.struct(s.alias("s"), probs(s, parts).alias("probs")))), alias="x")
-    long = rows.select(*keys, F.col("x.s.start").alias("span_start"), F.col("x.s.stop").alias("span_end"), "x.s.type", "x.s.source", "x.s.confidence", "x.probs").withColumn("severity", severity_of(F.col("type")))
+    near = lambda s, parts: cut_out(parts, F.greatest(F.lit(0), s["start"] - AROUND), s["stop"] + AROUND)
+    around = (lambda s, parts: F.when(s["confidence"].between(0.4, 0.8), near(s, parts))) if classify else (lambda s, parts: F.lit(None).cast("string"))
+    rows = exploded(df, *keys, array=bound(pieces(F.col("text")), lambda parts: F.transform(found, lambda s: F.struct(s.alias("s"), around(s, parts).alias("around")))), alias="x")
+    probs = classify(F.col("x.around")) if classify else F.expr("cast(null as array<double>)")
+    long = rows.select(*keys, F.col("x.s.start").alias("span_start"), F.col("x.s.stop").alias("span_end"), "x.s.type", "x.s.source", "x.s.confidence", probs.alias("probs")).withColumn("severity", severity_of(F.col("type")))
     return (pr.adjust(long) if classify else long).drop("probs")
 
 

@@ -135,7 +135,7 @@ def _termed(s, sf):
     return lx.with_terms(c.texts(s, sf).select("doc_id", "text"), terms(s, sf), _CUE)
 
 
-QUERIES["ner_all"] = lambda s, sf: m.unfold(_termed(s, sf).select("doc_id", an.entities(F.col("text"), F.col("terms")).alias("spans"))).select("doc_id", "span_start", "span_end", "type", "confidence")
+QUERIES["ner_all"] = lambda s, sf: m.unfold(m.settled(_termed(s, sf).select("doc_id", an.every_entity(F.col("text"), F.col("terms"), lambda x: x).alias("spans")))).select("doc_id", "span_start", "span_end", "type", "confidence")
 
 
 def _group_sql(family, others):
@@ -255,12 +255,12 @@ def _found(s, model=an.entities):
     return an.detected(F.col("text"), patterns, [k for _, k in KEYWORDS], model, BOOST, SUPPRESS, WINDOW)
 
 
-QUERIES["pipeline_detect"] = lambda s, sf: an.classified(_termed(s, sf).select("doc_id", "text", _found(s, lambda text: an.entities(text, F.col("terms"))).alias("spans")), "spans", an.cue_probabilities)
+QUERIES["pipeline_detect"] = lambda s, sf: an.classified(an.with_entities(_termed(s, sf), "terms").select("doc_id", "text", _found(s, lambda _: F.col("entities")).alias("spans")), "spans", an.cue_probabilities)
 
 
 def _analyze(s, sf):
     """One row per document: hash, counts by stage, types, action of the tenant's policy and how many surrogates differ from each other."""
-    own = c.texts(s, sf).select("doc_id", (F.col("doc_id") % 25).alias("tenant_id"), "text", an.entities(F.col("text")).alias("entities"))
+    own = an.with_entities(c.texts(s, sf).select("doc_id", (F.col("doc_id") % 25).alias("tenant_id"), "text"))
     done = cut(an.analyzed(own, _found(s, lambda _: F.col("entities")), ner="entities"), "analyzed")
     long = m.unfold(done.select("doc_id", "tenant_id", "spans")).withColumn("severity", an.severity_of(F.col("type")))
     top = p.strictest(p.span_actions(long, c.policies(s, sf), c.rules(s, sf)), "doc_id").select("doc_id", "action", "trigger_type")
