@@ -1,8 +1,10 @@
 """Tables of thousands of terms: one automaton pass over each text finds dictionary terms and context keywords.
 
 A table is measured before it is sent to the tasks. One that is too large is dealt
-into blocks, each with an automaton of its own; the texts go through one after the
-other and carry their hits along, so nothing is shuffled and the rows are the same.
+into blocks; the texts go through one after the other and carry their hits along, so
+nothing is shuffled and the rows are the same. Of dictionary terms, only those of odd
+signs or many words need an automaton, which takes hundreds of bytes a term; the
+others stand in a table of hashes (termtable.py).
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -22,12 +25,14 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from redactory.functions.spans import exploded, spans
 from redactory.operators import entities as e
+from redactory.operators import termtable as tt
+from redactory.sources.storage import cut
 
-#: Bytes of terms that one automaton, and so one task, may hold.
+#: Bytes of terms that one automaton, or table of hashes, and so one task, may hold.
 BLOCK_BYTES = 32 << 20
 #: Characters of texts that a task works on at once; what it finds in them is Python objects, many times as large.
 PART_CHARS = 1 << 18
-_WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+_WORD = tt.WORD
 
 
 def lowered(text: str) -> str:
@@ -55,12 +60,14 @@ def parts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
         yield batch.slice(begin)
 
 
-def blocks(terms: DataFrame, column: str = "term", most: int = BLOCK_BYTES) -> Iterator[list]:
-    """The rows of a table of terms, in blocks of about that many bytes at most."""
-    size = terms.agg(F.coalesce(F.sum(F.octet_length(column) + 64), F.lit(0))).first()[0]
+def blocks(terms: DataFrame, column: str = "term", most: int = BLOCK_BYTES) -> Iterator[pa.Table]:
+    """The rows of a table of terms, in blocks of about that many bytes at most: 32 and its signs for a term that a table of hashes takes, hundreds for another."""
+    signs = F.octet_length(column)
+    plain = F.col(column).rlike(rf"^[a-z0-9_]+([\x00-\x7f&&[^a-z0-9_]]+[a-z0-9_]+){{0,{tt.WORDS - 1}}}\z") & (signs <= tt.SIGNS)
+    size = terms.agg(F.coalesce(F.sum(F.when(plain, signs + 32).otherwise(signs * 16 + 256)), F.lit(0))).first()[0]
     n = size // most + 1
     for i in range(n):
-        yield (terms if n == 1 else terms.where(F.pmod(F.xxhash64(column), F.lit(n)) == i)).collect()
+        yield (terms if n == 1 else terms.where(F.pmod(F.xxhash64(column), F.lit(n)) == i)).toArrow()
 
 
 def automaton(words: dict[str, object]) -> ahocorasick.Automaton:
@@ -77,64 +84,73 @@ def bordered(text: str, start: int, stop: int) -> bool:
     return (start == 0 or text[start - 1] not in _WORD) and (stop >= len(text) or text[stop] not in _WORD)
 
 
-def leftmost_longest(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """From left to right the longest hit at each place, without overlaps."""
-    out, end = [], 0
-    for start, stop in sorted(hits, key=lambda h: (h[0], -h[1])):
-        if start >= end:
-            out.append((start, stop))
-            end = stop
-    return out
-
-
 _HIT = "array<struct<dictionary:string,start:int,stop:int,near:boolean>>"
-_HITS = pa.list_(pa.struct([("dictionary", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("near", pa.bool_())]))
 
 
-def with_terms(df: DataFrame, terms: DataFrame, cue: str | None = None, around: int = 60, most: int = BLOCK_BYTES, into: str = "terms", without: tuple[str, ...] = ()) -> DataFrame:
+def with_terms(df: DataFrame, terms: DataFrame, cue: str | None = None, around: int = 60, most: int = BLOCK_BYTES, into: str = "terms", without: tuple[str, ...] = (), cued: tuple[str, ...] | None = None) -> DataFrame:
     """df with an array of where the terms of each dictionary stand, whatever their case: dictionary, start, stop, near.
 
     df: text and any columns, of which those in without are left out; a column of the
     array's name is replaced. terms: dictionary, term. A term stands between signs that
     are no ASCII word signs; of overlapping terms of one dictionary the leftmost
     stays, then the longest. near says whether the cue, a pattern, is found within
-    around characters. Null texts, and blank terms, give an empty array.
+    around characters; it is looked for beside the terms of the dictionaries named in
+    cued, or of all. Null texts, and blank terms, give an empty array. The usable terms
+    are written to a shared scratch folder, so that measuring them and reading their
+    blocks works them out once.
     """
-    own, _ = usable(terms.select("dictionary", "term"))
-
-    def settled(text: str, hits: list[dict], sure: re.Pattern | None) -> list[dict]:
-        every: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for h in hits:
-            every[h["dictionary"]].append((h["start"], h["stop"]))
-        return [{"dictionary": d, "start": x, "stop": y, "near": bool(sure and sure.search(text[max(0, x - around) : y + around]))} for d, places in every.items() for x, y in leftmost_longest(places)]
-
-    def passed(rows: list, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        by_term: dict[str, list[str]] = defaultdict(list)
-        for r in rows:
-            by_term[r.term].append(r.dictionary)
+    own = cut(usable(terms.select("dictionary", "term"))[0], "terms")
 
+    def passed(table: tt.Table, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = automaton({t: (len(t), tuple(d)) for t, d in by_term.items()})
+            others = automaton({t: (len(t), t) for t in table.others})
             sure = re.compile(cue) if cue else None
 
-            def hits(low: str) -> list[dict]:
-                return [{"dictionary": d, "start": at + 1 - size, "stop": at + 1, "near": False} for at, (size, names) in (found.iter(low) if by_term else ()) if bordered(low, at + 1 - size, at + 1) for d in names]
+            def odd(lows: list[str], number: dict[str, int]) -> list[tuple[int, int, int, int]]:
+                return [(i, number[d], at + 1 - size, at + 1) for i, low in enumerate(lows if table.others else ()) for at, (size, t) in others.iter(low) if bordered(low, at + 1 - size, at + 1) for d in table.others[t]]
 
             for batch in parts(batches):
-                made = []
-                for text, old in zip(batch.column("text").to_pylist(), batch.column(into).to_pylist(), strict=True):
-                    now = old + hits(lowered(text or ""))
-                    made.append(settled(text or "", now, sure) if last else now)
-                names = [n for n in batch.schema.names if not (last and n in without)]
-                yield pa.RecordBatch.from_arrays([pa.array(made, _HITS) if n == into else batch.column(n) for n in names], names)
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                before = batch.column(into)
+                old = before.flatten()
+                names = tt.ordered([*table.names, *pc.unique(old.field("dictionary")).to_pylist()])
+                number = {n: i for i, n in enumerate(names)}
+                lows = [lowered(t) for t in texts]
+                found = [(i, np.array([number[n] for n in table.names], np.int64)[d], a, b) for i, d, a, b in table.places(lows)]
+                found.append(tuple(np.array(odd(lows, number), np.int64).reshape(-1, 4).T))
+                if len(old):
+                    counts = pc.list_value_length(before).to_numpy(zero_copy_only=False).astype(np.int64)
+                    kinds = pc.index_in(old.field("dictionary"), pa.array(names, pa.string())).to_numpy(zero_copy_only=False)
+                    found.append((np.repeat(np.arange(len(counts)), counts), kinds, old.field("start").to_numpy(), old.field("stop").to_numpy()))
+                text, kind, start, stop = (np.concatenate([x[k] for x in found]).astype(np.int64) for k in range(4))
+                order = np.lexsort((-stop, start, kind, text))
+                near = None
+                if last:
+                    kept, key, end = [], None, 0
+                    for j, i, k, a, b in zip(order.tolist(), *(x[order].tolist() for x in (text, kind, start, stop)), strict=True):
+                        if (i, k) != key:
+                            key, end = (i, k), 0
+                        if a >= end:
+                            kept.append(j)
+                            end = b
+                    order = np.array(kept, np.int64)
+                    if sure:
+                        asked = [number[n] for n in names if cued is None or n in cued]
+                        near = np.array([k in asked and bool(sure.search(texts[i][max(0, a - around) : b + around])) for i, k, a, b in zip(*(x[order].tolist() for x in (text, kind, start, stop)), strict=True)], bool)
+                near = np.zeros(len(order), bool) if near is None else near
+                text, kind, start, stop = (x[order] for x in (text, kind, start, stop))
+                hits = pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(kind)), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(near)], ["dictionary", "start", "stop", "near"])
+                made = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(texts) + 1)), pa.int32()), hits)
+                columns = [n for n in batch.schema.names if not (last and n in without)]
+                yield pa.RecordBatch.from_arrays([made if n == into else batch.column(n) for n in columns], columns)
 
         return run
 
     rows = df.withColumn(into, F.expr(f"cast(array() as {_HIT})"))
-    *others, last = blocks(own, most=most)
-    for block in others:
-        rows = rows.mapInArrow(passed(block, False), rows.schema)
-    return rows.mapInArrow(passed(last, True), StructType([f for f in rows.schema.fields if f.name not in without]))
+    *others, final = map(tt.Table, blocks(own, most=most))
+    for table in others:
+        rows = rows.mapInArrow(passed(table, False), rows.schema)
+    return rows.mapInArrow(passed(final, True), StructType([f for f in rows.schema.fields if f.name not in without]))
 
 
 def term_spans(texts: DataFrame, terms: DataFrame, cue: str | None = None, around: int = 60, most: int = BLOCK_BYTES) -> DataFrame:

@@ -132,7 +132,7 @@ SAMPLE_SQL["ner_person_caps"] = SQL["ner_person_caps"]
 
 def _termed(s, sf):
     """doc_id, text and the places of the dictionaries' terms, found in one pass."""
-    return lx.with_terms(c.texts(s, sf).select("doc_id", "text"), terms(s, sf), _CUE)
+    return lx.with_terms(c.texts(s, sf).select("doc_id", "text"), terms(s, sf), _CUE, cued=("ner_condition",))
 
 
 QUERIES["ner_all"] = lambda s, sf: m.unfold(m.settled(_termed(s, sf).select("doc_id", an.every_entity(F.col("text"), F.col("terms"), lambda x: x).alias("spans")))).select("doc_id", "span_start", "span_end", "type", "confidence")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from redactory.operators import analysis, merge
+from redactory.operators import analysis, merge, termtable
 from redactory.operators import entities as e
+from redactory.operators import lexicons as lx
 from redactory.operators import predictions as pr
 
 
@@ -48,3 +52,46 @@ def test_the_classifier_reads_each_span_once(spark):
     got = spark.createDataFrame([(i, x) for i, x in enumerate(asked)], "i long, x string").select("i", analysis.cue_probabilities(F.col("x")).alias("p")).collect()
     assert all(r.p == (None if asked[r.i] is None else brute(asked[r.i])) for r in got)
     assert sorted(r.span_start for r in out.collect()) == sorted(a for a, _, _, _, c, _ in spans if c > 0.8 or c * 0.5 >= 0.3 or max(brute(text[max(0, a - 128) : a + 133])) > 0.5)
+
+
+def _hits(text, terms):
+    """Leftmost longest places of one dictionary's terms, by trying all of them everywhere."""
+    low, out, end = lx.lowered(text or ""), [], 0
+    for i in range(len(low)):
+        for t in sorted(terms, key=len, reverse=True):
+            if i >= end and low.startswith(t, i) and lx.bordered(low, i, i + len(t)):
+                out.append((i, i + len(t)))
+                end = i + len(t)
+    return out
+
+
+@pytest.mark.parametrize("most", [lx.BLOCK_BYTES, 3000])
+def test_terms_of_any_form_are_found(spark, most):
+    draw = random.Random(7)
+    words = ["ab", "b", "ab1", "_x", "kilo", "é", "naïve", "x" * 130, "c++", ".net", "a-b", "日本", "q"]
+    term = lambda: draw.choice([" ", "  ", "-", "\n", "", "–"]).join(draw.choice(words) for _ in range(draw.randint(1, 6)))
+    own = {d: {t for t in (term() for _ in range(60)) if t.strip()} for d in ("one", "two", None)}
+    text = lambda: draw.choice([" ", ". ", "é ", "\n"]).join(draw.choice([term(), term().upper(), "Kilo", "İ"]) for _ in range(draw.randint(0, 30)))
+    texts = [None, "", "\n"] + [text() for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame([(d, t) for d, ts in own.items() for t in ts], "dictionary string, term string")
+    got = {r.doc_id: r.terms for r in lx.with_terms(df, table, most=most).collect()}
+    for i, x in enumerate(texts):
+        for d, ts in own.items():
+            assert sorted((t.start, t.stop) for t in got[i] if t.dictionary == d) == _hits(x, {lx.lowered(t) for t in ts}), (i, d, x)
+    assert sum(map(len, got.values())) > 500
+
+
+def test_terms_of_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(termtable, "hashes", lambda data, starts, stops: (stops - starts).astype("uint64"))
+    rows = pa.table({"dictionary": ["d", "d", "e", "d"], "term": ["ab", "cd", "xyz", "ab cd"]})
+    table = termtable.Table(rows)
+    assert sorted(table.others) == ["ab", "cd"] and len(table.hashes) == 2
+    found = [tuple(int(v) for v in x) for a in table.places(["abc xyz", "xyz ab cd"]) for x in zip(*a)]
+    assert sorted(found) == [(0, 1, 4, 7), (1, 0, 4, 9), (1, 1, 0, 3)]
+
+
+def test_a_table_of_terms_is_small():
+    n = 100_000
+    rows = pa.table({"dictionary": ["d"] * n, "term": [f"term{i} word" for i in range(n)]})
+    assert len(pickle.dumps(termtable.Table(rows))) < 50 * n
