@@ -9,6 +9,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -59,12 +60,6 @@ def decode_text(content: Column) -> Column:
     return F.when(F.startswith(text, F.lit("﻿")), F.substring(text, 2, 2147483647)).otherwise(text)
 
 
-def scan_files(spark: SparkSession, path: str, most: int = LOCAL_BYTES) -> DataFrame:
-    """path, length, text of the supported files below path; larger ones are never opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where((F.col("length") <= most) & extension(F.col("path")).isin(LOCAL_EXTENSIONS)).select("path", "length", decode_text(F.col("content")).alias("text"))
-
-
 #: Folders that written files are dealt over by their key, so that listings run in parallel and none grows too long.
 FOLDERS = 256
 
@@ -77,6 +72,74 @@ def _opened(path: str) -> tuple[fs.FileSystem, str] | None:
         return None
 
 
+#: Bytes of files that a task reads, and that it hands over at once; a file counts for so many more.
+READ_BYTES, HANDED_BYTES, FILE_BYTES = 32 << 20, 4 << 20, 4096
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    return rows.repartition(min(n, 2 * rows.sparkSession.sparkContext.defaultParallelism))
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """path, length of all files below a folder that Arrow opens, as Spark's file source finds them: names that begin with a dot, or with _ and hold no =, are left out.
+
+    Tasks list folder by folder, a job for each level of them, so no list of files goes through the driver.
+    """
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = _opened(path)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                inside = store.get_file_info(fs.FileSelector(folder))
+                seen = [i for i in inside if not i.base_name.startswith(".") and not (i.base_name.startswith("_") and "=" not in i.base_name) and not i.base_name.endswith("._COPYING_")]
+                yield pa.RecordBatch.from_arrays([pa.array([i.path for i in seen], pa.string()), pa.array([i.size if i.is_file else None for i in seen], pa.int64())], ["path", "length"])
+
+    folders, n, levels = spark.createDataFrame([(_opened(path)[1],)], "path string"), 1, []
+    while n:
+        levels.append(cut(_dealt(folders, n).mapInArrow(entries, "path string, length long"), "files"))
+        folders = levels[-1].where("length IS NULL").select("path")
+        n = folders.count()
+    return reduce(DataFrame.unionAll, levels).where("length IS NOT NULL")
+
+
+def scan_files(spark: SparkSession, path: str, most: int = LOCAL_BYTES) -> DataFrame:
+    """path, length, text of the supported files below path; larger ones are never opened.
+
+    Tasks list and read the files of stores that Arrow opens. Spark's file source, which keeps
+    every file's status in the driver, reads the others, and patterns of paths.
+    """
+    own = None if re.search(r"[*?{\[]", path) else _opened(path)
+    supported = (F.col("length") <= most) & extension(F.col("path")).isin(LOCAL_EXTENSIONS)
+    if own is None or own[0].get_file_info(own[1]).type != fs.FileType.Directory:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        return files.where(supported).select("path", "length", decode_text(F.col("content")).alias("text"))
+    root, shown = own[1], f"file:{own[1]}" if isinstance(own[0], fs.LocalFileSystem) else path.rstrip("/")
+    files = _listed(spark, path).where(supported & (F.col("length") > 0))  # Spark's source leaves out empty files too
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("length") + FILE_BYTES), F.lit(0))).first()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = _opened(path)
+
+        def handed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], ["path", "length", "content"])
+
+        rows, held = [], 0
+        for batch in batches:
+            for name, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                with store.open_input_file(name) as f:
+                    rows.append((shown + name[len(root) :], length, f.read()))
+                held += length + FILE_BYTES
+                if held >= HANDED_BYTES:
+                    yield handed(rows)
+                    rows, held = [], 0
+        if rows:
+            yield handed(rows)
+
+    parts = max(-(-size // READ_BYTES), min(n, spark.sparkContext.defaultParallelism), 1)
+    found = files.repartition(parts).mapInArrow(read, "path string, length long, content binary")
+    return found.select("path", "length", decode_text(F.col("content")).alias("text"))
+
+
 def write_files(texts: DataFrame, key: str, path: str | None = None) -> str:
     """Write each row's text as a file of its own below path (else a shared scratch folder), named after key.
 

@@ -13,6 +13,7 @@ from redactory.operators import analysis, merge, termtable
 from redactory.operators import entities as e
 from redactory.operators import lexicons as lx
 from redactory.operators import predictions as pr
+from redactory.sources import storage
 
 
 def test_entities_carry_their_kind_and_settle_like_the_folds(spark):
@@ -95,3 +96,21 @@ def test_a_table_of_terms_is_small():
     n = 100_000
     rows = pa.table({"dictionary": ["d"] * n, "term": [f"term{i} word" for i in range(n)]})
     assert len(pickle.dumps(termtable.Table(rows))) < 50 * n
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    for name in ("a.txt", "deep/b=1/c d.MD", "deep/b=1/e%20.json", "_part=1/f.txt", "deep/_hidden/g.txt", "deep/.h.txt", "deep/_i.txt", "j.exe", "k.txt.gz", "empty/l.csv"):
+        at = tmp_path / "in" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(b"" if name.startswith("empty") else b"text of " + name.encode())
+    for i in range(300):
+        (tmp_path / "in" / f"n{i}.log").write_text(str(i))
+    (tmp_path / "in" / "large.txt").write_bytes(b"x" * (storage.LOCAL_BYTES + 1))
+    out = storage.scan_files(spark, f"{tmp_path}/in")
+    spark_own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{tmp_path}/in")
+    want = spark_own.where(storage.extension(F.col("path")).isin(storage.LOCAL_EXTENSIONS) & (F.col("length") <= storage.LOCAL_BYTES)).select("path", "length", F.col("content").cast("string"))
+    assert out.columns == ["path", "length", "text"] and sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert out.count() == 304 and "BinaryFile" not in out._jdf.queryExecution().executedPlan().toString()
+    assert storage.scan_files(spark, f"{tmp_path}/in/a.txt").count() + storage.scan_files(spark, f"{tmp_path}/in/n*.log").count() == 301
+    (tmp_path / "none").mkdir()
+    assert storage.scan_files(spark, f"{tmp_path}/none").count() == 0
