@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable
 from typing import NamedTuple
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactory.functions.spans import bound, exploded, pieces, screened, spans, window as cut_out
+from redactory.functions.spans import PIECE, bound, exploded, screened, spans, window as cut_out
+from redactory.operators.termtable import lowered
 
 
 class Entity(NamedTuple):
@@ -204,6 +208,35 @@ def keyword_places(text: Column, keywords: Iterable[str]) -> Column:
     return bound(F.lower(text), found)
 
 
+def placed_cues(text: Column, keywords: Iterable[str]) -> Column:
+    """What keyword_places gives, by one automaton pass over each text, as an array for each piece of it; null texts have none.
+
+    The column is an Arrow function's, so it must not stand inside a lambda.
+    """
+    words = sorted(set(keywords))
+
+    def found(batch: pa.Array) -> pa.Array:
+        own = ahocorasick.Automaton()
+        for w in words:
+            own.add_word(w, len(w))
+        own.make_automaton()
+        starts, stops, inner, outer = [], [], [0], [0]
+        for text in batch.to_pylist():
+            hits = sorted((at + 1 - n, at + 1) for at, n in own.iter(lowered(text))) if text else []
+            done = 0
+            for piece in range(len(text or "") // PIECE + 1 if hits else 0):
+                end = bisect_left(hits, ((piece + 1) * PIECE, 0), done)
+                starts += [a for a, _ in hits[done:end]]
+                stops += [b for _, b in hits[done:end]]
+                inner.append(len(starts))
+                done = end
+            outer.append(len(inner) - 1)
+        places = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], ["start", "stop"])
+        return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), places))
+
+    return F.arrow_udf(found, "array<array<struct<start:int,stop:int>>>")(F.make_valid_utf8(text))
+
+
 def least_gap(places: Column, start: Column, stop: Column, window: int) -> Column:
     """What near_distance gives, from the keywords' places."""
     inside = F.filter(places, lambda p: (p["start"] >= start - window) & (p["stop"] <= stop + window))
@@ -233,8 +266,16 @@ def context_spans(text: Column, context: Context, ord_: int = 0) -> Column:
     """Pattern hits with their score, in the row: those of at least 0.3 whose confidence times score reaches 0.5."""
     held = screened(text, [(context.whole(), False)])
     hits = spans(text, context.java(), held=F.array_contains(held, 0))
-    near_of = lambda s, parts: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), near_distance(text, s["start"], s["stop"], context.keywords, context.window, parts).alias("distance"))
-    placed = bound(hits, lambda found: F.when(F.size(found) > 0, bound(pieces(text), lambda parts: F.transform(found, lambda s: near_of(s, parts)))).otherwise(F.transform(found, lambda s: near_of(s, F.array(text)))))
+    cues = placed_cues(text, context.keywords)
+
+    def near_of(s: Column, cues: Column) -> Column:
+        # the cues that begin in the pieces which the window, and the longest cue before it, reach
+        first = F.floor(F.greatest(F.lit(0), s["start"] - context.window) / PIECE).cast("int")
+        count = F.floor((s["stop"] + context.window) / PIECE).cast("int") - first + 1
+        gap = least_gap(F.flatten(F.slice(cues, first + 1, count)), s["start"], s["stop"], context.window)
+        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), gap.alias("distance"))
+
+    placed = bound(F.struct(hits.alias("hits"), cues.alias("cues")), lambda x: F.transform(x["hits"], lambda s: near_of(s, x["cues"])))
     near = F.filter(placed, lambda s: (proximity(s["distance"], context.window) >= 0.3) & (rounded(proximity(s["distance"], context.window) * context.confidence) >= 0.5))
 
     def scored(s: Column) -> Column:

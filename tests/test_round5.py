@@ -9,6 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from redactory.functions import dialect
+from redactory.functions.spans import exploded, spans
 from redactory.operators import analysis, merge, termtable
 from redactory.operators import entities as e
 from redactory.operators import lexicons as lx
@@ -114,3 +116,30 @@ def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
     assert storage.scan_files(spark, f"{tmp_path}/in/a.txt").count() + storage.scan_files(spark, f"{tmp_path}/in/n*.log").count() == 301
     (tmp_path / "none").mkdir()
     assert storage.scan_files(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_context_distances_equal_those_of_the_window(spark):
+    draw = random.Random(3)
+    pieces_ = ["Ann Lee", "$120,000", "95k", "salary", "é", "the CEO", "Make", "10.0.0.1", "patient", "x" * 70, "日本", "\n", "pay", "Dr. Bo Chen", "server"]
+    texts = [None, "", "salary", "Ann Lee"] + [" ".join(draw.choice(pieces_) for _ in range(n)) for n in (3, 10, 40, 400) for _ in range(6)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    n = 0
+    for x in e.CONTEXTS:
+        every = exploded(df, "doc_id", "text", array=spans(F.col("text"), x.java()), alias="s").select("doc_id", "s.start", "s.stop", e.near_distance(F.col("text"), F.col("s.start"), F.col("s.stop"), x.keywords, x.window).alias("d")).collect()
+        want = {(r.doc_id, r.start, r.stop): r.d for r in every}
+        got = {(r.doc_id, r.span_start, r.span_end): r.distance for r in e.context_candidates(df, x).collect()}
+        assert all(want[k] == d for k, d in got.items())
+        assert set(got) == {k for k, d in want.items() if d is not None and (1 - d / x.window) >= 0.3 and int((1 - d / x.window) * x.confidence * 1000 + 0.5) / 1000 >= 0.5}
+        n += len(got)
+    assert n > 100
+
+
+def test_borders_in_java_see_ascii_words_only(spark):
+    old = "[A-Za-z0-9_]"
+    plain = lambda p: p.replace(r"\b", f"(?:(?<!{old})(?={old})|(?<={old})(?!{old}))").replace(r"\m", f"(?={old})(?<!{old})").replace(r"\M", f"(?!{old})")
+    texts = ["Ann Lee", "éAnn xAnn _Ann 9Ann -Ann", "ÀB Kelvin KB İB", "O'Neil-Smith Jones", "AB́ Ab", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in (r"\b[A-Z][a-z]*\b", r"\m[A-Z]+\M", r"\b[A-Z]?x", r"\b[A-Z]{2}", e.BIGRAM, e.CAPS):
+        r = df.select(F.regexp_extract_all("t", F.lit(dialect.java(p)), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(plain(p)), F.lit(0)).alias("b")).collect()
+        assert all(x.a == x.b for x in r), p
+    assert dialect.java(e.BIGRAM).startswith("(?=[A-Z])")
